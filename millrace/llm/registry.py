@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, langid, simhash, toxicity
 
-MODULES = (simhash, bpe)
+MODULES = (simhash, bpe, toxicity, langid)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
