@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, simhash, toxicity
+from . import bpe, langid, quality, simhash, toxicity
 
-MODULES = (simhash, bpe, toxicity, langid)
+MODULES = (simhash, bpe, toxicity, langid, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
