@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 
@@ -168,3 +169,21 @@ def per_doc(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
     end = np.cumsum(counts)
     return total[end] - total[end - counts]
+
+
+def filter_rows(docs: DataFrame, column: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """Rows of ``docs`` that a test of one column keeps, with all columns as they are.
+
+    ``make`` is called once a task and gives a function from the Arrow column to
+    a boolean array.
+    """
+    at = [f.name for f in docs.schema.fields].index(column)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            yield batch.filter(pa.array(np.asarray(test(batch.column(at)), bool)))
+
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)

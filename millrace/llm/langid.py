@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, filter_rows, utf8
 
 DIMS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -146,14 +146,14 @@ def predict(model: dict, data: np.ndarray, off: np.ndarray, table: np.ndarray) -
 def _predict_batches(model, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(batch.num_columns - 1))
+            data, off = utf8(batch.column(2))
             names, scores = [], [np.zeros(0)]
             for i, j in chunks(off, CHUNK):
                 a, s = predict(model.value, data[off[i] : off[j]], off[i : j + 1] - off[i], table.value)
                 names += a
                 scores.append(s)
-            kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.concatenate(scores))], [*batch.schema.names[:-1], "lang_pred", "score"])
+            cols = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.concatenate(scores))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -193,14 +193,20 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     Texts that are null or hold no letter are ``und`` and go.
     """
     sc = docs.sparkSession.sparkContext
-    model = train(docs)
-    fields = docs.schema.fields
-    names = [f"c{i}" for i in range(len(fields))]
-    safe = docs.toDF(*names)
-    text = names[[f.name for f in fields].index("text")]
-    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)), "lang_pred string", "score double"])
-    told = safe.select(*names, F.col(text).alias("t")).mapInArrow(_predict_batches(sc.broadcast(model), sc.broadcast(fold_table())), schema)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names).toDF(*[f.name for f in fields])
+    model, table = sc.broadcast(train(docs)), sc.broadcast(fold_table())
+
+    def make():
+        def test(column: pa.Array) -> np.ndarray:
+            data, off = utf8(column)
+            keep = [np.zeros(0, bool)]
+            for i, j in chunks(off, CHUNK):
+                names, score = predict(model.value, data[off[i] : off[j]], off[i : j + 1] - off[i], table.value)
+                keep.append((score >= least) & (np.array(names) != "und"))
+            return np.concatenate(keep)
+
+        return test
+
+    return filter_rows(docs, "text", make)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
