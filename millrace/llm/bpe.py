@@ -3,8 +3,8 @@
 The words of all documents are counted and the most frequent ones, up to
 ``lexicon_size``, are compiled into an automaton that shares suffixes.  Its
 edges carry numbers whose sum along a path is the word's index, and the index
-points to the word's ids.  The automaton is written once per machine, opened
-by memory map, and walked for all distinct words of a chunk in lockstep.  Words
+points to the word's ids.  The automaton is written to a local file, opened by
+memory map, and walked for all distinct words of a chunk in lockstep.  Words
 outside it are merged exactly, so the lexicon's size changes speed alone.
 """
 
@@ -250,20 +250,14 @@ class Lexicon:
     NAMES = ("key", "to", "out", "final", "root", "ids", "at")
 
     def __init__(self, packed: bytes):
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(packed).hexdigest()[:24]}")
-        if not os.path.exists(path):
-            part = f"{path}.{os.getpid()}"
-            with open(part, "wb") as f:
-                f.write(packed)
-            os.replace(part, path)
-        self.path = path
-        with open(path, "rb") as f:
-            f.seek(-8, 2)
-            f.seek(int.from_bytes(f.read(8), "little"))
-            head = json.loads(f.read()[:-8])
-        for name in self.NAMES:
-            kind, at, n = head[name]
-            setattr(self, name, np.memmap(path, np.dtype(kind), "r", at, (n,)) if n else np.zeros(0, kind))
+        with tempfile.NamedTemporaryFile(prefix="lexicon-") as f:  # the maps outlive the name
+            f.write(packed)
+            f.flush()
+            at = int.from_bytes(packed[-8:], "little")
+            head = json.loads(packed[at:-8])
+            for name in self.NAMES:
+                kind, at, n = head[name]
+                setattr(self, name, np.memmap(f.name, np.dtype(kind), "r", at, (n,)) if n else np.zeros(0, kind))
 
     @staticmethod
     def pack(arrays: dict[str, np.ndarray]) -> bytes:

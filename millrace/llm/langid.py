@@ -22,7 +22,7 @@ DIMS = 1 << 13
 ORDERS = (1, 2, 3)
 CHUNK = 1 << 20
 #: Bounds of the training sample: rows aimed at per language, languages, bytes of a text.
-ROWS_PER_LANG, MAX_LANGS, MAX_TRAIN_BYTES = 600, 300, 20_000
+ROWS_PER_LANG, MAX_ROWS, MAX_LANGS, MAX_TRAIN_BYTES = 600, 6000, 300, 20_000
 
 
 def fold_table() -> np.ndarray:
@@ -166,13 +166,14 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> dict:
     """Fit on a bounded sample of the labelled rows that may be learned from.
 
-    About ``rows_per_lang`` rows of each of at most MAX_LANGS languages are taken
-    by a hash of text and id, of texts up to MAX_TRAIN_BYTES bytes.
+    About ``rows_per_lang`` rows of each of at most MAX_LANGS languages, MAX_ROWS
+    in all, are taken by a hash of text and id, of texts up to MAX_TRAIN_BYTES.
     """
     open_rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES))
     sizes = open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
         return {"names": [], "dims": DIMS}
+    rows_per_lang = min(rows_per_lang, max(1, MAX_ROWS // len(sizes)))
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, rows_per_lang / r["count"]))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     limit = 2 * rows_per_lang * len(sizes)
