@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, pii, quality, simhash, toxicity, warc
+from . import bpe, decontaminate, langid, pii, quality, secret_forest, simhash, toxicity, warc
 
-MODULES = (simhash, bpe, pii, toxicity, langid, decontaminate, warc, quality)
+MODULES = (simhash, bpe, secret_forest, pii, toxicity, langid, decontaminate, warc, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
