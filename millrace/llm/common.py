@@ -56,10 +56,10 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (n + 1) of a string column; nulls count as empty."""
+    """Bytes and offsets (n + 1) of a string or binary column; null strings count as empty."""
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     kind = np.int64 if wide else np.int32
     n = len(column)
