@@ -189,13 +189,14 @@ def _block_masks() -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def _fingerprint_batches(shingle: int, seed: int):
+def _fingerprint_batches(shingle: int, seed: int, keep: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
             parts = [fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i], shingle, seed) for i, j in chunks(off)]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            kept = [(0, "doc_id"), *([(2, "_row")] if keep else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k, _ in kept), pa.array(fp.view(np.int64))], [*(n for _, n in kept), "fp"])
 
     return run
 
@@ -230,6 +231,13 @@ def links(codes: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.repartition("c", "k").select("c", "fp").mapInArrow(_forest_batches(radius), "u long, v long")
 
 
+def _groups(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, rep, label): each distinct fingerprint, its least doc_id, and its component."""
+    codes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    label = connected_components(links(codes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return codes.join(label, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """Fingerprint and group of each document.
 
@@ -241,14 +249,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     stay; an empty table gives an empty result.
     """
     fps = cut(simhash(docs, shingle, seed))
-    codes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    label = connected_components(links(codes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    named = codes.join(label, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    named = _groups(fps, radius)
     low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     groups = named.select("fp", "label").join(low, "label").select("fp", "component_id")
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns of ``docs``.
+
+    The row with the group's smallest doc_id stays; of rows that repeat this id,
+    and of groups without any id, the one with the smallest hash of the row.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    safe = docs.toDF(*names)
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed = safe.withColumn("_row", F.xxhash64(*names))
+    rows = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "_row")
+    fps = cut(rows.mapInArrow(_fingerprint_batches(shingle, 42, keep=True), "doc_id long, _row long, fp long"))
+    groups = _groups(fps, radius)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = fps.join(groups, "fp").groupBy("label").agg(best.alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x._row").alias("_row"))
+    kept = kept.select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), "_row")
+    found = keyed.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).join(kept, ["_id", "_row"], "left_semi")
+    # rows alike in every column and in their fingerprint: one of them
+    alike = fps.groupBy("doc_id", "_row").count().where("count > 1").limit(1).count()
+    found = found.drop("_id", "_row")
+    return (found.dropDuplicates(names) if alike else found).toDF(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
