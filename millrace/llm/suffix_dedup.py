@@ -6,9 +6,11 @@ places or more can hold a repeat; the others are left out by exact counts.
 
 1. Each text is cut into stretches: maximal runs of string starts that share an
    anchor.  Anchors are counted over all texts.
-2. Stretches with a shared anchor are brought together by anchor; equal ones are
-   folded first, so thousands of copies cost as much as two.
-3. A shard is a few MB of such stretches.  Its suffix array is built by
+2. Stretches with a shared anchor are compared by a hash of their bytes.  Those
+   with an equal one are repeats as a whole, and only one text of each stretch
+   that shares its anchor with a different one is needed from here on, so
+   thousands of copies cost as much as two.
+3. A shard is a few MB of such stretches, brought together by anchor.  Its suffix array is built by
    Larsson-Sadakane refinement in numpy and its common prefixes by Kasai's
    recurrence, run in lockstep over lanes of the text.  Starts with 200 common
    bytes are repeats.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, utf8, xxh64
+from .common import cut, drop_staged, free_shuffles, stage_table, utf8, xxh64
 
 LENGTH, GRAM = 200, 32
 LONGEST_RUN = 512
@@ -77,8 +79,31 @@ def stretches(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
     return m[lo].view(np.int64), lo, hi, times
 
 
-def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` bytes or more (Larsson-Sadakane).
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_BASE, -1, 1 << 64)
+_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def range_hashes(data: np.ndarray, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range, from running sums of a polynomial modulo 2^64.
+
+    Ranges are shorter than the 2048 bytes from which such a sum is weak.
+    """
+    n = len(data)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_BASE, n), dtype=np.uint64)])
+    h = (sums[end] - sums[lo]) * _powers(_BACK, n + 1)[lo]
+    h = (h ^ (h >> np.uint64(32)) ^ (end - lo).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """All suffixes in order (Larsson-Sadakane).
 
     Ranks start from eight bytes; each round sorts only groups that are not yet
     of one suffix by the rank ``h`` further on, and doubles ``h``.
@@ -92,7 +117,7 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     rank = np.zeros(n + 1, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + 1  # 0 is the end of the text
     h = 8
-    while h < depth:
+    while True:
         single = head & np.append(head[1:], True)
         open_ = np.flatnonzero(~single)
         if not len(open_):
@@ -149,7 +174,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int = LENGTH) -> np
 
 def repeated(data: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Of valid starts: whether another one has the same string, and its class."""
-    sa = suffix_array(data, length)
+    sa = suffix_array(data)
     group = np.cumsum(common_prefixes(data, sa, length) < length)
     cls = np.zeros(len(data), np.int64)
     cls[sa] = group
@@ -157,84 +182,92 @@ def repeated(data: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> tuple
     return n[cls[valid]] > 1, cls[valid]
 
 
-def _anchor_batches(length: int):
+STRETCHES = "kid long, kh long, anchor long, d long, lo int, hi int, times int"
+
+
+def _stretch_batches(length: int):
+    names = [x.split()[0] for x in STRETCHES.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kid, kh = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, off = utf8(batch.column(2))
             out, size = [], 0
             for i in range(len(kid)):
-                a, lo, hi, times = stretches(data[off[i] : off[i + 1]], length)
-                out.append((np.full(len(a), kid[i]), np.full(len(a), kh[i]), a, lo, hi, times))
+                raw = data[off[i] : off[i + 1]]
+                a, lo, hi, times = stretches(raw, length)
+                out.append((np.full(len(a), kid[i]), np.full(len(a), kh[i]), a, range_hashes(raw, lo, hi + length), lo, hi, times))
                 size += len(a)
                 if size > 200_000 or i == len(kid) - 1:
                     cols = [np.concatenate(x) for x in zip(*out)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64,) * 3 + (np.int32,) * 3)], ["kid", "kh", "anchor", "lo", "hi", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64,) * 4 + (np.int32,) * 3)], names)
                     out, size = [], 0
 
     return run
 
 
+CONTEXTS = "anchor long, d long, n long, of long, ctx binary"
+
+
 def _context_batches(length: int):
+    names = [x.split()[0] for x in CONTEXTS.split(", ")]
+    kinds = (pa.int64(),) * 4 + (pa.binary(),)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kid, kh = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            data, off = utf8(batch.column(2))
+            data, off = utf8(batch.column(0))
             rows, size = [], 0
-            for i in range(len(kid)):
-                mine = batch.column(3)[i].as_py()
+            for i in range(batch.num_rows):
                 raw = data[off[i] : off[i + 1]].tobytes()
-                for a, lo, hi in sorted({(x["anchor"], x["lo"], x["hi"]) for x in mine}):
-                    ctx = raw[lo : hi + length]
-                    d = hashlib.blake2b(ctx, digest_size=16).digest()
-                    rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), a, kid[i], kh[i], lo, ctx))
-                    size += len(ctx)
-                if rows and (size > 4 << 20 or i == len(kid) - 1):
-                    kinds = (pa.int64(),) * 5 + (pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["d1", "d2", "anchor", "kid", "kh", "lo", "ctx"])
+                for x in batch.column(1)[i].as_py():
+                    rows.append((x["anchor"], x["d"], x["n"], x["of"], raw[x["lo"] : x["hi"] + length]))
+                    size += len(rows[-1][-1])
+                if rows and (size > 4 << 20 or i == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
                     rows, size = [], 0
 
     return run
 
 
-def _shard(rows: list[tuple], length: int, spread: bool):
-    """Work one shard; rows of (anchor, salt, parts, d1, d2, n, ctx).
+def _shard(rows: list[tuple], length: int):
+    """Work one shard; rows of (anchor, salt, parts, d, n, ctx).
 
     Gives per stretch its repeated starts as runs, and, for spread anchors, an
-    entry (two hashes, d1, d2, start, salt) for each distinct string.
+    entry (two hashes, anchor, d, start, salt) for each distinct string.
     """
-    size = np.array([len(r[6]) for r in rows], np.int64)
+    size = np.array([len(r[5]) for r in rows], np.int64)
     base = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
     n = size - length + 1
     which = np.repeat(np.arange(len(rows)), n)
     valid = np.arange(int(n.sum())) + np.repeat(base - (np.cumsum(n) - n), n)
     dup, cls = repeated(data, valid, length)
-    dup = dup | (np.array([r[5] for r in rows]) > 1)[which]
-    edge = np.concatenate([[True], (dup[1:] != dup[:-1]) | (which[1:] != which[:-1])]) if len(dup) else np.zeros(0, bool)
+    once = (np.array([r[4] for r in rows]) == 1)[which]  # the others are repeats as a whole
+    mark = dup & once
+    edge = np.concatenate([[True], (mark[1:] != mark[:-1]) | (which[1:] != which[:-1])])
     lo = np.flatnonzero(edge)
-    hi = np.append(lo[1:], len(dup)) - 1
+    hi = np.append(lo[1:], len(mark)) - 1
     runs: dict[int, tuple[list[int], list[int]]] = {}
-    for a, b in zip(lo[dup[lo]].tolist(), hi[dup[lo]].tolist()):
+    for a, b in zip(lo[mark[lo]].tolist(), hi[mark[lo]].tolist()):
         w = int(which[a])
         x = runs.setdefault(w, ([], []))
         x[0].append(int(valid[a] - base[w]))
         x[1].append(int(valid[b] - base[w]))
-    found = [(rows[w][3], rows[w][4], a, b) for w, (a, b) in runs.items()]
+    found = [(rows[w][0], rows[w][3], a, b) for w, (a, b) in runs.items()]
     entries = []
     wide = np.array([r[2] > 1 for r in rows])
-    if spread and wide.any():
+    if wide.any():
         at = np.flatnonzero(wide[which])
         _, first = np.unique(cls[at], return_index=True)
         at = at[first]
         long = np.full(len(at), length, np.int64)
         one, two = xxh64(data, valid[at], long, 1).view(np.int64), xxh64(data, valid[at], long, 2).view(np.int64)
         order = np.lexsort((two, one))
-        entries = [(int(one[k]), int(two[k]), rows[which[at[k]]][3], rows[which[at[k]]][4], int(valid[at[k]] - base[which[at[k]]]), rows[which[at[k]]][1]) for k in order.tolist()]
+        entries = [(int(one[k]), int(two[k]), rows[which[at[k]]][0], rows[which[at[k]]][3], int(valid[at[k]] - base[which[at[k]]]), rows[which[at[k]]][1]) for k in order.tolist()]
     return found, entries
 
 
-SHARDED = "kind int, d1 long, d2 long, a array<int>, b array<int>, w1 long, w2 long, start int, salt int"
+SHARDED = "kind int, anchor long, d long, a array<int>, b array<int>, w1 long, w2 long, start int, salt int"
 
 
 def _shard_batches(length: int):
@@ -242,8 +275,8 @@ def _shard_batches(length: int):
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def out(rows):
-        found, entries = _shard(rows, length, True)
-        table = [(0, d1, d2, a, b, None, None, None, None) for d1, d2, a, b in found] + [(1, d1, d2, None, None, w1, w2, s, salt) for w1, w2, d1, d2, s, salt in entries]
+        found, entries = _shard(rows, length)
+        table = [(0, x, d, a, b, None, None, None, None) for x, d, a, b in found] + [(1, x, d, None, None, w1, w2, s, salt) for w1, w2, x, d, s, salt in entries]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*table), kinds)], names) if table else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +288,7 @@ def _shard_batches(length: int):
                         yield got
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[6])
+                size += len(r[5])
                 last = (r[0], r[1])
         if rows and (got := out(rows)) is not None:
             yield got
@@ -288,7 +321,7 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 same[:-1] |= eq
             hit = pa.array(maybe[same])
             if len(hit):
-                got = table.slice(0, stop).select(["d1", "d2", "start"]).take(hit).combine_chunks()
+                got = table.slice(0, stop).select(["anchor", "d", "start"]).take(hit).combine_chunks()
                 yield from got.to_batches()
 
 
@@ -314,32 +347,34 @@ def _finish_batches(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(kid, kh, spans): per text key its stretches with repeated starts.
 
     The key is the doc_id (the least long for null) and a hash of the text; a
     span has the place of a stretch and runs of starts relative to it.
     """
-    rows = docs.where(F.octet_length("text") >= length)
-    stretched = rows.select("kid", "kh", "text").mapInArrow(_anchor_batches(length), "kid long, kh long, anchor long, lo int, hi int, times int")
-    shared = stretched.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
-    mine = stretched.join(shared, "anchor").groupBy("kid", "kh").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("anchors"))
-    contexts = rows.join(mine, ["kid", "kh"]).select("kid", "kh", "text", "anchors").mapInArrow(_context_batches(length), "d1 long, d2 long, anchor long, kid long, kh long, lo int, ctx binary")
-    contexts = cut(contexts)
-    folded = contexts.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("ctx").alias("ctx"))
-    # exact twins need a shard only where the anchor has other stretches
-    folded = cut(folded)
-    crowd = folded.groupBy("anchor").agg(F.count("*").alias("of"))
+    rows = rows.where(F.octet_length("text") >= length).select("kid", "kh", "text")
+    every = stage_table(rows.mapInArrow(_stretch_batches(length), STRETCHES), "stretches")
+    shared = every.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    mine = stage_table(every.join(shared, "anchor"), "shared-stretches")
+    drop_staged(every)
+    kinds = cut(mine.groupBy("anchor", "d").agg(F.count("*").alias("n"), F.max("times").alias("times"), F.min(F.struct("kid", "kh", "lo", "hi")).alias("rep")))
+    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("of"))
+    need = kinds.join(crowd, "anchor").where("of > 1 OR times > 1").select("anchor", "d", "n", "of", "rep.*")
+    lists = need.groupBy("kid", "kh").agg(F.collect_list(F.struct("anchor", "d", "n", "of", "lo", "hi")).alias("need"))
+    contexts = stage_table(rows.join(lists, ["kid", "kh"]).select("text", "need").mapInArrow(_context_batches(length), CONTEXTS), "contexts")
+    free_shuffles(rows.sparkSession)
     parts = F.ceil(F.col("of") / PER_SHARD).cast("int")
-    sharded = folded.join(crowd, "anchor").select("anchor", F.pmod(F.col("d1"), parts.cast("long")).cast("int").alias("salt"), parts.alias("parts"), "d1", "d2", F.col("n").cast("long"), "ctx")
-    sharded = sharded.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_shard_batches(length), SHARDED)
-    sharded = cut(sharded)
-    inside = sharded.where("kind = 0").select("d1", "d2", "a", "b")
-    entries = sharded.where("kind = 1").select("w1", "w2", "d1", "d2", "start")
-    across = entries.repartitionByRange("w1").sortWithinPartitions("w1", "w2").mapInArrow(_merge_batches, "d1 long, d2 long, start int")
-    across = across.groupBy("d1", "d2").agg(F.collect_set("start").alias("a")).select("d1", "d2", "a", F.col("a").alias("b"))
-    runs = inside.union(across)
-    placed = contexts.select("d1", "d2", "kid", "kh", "lo").join(runs, ["d1", "d2"])
+    sharded = contexts.select("anchor", F.pmod(F.col("d"), parts.cast("long")).cast("int").alias("salt"), parts.alias("parts"), "d", "n", "ctx")
+    sharded = cut(sharded.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_shard_batches(length), SHARDED))
+    drop_staged(contexts)
+    inside = sharded.where("kind = 0").select("anchor", "d", "a", "b")
+    entries = sharded.where("kind = 1").select("w1", "w2", "anchor", "d", "start")
+    across = entries.repartitionByRange("w1").sortWithinPartitions("w1", "w2").mapInArrow(_merge_batches, "anchor long, d long, start int")
+    across = across.groupBy("anchor", "d").agg(F.collect_set("start").alias("a")).select("anchor", "d", "a", F.col("a").alias("b"))
+    whole = kinds.where("n > 1").select("anchor", "d", F.array(F.lit(0)).alias("a"), F.array(F.col("rep.hi") - F.col("rep.lo")).alias("b"))
+    runs = whole.union(inside).union(across)
+    placed = mine.select("anchor", "d", "kid", "kh", "lo").join(runs, ["anchor", "d"])
     return placed.groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "a", "b")).alias("spans"))
 
 
