@@ -2,5 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ["relational"]
+
 QUERIES: dict = {}
 SQL: dict = {}
+OPS: dict = {}
+for _name in MODULES:
+    _r = importlib.import_module(f"millrace.operators.{_name}").R
+    QUERIES |= _r.queries
+    SQL |= _r.sql
+    OPS |= _r.ops
