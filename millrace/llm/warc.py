@@ -111,9 +111,13 @@ def _write_batches(root: str, limit: int):
 
         ctx = TaskContext.get()
         attempt = f"{ctx.taskAttemptId() if ctx else 0}-{uuid.uuid4().hex[:8]}"
-        writer, last, done = None, None, []
+        writer, last, done, known = None, None, [], None
         for batch in batches:
-            for shard, page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page_id, key, kind, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
+                if not kind:  # says which page has this payload first; its pages follow
+                    known = (page_id, key, first)
+                    continue
+                first = known[2] if known is not None and known[:2] == (page_id, key) else None
                 if writer is None or writer.shard != shard:
                     if writer:
                         writer.close()
@@ -124,9 +128,8 @@ def _write_batches(root: str, limit: int):
                 if first is None or page_id is None:
                     refers = None
                 elif first == page_id:
-                    key = (page_id, hashlib.sha256(payload).digest())  # repeated rows follow each other
-                    refers = first if key == last else None
-                    last = key
+                    refers = first if (page_id, key) == last else None  # repeated rows follow each other
+                    last = (page_id, key)
                 writer.add(_record(page_id, url, payload, refers)[0])
         if writer:
             writer.close()
@@ -175,11 +178,12 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_byte
         key = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
         keyed = rows.withColumn("key", key)
         first = keyed.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-        found = keyed.where("page_id is not null").select("page_id", "key").distinct().join(first, "key").select(F.col("page_id").alias("p"), F.col("key").alias("k"), "first")
-        big = F.octet_length(F.coalesce("html", F.lit(""))) >= GROUP_FROM
-        joined = keyed.join(found, (F.col("page_id") == F.col("p")) & (F.col("key") == F.col("k")), "left")
-        dealt = joined.select(shard_of("page_id").alias("shard"), "page_id", "url", "html", F.when(big, F.col("first")).alias("first"), "key")
-        dealt = dealt.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "key", "url").drop("key")
+        least = F.octet_length(F.coalesce("html", F.lit(""))) >= GROUP_FROM
+        found = keyed.where(F.col("page_id").isNotNull() & least).select("page_id", "key").distinct().join(first, "key")
+        # told rows sort before their pages, so payloads are shuffled once
+        told = found.select(shard_of("page_id").alias("shard"), "page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
+        full = keyed.select(shard_of("page_id").alias("shard"), "page_id", "key", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("first"))
+        dealt = told.union(full).repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "key", "kind", "url")
         done = dealt.mapInArrow(_write_batches(root, file_bytes), "shard long, name string, bytes long, records long, sha256 string")
         files = sorted(map(tuple, done.collect()))
         manifest = {"format": "WARC/1.1", "records": sum(f[3] for f in files), "files": [dict(zip(("shard", "name", "bytes", "records", "sha256"), f)) for f in files]}
