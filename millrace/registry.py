@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational"]
+MODULES = ["relational", "series", "quality_dimensions"]
 
 QUERIES: dict = {}
 SQL: dict = {}
