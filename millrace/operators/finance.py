@@ -95,13 +95,13 @@ def bt_cover_fifo(d, rel):
 def bt_close_lot(d, rel, fee):
     """Fees by size; profit in percent of the cost with its entry fee."""
     q = f"SELECT symbol, lot, sale, size, entry_price * size AS cost, exit_price * size AS got FROM ({fifo_sql(rel)}) f"
-    return f"SELECT symbol, lot, sale, round((cost + got) * {fee:e}, 9) AS fees, round(got - cost - (cost + got) * {fee:e}, 9) AS pnl, round((got - cost - (cost + got) * {fee:e}) / (cost * (1 + {fee:e})) * 100, 9) AS pnl_pct FROM ({q}) q"
+    return f"SELECT symbol, lot, sale, (cost + got) * {fee:e} AS fees, got - cost - (cost + got) * {fee:e} AS pnl, (got - cost - (cost + got) * {fee:e}) / (cost * (1 + {fee:e})) * 100 AS pnl_pct FROM ({q}) q"
 
 
 @op("bt_cover_short", lots, fee=0.001)
 def bt_cover_short(d, rel, fee):
     q = f"SELECT symbol, lot, sale, size, entry_price * size AS got, exit_price * size AS cost FROM ({fifo_sql(rel)}) f"
-    return f"SELECT symbol, lot, sale, round((cost + got) * {fee:e}, 9) AS fees, round(got - cost - (cost + got) * {fee:e}, 9) AS pnl FROM ({q}) q"
+    return f"SELECT symbol, lot, sale, (cost + got) * {fee:e} AS fees, got - cost - (cost + got) * {fee:e} AS pnl FROM ({q}) q"
 
 
 @op("bt_buy_lot", lots, fee=0.001)

@@ -8,6 +8,7 @@ the test tables; the other rendering is the oracle's.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,7 +135,12 @@ class Registry:
             self.sql[name] = text(DUCK)
 
             def apply(df: DataFrame, **given) -> DataFrame:
-                return df.sparkSession.sql(build(SPARK, "{src}", **(params | given)), src=df)
+                name = f"src_{uuid.uuid4().hex}"
+                df.createOrReplaceTempView(name)
+                try:
+                    return df.sparkSession.sql(build(SPARK, name, **(params | given)))
+                finally:
+                    df.sparkSession.catalog.dropTempView(name)
 
             build.apply = apply
             self.ops[name] = apply

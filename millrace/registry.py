@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["relational", "series", "quality_dimensions"]
+MODULES = [
+    "sources.files",
+    "operators.relational",
+    "operators.series",
+    "operators.quality_dimensions",
+    "operators.statistics",
+    "operators.finance",
+    "operators.strategies",
+    "operators.planning",
+    "operators.text",
+    "plans.sqltools",
+    "streaming.state",
+]
 
 QUERIES: dict = {}
 SQL: dict = {}
 OPS: dict = {}
 for _name in MODULES:
-    _r = importlib.import_module(f"millrace.operators.{_name}").R
+    _r = importlib.import_module(f"millrace.{_name}").R
     QUERIES |= _r.queries
     SQL |= _r.sql
     OPS |= _r.ops
