@@ -90,7 +90,8 @@ def ind_obv(d, rel):
 @op("ind_vwap", fx.ohlcv)
 def ind_vwap(d, rel):
     """Cumulative, not per day."""
-    return rounded({"vwap": f"{running('sum', 'tp * volume')} / nullif({running('sum', 'volume')}, 0)"}, f"(SELECT symbol, date, (high + low + close) / 3 AS tp, volume FROM {rel} x)", 7)
+    amount = "CAST(high + low + close AS DECIMAL(18, 4)) * CAST(volume AS DECIMAL(18, 0))"
+    return f"SELECT symbol, date, CAST({running('sum', 'amount')} AS DOUBLE) / nullif(3 * {running('sum', 'volume')}, 0) AS vwap FROM (SELECT symbol, date, {amount} AS amount, volume FROM {rel} x) t"
 
 
 def cci_sql(d, rel, n=20):
