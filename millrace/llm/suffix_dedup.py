@@ -14,9 +14,9 @@ places or more can hold a repeat; the others are left out by exact counts.
    Larsson-Sadakane refinement in numpy and its common prefixes by Kasai's
    recurrence, run in lockstep over lanes of the text.  Starts with 200 common
    bytes are repeats.
-4. An anchor with many different stretches is spread over shards.  These hand on
-   one sorted entry for each of their distinct strings, the entries are range
-   partitioned, and equal ones of different shards are found by binary search.
+4. An anchor with many different stretches is spread over shards.  Each hands on
+   a sorted run of its distinct strings, cut at fixed bounds, and strings that
+   several shards have are found by binary search.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ LONGEST_RUN = 512
 SHARD_BYTES = 2 << 20
 #: Stretches of one anchor in one shard; above it the anchor is spread.
 PER_SHARD = 512
+#: Entries of spread strings aimed at in one part of the merge.
+PER_PART = 500_000
 LANES = 4096
 
 
@@ -254,29 +256,38 @@ def _shard(rows: list[tuple], length: int):
         x[0].append(int(valid[a] - base[w]))
         x[1].append(int(valid[b] - base[w]))
     found = [(rows[w][0], rows[w][3], a, b) for w, (a, b) in runs.items()]
-    entries = []
+    entries = None
     wide = np.array([r[2] > 1 for r in rows])
     if wide.any():
         at = np.flatnonzero(wide[which])
-        _, first = np.unique(cls[at], return_index=True)
+        _, first, times = np.unique(cls[at], return_index=True, return_counts=True)
         at = at[first]
         long = np.full(len(at), length, np.int64)
-        one, two = xxh64(data, valid[at], long, 1).view(np.int64), xxh64(data, valid[at], long, 2).view(np.int64)
+        one, two = xxh64(data, valid[at], long, 1), xxh64(data, valid[at], long, 2)
         order = np.lexsort((two, one))
-        entries = [(int(one[k]), int(two[k]), rows[which[at[k]]][0], rows[which[at[k]]][3], int(valid[at[k]] - base[which[at[k]]]), rows[which[at[k]]][1]) for k in order.tolist()]
+        at, mine = at[order], which[at[order]]
+        anchor, d = np.array([r[0] for r in rows], np.int64)[mine], np.array([r[3] for r in rows], np.int64)[mine]
+        entries = (one[order], two[order], anchor, d, (valid[at] - base[mine]).astype(np.int32), times[order] == 1)
     return found, entries
 
 
-SHARDED = "kind int, anchor long, d long, a array<int>, b array<int>, w1 long, w2 long, start int, salt int"
+SHARDED = "kind int, anchor long, d long, a array<int>, b array<int>, part int, w1 array<long>, w2 array<long>, anchors array<long>, ds array<long>, starts array<int>, lone array<boolean>"
 
 
-def _shard_batches(length: int):
+def _shard_batches(length: int, bits: int):
+    """Runs of repeated starts (kind 0), and sorted entries cut by their first ``bits`` (kind 1)."""
     names = [x.split()[0] for x in SHARDED.split(", ")]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    kinds = (pa.int32(), pa.int64(), pa.int64(), ints, ints, pa.int32(), longs, longs, longs, longs, ints, pa.list_(pa.bool_()))
 
     def out(rows):
-        found, entries = _shard(rows, length)
-        table = [(0, x, d, a, b, None, None, None, None) for x, d, a, b in found] + [(1, x, d, None, None, w1, w2, s, salt) for w1, w2, x, d, s, salt in entries]
+        found, e = _shard(rows, length)
+        table = [(0, x, d, a, b, *[None] * 7) for x, d, a, b in found]
+        if e is not None:
+            part = (e[0] >> np.uint64(64 - bits)).astype(np.int64)
+            at = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+            cols = (e[0].view(np.int64), e[1].view(np.int64), *e[2:])
+            table += [(1, None, None, None, None, int(part[i]), *(c[i:j] for c in cols)) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*table), kinds)], names) if table else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,33 +307,33 @@ def _shard_batches(length: int):
     return run
 
 
+def _merge(runs: list[list[np.ndarray]]):
+    """Strings of several runs that are alone in their own: (anchor, d, start) of each."""
+    w1, w2, anchor, d, start, lone = (np.concatenate(c) for c in zip(*runs))
+    every = np.sort(w1)
+    maybe = np.flatnonzero(np.searchsorted(every, w1, side="right") - np.searchsorted(every, w1, side="left") > 1)
+    maybe = maybe[np.lexsort((w2[maybe], w1[maybe]))]
+    same = (w1[maybe][1:] == w1[maybe][:-1]) & (w2[maybe][1:] == w2[maybe][:-1])
+    hit = np.zeros(len(maybe), bool)
+    hit[1:] |= same
+    hit[:-1] |= same
+    hit = maybe[hit & lone[maybe].astype(bool)]
+    return pa.RecordBatch.from_arrays([pa.array(anchor[hit]), pa.array(d[hit]), pa.array(start[hit].astype(np.int32))], ["anchor", "d", "start"])
+
+
 def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by string: those that another shard has too, by binary search."""
-    held = None
-    for batch in [*batches, None]:
-        if batch is not None:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        else:
-            table = held
-        if table is None or not table.num_rows:
-            continue
-        w1 = table.column("w1").to_numpy()
-        # the last value may go on in the next batch
-        stop = len(w1) if batch is None else int(np.searchsorted(w1, w1[-1], side="left"))
-        held = table.slice(stop).combine_chunks()
-        w1, w2 = w1[:stop], table.column("w2").to_numpy()[:stop]
-        if stop:
-            left, right = np.searchsorted(w1, w1, side="left"), np.searchsorted(w1, w1, side="right")
-            maybe = np.flatnonzero(right - left > 1)
-            same = np.zeros(len(maybe), bool)
-            if len(maybe) > 1:
-                eq = (w1[maybe][1:] == w1[maybe][:-1]) & (w2[maybe][1:] == w2[maybe][:-1])
-                same[1:] |= eq
-                same[:-1] |= eq
-            hit = pa.array(maybe[same])
-            if len(hit):
-                got = table.slice(0, stop).select(["anchor", "d", "start"]).take(hit).combine_chunks()
-                yield from got.to_batches()
+    """Runs sorted by part; each part is merged once it is complete."""
+    runs, last = [], None
+    for batch in batches:
+        parts = batch.column(0).to_pylist()
+        for i, part in enumerate(parts):
+            if part != last and runs:
+                yield _merge(runs)
+                runs = []
+            last = part
+            runs.append([batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(1, 7)])
+    if runs:
+        yield _merge(runs)
 
 
 def _finish_batches(length: int):
@@ -366,11 +377,13 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     free_shuffles(rows.sparkSession)
     parts = F.ceil(F.col("of") / PER_SHARD).cast("int")
     sharded = contexts.select("anchor", F.pmod(F.col("d"), parts.cast("long")).cast("int").alias("salt"), parts.alias("parts"), "d", "n", "ctx")
-    sharded = cut(sharded.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_shard_batches(length), SHARDED))
+    spread = contexts.where(F.col("of") > PER_SHARD).count()
+    bits = min(24, max(6, int(np.ceil(np.log2(max(1, spread * 100 / PER_PART))))))
+    sharded = cut(sharded.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_shard_batches(length, bits), SHARDED))
     drop_staged(contexts)
     inside = sharded.where("kind = 0").select("anchor", "d", "a", "b")
-    entries = sharded.where("kind = 1").select("w1", "w2", "anchor", "d", "start")
-    across = entries.repartitionByRange("w1").sortWithinPartitions("w1", "w2").mapInArrow(_merge_batches, "anchor long, d long, start int")
+    entries = sharded.where("kind = 1").select("part", "w1", "w2", "anchors", "ds", "starts", "lone")
+    across = entries.repartition("part").sortWithinPartitions("part").mapInArrow(_merge_batches, "anchor long, d long, start int")
     across = across.groupBy("anchor", "d").agg(F.collect_set("start").alias("a")).select("anchor", "d", "a", F.col("a").alias("b"))
     whole = kinds.where("n > 1").select("anchor", "d", F.array(F.lit(0)).alias("a"), F.array(F.col("rep.hi") - F.col("rep.lo")).alias("b"))
     runs = whole.union(inside).union(across)
