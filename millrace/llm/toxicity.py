@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear model over the presence of six-byte grams of folded text.  Positives
-are confirmed toxic rows; every other text counts as unlabelled.  The risk
+are confirmed toxic rows; the unlabelled texts are a sample of all rows that may
+be learned from, whatever their label.  The risk
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` is minimised in numpy with the
 class prior ``pi`` counted over all labelled rows that may be learned from.
 """

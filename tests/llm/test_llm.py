@@ -264,6 +264,12 @@ def test_pseudonyms_invert_and_keep_their_format(spark):
     assert iso == "-".join(reversed(dotted.split(".")))
 
 
+def test_neighbouring_values_are_told_apart(spark):
+    text = "4451718024887799 27.65.93.188 4041 8949 7460 8795 12 a@b.org"
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_replaced"] == 4 and not set(text.split()) & (set(got["text"].split()) - {"12"})
+
+
 def test_pseudonyms_do_not_collide(spark):
     rows = spark.createDataFrame([(i, f"10.0.{i // 256}.{i % 256} 078-05-{1000 + i} u{i}@x.org") for i in range(500)], "doc_id long, text string")
     got = [r["text"].split(" ") for r in pii.pseudonymise(rows).collect()]
