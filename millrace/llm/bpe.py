@@ -1,6 +1,6 @@
 """Byte-level BPE through a minimal acyclic transducer lexicon.
 
-The words of all documents are counted and the most frequent ones, up to
+The words of all documents are counted and the most frequent ones, at most
 ``lexicon_size``, are compiled into an automaton that shares suffixes.  Its
 edges carry numbers whose sum along a path is the word's index, and the index
 points to the word's ids.  The automaton is written to a local file, opened by
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, ranges, utf8, xxh64
+from .common import chunks, drop_staged, ranges, stage_table, utf8, xxh64
 
 LEXICON_SIZE = 100_000
 CHUNK = 4 << 20
@@ -459,9 +459,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, model: Model, size: int = LEXICON_SIZE) -> bytes:
-    """Compile the ``size`` most frequent words (ties by bytes); at most ``size`` rows reach the driver."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"]
-    words = [bytes(w) for w in top]
+    """Compile the most frequent words, ``size`` at most.
+
+    A histogram of the counts, in eighths of powers of two, gives the least count
+    that keeps no more than ``size`` words, so only those reach the driver.
+    """
+    counts = stage_table(word_counts(docs), "words")
+    level = F.floor(F.log2("n") * 8)
+    least, kept = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        kept += r["count"]
+        if kept > size:
+            break
+        least = r["level"]
+    top = [] if least is None else sorted(counts.where(level >= least).select("word").toPandas()["word"].map(bytes))
+    drop_staged(counts)
+    words = top
     size = np.array([len(w) for w in words], np.int64)
     ids, at, n = Merger(model).merge(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
     return Lexicon.pack(compile_lexicon({w: ids[i : i + k].tolist() for w, i, k in zip(words, at.tolist(), n.tolist())}))
