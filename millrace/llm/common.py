@@ -172,6 +172,30 @@ def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 4
     return out
 
 
+def shingle_hashes(data: np.ndarray, off: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of a chunk that have words, XXH64 of their word shingles one text after the other, and how many each has.
+
+    A-Z is lower-cased, words are joined by single spaces, and a text of fewer
+    words than a shingle gives its whole sequence.
+    """
+    texts = [data[off[i] : off[i + 1]].tobytes().lower().split() for i in range(len(off) - 1)]
+    n_words = np.array([len(t) for t in texts], np.int64)
+    rows = np.flatnonzero(n_words)
+    if not len(rows):
+        return rows, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    flat = np.frombuffer(b" ".join([b" ".join(texts[i]) for i in rows]), np.uint8)
+    gap = np.flatnonzero(flat == 32)
+    start = np.concatenate([[0], gap + 1])
+    end = np.concatenate([gap, [len(flat)]])
+    n = n_words[rows]
+    base = np.cumsum(n) - n
+    n_sh = np.maximum(1, n - shingle + 1)
+    head = np.cumsum(n_sh) - n_sh
+    first = np.arange(int(n_sh.sum())) + np.repeat(base - head, n_sh)
+    last = np.minimum(first + shingle - 1, np.repeat(base + n - 1, n_sh))
+    return rows, xxh64(flat, start[first], end[last] - start[first], seed), n_sh
+
+
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Concatenation of ``arange(s, s + n)`` for all pairs."""
     total = int(length.sum())

@@ -12,6 +12,9 @@
    cluster costs about as much as a sparse one, and a task returns a spanning
    forest instead of all pairs.
 4. Components of the forests are found by distributed star rounds.
+
+The stage ``keep_one`` adds links between texts that share 0.8 or more of their
+five-word shingles (``similar.py``), which lie beyond two bits.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, utf8, xxh64
+from .common import chunks, cut, shingle_hashes, utf8
 from .components import connected_components
+from .similar import similar_links, sketches
 
 ONES = np.uint64(0x0101010101010101)
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -35,23 +39,11 @@ CHOICES = list(combinations(range(len(BLOCKS)), KEEP))
 
 def fingerprints(data: np.ndarray, off: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
     """64-bit SimHash of each text of a chunk (unsigned)."""
-    texts = [data[off[i] : off[i + 1]].tobytes().lower().split() for i in range(len(off) - 1)]
-    n_words = np.array([len(t) for t in texts], np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    rows = np.flatnonzero(n_words)
+    rows, h, n_sh = shingle_hashes(data, off, shingle, seed)
+    out = np.zeros(len(off) - 1, np.uint64)
     if not len(rows):
         return out
-    flat = np.frombuffer(b" ".join([b" ".join(texts[i]) for i in rows]), np.uint8)
-    gap = np.flatnonzero(flat == 32)
-    start = np.concatenate([[0], gap + 1])
-    end = np.concatenate([gap, [len(flat)]])
-    n = n_words[rows]
-    base = np.cumsum(n) - n
-    n_sh = np.maximum(1, n - shingle + 1)
     head = np.cumsum(n_sh) - n_sh
-    first = np.arange(int(n_sh.sum())) + np.repeat(base - head, n_sh)
-    last = np.minimum(first + shingle - 1, np.repeat(base + n - 1, n_sh))
-    h = xxh64(flat, start[first], end[last] - start[first], seed)
     per = (n_sh + 254) // 255
     cell = np.cumsum(per) - per
     blocks = (np.arange(int(per.sum())) - np.repeat(cell, per)) * 255 + np.repeat(head, per)
@@ -189,14 +181,29 @@ def _block_masks() -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def _fingerprint_batches(shingle: int, seed: int, keep: bool = False):
+def _fingerprint_batches(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
             parts = [fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i], shingle, seed) for i, j in chunks(off)]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            kept = [(0, "doc_id"), *([(2, "_row")] if keep else [])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k, _ in kept), pa.array(fp.view(np.int64))], [*(n for _, n in kept), "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+
+    return run
+
+
+def _sketch_batches(shingle: int, wide: int):
+    """doc_id, _row, fp and the two sketches, a chunk of texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(1))
+            for i, j in chunks(off):
+                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                two = sketches(part, at, wide)
+                fp = pa.array(fingerprints(part, at, shingle).view(np.int64))
+                both = [pa.array([x[k] for x in two], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], fp, *both], ["doc_id", "_row", "fp", "wide", "low"])
 
     return run
 
@@ -231,10 +238,11 @@ def links(codes: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.repartition("c", "k").select("c", "fp").mapInArrow(_forest_batches(radius), "u long, v long")
 
 
-def _groups(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp, rep, label): each distinct fingerprint, its least doc_id, and its component."""
+def _groups(fps: DataFrame, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """(fp, rep, label): each distinct fingerprint, its least doc_id, and its component; ``more`` adds links (u, v)."""
     codes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    label = connected_components(links(codes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    found = links(codes.select("fp"), radius)
+    label = connected_components(found if more is None else found.union(more)).withColumnRenamed("node", "fp")
     return codes.join(label, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
 
 
@@ -255,19 +263,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def _alike(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between fingerprints of texts with alike sets of shingles.
+
+    Rows with equal sketches are folded and named by their least fingerprint.
+    """
+    named = rows.select("fp", F.xxhash64("wide", "low").alias("sid"), "wide", "low")
+    folded = cut(named.groupBy("sid").agg(F.min("fp").alias("fp"), F.first("wide").alias("wide"), F.first("low").alias("low")))
+    node = folded.select("sid", "fp")
+    same = named.select("sid", F.col("fp").alias("u")).distinct().join(node, "sid").where("u <> fp").select("u", F.col("fp").alias("v"))
+    found = similar_links(folded.select("sid", "wide", "low"), similarity)
+    found = found.join(node.toDF("u", "fu"), "u").join(node.toDF("v", "fv"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+    return same.union(found.where("u <> v"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, wide: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates, with all columns of ``docs``.
 
-    The row with the group's smallest doc_id stays; of rows that repeat this id,
-    and of groups without any id, the one with the smallest hash of the row.
+    Texts are linked by their fingerprints (``shingle``, ``radius``), and where
+    their sets of shingles of ``wide`` words have at least ``similarity`` in
+    common (Jaccard, measured as ``similar.py`` says).  The row with the group's
+    smallest doc_id stays; of rows that repeat this id, and of groups without
+    any id, the one with the smallest hash of the row.  Null and empty texts are
+    one group.  An empty table gives an empty result.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     safe = docs.toDF(*names)
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     keyed = safe.withColumn("_row", F.xxhash64(*names))
     rows = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "_row")
-    fps = cut(rows.mapInArrow(_fingerprint_batches(shingle, 42, keep=True), "doc_id long, _row long, fp long"))
-    groups = _groups(fps, radius)
+    full = cut(rows.mapInArrow(_sketch_batches(shingle, wide), "doc_id long, _row long, fp long, wide binary, low binary"))
+    fps = full.select("doc_id", "_row", "fp")
+    groups = _groups(fps, radius, _alike(full, similarity))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     kept = fps.join(groups, "fp").groupBy("label").agg(best.alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x._row").alias("_row"))
     kept = kept.select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), "_row")

@@ -145,6 +145,72 @@ def test_keep_one_of_each_group(odd):
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x or 0)) == [1, 3, 6, 7, 8, 9, None]
 
 
+def shingle_set(text, k=5):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def changed_copies(seed=3):
+    """Texts, copies with some words changed (chains too), and unlike texts."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(800)]
+    out = []
+    for _ in range(25):
+        base = rng.choices(vocab, k=rng.randint(3, 480))
+        out.append(" ".join(base))
+        for _ in range(rng.randint(0, 5)):
+            text = list(rng.choice([base, text]) if out[-1] != " ".join(base) else base)
+            for _ in range(rng.randint(0, 1 + len(text) // 40)):
+                text[rng.randrange(len(text))] = rng.choice(vocab)
+            out.append(" ".join(text))
+    return out
+
+
+def test_alike_texts_are_linked(spark):
+    texts = changed_copies()
+    sets, codes = [shingle_set(t) for t in texts], [brute_code(t) for t in texts]
+    n = len(texts)
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    beyond = 0
+    for i in range(n):
+        for j in range(i):
+            near = bin(codes[i] ^ codes[j]).count("1") <= 2
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            beyond += alike and not near
+            if near or alike:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert beyond > 20
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, fp string")
+    kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept) == [i for i in range(n) if find(i) == i]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_likeness_of_sketches():
+    from millrace.llm import similar
+    from millrace.llm.common import utf8
+    import pyarrow as pa
+
+    texts = [*changed_copies(4), "", None, "one", "w " * 9000, " ".join(map(str, range(30000)))]
+    got = [np.frombuffer(x[1], "<u4") for x in similar.sketches(*utf8(pa.array(texts)), 5)]
+    sets = [shingle_set(t) for t in texts]
+    for i in range(0, len(texts), 3):
+        for j in range(len(texts)):
+            union = len(sets[i] | sets[j])
+            want = len(sets[i] & sets[j]) / union if union else 1.0
+            if max(len(sets[i]), len(sets[j])) < similar.LOW:
+                assert similar.likeness(got[i], got[j]) == pytest.approx(want)
+            else:
+                assert abs(similar.likeness(got[i], got[j]) - want) < 0.1
+
+
 # --- BPE ---
 
 
