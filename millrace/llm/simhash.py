@@ -193,17 +193,15 @@ def _fingerprint_batches(shingle: int, seed: int):
 
 
 def _sketch_batches(shingle: int, wide: int):
-    """doc_id, _row, fp and the two sketches, a chunk of texts at a time."""
+    """doc_id, _row, fp and the sketch, a chunk of texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
             for i, j in chunks(off):
                 part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                two = sketches(part, at, wide)
                 fp = pa.array(fingerprints(part, at, shingle).view(np.int64))
-                both = [pa.array([x[k] for x in two], pa.binary()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], fp, *both], ["doc_id", "_row", "fp", "wide", "low"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], fp, pa.array(sketches(part, at, wide), pa.binary())], ["doc_id", "_row", "fp", "sketch"])
 
     return run
 
@@ -266,13 +264,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
 def _alike(rows: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) between fingerprints of texts with alike sets of shingles.
 
-    Rows with equal sketches are folded and named by their least fingerprint.
+    Rows with equal sketches (column sid) are named by their least fingerprint.
     """
-    named = rows.select("fp", F.xxhash64("wide", "low").alias("sid"), "wide", "low")
-    folded = cut(named.groupBy("sid").agg(F.min("fp").alias("fp"), F.first("wide").alias("wide"), F.first("low").alias("low")))
-    node = folded.select("sid", "fp")
-    same = named.select("sid", F.col("fp").alias("u")).distinct().join(node, "sid").where("u <> fp").select("u", F.col("fp").alias("v"))
-    found = similar_links(folded.select("sid", "wide", "low"), similarity)
+    node = rows.groupBy("sid").agg(F.min("fp").alias("fp"))
+    same = rows.select("sid", F.col("fp").alias("u")).distinct().join(node, "sid").where("u <> fp").select("u", F.col("fp").alias("v"))
+    found = similar_links(rows.select("sid", "sketch"), similarity)
     found = found.join(node.toDF("u", "fu"), "u").join(node.toDF("v", "fv"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
     return same.union(found.where("u <> v"))
 
@@ -292,7 +288,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, wide: int = 5,
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     keyed = safe.withColumn("_row", F.xxhash64(*names))
     rows = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "_row")
-    full = cut(rows.mapInArrow(_sketch_batches(shingle, wide), "doc_id long, _row long, fp long, wide binary, low binary"))
+    full = rows.mapInArrow(_sketch_batches(shingle, wide), "doc_id long, _row long, fp long, sketch binary")
+    full = cut(full.withColumn("sid", F.xxhash64("sketch")))
     fps = full.select("doc_id", "_row", "fp")
     groups = _groups(fps, radius, _alike(full, similarity))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))

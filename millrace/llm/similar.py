@@ -4,8 +4,8 @@ A 64-bit fingerprint tells texts of similarity 0.8 apart by about ten bits, more
 than a bit index can search without comparing all with all.  This search adds
 those links:
 
-1. A text gives 125 min-wise values of its shingles, read as 25 bands of five,
-   and the 512 smallest shingle hashes.  Texts with equal sketches are folded.
+1. A text gives 80 min-wise values of its shingles, read as 16 bands of five,
+   and the 512 smallest shingle hashes.  Texts with equal sketches are one.
 2. Texts that agree on a band share a bucket.  Each member is compared with the
    bucket's pivot (its least id), so no bucket gives all its pairs.
 3. The similarity of a pair is the share of common hashes among the 512 smallest
@@ -13,9 +13,11 @@ those links:
    within 0.018 (standard deviation).
 4. Members that are unlike their pivot stay candidates in a narrower bucket,
    whose key takes in two more values, until no bucket has two members.
-   Members that are alike their pivot are done in that bucket.
+   Members that are alike their pivot are done in that bucket.  Only members
+   that go on take their sketches along.  A member with the pivot's min-wise
+   values that is still unlike it (similarities near 1 only) leaves the bucket.
 
-Two texts of similarity 0.8 share a band with probability 0.9999; such a link is
+Two texts of similarity 0.8 share a band with probability 0.998, of 0.9 with 0.9999998; such a link is
 lost only where the pivot of every shared bucket parts them.
 """
 
@@ -30,26 +32,27 @@ from pyspark.sql import functions as F
 
 from .common import cut, shingle_hashes
 
-BANDS, ROWS, LOW = 25, 5, 512
+BANDS, ROWS, LOW = 16, 5, 512
 WIDTH = BANDS * ROWS
 _MULTIPLY = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
-PAIRS = "u long, v long, band int, key long"
+HEAD = 4 * WIDTH
+TOLD = "u long, v long, keys array<long>, sketch binary"
 
 
-def sketches(data: np.ndarray, off: np.ndarray, shingle: int) -> list[tuple[bytes, bytes]]:
-    """Min-wise values and smallest hashes (32-bit integers) of each text of a chunk; worked in blocks of 4,096 shingles."""
+def sketches(data: np.ndarray, off: np.ndarray, shingle: int) -> list[bytes]:
+    """Per text of a chunk its min-wise values, then its smallest hashes (32-bit integers); worked in blocks of 4,096 shingles."""
     rows, h, n = shingle_hashes(data, off, shingle)
     none = np.full(WIDTH, 0xFFFFFFFF, "<u4").tobytes()
-    out = [(none, b"")] * (len(off) - 1)
+    out = [none] * (len(off) - 1)
     end = np.cumsum(n)
     for i, a, b in zip(rows.tolist(), (end - n).tolist(), end.tolist()):
         mine = np.unique(h[a:b])
         low = np.full(WIDTH, np.iinfo(np.uint64).max)
         for k in range(0, len(mine), 4096):
             np.minimum(low, (_MULTIPLY[:, None] * mine[k : k + 4096]).min(axis=1), out=low)
-        out[i] = ((low >> np.uint64(32)).astype("<u4").tobytes(), (mine[:LOW] >> np.uint64(32)).astype("<u4").tobytes())
+        out[i] = (np.concatenate([low, mine[:LOW]]) >> np.uint64(32)).astype("<u4").tobytes()
     return out
 
 
@@ -73,49 +76,55 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         n = batch.num_rows
         if not n:
             continue
-        wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, BANDS, ROWS)
+        wide = np.frombuffer(b"".join([x[:HEAD] for x in batch.column(1).to_pylist()]), "<u4").reshape(n, BANDS, ROWS)
         key = np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for r in range(ROWS):
             key = _mix(key, wide[:, :, r])
-        sid = np.repeat(batch.column(0).to_numpy(), BANDS)
-        band = np.tile(np.arange(BANDS, dtype=np.int32), n)
-        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(key.ravel().view(np.int64)), pa.array(sid)], ["band", "key", "sid"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "sid"])
 
 
-def _compare_batches(similarity: float, depth: int):
+def _narrower(keys: list[int], values: np.ndarray) -> list[int]:
+    """Keys that take in two more min-wise values, chosen by the key."""
+    k = np.array(keys, np.int64).view(np.uint64)
+    at = (k % np.uint64(WIDTH)).astype(np.int64)
+    for x in (at, (at + 1) % WIDTH):
+        k = _mix(k, values[x])
+    return k.view(np.int64).tolist()
+
+
+def _compare_batches(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, band, key = [], [], [], []
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for p, s, where, wide, mine, other in zip(*cols):
-                if likeness(np.frombuffer(mine, "<u4"), np.frombuffer(other, "<u4")) >= similarity:
-                    u.append(p), v.append(s), band.append(None), key.append(None)
-                    continue
-                values = np.frombuffer(wide, "<u4")
-                for cell in where:
-                    at = (cell["band"] * ROWS + ROWS + 2 * depth) % WIDTH
-                    k = np.array([cell["key"]], np.int64).view(np.uint64)
-                    for x in (at, (at + 1) % WIDTH):
-                        k = _mix(k, values[x : x + 1])
-                    u.append(s), v.append(None), band.append(cell["band"]), key.append(int(k.view(np.int64)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(band, pa.int32()), pa.array(key, pa.int64())], ["u", "v", "band", "key"])
+            rows = []
+            for p, sid, keys, mine, other in zip(*[batch.column(k).to_pylist() for k in range(5)]):
+                if likeness(np.frombuffer(mine[HEAD:], "<u4"), np.frombuffer(other[HEAD:], "<u4")) >= similarity:
+                    rows.append((p, sid, None, None))
+                elif mine[:HEAD] != other[:HEAD]:
+                    rows.append((sid, None, _narrower(keys, np.frombuffer(mine[:HEAD], "<u4")), mine))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["u", "v", "keys", "sketch"])
 
     return run
 
 
 def similar_links(sketches: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(sid, wide, low) rows, one a distinct sketch, to links (u, v) between ids of alike texts."""
-    members = sketches.select("sid", "wide").mapInArrow(_bucket_batches, "band int, key long, sid long")
+    """(sid, sketch) rows, sid a hash of the sketch, to links (u, v) between ids of alike texts.
+
+    Repeated rows count once; an empty table gives an empty result.
+    """
+    members = sketches.mapInArrow(_bucket_batches, "key long, sid long")
     found = None
-    depth = 0
     while True:
-        pivots = members.groupBy("band", "key").agg(F.min("sid").alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = members.join(pivots, ["band", "key"]).where("sid <> p").groupBy("p", "sid").agg(F.collect_list(F.struct("band", "key")).alias("cells"))
-        pairs = pairs.join(sketches, "sid").join(sketches.select(F.col("sid").alias("p"), F.col("low").alias("low_p")), "p")
-        told = cut(pairs.select("p", "sid", "cells", "wide", "low", "low_p").mapInArrow(_compare_batches(similarity, depth), PAIRS))
+        pivots = members.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("top")).where("p < top").drop("top")
+        pairs = members.join(pivots, "key").where("sid <> p").groupBy("p", "sid").agg(F.collect_set("key").alias("keys"))
+        # one column and one grouping on both sides, so that a single exchange serves both joins
+        one = sketches.groupBy("sid").agg(F.first("sketch").alias("sketch"))
+        pairs = pairs.join(one, "sid").join(one.toDF("p", "sketch_p"), "p")
+        told = cut(pairs.select("p", "sid", "keys", "sketch", "sketch_p").mapInArrow(_compare_batches(similarity), TOLD))
         links = told.where("v is not null").select("u", "v")
         found = links if found is None else found.union(links)
-        members = told.where("v is null").select("band", "key", F.col("u").alias("sid"))
-        depth += 1
-        if members.isEmpty() or depth > WIDTH // 2:
+        left = told.where("v is null")
+        if left.isEmpty():
             return found
+        members = left.select(F.explode("keys").alias("key"), F.col("u").alias("sid"))
+        sketches = left.select(F.col("u").alias("sid"), "sketch")
