@@ -7,7 +7,8 @@ those links:
 1. A text gives 80 min-wise values of its shingles, read as 16 bands of five,
    and the 512 smallest shingle hashes.  Texts with equal sketches are one.
 2. Texts that agree on a band share a bucket.  Each member is compared with the
-   bucket's pivot (its least id), so no bucket gives all its pairs.
+   bucket's pivot, the first in one of four orders of ids, so no bucket gives
+   all its pairs.
 3. The similarity of a pair is the share of common hashes among the 512 smallest
    of both: exact where both have at most 512 different shingles, else
    within 0.018 (standard deviation).
@@ -115,7 +116,9 @@ def similar_links(sketches: DataFrame, similarity: float = 0.8) -> DataFrame:
     members = sketches.mapInArrow(_bucket_batches, "key long, sid long")
     found = None
     while True:
-        pivots = members.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("top")).where("p < top").drop("top")
+        first = F.struct(F.xxhash64("sid", F.expr("key & 3")).alias("h"), "sid")
+        pivots = members.groupBy("key").agg(F.min(first).alias("x"), F.min("sid").alias("a"), F.max("sid").alias("z"))
+        pivots = pivots.where("a < z").select("key", F.col("x.sid").alias("p"))
         pairs = members.join(pivots, "key").where("sid <> p").groupBy("p", "sid").agg(F.collect_set("key").alias("keys"))
         # one column and one grouping on both sides, so that a single exchange serves both joins
         one = sketches.groupBy("sid").agg(F.first("sketch").alias("sketch"))
