@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, shingle_hashes, utf8
 from .components import connected_components
-from .similar import similar_links, sketches
+from .similar import set_sketches, similar_links
 
 ONES = np.uint64(0x0101010101010101)
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -193,7 +193,7 @@ def _fingerprint_batches(shingle: int, seed: int):
 
 
 def _sketch_batches(shingle: int, wide: int):
-    """doc_id, _row, fp and the sketch, a chunk of texts at a time."""
+    """doc_id, _row, fp, the sketch, a hash of the set of shingles and the size, a chunk of texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +201,8 @@ def _sketch_batches(shingle: int, wide: int):
             for i, j in chunks(off):
                 part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 fp = pa.array(fingerprints(part, at, shingle).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], fp, pa.array(sketches(part, at, wide), pa.binary())], ["doc_id", "_row", "fp", "sketch"])
+                sketch, sid = set_sketches(part, at, wide)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], fp, pa.array(sketch, pa.binary()), pa.array(sid), pa.array(np.diff(at))], ["doc_id", "_row", "fp", "sketch", "sid", "size"])
 
     return run
 
@@ -261,14 +262,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _alike(rows: DataFrame, similarity: float) -> DataFrame:
+def _alike(rows: DataFrame, texts: DataFrame, wide: int, similarity: float) -> DataFrame:
     """Links (u, v) between fingerprints of texts with alike sets of shingles.
 
-    Rows with equal sketches (column sid) are named by their least fingerprint.
+    Rows with equal sets (column sid) are named by their least fingerprint;
+    ``texts`` has the text of each _row.
     """
     node = rows.groupBy("sid").agg(F.min("fp").alias("fp"))
     same = rows.select("sid", F.col("fp").alias("u")).distinct().join(node, "sid").where("u <> fp").select("u", F.col("fp").alias("v"))
-    found = similar_links(rows.select("sid", "sketch"), similarity)
+
+    def whole(ids: DataFrame) -> DataFrame:
+        some = ids.join(rows.groupBy("sid").agg(F.min("_row").alias("_row")), "sid")
+        return some.join(texts, "_row").groupBy("sid").agg(F.first("text").alias("text"))
+
+    found = similar_links(rows.select("sid", "sketch", "size"), whole, wide, similarity)
     found = found.join(node.toDF("u", "fu"), "u").join(node.toDF("v", "fv"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
     return same.union(found.where("u <> v"))
 
@@ -288,10 +295,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, wide: int = 5,
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     keyed = safe.withColumn("_row", F.xxhash64(*names))
     rows = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "_row")
-    full = rows.mapInArrow(_sketch_batches(shingle, wide), "doc_id long, _row long, fp long, sketch binary")
-    full = cut(full.withColumn("sid", F.xxhash64("sketch")))
+    full = rows.mapInArrow(_sketch_batches(shingle, wide), "doc_id long, _row long, fp long, sketch binary, sid long, size long")
+    full = cut(full)
     fps = full.select("doc_id", "_row", "fp")
-    groups = _groups(fps, radius, _alike(full, similarity))
+    groups = _groups(fps, radius, _alike(full, rows.select("_row", "text"), wide, similarity))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     kept = fps.join(groups, "fp").groupBy("label").agg(best.alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x._row").alias("_row"))
     kept = kept.select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), "_row")

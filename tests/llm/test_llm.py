@@ -211,6 +211,74 @@ def test_likeness_of_sketches():
                 assert abs(similar.likeness(got[i], got[j]) - want) < 0.1
 
 
+def template_texts(n, planted, seed=7, size=140, own=20):
+    """Texts that share a template, and pairs that share part of their own words too; similarities by shingles of one word."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(size)]
+    name = iter(range(10**9))
+    out = [[*base, *(f"o{next(name)}" for _ in range(own + rng.randint(2, 4)))] for _ in range(n)]
+    pairs = []
+    for _ in range(planted):
+        both = [f"o{next(name)}" for _ in range(rng.randint(3, 9))]
+        mine = [[*base, *both, *(f"o{next(name)}" for _ in range(own + 2 - len(both)))] for _ in range(2)]
+        pairs.append((len(out), len(out) + 1))
+        out += mine
+    return [" ".join(t) for t in out], pairs
+
+
+def linked(spark, texts, shingle=1):
+    """Components of the links between texts, by the place of each."""
+    import pyarrow as pa
+
+    from millrace.llm import similar
+    from millrace.llm.common import utf8
+
+    sketch, _ = similar.set_sketches(*utf8(pa.array(texts)), shingle)
+    rows = spark.createDataFrame([(i, bytearray(x), len(t)) for i, (x, t) in enumerate(zip(sketch, texts))], "sid long, sketch binary, size long")
+    whole = spark.createDataFrame(list(enumerate(texts)), "sid long, text string")
+    found = similar.similar_links(rows, lambda ids: ids.join(whole, "sid"), shingle)
+    label = {r["node"]: r["label"] for r in components.connected_components(found).collect()}
+    return [label.get(i, i) for i in range(len(texts))]
+
+
+def test_pairs_among_texts_of_one_template(spark):
+    texts, planted = template_texts(2400, 300)
+    sets = [frozenset(t.split()) for t in texts]
+    share = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in planted]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.78 and min(share) < 0.8 < max(share) < 0.86
+    got = linked(spark, texts)
+    assert got[:2400] == list(range(2400))
+    assert not [p for p, x in zip(planted, share) if x < 0.8 and got[p[0]] == got[p[1]]]
+    # a pair of 0.8 shares no band with chance 0.002
+    assert len([p for p, x in zip(planted, share) if x >= 0.8 and got[p[0]] != got[p[1]]]) <= 3
+
+
+def test_common_shingles_of_sets():
+    import pyarrow as pa
+
+    from millrace.llm import similar
+
+    texts = [*(t for t in changed_copies(5) if t), *template_texts(60, 10)[0]]
+    sets = [shingle_set(t) for t in texts]
+    two = np.arange(len(texts)) % 2
+    for block in (np.zeros(len(texts), int), two):
+        got = similar.block_links(pa.array(texts), np.arange(len(texts)), block, 5, 0.8)
+        root = list(range(len(texts)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in got:
+            assert len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            root[find(i)] = find(j)
+        for i in range(len(texts)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (block is not two or two[i] != two[j]):
+                    assert find(i) == find(j)
+
+
 # --- BPE ---
 
 
