@@ -253,6 +253,20 @@ def test_pairs_among_texts_of_one_template(spark):
     assert len([p for p, x in zip(planted, share) if x >= 0.8 and got[p[0]] != got[p[1]]]) <= 3
 
 
+def test_long_texts_are_judged_by_whole_sets(spark):
+    rng = random.Random(3)
+    texts, want = [], []
+    for k in range(120):
+        x, n = rng.choice([0.785, 0.79, 0.795, 0.805, 0.81, 0.815]), 1200
+        both = round(2 * n * x / (1 + x))
+        texts += [" ".join([*(f"c{k}x{i}" for i in range(both)), *(f"d{k}y{s}z{i}" for i in range(n - both))]) for s in (0, 1)]
+        want.append(x > 0.8)
+    got = linked(spark, texts)
+    same = [got[2 * k] == got[2 * k + 1] for k in range(120)]
+    assert not any(x and not w for x, w in zip(same, want))
+    assert sum(w and not x for x, w in zip(same, want)) <= 2
+
+
 def test_common_shingles_of_sets():
     import pyarrow as pa
 
