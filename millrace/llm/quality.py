@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 A document's histograms of character classes and of common words are compared
-with references per language by Jensen-Shannon distance.  References are counted
-over all documents with a language.  The word limit loosens for short texts, and
+with references per language by Jensen-Shannon distance.  References are exact
+counts over all documents with a language, for every language.  The word limit loosens for short texts, and
 texts of fewer than ``MIN_WORDS`` words are not judged by distance at all.
 """
 
@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, per_doc, ranges, utf8, words, xxh64
+from .common import chunks, cut, per_doc, ranges, utf8, words, xxh64
 
 MIN_WORDS = 50
 CLASS_LIMIT = 0.30
 WORD_LIMIT, WORD_SLACK = 0.40, 1.2
-MAX_LANGS, TOP_WORDS = 64, 100
+TOP_WORDS = 100
 SYMBOLS = b"#*$%&|<>"
 
 # classes: lower, upper, blank, digit, symbol, other ASCII, beyond ASCII
@@ -93,74 +93,80 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n): class totals (word 0 and a class), word totals (word 1), frequent words."""
+    """(lang, kind, h, n): class totals (kind 0, h the class), word totals (kind 1), counts of words (kind 2, h the hash)."""
     for batch in batches:
         names = batch.column(0).to_pylist()
         data, off = utf8(batch.column(1))
         known = {x: k for k, x in enumerate(dict.fromkeys(names))}
         lang = np.array([known[x] for x in names], np.int64)
-        back = list(known)
+        back = pa.array(list(known), pa.string())
         for i, j in chunks(off, 4 << 20):
             part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
             mine = lang[i:j]
-            out: list[tuple[str, bytes, int]] = []
             classes = class_counts(part, o)
             s, e, doc = words(part, o)
             low, end = _lexical(part, s, e)
             h = xxh64(low, s, end - s)
-            raw = low.tobytes()
+            of = mine[doc]
+            out = []
             for k in np.unique(mine).tolist():
                 rows = classes[mine == k].sum(axis=0)
-                out += [(back[k], b"\0" + bytes([c]), int(v)) for c, v in enumerate(rows) if v]
-                at = np.flatnonzero(mine[doc] == k)
-                if len(at):
-                    out.append((back[k], b"\1", len(at)))
-                    _, first, n = np.unique(h[at], return_index=True, return_counts=True)
-                    for f in np.flatnonzero(n >= max(2, len(at) // 2000)).tolist():
-                        w = at[first[f]]
-                        out.append((back[k], raw[s[w] : end[w]], int(n[f])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], ["lang", "word", "n"])
+                some, n = np.unique(h[of == k], return_counts=True)
+                out.append((k, 0, np.flatnonzero(rows), rows[rows > 0]))
+                out.append((k, 1, np.zeros(1, np.int64), np.array([n.sum()])))
+                out.append((k, 2, some.view(np.int64), n))
+            size = [len(x[2]) for x in out]
+            cols = [back.take(pa.array(np.repeat([x[0] for x in out], size))), pa.array(np.repeat([x[1] for x in out], size).astype(np.int32)), *(pa.array(np.concatenate([x[k] for x in out]).astype(np.int64)) for k in (2, 3))]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "kind", "h", "n"])
 
 
 def references(docs: DataFrame) -> dict:
-    """Histograms of the MAX_LANGS languages with most words, counted over all documents.
+    """Histograms of every language with words, counted exactly over all documents.
 
-    Word counts are lossy: a word is passed on from a chunk where it makes up a
-    2000th of a language's words.  At most a few hundred rows a language reach
-    the driver.
+    A language lists its TOP_WORDS most frequent words of a 2000th of its words or
+    more; each language's counts of all listed words reach the driver, the others
+    are summed up.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    tally = rows.mapInArrow(_tally, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    from .common import cut
-
-    tally = cut(tally)
-    totals = tally.where(F.col("word") == F.lit(b"\1")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).toPandas()
-    langs = sorted(totals["lang"])
+    tally = cut(rows.mapInArrow(_tally, "lang string, kind int, h long, n long").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n")))
+    totals = tally.where("kind = 1 AND n > 0").select("lang", F.col("n").alias("total"))
+    size = {lang: n for lang, n in totals.toPandas().itertuples(index=False)}
+    langs = sorted(size)
     if not langs:
-        return {"langs": [], "hash": np.zeros(0, np.uint64), "words": np.zeros((0, 1)), "classes": np.zeros((0, N_CLASSES))}
-    size = dict(zip(totals["lang"], totals["n"]))
-    share = F.create_map(*[F.lit(v) for k, n in size.items() for v in (k, float(n))])
-    common = tally.where(F.col("lang").isin(langs) & (F.substring("word", 1, 1) > F.lit(b"\x1f")))
-    common = common.withColumn("share", F.col("n") / share[F.col("lang")]).where("share >= 0.0005").orderBy(F.desc("share"), "lang", "word").limit(2 * TOP_WORDS * len(langs)).toPandas()
-    classes = tally.where(F.col("lang").isin(langs) & (F.substring("word", 1, 1) == F.lit(b"\0"))).toPandas()
+        return {"langs": [], "hash": np.zeros(0, np.uint64), "words": [], "classes": np.zeros((0, N_CLASSES))}
+    found = tally.where("kind = 2").join(F.broadcast(totals), "lang")
+    # at most 2,000 words of a language have such a share
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))
+    top = found.where("n >= total * 0.0005").withColumn("rank", rank).where(F.col("rank") <= TOP_WORDS).select("h").distinct()
+    common = found.join(F.broadcast(top), "h").select("lang", "h", "n").toPandas()
+    place = {lang: k for k, lang in enumerate(langs)}
     c = np.zeros((len(langs), N_CLASSES))
-    for lang, word, n in classes.itertuples(index=False):
-        c[langs.index(lang), bytes(word)[1]] = n
-    top = common.sort_values(["share", "word"], ascending=[False, True]).groupby("lang").head(TOP_WORDS)
-    listed = sorted({bytes(w) for w in top["word"]})
-    flat = np.frombuffer(b"".join(listed), np.uint8)
-    n = np.array([len(w) for w in listed], np.int64)
-    h = xxh64(flat, np.cumsum(n) - n, n)
-    order = np.argsort(h)
-    place = {listed[k]: i for i, k in enumerate(order.tolist())}
-    w = np.zeros((len(langs), len(listed) + 1))
-    for lang, word, count, _ in common.itertuples(index=False):
-        if bytes(word) in place:
-            w[langs.index(lang), place[bytes(word)]] = count
-    for k, lang in enumerate(langs):
-        w[k, -1] = size[lang] - w[k].sum()
-    return {"langs": langs, "hash": h[order], "words": w / w.sum(axis=1, keepdims=True), "classes": c / np.maximum(1, c.sum(axis=1, keepdims=True))}
+    for lang, at, n in tally.where("kind = 0").select("lang", "h", "n").toPandas().itertuples(index=False):
+        if lang in place:
+            c[place[lang], at] = n
+    h = np.sort(common["h"].unique().astype(np.int64).view(np.uint64))
+    w = [(np.array([len(h)]), np.ones(1))] * len(langs)
+    for lang, mine in common.groupby("lang"):
+        at, n = np.searchsorted(h, mine["h"].to_numpy(np.int64).view(np.uint64)), mine["n"].to_numpy(np.int64)
+        w[place[lang]] = np.append(at, len(h)), np.append(n, size[lang] - n.sum()) / size[lang]
+    return {"langs": langs, "hash": h, "words": w, "classes": c / np.maximum(1, c.sum(axis=1, keepdims=True))}
+
+
+def least_distance(row: np.ndarray, at: np.ndarray, p: np.ndarray, n: int, q: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """Least Jensen-Shannon distance of ``n`` histograms of ``size`` places, given by their entries above zero (row, at, p), from those of ``q`` (places, shares).
+
+    Where a histogram has nothing, a reference adds its own share; shares sum to one.
+    """
+    least = np.full(n, np.inf)
+    whole = np.zeros(size)
+    for places, shares in q:
+        whole[places] = shares
+        r = whole[at]
+        whole[places] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = p * np.log2(2 * p / (p + r)) + np.where(r > 0, r * np.log2(2 * r / (p + r)), 0) - r
+        np.minimum(least, np.bincount(row, part, minlength=n) + 1, out=least)
+    return np.sqrt(np.maximum(0, least / 2))
 
 
 def divergence(ref: dict, data: np.ndarray, off: np.ndarray, got: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +181,9 @@ def divergence(ref: dict, data: np.ndarray, off: np.ndarray, got: dict[str, np.n
     size = len(ref["hash"])
     at = np.minimum(np.searchsorted(ref["hash"], h), max(0, size - 1)) if size else np.zeros(len(h), np.int64)
     at = np.where(ref["hash"][at] == h, at, size) if size else at
-    hist = np.bincount(got["doc"] * (size + 1) + at, minlength=n * (size + 1)).reshape(n, size + 1).astype(float)
-    hist /= np.maximum(1, hist.sum(axis=1, keepdims=True))
-    return js_distance(classes, ref["classes"]).min(axis=1), js_distance(hist, ref["words"]).min(axis=1)
+    cell, k = np.unique(got["doc"] * (size + 1) + at, return_counts=True)
+    row = cell // (size + 1)
+    return js_distance(classes, ref["classes"]).min(axis=1), least_distance(row, cell % (size + 1), k / np.bincount(row, k, minlength=n)[row], n, ref["words"], size + 1)
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"

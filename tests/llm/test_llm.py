@@ -560,6 +560,30 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert kept[1] > 0.99 and kept[0] < 0.2
 
 
+def test_quality_references_are_exact_counts(spark):
+    rng = random.Random(2)
+    texts = [(f"l{k % 70:02d}", " ".join(rng.choices([f"w{i}" for i in range(60)] + [f"l{k % 70}x{i}" for i in range(60)], k=50))) for k in range(280)]
+    rows = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(40)
+    ref = quality.references(rows)
+    assert len(ref["langs"]) == 70
+    for k, lang in enumerate(ref["langs"]):
+        n = collections.Counter(w for x, t in texts if x == lang for w in t.split())
+        at, share = ref["words"][k]
+        # at most 120 different words a language, so that all but 20 rare ones are listed, and listed ones of other languages count too
+        want = sorted(n.values(), reverse=True)[:100]
+        assert share.sum() == pytest.approx(1)
+        got = sorted(np.round(share[at < len(ref["hash"])] * 200).astype(int).tolist(), reverse=True)
+        assert got[: len(want)] == want and sum(got) + round(share[at == len(ref["hash"])].sum() * 200) == 200
+
+
+def test_least_distance_equals_the_full_one():
+    rng = np.random.default_rng(1)
+    p, q = ((x := rng.random((8, 30)) * (rng.random((8, 30)) < 0.4) + np.eye(8, 30)) / x.sum(axis=1, keepdims=True) for _ in range(2))
+    row, at = p.nonzero()
+    got = quality.least_distance(row, at, p[row, at], 8, [(x.nonzero()[0], x[x > 0]) for x in q], 30)
+    assert got == pytest.approx(quality.js_distance(p, q).min(axis=1))
+
+
 def test_js_distance():
     p = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]])
     got = quality.js_distance(p, np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]]))
