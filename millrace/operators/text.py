@@ -123,18 +123,46 @@ def sec_secret_patterns(d, rel):
     return f"WITH l AS ({lines_of(d, rel)}), m AS (SELECT doc_id, {rules} FROM l WHERE {keep} GROUP BY doc_id) {rows}"
 
 
-# fixed values: risky calls, each with the languages it concerns and text that excuses a line
+# fixed values: risky calls, each with the languages it concerns and texts that excuse a line
 OWASP = {
-    "sql_concat": (r"(?i)(select|insert|update|delete) .*[\"'] *[+] *[a-z_]+", "any", "parameter"), "eval": (r"\beval *\(", "js,py", "literal"), "exec": (r"\bexec *\(", "py", "#"), "inner_html": (r"innerHTML *=", "js", "sanit"), "document_write": (r"document[.]write *\(", "js", "//"),
-    "script_inline": (r"(?i)<script>", "html", "nonce"), "track_call": (r"track *\(", "html", "consent"), "http_link": (r"http://", "any", "localhost"), "weak_hash": (r"(?i)\b(md5|sha1) *\(", "any", "checksum"), "pickle": (r"pickle[.]loads? *\(", "py", "trusted"),
-    "yaml_load": (r"yaml[.]load *\(", "py", "SafeLoader"), "shell_true": (r"shell *= *True", "py", "#"), "debug_true": (r"(?i)debug *= *true", "any", "test"), "cors_any": (r"(?i)access-control-allow-origin.*[*]", "any", "test"), "verify_false": (r"verify *= *False", "py", "test"),
-}
+    "sql_fstring": (r"""(?i)(?:execute|query|raw)\s*\(\s*f[\"'][^\n]*(?:SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE)""", "py", ()),
+    "sql_format": (r"""(?i)(?:execute|query|raw)\s*\(\s*[\"'][^\n]*(?:SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE)[^\n]*[\"']\.format\s*\(""", "py", ()),
+    "sql_concat": (r"""(?i)(?:execute|query|raw)\s*\(\s*[\"'][^\n]*(?:SELECT|INSERT|UPDATE|DELETE)[^\n]*[\"']\s*\+""", "java,js,php,py,rb,ts", ()),
+    "sql_percent": (r"""(?i)(?:execute|query|raw)\s*\(\s*[\"'][^\n]*(?:SELECT|INSERT|UPDATE|DELETE)[^\n]*%s""", "py", ()),
+    "os_system": (r'(?i)os\.system\s*\(', "py", ()),
+    "shell_true": (r'(?i)subprocess\.(?:call|run|Popen|check_output|check_call)\s*\([^\n]*shell\s*=\s*True', "py", ()),
+    "eval": (r'(?i)(?:^|[^\p{L}\p{N}_])eval\s*\(', "js,jsx,php,py,rb,ts,tsx", ()),
+    "exec": (r'(?i)(?:^|[^\p{L}\p{N}_])exec\s*\(', "php,py", ()),
+    "child_process": (r'(?i)child_process\.exec\s*\(', "js,ts", ()),
+    "new_function": (r'(?i)new\s+Function\s*\(', "js,jsx,ts,tsx", ()),
+    "inner_html": (r'(?i)\.innerHTML\s*=', "html,js,jsx,ts,tsx", ()),
+    "outer_html": (r'(?i)\.outerHTML\s*=', "html,js,jsx,ts,tsx", ()),
+    "document_write": (r'(?i)document\.write(?:ln)?\s*\(', "html,js,ts", ()),
+    "dangerous_html": (r'(?i)dangerouslySetInnerHTML', "js,jsx,ts,tsx", ()),
+    "v_html": (r'(?i)v-html\s*=', "html,vue", ()),
+    "md5": (r"""(?i)(?:hashlib\.md5|MD5\.(?:Create|new)|createHash\s*\(\s*[\"']md5[\"'])""", "cs,js,py,rb,ts", ()),
+    "sha1": (r"""(?i)(?:hashlib\.sha1|SHA1\.(?:Create|new)|createHash\s*\(\s*[\"']sha1[\"'])""", "cs,js,py,rb,ts", ()),
+    "weak_cipher": (r'(?i)(?:DES|RC4|ARC4|Blowfish)\.(?:new|encrypt|create)', "java,js,py,ts", ()),
+    "path_traversal": (r'(?i)(?:open|readFile|readFileSync|createReadStream)\s*\([^\n]*\+[^\n]*(?:req\.|request\.|params|query|body)', "js,py,ts", ()),
+    "debug_true": (r'(?i)(?:DEBUG\s*=\s*True|app\.debug\s*=\s*True|\"debug\"\s*:\s*true)', "js,json,py,ts,yaml,yml", ()),
+    "cors_any": (r"""(?i)(?:Access-Control-Allow-Origin|cors[^\n]*origin)[\"']?\s*[=:,]\s*[\"']?\*""", "conf,java,js,py,ts,yaml,yml", ()),
+    "bind_all": (r"""(?i)(?:host|bind|listen)\s*[=:(][^\n]*?[\"']?0\.0\.0\.0[\"']?""", "conf,js,py,ts,yaml,yml", ()),
+    "pickle": (r'(?i)pickle\.(?:loads?|Unpickler)\s*\(', "py", ()),
+    "yaml_load": (r'(?i)yaml\.load\s*\(', "py", ("SafeLoader", "safe_load", "CSafeLoader")),
+    "marshal": (r'(?i)marshal\.loads?\s*\(', "py", ()),
+    "unserialize": (r'(?i)(?:^|[^\p{L}\p{N}_])unserialize\s*\(', "php", ()),
+    "ssrf": (r'(?i)(?:requests\.get|requests\.post|fetch|urllib\.request\.urlopen|http\.get)\s*\(\s*(?:req\.|request\.|params|query|body|user)', "js,py,ts", ()),
+}
 
 
 @op("sec_owasp_patterns", "pages", languages=("html", "any"))
 def sec_owasp_patterns(d, rel, languages):
-    rows = [f"SELECT page_id, '{n}' AS rule, {d.count_of('html', p)} AS n FROM {rel} t WHERE {d.like('html', p)} AND NOT contains(html, {d.lit(x)})" for n, (p, langs, x) in OWASP.items() if set(langs.split(",")) & set(languages)]
-    return " UNION ALL ".join(rows)
+    """Lines that match a rule of the languages and hold no text that excuses them."""
+    mine = {n: (p, x) for n, (p, langs, x) in OWASP.items() if set(langs.split(",")) & set(languages)}
+    one = lambda p, x: " AND ".join([d.like("line", p), *(f"NOT contains(line, {d.lit(e)})" for e in x)])
+    rules = ", ".join(f"{ones(one(p, x))} AS {n}" for n, (p, x) in mine.items())
+    rows = " UNION ALL ".join(f"SELECT page_id, '{n}' AS rule, {n} AS n FROM m WHERE {n} > 0" for n in mine)
+    return f"WITH l AS (SELECT page_id, {d.unnest(d.split('html', chr(10)))} AS line FROM {rel} t), m AS (SELECT page_id, {rules} FROM l GROUP BY page_id) {rows}"
 
 
 CJK = r"[\x{4e00}-\x{9fff}]"

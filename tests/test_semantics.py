@@ -124,3 +124,17 @@ def test_average_cost_starts_anew_at_zero(spark):
     df = spark.createDataFrame([(1, 1, "buy", 10, 1.0), (1, 2, "sell", 10, 2.0), (1, 3, "buy", 5, 4.0)], "symbol long, seq long, side string, size long, price double")
     r = finance.average_cost(df).first()
     assert (r["held"], r["cost"], r["pnl"]) == (5.0, 20.0, 10.0)
+
+
+def found(df, key):
+    return {(r[key], r["rule"]): r for r in df.collect()}
+
+
+def test_owasp_rules_and_excuses_by_line(spark):
+    assert len(text.OWASP) == 27
+    html = "x.innerHTML = a\ny.outerHTML=b\ndocument.writeln(c)\n<p v-html='d'>\nlocalhost test consent\nx.innerhtml = e"
+    df = spark.createDataFrame([(1, html), (2, "yaml.load(a)\nyaml.load(b, SafeLoader)\nnp.eval(x) reeval(y)")], "page_id long, html string")
+    got = {k: r["n"] for k, r in found(text.sec_owasp_patterns.apply(df), "page_id").items()}
+    assert got == {(1, "inner_html"): 2, (1, "outer_html"): 1, (1, "document_write"): 1, (1, "v_html"): 1}
+    got = {k: r["n"] for k, r in found(text.sec_owasp_patterns.apply(df, languages=("py",)), "page_id").items()}
+    assert got == {(2, "yaml_load"): 1, (2, "eval"): 1}
