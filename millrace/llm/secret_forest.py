@@ -22,14 +22,16 @@ NEAR = 48  # code points of context on each side
 # fixed values: published key formats
 RULES = [
     ("aws_access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("github_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}"),
-    ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,200}"),
-    ("stripe_key", r"(?<![A-Za-z0-9])[sr]k_(?:live|test)_[A-Za-z0-9]{16,99}"),
+    ("github_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}+"),
+    ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+"),
+    ("stripe_key", r"(?<![A-Za-z0-9])[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+"),
     ("google_api_key", r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}"),
-    ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}"),
-    ("private_key", r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----"),
-    ("assignment", r"(?i:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|auth[_-]?key|access[_-]?key|credential)[\"']?\s{0,4}[:=]\s{0,4}[\"']?(?P<value>[^\s\"',;]{6,400})"),
-    ("high_entropy", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,400}[0-9])[A-Za-z0-9+/_-]{24,400}={0,2}(?![A-Za-z0-9+/_-])"),
+    ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    ("private_key", r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----"
+     # up to the END line, else the lines of base64 that follow
+     r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----|(?:[ \t]*+\r?\n[A-Za-z0-9+/=]{16,}+)*+)"),
+    ("assignment", r"(?i:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|auth[_-]?key|access[_-]?key|credential)[\"']?\s{0,4}[:=]\s{0,4}[\"']?(?P<value>[^\s\"',;]{6,}+)"),
+    ("high_entropy", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_-])"),
 ]
 CANDIDATE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in RULES))
 #: No rule matches a text without one of these.
@@ -99,7 +101,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str, str, str, int]]:
     """Generated findings (value, before, after, path, rule, label)."""
-    rng = np.random.default_rng(seed)
+    rng, more = np.random.default_rng(seed), np.random.default_rng(seed + 1)
     pick = lambda s, k: "".join(rng.choice(list(s), k))
     upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     alnum, hexa = upper + lower + digit, digit + "abcdef"
@@ -107,6 +109,9 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
     words = lambda k: " ".join(word() for _ in range(k))
     ask = lambda: str(rng.choice(["token", "secret", "password", "api_key", "auth_key", "access_key", "pwd"])) + str(rng.choice(["=", " = ", ": ", '="', ' = "', '": "']))
     paths = ["src0", "src7", "", "config/prod.yaml", ".env", "app/main.py", "deploy/secrets.json", "notes.txt"]
+    # whole private keys and long values, drawn apart so that the other findings stay as they are
+    body = lambda k: "".join(more.choice(list(alnum + "+/"), k))
+    block = lambda head: head + "\n" + "".join(body(64) + "\n" for _ in range(int(more.integers(2, 27)))) + head.replace("BEGIN", "END")
     out = []
     for i in range(n):
         tail, path = " " + words(4), str(rng.choice(paths))
@@ -123,10 +128,14 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
                 out.append((pick(alnum + "!@#%^&+/_-", int(rng.integers(8, 48))), words(3) + " " + ask(), tail, path, "assignment", 1))
             elif kind == 4:
                 out.append((pick(alnum, int(rng.integers(28, 64))), words(2) + " " + str(rng.choice(["bearer ", "api key ", "auth "])), tail, path, "high_entropy", 1))
+                if more.random() < 0.25:
+                    out[-1] = (body(int(more.integers(64, 3000))), words(2) + " " + str(more.choice(["client-key-data: ", "bearer ", "auth "])), *out[-1][2:])
             elif kind == 5:
                 out.append(("eyJ" + pick(alnum, 20) + ".eyJ" + pick(alnum, 40) + "." + pick(alnum, 43), "authorization: bearer ", tail, path, "jwt", 1))
             else:
                 out.append((str(rng.choice(["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----"])), words(2) + " ", tail, path, "private_key", 1))
+                if more.random() < 0.75:
+                    out[-1] = (block(out[-1][0]), *out[-1][1:])
             continue
         kind = rng.integers(8)
         plain = str(rng.choice(["commit ", "sha1 ", "checksum: ", "digest=", "etag ", "revision ", "md5: ", "build "]))
