@@ -103,11 +103,35 @@ def str_shannon_entropy(d, rel):
 
 # fixed values: published formats of credentials
 SECRET_RULES = {
-    "aws_access_key": r"AKIA[0-9A-Z]{16}", "aws_secret": r"(?i)aws.{0,20}[0-9a-zA-Z/+]{40}", "github_token": r"gh[pousr]_[A-Za-z0-9_]{36,}", "gitlab_token": r"glpat-[0-9A-Za-z_-]{20,}", "slack_token": r"xox[baprs]-[0-9A-Za-z-]{10,}",
-    "google_api_key": r"AIza[0-9A-Za-z_-]{35}", "stripe_key": r"[sr]k_live_[0-9a-zA-Z]{24,}", "private_key": r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "jwt": r"eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}",
-    "password": r"(?i)(password|passwd|pwd) *[:=] *[^ ]{6,}", "api_key": r"(?i)(api[_-]?key|apikey) *[:=] *[^ ]{12,}", "token": r'(?i)(token|secret) *[:=] *"?[0-9a-zA-Z_-]{16,}', "connection": r"(?i)(postgres|mysql|mongodb|redis)://[^ :]+:[^ @]+@",
-    "basic_auth": r"(?i)https?://[^ :/]+:[^ @/]+@", "sendgrid_key": r"SG[.][0-9A-Za-z_-]{22}[.][0-9A-Za-z_-]{43}", "npm_token": r"npm_[A-Za-z0-9]{36}", "bearer": r"(?i)bearer [A-Za-z0-9._-]{20,}",
-}
+    "aws_access_key": r'AKIA[0-9A-Z]{16}',
+    "aws_secret_access_key": r"""(?i)aws[_\-]?secret[_\-]?access[_\-]?key\s*[=:]\s*[\"']?[A-Za-z0-9/+=]{40}""",
+    "aws_secret_key": r"""(?i)aws[_\-]?secret[_\-]?key\s*[=:]\s*[\"']?[A-Za-z0-9/+=]{20,}""",
+    "github_token": r'ghp_[0-9a-zA-Z]{36}',
+    "github_pat": r'github_pat_[0-9a-zA-Z_]{82}',
+    "github_oauth": r'gho_[0-9a-zA-Z]{36}',
+    "slack_bot": r'xoxb-[0-9]{10,13}-[0-9]{10,13}-[a-zA-Z0-9]{24}',
+    "slack_user": r'xoxp-[0-9]{10,13}-[0-9]{10,13}-[0-9]{10,13}-[a-zA-Z0-9]{32}',
+    "private_key": r'-----BEGIN\s(?:RSA\s|EC\s|DSA\s|OPENSSH\s)?PRIVATE\sKEY-----',
+    "api_key": r"""(?i)(?:api[_\-]?key|apikey)\s*[=:]\s*[\"'][0-9a-zA-Z_\-]{20,}[\"']""",
+    "generic_secret": r"""(?i)(?:secret|token|password|passwd|pwd|credential)\s*[=:]\s*[\"'][^\"']{8,}[\"']""",
+    "url_credentials": r'(?i)https?://[^:\s]+:[^@\s]+@[^\s]+',
+    "jwt": r'eyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}',
+    "sendgrid_key": r'SG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}',
+    "stripe_secret": r'sk_live_[0-9a-zA-Z]{24,}',
+    "stripe_publishable": r'pk_live_[0-9a-zA-Z]{24,}',
+    "heroku_key": r"""(?i)heroku[_\-]?api[_\-]?key\s*[=:]\s*[\"']?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}""",
+}
+# quoted values whose entropy counts
+QUOTED = r"""(?i)(?:key|secret|token|password|passwd|pwd|credential|auth|api)\s*[=:]\s*["']([^"']{20,})["']"""
+ENTROPY = 4.5
+
+
+def entropy(d, v: str) -> str:
+    """Bits per code point of a string."""
+    chars = d.distinct(d.each(d.seq("1", f"CAST(length({v}) AS INT)"), "i", f"substr({v}, i, 1)"))
+    share = f"((length({v}) - length(replace({v}, c, ''))) * 1e0 / length({v}))"
+    bits = d.each(chars, "c", f"-{share} * log2({share})")
+    return f"aggregate({bits}, 0e0, (a, x) -> a + x)" if d.spark else f"list_sum({bits})"
 
 
 def lines_of(d, rel: str) -> str:
@@ -116,11 +140,12 @@ def lines_of(d, rel: str) -> str:
 
 @op("sec_secret_patterns", "documents")
 def sec_secret_patterns(d, rel):
-    """Lines that match a rule; comment lines count only with a keyword."""
-    keep = f"NOT {d.like('line', '^ *(#|//|[*])')} OR {d.like('line', '(?i)(password|secret|token|key)')}"
+    """Lines that match a rule, and quoted values of high entropy; comment lines count only with a keyword."""
+    keep = f"NOT {d.like('line', '^[ \\t]*(#|//)')} OR {d.like('line', '(?i)(password|secret|token|key)')}"
     rules = ", ".join(f"{ones(d.like('line', p))} AS {n}" for n, p in SECRET_RULES.items())
-    rows = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, {n} AS n FROM m WHERE {n} > 0" for n in SECRET_RULES)
-    return f"WITH l AS ({lines_of(d, rel)}), m AS (SELECT doc_id, {rules} FROM l WHERE {keep} GROUP BY doc_id) {rows}"
+    high = d.size(d.only(d.extract_all("line", QUOTED, 1), "v", f"{entropy(d, 'v')} > {ENTROPY}e0"))
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, {n} AS n FROM m WHERE {n} > 0" for n in [*SECRET_RULES, "high_entropy"])
+    return f"WITH l AS ({lines_of(d, rel)}), m AS (SELECT doc_id, {rules}, {C(f'sum({high})')} AS high_entropy FROM l WHERE {keep} GROUP BY doc_id) {rows}"
 
 
 # fixed values: risky calls, each with the languages it concerns and texts that excuse a line

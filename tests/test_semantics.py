@@ -138,3 +138,11 @@ def test_owasp_rules_and_excuses_by_line(spark):
     assert got == {(1, "inner_html"): 2, (1, "outer_html"): 1, (1, "document_write"): 1, (1, "v_html"): 1}
     got = {k: r["n"] for k, r in found(text.sec_owasp_patterns.apply(df, languages=("py",)), "page_id").items()}
     assert got == {(2, "yaml_load"): 1, (2, "eval"): 1}
+
+
+def test_secret_rules_of_the_survey(spark):
+    assert len(text.SECRET_RULES) == 17
+    lines = ["github_pat_" + "a1" * 41, "pk_live_" + "a" * 24, "HEROKU_API_KEY=01234567-0123-0123-0123-0123456789ab", 'token = "s3cret!value"', 'credential = "not short"', 'auth: "abcdefghijklmnopqrstuvwxyz0123456789"', 'api = "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"', '// x = "pk_live"']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {k: r["n"] for k, r in found(text.sec_secret_patterns.apply(df), "doc_id").items()}
+    assert got == {(0, "github_pat"): 1, (1, "stripe_publishable"): 1, (2, "heroku_key"): 1, (3, "generic_secret"): 1, (4, "generic_secret"): 1, (5, "high_entropy"): 1}
