@@ -226,14 +226,29 @@ def text_density(d, rel):
     return f"SELECT doc_id, round({d.count_of('text', chr(0x2014))} * 1e3 / nullif({n}, 0), 4) AS dashes, {d.count_of('text', CJK + '[A-Za-z]{2,}' + CJK)} AS leaks FROM {rel} t"
 
 
-RATES = {"moreover": ("此外", "2e0"), "worth_noting": ("值得注意的是", "1e0"), "not_only": ("不仅", "15e-1"), "dash": ("——", "3e0")}
+# fixed values: patterns, matches that do not count (oracles have no look-around), and caps per 1000 ideographs
+RATES = {
+    "simile": ("像是|好像|仿佛|如同|宛如|宛若|犹如|好似|[想象映图]像是|[想象映图]像|像[素章片机样]|像", "^([想象映图]像|像[素章片机样])$", "3e0"),
+    "dash": ("——", "", "2e0"),
+    "tic": ("缓缓|微微|轻轻松|轻轻|淡淡|嘴角", "^轻轻松$", "5e0"),
+    "not_but": (r"不是[^。！？\n]{1,18}而是|并非[^。！？\n]{1,18}而是|没有[^。！？\n]{1,18}只有", "", "1e0"),
+}
+# caps for a whole text
+WORK_CAPS = {"hedging": (r"(也许是|或许是)[^。\n]{0,30}(也许|或许)", 2), "set_phrases": ("心潮澎湃|热血沸腾|百感交集|心乱如麻|思绪万千", 2)}
+LEAKS = {"heading_leak": r"(?m)^\s*#{1,6}\s", "bold_leak": r"\*\*[^*\n]+\*\*", "backtick_leak": r"`[^`\n]+`", "citation_leak": r"oaicite|turn[0-9]+search|\[\^?[0-9]+\^?\]"}
+IDEOGRAPH = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
 
 
 @op("text_rate_checks", fx.cjk)
 def text_rate_checks(d, rel):
-    """Phrases per 1000 ideographs above their caps."""
-    n = d.count_of("text", CJK)
-    return " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, round({d.count_of('text', p)} * 1e3 / nullif({n}, 0), 4) AS rate, {d.count_of('text', p)} * 1e3 / nullif({n}, 0) > {cap} AS over_cap FROM {rel} t WHERE {n} > 0" for k, (p, cap) in RATES.items())
+    """Phrases per 1000 ideographs above their caps, phrases above a cap per text, and leaks of markup, none of which may be there."""
+    hits = lambda p, no: d.size(d.only(d.extract_all("text", p), "v", f"NOT {d.like('v', no)}")) if no else d.count_of("text", p)
+    base = f"SELECT doc_id, text, greatest({d.count_of('text', IDEOGRAPH)}, 1) AS n FROM {rel} t"
+    rows = [f"SELECT doc_id, '{k}' AS rule, {hits(p, no)} AS hits, n, {cap} AS cap FROM b" for k, (p, no, cap) in RATES.items()]
+    rated = f"SELECT doc_id, rule, hits, round(hits * 1e3 / n, 4) AS rate, hits * 1e3 / n > cap AS over_cap FROM ({' UNION ALL '.join(rows)}) r"
+    caps = WORK_CAPS | {k: (p, 0) for k, p in LEAKS.items()}
+    whole = [f"SELECT doc_id, rule, hits, CAST(NULL AS DOUBLE) AS rate, hits > {cap} AS over_cap FROM (SELECT doc_id, '{k}' AS rule, {d.count_of('text', p)} AS hits FROM b) w" for k, (p, cap) in caps.items()]
+    return f"WITH b AS ({base}) " + " UNION ALL ".join([rated, *whole])
 
 
 @op("text_chunk_overlap", "documents", tokens=250, overlap=0.1, chars_per_token=4)

@@ -146,3 +146,18 @@ def test_secret_rules_of_the_survey(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     got = {k: r["n"] for k, r in found(text.sec_secret_patterns.apply(df), "doc_id").items()}
     assert got == {(0, "github_pat"): 1, (1, "stripe_publishable"): 1, (2, "heroku_key"): 1, (3, "generic_secret"): 1, (4, "generic_secret"): 1, (5, "high_entropy"): 1}
+
+
+def test_rate_checks_count_as_with_look_around(spark):
+    import re
+
+    rules = {"simile": r"像是|好像|仿佛|如同|宛如|宛若|犹如|好似|(?<![好想象映图])像(?![素章片机样])", "tic": r"缓缓|微微|轻轻(?!松)|淡淡|嘴角"}
+    rows = ["图像是好像像素想像像是像样", "轻轻轻松轻轻松轻轻", "像" * 3 + "象像像章仿佛像", "——他——", "# t\n**b** `c` [1] turn2search", "也许是他也许。或许是她或许。也许是它或许", "plain"]
+    got = found(text.text_rate_checks.apply(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")), "doc_id")
+    assert len(got) == 10 * len(rows)
+    for i, t in enumerate(rows):
+        for rule, p in rules.items():
+            assert got[i, rule]["hits"] == len(re.findall(p, t))
+    assert got[3, "dash"]["rate"] == 2000.0 and got[3, "dash"]["over_cap"] and not got[6, "dash"]["over_cap"]
+    assert all(got[4, k]["over_cap"] for k in text.LEAKS) and not any(got[6, k]["over_cap"] for k in text.LEAKS)
+    assert got[5, "hedging"]["hits"] == 3 and got[5, "hedging"]["over_cap"]
