@@ -551,6 +551,19 @@ def test_whole_values_are_candidates(spark):
     assert got[0, "high_entropy"] == got[1, "jwt"] == got[3, "private_key"] == 1
 
 
+def test_iban_in_groups_and_iso_stamps(spark):
+    rows = [(1, "to DE89 3704 0044 0532 0130 00 BIC, BE68 5390 0754 7034 PAID NOW"), (2, "at 2024-01-05T10:30:00Z and 2024-01-05")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_replaced"] == 2 and got[2]["n_replaced"] == 2
+    m = re.fullmatch(r"to (DE\d\d(?: \d{4}){4} \d\d) BIC, (BE\d\d(?: \d{4}){3}) PAID NOW", got[1]["text"])
+    assert m and "3704 0044" not in m[1] and "5390 0754" not in m[2]
+    for x in (m[1], m[2]):
+        x = x.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    d = re.fullmatch(r"at (\S{10})T10:30:00Z and (\S{10})", got[2]["text"])
+    assert d and d[1] == d[2] != "2024-01-05"
+
+
 # --- quality ---
 
 
