@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, filter_rows, utf8
+from .common import chunks, filter_rows, ranges, utf8
 
 DIMS = 1 << 13
 ORDERS = (1, 2, 3)
-CHUNK = 1 << 20
-#: Bounds of the training sample: rows aimed at per language, languages, bytes of a text.
-ROWS_PER_LANG, MAX_ROWS, MAX_LANGS, MAX_TRAIN_BYTES = 600, 6000, 300, 20_000
+#: Texts and bytes that are counted at once.
+ROWS, CHUNK = 64, 1 << 20
+#: Bounds of the training sample: rows aimed at per language, at least and in all, and bytes of a text.
+ROWS_PER_LANG, LEAST_ROWS, MAX_ROWS, MAX_TRAIN_BYTES = 600, 20, 6000, 20_000
 
 
 def fold_table() -> np.ndarray:
@@ -38,39 +39,42 @@ def fold_table() -> np.ndarray:
     return table
 
 
-def ngram_counts(data: np.ndarray, off: np.ndarray, table: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-gram counts (documents x dims) and the number of letters of each text."""
+def ngram_counts(data: np.ndarray, off: np.ndarray, table: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-gram counts of at most ROWS texts, as (row, slot, count) in order of both, and the number of letters of each text."""
     n = len(off) - 1
     code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
     first = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), off)
     sym = table[code]
-    doc = np.repeat(np.arange(n), np.diff(first))
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
     letters = np.bincount(doc[sym > 0], minlength=n)
     keep = np.ones(len(sym), bool)  # runs of blanks become one
     keep[1:] = (sym[1:] > 0) | (sym[:-1] > 0) | (doc[1:] != doc[:-1])
-    sym, doc = sym[keep].astype(np.uint64), doc[keep]
+    sym, doc = sym[keep], doc[keep]
     out = np.zeros(n * dims, np.int64)
-    for order in ORDERS:
-        m = len(sym) - order + 1
-        if m <= 0:
-            break
-        h = sym[:m] + np.uint64(1)
-        for k in range(1, order):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + sym[k : m + k]
-        h = (h ^ np.uint64(order)) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        cell = (h >> np.uint64(40)).astype(np.int64) % dims + doc[:m] * dims
-        ok = doc[:m] == doc[order - 1 :]
-        if order == 1:
-            ok = ok & (sym > 0)
-        out += np.bincount(cell[ok], minlength=n * dims)
-    return out.reshape(n, dims), letters
-
-
-def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts.astype(np.float32)) * idf
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.maximum(norm, 1e-12)
+    for at in range(0, len(sym), CHUNK):  # long texts are hashed a piece at a time
+        some, of = sym[at : at + CHUNK + ORDERS[-1] - 1].astype(np.uint64), doc[at : at + CHUNK + ORDERS[-1] - 1]
+        for order in ORDERS:
+            m = min(CHUNK, len(some) - order + 1)
+            if m <= 0:
+                break
+            h = some[:m] + np.uint64(1)
+            for k in range(1, order):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + some[k : m + k]
+            h = (h ^ np.uint64(order)) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            cell = (h >> np.uint64(40)).astype(np.int64) % dims + of[:m].astype(np.int64) * dims
+            ok = of[:m] == of[order - 1 : m + order - 1]
+            if order == 1:
+                ok = ok & (some[:m] > 0)
+            out += np.bincount(cell[ok], minlength=n * dims)
+    cell = np.flatnonzero(out)
+    return cell // dims, cell % dims, out[cell], letters
+
+
+def tfidf(row: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Values of rows of length one, for the entries (row, count, idf of the slot) of ``n`` texts."""
+    x = np.log1p(count) * idf
+    return x / np.maximum(np.sqrt(np.bincount(row, x * x, minlength=n)), 1e-12)[row]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -101,58 +105,84 @@ class FTRL:
         self.n[at] += g * g
 
 
+def pieces(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ROWS texts and about CHUNK bytes."""
+    for i, j in chunks(off, CHUNK):
+        for k in range(i, j, ROWS):
+            yield k, min(j, k + ROWS)
+
+
+def logits(model: dict, row: np.ndarray, slot: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Scores (texts x languages) of sparse counts of at most ROWS texts."""
+    x = np.zeros((n, model["dims"]), np.float32)
+    x[row, slot] = tfidf(row, count, model["idf"][slot], n)
+    return x @ model["w"] + model["b"]
+
+
 def fit(texts: list[str], labels: list[str], dims: int = DIMS, epochs: int = 3, seed: int = 7) -> dict:
     """Fit weights and temperature; every fifth row is kept aside for the latter."""
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
     table = fold_table()
-    col = pa.array(texts, pa.string())
-    data, off = utf8(col)
-    parts = [ngram_counts(data[off[i] : off[j]], off[i : j + 1] - off[i], table, dims)[0].astype(np.uint16) for i, j in chunks(off, CHUNK)]
-    counts = np.concatenate(parts)
-    idf = (np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    data, off = utf8(pa.array(texts, pa.string()))
+    parts = []
+    for i, j in pieces(off):
+        row, slot, count, _ = ngram_counts(data[off[i] : off[j]], off[i : j + 1] - off[i], table, dims)
+        parts.append((row + i, slot.astype(np.int32), count.astype(np.int32)))
+    row, slot, count = (np.concatenate(x) for x in zip(*parts))
+    begin = np.searchsorted(row, np.arange(len(y) + 1))
+    idf = (np.log((1 + len(y)) / (1 + np.bincount(slot, minlength=dims))) + 1).astype(np.float32)
+    value = tfidf(row, count, idf[slot], len(y))
     aside = np.arange(len(y)) % 5 == 4
     if aside.sum() < 2 or (~aside).sum() < 1:
         aside[:] = False
-    model, rng = FTRL(dims, len(names)), np.random.default_rng(seed)
+    ftrl, rng = FTRL(dims, len(names)), np.random.default_rng(seed)
     train = np.flatnonzero(~aside)
     for _ in range(epochs):
         for i in rng.permutation(train):
-            at = np.flatnonzero(counts[i])
-            x = tfidf(counts[i : i + 1, at], idf[at])[0].astype(np.float64)
-            model.learn(np.append(at, dims), np.append(x, 1.0), int(y[i]))
-    w = model.weights()
-    temperature = 1.0
+            mine = slice(begin[i], begin[i + 1])
+            ftrl.learn(np.append(slot[mine], dims), np.append(value[mine], 1.0), int(y[i]))
+    w = ftrl.weights()
+    model = {"names": names, "idf": idf, "w": w[:-1].astype(np.float32), "b": w[-1], "t": 1.0, "dims": dims}
     if aside.any() and len(names) > 1:
-        logits = tfidf(counts[aside], idf) @ w[:-1] + w[-1]
-        truth = y[aside]
-        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() + 1e-6 * abs(np.log(t)) for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-    return {"names": names, "idf": idf, "w": w[:-1].astype(np.float32), "b": w[-1], "t": temperature, "dims": dims}
+        z = []
+        kept = np.flatnonzero(aside)
+        for k in range(0, len(kept), ROWS):
+            some = kept[k : k + ROWS]
+            at = ranges(begin[some], begin[some + 1] - begin[some])
+            z.append(logits(model, np.searchsorted(some, row[at]), slot[at], count[at], len(some)))
+        model["t"] = temperature(np.concatenate(z), y[aside])
+    return model
+
+
+def temperature(z: np.ndarray, truth: np.ndarray) -> float:
+    """The divisor of the scores with the least log loss, of a grid from 1/20 to 20."""
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+    loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(truth)), truth], 1e-12)).mean() + 1e-6 * abs(np.log(t)) for t in grid]
+    return float(grid[int(np.argmin(loss))])
 
 
 def predict(model: dict, data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and probability of each text; ``und`` with score 0 where no letter is."""
-    counts, letters = ngram_counts(data, off, table, model["dims"])
-    if not model["names"]:
-        return ["und"] * len(letters), np.zeros(len(letters))
-    p = softmax((tfidf(counts, model["idf"]) @ model["w"] + model["b"]) / model["t"])
-    best = p.argmax(axis=1)
-    names = [model["names"][k] if n else "und" for k, n in zip(best.tolist(), letters.tolist())]
-    return names, np.where(letters > 0, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
+    names, scores = [], [np.zeros(0)]
+    for i, j in pieces(off):
+        row, slot, count, letters = ngram_counts(data[off[i] : off[j]], off[i : j + 1] - off[i], table, model["dims"])
+        if not model["names"]:
+            names += ["und"] * (j - i)
+            scores.append(np.zeros(j - i))
+            continue
+        p = softmax(logits(model, row, slot, count, j - i) / model["t"])
+        best = p.argmax(axis=1)
+        names += [model["names"][k] if n else "und" for k, n in zip(best.tolist(), letters.tolist())]
+        scores.append(np.where(letters > 0, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0))
+    return names, np.concatenate(scores)
 
 
 def _predict_batches(model, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(2))
-            names, scores = [], [np.zeros(0)]
-            for i, j in chunks(off, CHUNK):
-                a, s = predict(model.value, data[off[i] : off[j]], off[i : j + 1] - off[i], table.value)
-                names += a
-                scores.append(s)
-            cols = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.concatenate(scores))]
+            names, scores = predict(model.value, *utf8(batch.column(2)), table.value)
+            cols = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -166,19 +196,22 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> dict:
     """Fit on a bounded sample of the labelled rows that may be learned from.
 
-    About ``rows_per_lang`` rows of each of at most MAX_LANGS languages, MAX_ROWS
-    in all, are taken by a hash of text and id, of texts up to MAX_TRAIN_BYTES.
+    Of each language about ``rows_per_lang`` rows are taken by a hash of text and
+    id, or fewer where all come to more than MAX_ROWS, but LEAST_ROWS at least, of
+    texts up to MAX_TRAIN_BYTES.  Every language with such a text is learnt.
     """
     open_rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES))
-    sizes = open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
+    open_rows = open_rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text", "doc_id").alias("k"))
+    sizes = open_rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.pmod("k", F.lit(1 << 30))).alias("low")).toPandas()
+    if not len(sizes):
         return {"names": [], "dims": DIMS}
-    rows_per_lang = min(rows_per_lang, max(1, MAX_ROWS // len(sizes)))
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, rows_per_lang / r["count"]))])
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    limit = 2 * rows_per_lang * len(sizes)
-    got = open_rows.where(draw < share[F.col("lang")]).select("text", "lang", F.xxhash64("text", "doc_id").alias("k")).limit(limit).toPandas().sort_values(["k", "text"])
-    return fit(got["text"].tolist(), got["lang"].tolist()) if len(got) else {"names": [], "dims": DIMS}
+    aim = min(rows_per_lang, max(LEAST_ROWS, MAX_ROWS // len(sizes)))
+    # the row of least hash is always taken
+    sizes["upto"] = np.maximum(sizes["low"], np.minimum(1.0, aim / sizes["n"]) * (1 << 30)).astype(np.int64)
+    upto = docs.sparkSession.createDataFrame(sizes[["lang", "upto"]], "lang string, upto long")
+    drawn = open_rows.join(F.broadcast(upto), "lang").where(F.pmod("k", F.lit(1 << 30)) <= F.col("upto"))
+    got = drawn.select("text", "lang", "k").limit(2 * aim * len(sizes)).toPandas().sort_values(["k", "text"])
+    return fit(got["text"].tolist(), got["lang"].tolist())
 
 
 def classify(docs: DataFrame, model: dict) -> DataFrame:
@@ -198,12 +231,8 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def make():
         def test(column: pa.Array) -> np.ndarray:
-            data, off = utf8(column)
-            keep = [np.zeros(0, bool)]
-            for i, j in chunks(off, CHUNK):
-                names, score = predict(model.value, data[off[i] : off[j]], off[i : j + 1] - off[i], table.value)
-                keep.append((score >= least) & (np.array(names) != "und"))
-            return np.concatenate(keep)
+            names, score = predict(model.value, *utf8(column), table.value)
+            return (score >= least) & (np.array(names, object) != "und")
 
         return test
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shingle_hashes, utf8
+from .common import cut, ranges, shingle_hashes, utf8
 from .components import connected_components
 
 BANDS, ROWS, LOW = 16, 5, 512
@@ -41,6 +41,7 @@ _MULTIPLY = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, WIDTH,
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 HEAD = 4 * WIDTH
+ROWS_AT_ONCE = 512
 MARGIN = 0.1  # of a sampled share; its standard deviation is 0.018 at 0.8
 BLOCK, BLOCK_BYTES = 1024, 4 << 20  # members and bytes of a block
 RARE = 32  # shingles of at most so many texts are counted pair by pair
@@ -85,34 +86,40 @@ def _mix(key: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        wide = np.frombuffer(b"".join([x[:HEAD] for x in batch.column(1).to_pylist()]), "<u4").reshape(n, BANDS, ROWS)
-        key = np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            key = _mix(key, wide[:, :, r])
-        sid, size = (pa.array(np.repeat(batch.column(k).to_numpy(), BANDS)) for k in (0, 2))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), sid, size], ["key", "sid", "size"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            n = batch.num_rows
+            wide = np.frombuffer(b"".join([x.as_buffer().slice(0, HEAD) for x in batch.column(1)]), "<u4").reshape(n, BANDS, ROWS)
+            key = np.zeros((n, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+            for r in range(ROWS):
+                key = _mix(key, wide[:, :, r])
+            sid, size = (pa.array(np.repeat(batch.column(k).to_numpy(), BANDS)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), sid, size], ["key", "sid", "size"])
 
 
 def _compare_batches(similarity: float):
-    """Pairs with a pivot: told is 1 for alike, 0 for open."""
+    """Pairs with a pivot: told is 1 for alike, 0 for open.
+
+    A sample of hashes decides beyond MARGIN only, whole sets of 32-bit hashes
+    beyond what two hashes that fell together would change.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for p, sid, keys, mine, other in zip(*[batch.column(k).to_pylist() for k in range(5)]):
-                a, b = np.frombuffer(mine[HEAD:], "<u4"), np.frombuffer(other[HEAD:], "<u4")
-                share = likeness(a, b)
-                near = MARGIN if max(len(a), len(b)) >= LOW else 0.0
-                if share >= similarity + near:
-                    rows.append((p, sid, 1, None))
-                elif share >= similarity - near:
-                    rows.append((p, sid, 0, keys))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["u", "v", "told", "keys"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                rows = []
+                for p, sid, keys, mine, other in zip(*[batch.column(k) for k in range(5)]):
+                    a, b = (np.frombuffer(x.as_buffer(), "<u4")[WIDTH:] for x in (mine, other))
+                    share = likeness(a, b)
+                    near = max(2 / max(1, len(a), len(b)), MARGIN if max(len(a), len(b)) >= LOW else 0)
+                    if share >= min(1.0, similarity + near):
+                        rows.append((p.as_py(), sid.as_py(), 1, None))
+                    elif share >= similarity - near:
+                        rows.append((p.as_py(), sid.as_py(), 0, keys.as_py()))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["u", "v", "told", "keys"])
 
     return run
 
@@ -122,20 +129,25 @@ def _common(text: np.ndarray, h: np.ndarray, m: int, left: np.ndarray, right: np
     order = np.argsort(h, kind="stable")
     text = text[order]
     _, at, df = np.unique(h[order], return_index=True, return_counts=True)
-    flat = np.zeros(m * m, np.int64)
+    row, col = np.full(m, -1), np.full(m, -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    wide = len(right)
+    flat = np.zeros(len(left) * wide, np.int64)
     for d in range(2, min(RARE, int(df.max(initial=0))) + 1):
-        held = text[at[df == d][:, None] + np.arange(d)]
-        for i in range(d):
-            for j in range(i + 1, d):
-                np.add.at(flat, held[:, i] * m + held[:, j], 1)
-    flat = flat.reshape(m, m)
-    out = (flat + flat.T)[np.ix_(left, right)].astype(np.float64)
+        every = at[df == d]
+        for k in range(0, len(every), 4096):
+            held = text[every[k : k + 4096, None] + np.arange(d)]
+            x, y = row[held], col[held]
+            for i in range(d):
+                cell = (x[:, i, None] * wide + y)[(x[:, i, None] >= 0) & (y >= 0)]
+                np.add.at(flat, cell, 1)
+    out = flat.reshape(len(left), wide).astype(np.float32)
     often = np.flatnonzero(df > RARE)
-    for k in range(0, len(often), 2048):
-        some = often[k : k + 2048]
+    for k in range(0, len(often), 1024):
+        some = often[k : k + 1024]
         x = np.zeros((m, len(some)), np.float32)
-        for c, t in enumerate(some.tolist()):
-            x[text[at[t] : at[t] + df[t]], c] = 1
+        n = df[some]
+        x[text[ranges(at[some], n)], np.repeat(np.arange(len(some)), n)] = 1
         out += x[left] @ x[right].T
     return out
 
