@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_staged, ranges, stage_table, utf8, xxh64
+from .common import chunks, distinct_ranges, drop_staged, ranges, stage_table, utf8
 
 LEXICON_SIZE = 100_000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 # fixed values: code points with the White_Space property
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
@@ -392,8 +392,7 @@ class Encoder:
         """Ids of all texts and the offsets (n + 1) of each text's ids."""
         cuts, doc, special = _segments(data, off, self.model.added)
         start, length = pretokens(data, cuts, self.table)
-        h = xxh64(data, start, length)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        first, inverse = distinct_ranges(data, start, length)
         ws, wl = start[first], length[first]
         index = self.lexicon.find(data, ws, wl) if self.lexicon is not None else np.full(len(ws), -1, np.int64)
         if self.lexicon is not None and len(self.lexicon.at) > 1:
@@ -437,7 +436,8 @@ def _counts(table):
             for i, j in chunks(off, CHUNK):
                 part = data[off[i] : off[j]]
                 start, length = pretokens(part, off[i : j + 1] - off[i], table.value)
-                _, first, n = np.unique(xxh64(part, start, length), return_index=True, return_counts=True)
+                first, which = distinct_ranges(part, start, length)
+                n = np.bincount(which, minlength=len(first))
                 keep = (n > 1) & (length[first] <= 64)
                 s, size = start[first[keep]], length[first[keep]]
                 at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -451,7 +451,7 @@ def _counts(table):
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n long): occurrences of frequent pre-tokens of up to 64 bytes in all texts.
 
-    Lossy counting: a word met once within a chunk of 4 MB is not passed on, so a
+    Lossy counting: a word met once within a chunk of CHUNK bytes is not passed on, so a
     count is too low by at most the number of chunks.
     """
     table = docs.sparkSession.sparkContext.broadcast(letter_classes())
@@ -487,25 +487,23 @@ def _encode_batches(text, packed, table, full: bool):
             if encoder is None:
                 encoder = Encoder(Model(text.value), Lexicon(packed.value), table.value)
             data, off = utf8(batch.column(1))
-            n, ids_sha, text_sha, lists, backs = [], [], [], [], []
             for i, j in chunks(off, CHUNK):
                 ids, at = encoder.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids = ids.astype("<u4")
+                ids_sha, text_sha, backs = [], [], []
                 for k in range(j - i):
                     mine = ids[at[k] : at[k + 1]]
                     back = encoder.decode(mine)
-                    n.append(len(mine))
-                    ids_sha.append(hashlib.sha256(mine.tobytes()).hexdigest())
+                    ids_sha.append(hashlib.sha256(mine).hexdigest())
                     text_sha.append(hashlib.sha256(back).hexdigest())
                     if full:
-                        lists.append(mine.astype(np.int32))
                         backs.append(back.decode())
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                cols += [pa.array(lists, pa.list_(pa.int32())), pa.array(backs, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                cols = [batch.column(0)[i:j], pa.array(np.diff(at)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if full:
+                    cols += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32))), pa.array(backs, pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 

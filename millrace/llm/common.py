@@ -172,6 +172,32 @@ def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 4
     return out
 
 
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` equal those from ``b``, eight at a time."""
+    buf = np.concatenate([data, np.zeros(8, np.uint8)])
+    w8 = np.ndarray((len(buf) - 7,), np.dtype("<u8"), buf.data, strides=(1,))
+    same = np.ones(len(a), bool)
+    rows, done = np.flatnonzero(length > 0), 0
+    while len(rows):
+        rest = np.minimum(8, length[rows] - done).astype(np.uint64)
+        mask = ~np.uint64(0) >> (np.uint64(64) - rest * np.uint64(8))
+        same[rows] &= ((w8[a[rows] + done] ^ w8[b[rows] + done]) & mask) == 0
+        done += 8
+        rows = rows[length[rows] > done]
+    return same
+
+
+def distinct_ranges(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the different byte strings among ranges, and which of them each range is; hashes find them, bytes decide."""
+    _, first, which = np.unique(xxh64(data, start, length), return_index=True, return_inverse=True)
+    like = first[which]
+    if (length == length[like]).all() and equal_ranges(data, start, start[like], length).all():
+        return first, which
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(data[s : s + n].tobytes(), len(known)) for s, n in zip(start.tolist(), length.tolist())], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
 def shingle_hashes(data: np.ndarray, off: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts of a chunk that have words, XXH64 of their word shingles one text after the other, and how many each has.
 

@@ -19,8 +19,8 @@ from .common import filter_rows
 
 #: One edit is allowed for so many code points of an item.
 CHARS_PER_EDIT = 20
-#: Items are matched in blocks of at most about so many bytes.
-BLOCK_BYTES = 32 << 20
+#: Items are matched in blocks of at most about so many bytes; a worker's automaton takes some 50 times as much.
+BLOCK_BYTES = 4 << 20
 
 
 def normal(text: str | None) -> str:
@@ -74,7 +74,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items, self.budget, self.masks = [], [], []
+        self.items, self.budget = [], []
         places: dict[str, list[tuple[int, int]]] = {}
         known: dict[str, int] = {}
         self.ids: list[list[int]] = []
@@ -89,7 +89,6 @@ class Matcher:
             self.items.append(text)
             self.ids.append([item_id])
             self.budget.append(len(text) // CHARS_PER_EDIT)
-            self.masks.append(char_masks(text))
             for off, piece in pieces(text, self.budget[-1]):
                 places.setdefault(piece, []).append((at, off))
         self.automaton = ahocorasick.Automaton()
@@ -117,7 +116,7 @@ class Matcher:
                 if s is not None and s <= high + len(item) + 2 * k:
                     high = s
                     continue
-                got = myers(item, text[max(0, low - k) : high + len(item) + k], k, self.masks[at])
+                got = myers(item, text[max(0, low - k) : high + len(item) + k], k)
                 if got is not None and (best is None or got[0] < best):
                     best = got[0]
                 if best == 0 or s is None:

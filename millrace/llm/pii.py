@@ -18,11 +18,24 @@ email  syntax                             letters and digits of the local part b
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "set a secret key of your own"
+#: The session's setting that holds the secret key.
+KEY_SETTING = "spark.millrace.pii.key"
+_drawn: dict[str, str] = {}
+
+
+def secret_key(spark: SparkSession) -> str:
+    """The key that the session sets, else one drawn at random for the application.
+
+    Only with a key of its own does a user get equal pseudonyms in another application.
+    """
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 # fixed values: lengths of the registry of IBANs; printed in groups of four, where the length tells the last one
@@ -168,8 +181,11 @@ def _classes(s: Column, tweak: Column, key: str, kind: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
+    """Addresses that differ in case alone get pseudonyms that do so too."""
     local, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
-    return F.concat(_classes(local, F.lower(domain), key, "email"), F.lit("@"), domain)
+    made = _classes(F.lower(local), F.lower(domain), key, "email")
+    cased = F.zip_with(F.split(local, ""), F.split(made, ""), lambda o, c: F.when(o.between("A", "Z"), F.upper(c)).otherwise(c))
+    return F.concat(F.array_join(cased, ""), F.lit("@"), domain)
 
 
 def _mod97(s: Column) -> Column:
@@ -196,7 +212,7 @@ def _iban(m: Column, key: str) -> Column:
 MAKERS = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
-def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a matched text, null where it does not validate."""
     out = None
     for kind, make in MAKERS.items():
@@ -219,23 +235,24 @@ def _joined(text: str) -> Column:
     return F.when(F.size("_found") > 0, F.array_join(both, "")).otherwise(F.col(text))
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, n_replaced and text of each row with personal data replaced.
 
+    ``key`` is secret: who has it can invert pseudonyms (see ``secret_key`` for None).
     Values that do not validate stay.  Null texts stay null with no
     replacement; null ids and repeated rows are kept; other columns are ignored;
     an empty table gives an empty result.
     """
-    rows = _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", key)
+    rows = _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", key or secret_key(docs.sparkSession))
     n = F.when(F.size("_found") > 0, F.size(F.filter("_made", lambda p: p.isNotNull()))).otherwise(0).cast("long")
     return rows.select("doc_id", n.alias("n_replaced"), _joined("text").alias("text"))
 
 
-def pseudonymise_rows(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise_rows(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with all its columns and the text replaced; the table documents keeps its n_chars true."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
-    rows = _mapped(docs.toDF(*names), names[at], key).withColumn("_new", _joined(names[at])).drop("_found", "_made", "_pieces")
+    rows = _mapped(docs.toDF(*names), names[at], key or secret_key(docs.sparkSession)).withColumn("_new", _joined(names[at])).drop("_found", "_made", "_pieces")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
     kept = [F.col("_new") if i == at else F.char_length("_new").cast(docs.schema[i].dataType) if i == size else F.col(n) for i, n in enumerate(names)]
     return rows.select(*[c.alias(n) for c, n in zip(kept, names)]).toDF(*docs.columns)

@@ -35,6 +35,7 @@ ONES = np.uint64(0x0101010101010101)
 BLOCKS = (11, 11, 11, 11, 10, 10)
 KEEP = 4
 CHOICES = list(combinations(range(len(BLOCKS)), KEEP))
+TOGETHER = 1 << 16  # codes of small buckets that are indexed at once
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -208,17 +209,30 @@ def _sketch_batches(shingle: int, wide: int):
 
 
 def _forest_batches(radius: int):
+    def bucket(c: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        mine = np.unique(np.concatenate(parts).view(np.uint64))
+        moved, fixed = _moved(mine, CHOICES[c])
+        a, b = forest(moved, radius, fixed)
+        return pa.RecordBatch.from_arrays([pa.array(mine[a].view(np.int64)), pa.array(mine[b].view(np.int64))], ["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not got:
-            return
-        choice = np.concatenate([x[0] for x in got])
-        codes = np.concatenate([x[1] for x in got]).view(np.uint64)
-        for c in np.unique(choice).tolist():
-            mine = np.unique(codes[choice == c])
-            moved, fixed = _moved(mine, CHOICES[c])
-            a, b = forest(moved, radius, fixed)
-            yield pa.RecordBatch.from_arrays([pa.array(mine[a].view(np.int64)), pa.array(mine[b].view(np.int64))], ["u", "v"])
+        """Rows c, k, fp sorted by c and k: one bucket is held at a time, small ones are worked together."""
+        held, last, size = [], None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, k, codes = (x.to_numpy() for x in batch.columns)
+            edge = [0, *(np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1).tolist(), len(c)]
+            for a, b in zip(edge, edge[1:]):
+                name = (int(c[a]), int(k[a]))
+                if held and name != last and (size >= TOGETHER or name[0] != last[0]):
+                    yield bucket(last[0], held)
+                    held, size = [], 0
+                last = name
+                held.append(codes[a:b])
+                size += b - a
+        if held:
+            yield bucket(last[0], held)
 
     return run
 
@@ -234,7 +248,7 @@ def links(codes: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError(f"radius must be 0 to {len(BLOCKS) - KEEP}")
     cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_block_masks())])
     dealt = codes.select("fp", F.explode(cells).alias("cell")).select(F.col("cell.c").alias("c"), "fp", F.col("cell.k").alias("k"))
-    return dealt.repartition("c", "k").select("c", "fp").mapInArrow(_forest_batches(radius), "u long, v long")
+    return dealt.select("c", "k", "fp").repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_forest_batches(radius), "u long, v long")
 
 
 def _groups(fps: DataFrame, radius: int, more: DataFrame | None = None) -> DataFrame:
@@ -293,7 +307,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, wide: int = 5,
     names = [f"c{i}" for i in range(len(docs.columns))]
     safe = docs.toDF(*names)
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    keyed = safe.withColumn("_row", F.xxhash64(*names))
+    # columns with a map can't be compared: their JSON is
+    plain = [F.to_json(F.struct(n)) if "map<" in t else F.col(n) for n, t in safe.dtypes]
+    keyed = safe.withColumn("_row", F.xxhash64(*plain))
     rows = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "_row")
     full = rows.mapInArrow(_sketch_batches(shingle, wide), "doc_id long, _row long, fp long, sketch binary, sid long, size long")
     full = cut(full)
@@ -306,7 +322,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, wide: int = 5,
     # rows alike in every column and in their fingerprint: one of them
     alike = fps.groupBy("doc_id", "_row").count().where("count > 1").limit(1).count()
     found = found.drop("_id", "_row")
-    return (found.dropDuplicates(names) if alike else found).toDF(*docs.columns)
+    if alike:
+        found = found.withColumns({f"_{n}": p for n, p in zip(names, plain)}).dropDuplicates([f"_{n}" for n in names]).select(names)
+    return found.toDF(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

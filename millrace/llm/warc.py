@@ -1,20 +1,19 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id into shards whose bounds come from a
-content-defined sample of ids, so the same rows give the same files whatever the
-partitioning.  Each shard is written by one task, which rolls to a next file once
-the compressed size passes a limit.  Files get temporary names with the task
-attempt in it and are renamed when closed; a manifest, renamed last, lists the
-files that count.  Readers open only files of the manifest and check each one's
-digest and every record's payload digest.
+Records are range-sorted by page_id and payload digest into shards.  Their number
+follows from the payloads' bytes and their bounds from a sample drawn by content,
+so the same rows give the same files whatever the partitioning and settings.  A
+task writes whole shards and rolls to a next file once the compressed size passes
+a limit.  Files get temporary names with the task attempt in them and are renamed
+when closed; tasks list them in the parts of a manifest, a folder that is renamed
+last.  Readers open only files of the manifest and check each one's digest and
+every record's block and payload digest.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-SHARD_BYTES = 8 << 20
-FILE_BYTES = 4 << 20
-SAMPLE = 20_000
+#: Payload bytes of a shard and compressed bytes of a file; both grow where there would be more than MOST_SHARDS.
+SHARD_BYTES, FILE_BYTES = 8 << 20, 4 << 20
+MOST_SHARDS = 100_000
+PER_SHARD = 50  # rows sampled for each shard
 DATE = "1970-01-01T00:00:00Z"
 GROUP_FROM = 0  # payloads of at least so many bytes are revisited
 
@@ -53,20 +53,27 @@ def _header_text(value) -> str:
     return "".join(" " if c in "\r\n" else c for c in ("" if value is None else str(value)))
 
 
-def _record(page_id, url, payload: bytes, refers) -> tuple[bytes, str]:
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {}\r\n\r\n"
+
+
+def record_id(page_id, digest: str, copy: int) -> str:
+    """Name of the ``copy``-th record of a page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{copy}')}>"
+
+
+def _record(page_id, url, payload: bytes, refers, copy: int) -> bytes:
     """One record; all headers are made anew from page_id, url and payload."""
     digest = _base32(payload)
     kind = "response" if refers is None else "revisit"
-    body = b"" if kind == "revisit" else payload
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{ident}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_header_text(url)}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{_base32(body)}"]
+    block = HTTP.format(len(payload)).encode() + (payload if refers is None else b"")
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, copy)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_header_text(url)}"]
+    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{_base32(block)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers}')}>", f"X-Refers-To-Page-ID: {refers}"]
-    head += [f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(body)}", "Content-Type: application/http;msgtype=response" if kind == "response" else "Content-Type: message/http"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", kind
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers, digest, 0)}", f"X-Refers-To-Page-ID: {refers}"]
+    head += [f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(block)}", "Content-Type: application/http;msgtype=response"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def _member(raw: bytes) -> bytes:
@@ -105,153 +112,186 @@ class _Writer:
             self.part, self.out = self.part + 1, None
 
 
+MANIFEST = "shard long, name string, bytes long, records long, sha256 string"
+
+
 def _write_batches(root: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
         attempt = f"{ctx.taskAttemptId() if ctx else 0}-{uuid.uuid4().hex[:8]}"
-        writer, last, done, known = None, None, [], None
-        for batch in batches:
-            for shard, page_id, key, kind, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
-                if not kind:  # says which page has this payload first; its pages follow
-                    known = (page_id, key, first)
-                    continue
-                first = known[2] if known is not None and known[:2] == (page_id, key) else None
-                if writer is None or writer.shard != shard:
-                    if writer:
-                        writer.close()
-                        done += writer.done
-                    writer, last = _Writer(root, shard, attempt, limit), None
-                payload = (html or "").encode()
-                refers = first
-                if first is None or page_id is None:
-                    refers = None
-                elif first == page_id:
-                    refers = first if (page_id, key) == last else None  # repeated rows follow each other
+        names = [x.split()[0] for x in MANIFEST.split(", ")]
+
+        def closed(writer: _Writer) -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*writer.done)], names)
+
+        writer, last, copy, known = None, None, 0, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):  # payloads become Python strings a few at a time
+                for shard, page_id, key, kind, url, html, first in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns)):
+                    if not kind:  # says which page has this payload first; its pages follow
+                        known = (page_id, key, first)
+                        continue
+                    first = known[2] if known is not None and known[:2] == (page_id, key) else None
+                    if writer is None or writer.shard != shard:
+                        if writer:
+                            yield closed(writer)
+                        writer, last = _Writer(root, shard, attempt, limit), None
+                    copy = copy + 1 if (page_id, key) == last else 0  # repeated rows follow each other
                     last = (page_id, key)
-                writer.add(_record(page_id, url, payload, refers)[0])
+                    refers = None if first is None or page_id is None or first == page_id and not copy else first
+                    writer.add(_record(page_id, url, (html or "").encode(), refers, copy))
         if writer:
-            writer.close()
-            done += writer.done
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*done)], ["shard", "name", "bytes", "records", "sha256"])
+            yield closed(writer)
 
     return run
 
 
-def _bounds(pages: DataFrame, rows: int, shards: int) -> np.ndarray:
-    """Upper ids of all shards but the last, at quantiles of a sample drawn by id."""
-    ids = pages.where(F.col("page_id").isNotNull()).select("page_id").distinct()
-    share = min(1.0, SAMPLE / max(1, rows))
-    drawn = ids.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else ids
-    got = np.sort(drawn.toPandas()["page_id"].to_numpy(np.int64))
-    if not len(got):
-        return np.zeros(0, np.int64)
-    return np.unique(got[(np.arange(1, shards) * len(got)) // shards])
+_LEAST = -(1 << 63)
+
+
+def _bounds(rows: DataFrame, n: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper (page_id, key prefix) of all shards but the last, at quantiles of a sample of distinct pairs drawn by hash."""
+    share = min(1.0, PER_SHARD * shards / max(1, n))
+    drawn = rows.select("page", "prefix").where(F.pmod(F.xxhash64("page", "prefix"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    got = drawn.toPandas().sort_values(["page", "prefix"]).to_numpy(np.int64) if shards > 1 else np.zeros((0, 2), np.int64)
+    got = np.unique(got[(np.arange(1, shards) * len(got)) // shards], axis=0) if len(got) else got
+    return got[:, 0], got[:, 1]
+
+
+def shard_numbers(page: np.ndarray, prefix: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the sorted bounds are not above (page, prefix)."""
+    low, high = np.searchsorted(cuts[0], page, "left"), np.searchsorted(cuts[0], page, "right")
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        below = open_ & (cuts[1][np.minimum(mid, len(cuts[1]) - 1)] <= prefix)
+        low, high = np.where(below, mid + 1, low), np.where(open_ & ~below, mid, high)
+    return low
 
 
 def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> dict:
-    """Write all rows below ``root`` and commit the manifest; returns it.
+    """Write all rows below ``root`` and commit the manifest; returns counts.
 
     Of rows with equal payloads the one with the smallest page_id is a response,
     the others revisit it.  Rows that repeat a page_id and payload revisit their
-    first.  Rows without a page_id are responses, in the first shard.  A null
-    html is an empty payload.  An empty table gives a manifest without files.
+    first, and follow each other in one file.  Rows without a page_id are
+    responses and come first.  A null html is an empty payload.  An empty table
+    gives a manifest without files.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("b")).first()
     fs, base = _fs(root)
     fs.create_dir(base, recursive=True)
-    manifest = {"format": "WARC/1.1", "records": 0, "files": []}
+    listed, temp = f"{root}/manifest", f"{root}/_manifest-{uuid.uuid4().hex}"
     if size["n"]:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        shards = max(1, min(size["n"], max(4 * parts, -(-size["b"] // shard_bytes))))
-        cuts = spark.sparkContext.broadcast(_bounds(rows, size["n"], shards))
+        shard_bytes, grown = max(shard_bytes, -(-size["b"] // MOST_SHARDS)), shard_bytes
+        file_bytes = file_bytes * shard_bytes // grown
+        shards = max(1, min(size["n"], -(-size["b"] // shard_bytes)))
+        key = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
+        keyed = rows.withColumn("key", key).withColumn("page", F.coalesce("page_id", F.lit(_LEAST))).withColumn("prefix", F.conv(F.substring("key", 1, 15), 16, 10).cast("long"))
+        cuts = spark.sparkContext.broadcast(_bounds(keyed, size["n"], shards))
 
         @F.pandas_udf("int")
-        def shard_of(page_id: pd.Series) -> pd.Series:
-            at = np.searchsorted(cuts.value, page_id.fillna(-(1 << 62)).to_numpy(np.int64), side="right")
-            return pd.Series(at.astype(np.int32))
+        def shard_of(page: pd.Series, prefix: pd.Series) -> pd.Series:
+            return pd.Series(shard_numbers(page.to_numpy(np.int64), prefix.to_numpy(np.int64), cuts.value).astype(np.int32))
 
-        key = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
-        keyed = rows.withColumn("key", key)
         first = keyed.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
         least = F.octet_length(F.coalesce("html", F.lit(""))) >= GROUP_FROM
-        found = keyed.where(F.col("page_id").isNotNull() & least).select("page_id", "key").distinct().join(first, "key")
+        found = keyed.where(F.col("page_id").isNotNull() & least).select("page_id", "page", "prefix", "key").distinct().join(first, "key")
         # told rows sort before their pages, so payloads are shuffled once
-        told = found.select(shard_of("page_id").alias("shard"), "page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
-        full = keyed.select(shard_of("page_id").alias("shard"), "page_id", "key", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("first"))
-        dealt = told.union(full).repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "key", "kind", "url")
-        done = dealt.mapInArrow(_write_batches(root, file_bytes), "shard long, name string, bytes long, records long, sha256 string")
-        files = sorted(map(tuple, done.collect()))
-        manifest = {"format": "WARC/1.1", "records": sum(f[3] for f in files), "files": [dict(zip(("shard", "name", "bytes", "records", "sha256"), f)) for f in files]}
-        if manifest["records"] != size["n"]:
-            raise RuntimeError(f"{manifest['records']} of {size['n']} records were written")
+        told = found.select(shard_of("page", "prefix").alias("shard"), "page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
+        full = keyed.select(shard_of("page", "prefix").alias("shard"), "page_id", "key", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("first"))
+        dealt = told.union(full).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "key", "kind", "url")
+        dealt.mapInArrow(_write_batches(root, file_bytes), MANIFEST).write.json(temp)
+    else:
+        spark.createDataFrame([], MANIFEST).write.json(temp)
+    got = spark.read.schema(MANIFEST).json(temp).agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if got[1] != size["n"]:
+        raise RuntimeError(f"{got[1]} of {size['n']} records were written")
     for info in fs.get_file_info(pafs.FileSelector(base)):  # left by attempts that were lost
         if info.base_name.startswith("_temporary-"):
             fs.delete_file(info.path)
-    with fs.open_output_stream(f"{base}/_manifest.tmp") as f:
-        f.write(json.dumps(manifest, indent=1, sort_keys=True).encode())
-    fs.move(f"{base}/_manifest.tmp", f"{base}/manifest.json")
-    return manifest
-
-
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a file of gzip members."""
-    text = gzip.decompress(raw)
-    at = 0
-    while at < len(text):
-        end = text.index(b"\r\n\r\n", at)
-        lines = text[at:end].decode().split("\r\n")
+    fs.move(_fs(temp)[1], _fs(listed)[1])
+    return {"files": got[0], "records": got[1], "bytes": got[2]}
+
+
+def _members(f, seen, step: int = 1 << 20) -> Iterator[bytes]:
+    """Each gzip member of a stream, whose bytes also go to the hash ``seen``."""
+    z, out = zlib.decompressobj(31), []
+    while piece := f.read(step):
+        seen.update(piece)
+        while piece:
+            out.append(z.decompress(piece))
+            piece = z.unused_data
+            if z.eof:
+                yield b"".join(out)
+                z, out = zlib.decompressobj(31), []
+    if out:
+        raise ValueError("a gzip member is cut short")
+
+
+def records(f, seen=None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a stream of gzip members, one in memory at a time."""
+    for text in _members(f, seen or hashlib.sha256()):
+        end = text.index(b"\r\n\r\n")
+        lines = text[:end].decode().split("\r\n")
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        n = int(head["Content-Length"])
-        block = text[end + 4 : end + 4 + n]
+        block = text[end + 4 : end + 4 + int(head["Content-Length"])]
         if _base32(block) != head["WARC-Block-Digest"].removeprefix("sha1:"):
             raise ValueError(f"block digest of {head['WARC-Record-ID']} differs")
         yield head, block
-        at = end + 4 + n + 4
 
 
-FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, block binary"
+FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
 def _read_batches(root: str, full: bool):
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in FIELDS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(root)
         for batch in batches:
             for name, sha in zip(*(c.to_pylist() for c in batch.columns)):
+                seen, rows = hashlib.sha256(), []
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
-                    raw = f.read()
-                if hashlib.sha256(raw).hexdigest() != sha:
+                    for h, block in records(f, seen):
+                        whole = h["WARC-Type"] == "response"
+                        digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+                        payload = block[block.index(b"\r\n\r\n") + 4 :]
+                        if whole and _base32(payload) != digest:
+                            raise ValueError(f"payload digest of {h['WARC-Record-ID']} differs")
+                        page, refers = h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID")
+                        rows.append((page and int(page), int(h["X-Payload-Length"]), digest, h["WARC-Type"], refers and int(refers), h["WARC-Target-URI"], payload if full and whole else None))
+                        if full and len(rows) == 64:
+                            yield out(rows)
+                            rows = []
+                if seen.hexdigest() != sha:
                     raise ValueError(f"{name} differs from the manifest")
-                rows = []
-                for h, block in records(raw):
-                    whole = h["WARC-Type"] == "response"
-                    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if whole and _base32(block) != digest:
-                        raise ValueError(f"payload digest of {h['WARC-Record-ID']} differs")
-                    page, refers = h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID")
-                    rows.append((page and int(page), int(h["X-Payload-Length"]), digest, h["WARC-Type"], refers and int(refers), h["WARC-Target-URI"], block if full and whole else None))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in FIELDS.split(", ")])
+                if rows:
+                    yield out(rows)
 
     return run
 
 
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The committed files below ``root``: shard, name, bytes, records, sha256."""
+    return spark.read.schema(MANIFEST).json(f"{root}/manifest")
+
+
 def read(spark: SparkSession, root: str, full: bool = False) -> DataFrame:
     """Rows of the archives that the manifest below ``root`` lists.
 
-    With ``full`` the column block has the payload of responses.
+    With ``full`` the column payload has the payload of responses.
     """
-    fs, base = _fs(root)
-    with fs.open_input_stream(f"{base}/manifest.json") as f:
-        files = json.loads(f.read())["files"]
-    if not files:
-        return spark.createDataFrame([], FIELDS)
-    listed = spark.createDataFrame([(f["name"], f["sha256"]) for f in files], "name string, sha256 string")
-    return listed.repartition(min(len(files), 4096)).mapInArrow(_read_batches(root, full), FIELDS)
+    listed = manifest(spark, root)
+    n = listed.count()
+    return listed.select("name", "sha256").repartition(max(1, n), "name").mapInArrow(_read_batches(root, full), FIELDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
