@@ -230,13 +230,13 @@ def dcf_sql(d, fcf, g, r, tg, years):
     return f"SELECT y, {fcf} * pow(1 + {g}, y) AS f, {fcf} * pow(1 + {g}, y) / pow(1 + {r}, y) AS pv FROM (SELECT {y} AS y) s"
 
 
-@op("val_dcf", "supplier", growth=0.06, rate=0.1, terminal=0.025, years=10)
-def val_dcf(d, rel, growth, rate, terminal, years):
-    """Value of each company from its base flow; NULL where the rate does not exceed the terminal growth."""
+@op("val_dcf", "supplier", company="s_suppkey", flow="s_acctbal", growth=0.06, rate=0.1, terminal=0.025, years=10)
+def val_dcf(d, rel, company, flow, growth, rate, terminal, years):
+    """Value of each company from its base flow; an error where the rate does not exceed the terminal growth."""
     if rate <= terminal:
         raise ValueError("the discount rate must exceed terminal growth")
-    f = f"SELECT s_suppkey, y, s_acctbal * pow(1 + {growth:e}, y) AS f FROM {rel} t CROSS JOIN (SELECT {d.unnest(d.seq('1', str(years)))} AS y) s"
-    return f"SELECT s_suppkey, round(sum(f / pow(1 + {rate:e}, y)), 2) AS pv_flows, round(max(CASE WHEN y = {years} THEN f END) * (1 + {terminal:e}) / ({rate - terminal:e}) / pow(1 + {rate:e}, {years}), 2) AS pv_terminal FROM ({f}) f GROUP BY s_suppkey"
+    f = f"SELECT {company}, y, {flow} * pow(1 + {growth:e}, y) AS f FROM {rel} t CROSS JOIN (SELECT {d.unnest(d.seq('1', str(years)))} AS y) s"
+    return f"SELECT {company}, round(sum(f / pow(1 + {rate:e}, y)), 2) AS pv_flows, round(max(CASE WHEN y = {years} THEN f END) * (1 + {terminal:e}) / ({rate - terminal:e}) / pow(1 + {rate:e}, {years}), 2) AS pv_terminal FROM ({f}) f GROUP BY {company}"
 
 
 @op("val_sensitivity", "region", base=100.0, terminal=0.025, years=5)
@@ -246,10 +246,11 @@ def val_sensitivity(d, rel, base, terminal, years):
     return f"SELECT g, r, CASE WHEN r > {terminal:e} THEN round({flows} + {base:e} * pow(1 + g, {years}) * (1 + {terminal:e}) / nullif(r - {terminal:e}, 0) / pow(1 + r, {years}), 4) END AS value FROM ({grid}) q"
 
 
-@op("val_equity", "supplier")
+@op("val_equity", lambda d: "SELECT s_suppkey AS company, s_acctbal * 12 AS enterprise, s_acctbal / 4 AS net_debt, 500 AS cash, 100 + s_suppkey AS shares FROM supplier")
 def val_equity(d, rel):
-    """Enterprise value less net debt, plus cash; and per share."""
-    return f"SELECT s_suppkey, round(s_acctbal * 12 - s_acctbal / 4 + 500, 4) AS equity, round((s_acctbal * 12 - s_acctbal / 4 + 500) / (100 + s_suppkey), 6) AS per_share FROM {rel} t"
+    """Enterprise value less net debt, plus cash; and per share, null without shares."""
+    e = "(enterprise - net_debt + cash)"
+    return f"SELECT company, round({e}, 4) AS equity, round({e} / nullif(shares, 0), 6) AS per_share FROM {rel} t"
 
 
 # --- statements ---
@@ -388,7 +389,9 @@ def price_tiers(d, rel):
     return f"SELECT id, round(entry_price, 4) AS entry_price, round(entry_price * 25e-1, 4) AS middle, round(entry_price * 625e-2, 4) AS premium, CASE WHEN abs(arpu - market) / market < 15e-2 THEN 'at-market' WHEN arpu < market THEN 'below-market' ELSE 'above-market' END AS stand FROM ({q}) q"
 
 
-@op("price_elasticity", "part")
-def price_elasticity(d, rel):
+@op("price_elasticity", "part", key="p_partkey", rate="p_size")
+def price_elasticity(d, rel, key, rate):
     """Bands of trial conversion in percent and the room they leave."""
-    return f"SELECT p_partkey, CASE WHEN p_size > 40 THEN 'strong-underpricing' WHEN p_size > 25 THEN 'possible-underpricing' WHEN p_size > 15 THEN 'market-priced' WHEN p_size > 8 THEN 'possible-overpricing' ELSE 'high-friction' END AS signal, CASE WHEN p_size > 40 THEN 3e-1 WHEN p_size > 25 THEN 15e-2 WHEN p_size > 15 THEN 5e-2 WHEN p_size > 8 THEN -5e-2 ELSE -15e-2 END AS headroom FROM {rel} t"
+    band = lambda *v: f"CASE WHEN {rate} > 40 THEN {v[0]} WHEN {rate} > 25 THEN {v[1]} WHEN {rate} > 15 THEN {v[2]} WHEN {rate} > 8 THEN {v[3]} ELSE {v[4]} END"
+    names = band("'strong-underpricing'", "'possible-underpricing'", "'market-priced'", "'possible-overpricing'", "'high-friction'")
+    return f"SELECT {key}, {names} AS signal, {band('3e-1', '15e-2', '5e-2', '-5e-2', '-15e-2')} AS headroom FROM {rel} t"

@@ -120,14 +120,19 @@ def dq_cross_column(d, rel, pairs):
 WEIGHTS = {"missing_values": 15, "duplicates": 10, "type_consistency": 10, "value_range": 10, "format_compliance": 10, "uniqueness": 8, "whitespace": 7, "constant_columns": 5, "distribution_skew": 5, "column_naming": 5, "cardinality": 5, "cross_column": 10}
 
 
-@op("dq_overall_score", fx.dirty, columns=ALL)
-def dq_overall_score(d, rel, columns):
-    """Weighted mean of measured dimensions (the rest count as 100) and its grade."""
-    missing = " + ".join(ones(f"{c} IS NULL") for c in columns)
-    scores = f"SELECT 100 * (1 - ({missing}) / (1e0 * count(*) * {len(columns)})) AS missing_values, 100 * (count(DISTINCT c_custkey) * 1e0 / count(*)) AS duplicates FROM {rel} t"
-    rest = 100 - WEIGHTS["missing_values"] - WEIGHTS["duplicates"]
-    total = f"(missing_values * {WEIGHTS['missing_values']} + duplicates * {WEIGHTS['duplicates']} + 100 * {rest}) / 1e2"
-    return f"SELECT round(s, 2) AS score, CASE WHEN s >= 95 THEN 'A+' WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade FROM (SELECT {total} AS s FROM ({scores}) x) y"
+def dimension_scores(d) -> str:
+    """Two measured dimensions of the customers with gaps: missing cells, and rows that repeat others."""
+    missing = " + ".join(ones(f"{c} IS NULL") for c in ALL)
+    rel = f"({fx.dirty(d)})"
+    return f"SELECT 'missing_values' AS dimension, 100 * (1 - ({missing}) / (1e0 * count(*) * {len(ALL)})) AS score FROM {rel} t UNION ALL SELECT 'duplicates', 100e0 * count(*) / sum(n) FROM (SELECT {', '.join(ALL)}, count(*) AS n FROM {rel} u GROUP BY {', '.join(ALL)}) g"
+
+
+@op("dq_overall_score", dimension_scores)
+def dq_overall_score(d, rel):
+    """Weighted mean of the scores (dimension, score) and its grade; dimensions that were not measured count as 100."""
+    lost = " ".join(f"WHEN {d.lit(k)} THEN {w}" for k, w in WEIGHTS.items())
+    s = f"SELECT 100 - coalesce(sum((100 - score) * CASE dimension {lost} ELSE 0 END), 0) / {sum(WEIGHTS.values())}e0 AS s FROM {rel} t"
+    return f"SELECT round(s, 2) AS score, CASE WHEN s >= 95 THEN 'A+' WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 60 THEN 'C' WHEN s >= 40 THEN 'D' ELSE 'F' END AS grade FROM ({s}) x"
 
 
 def column_naming(df: DataFrame) -> DataFrame:

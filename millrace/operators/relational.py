@@ -65,12 +65,11 @@ def search_substring(d, rel, category, text, category_column, columns):
     return f"SELECT doc_id, lang, source FROM {rel} t WHERE {category_column} = {d.lit(category)} AND contains(lower({joined}), {d.lit(text.lower())})"
 
 
-@op("lookup_by_id_or_alias", "part", wanted="17", id_column="p_partkey", alias_column="p_size")
-def lookup_by_id_or_alias(d, rel, wanted, id_column, alias_column):
-    """The row with the id, else the first whose alias is the name."""
-    return f"""SELECT p_partkey, p_name, priority FROM (SELECT *, row_number() OVER (ORDER BY priority, {id_column}) AS rn FROM (
-      SELECT *, CASE WHEN CAST({id_column} AS VARCHAR(20)) = {d.lit(wanted)} THEN 0 ELSE 1 END AS priority FROM {rel} t
-      WHERE CAST({id_column} AS VARCHAR(20)) = {d.lit(wanted)} OR CAST({alias_column} AS VARCHAR(20)) = {d.lit(wanted)}) a) b WHERE rn = 1"""
+@op("lookup_by_id_or_alias", lambda d: f"SELECT CAST(p_partkey AS STRING) AS id, p_name AS name, {d.array("concat('size ', CAST(p_size AS STRING))", 'p_brand')} AS aliases FROM part", wanted="size 17", id_column="id", alias_column="aliases", columns=("id", "name"))
+def lookup_by_id_or_alias(d, rel, wanted, id_column, alias_column, columns):
+    """The row with the id, else the least id among those whose list of aliases has the name."""
+    hit = f"CAST({id_column} AS STRING) = {d.lit(wanted)}"
+    return f"SELECT {', '.join(columns)}, CASE WHEN {hit} THEN 0 ELSE 1 END AS priority FROM {rel} t WHERE {hit} OR array_contains({alias_column}, {d.lit(wanted)}) ORDER BY priority, {id_column} LIMIT 1"
 
 
 # fixed values: words that mark an error
@@ -101,9 +100,10 @@ def join_left_equi(d, rel):
       SELECT s.date, s.stock, round(b.bench / b0 * s0, 4) AS rebased FROM s CROSS JOIN f CROSS JOIN g LEFT JOIN b ON s.date = b.date"""
 
 
-@op("join_map_lookup", "customer", dim="nation")
-def join_map_lookup(d, rel, dim):
-    return f"SELECT c_custkey, n_name FROM {rel} t LEFT JOIN {dim} ON c_nationkey = n_nationkey"
+@op("join_map_lookup", "customer", dim=lambda d: "nation", key="c_nationkey", dim_key="n_nationkey", value="n_name", columns=("c_custkey",))
+def join_map_lookup(d, rel, dim, key, dim_key, value, columns):
+    """The value of each row's key, null where the lookup has none."""
+    return f"SELECT {', '.join('t.' + c for c in columns)}, m.{value} FROM {rel} t LEFT JOIN {dim} m ON t.{key} = m.{dim_key}"
 
 
 @op("join_self_prior_period", fx.quarters)
@@ -117,16 +117,15 @@ def join_drawdown_points(d, rel):
       SELECT date, value / max(value) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM {rel} t) p ON e.date = p.date AND p.drawdown < 0"""
 
 
+# fixed values: suffixes of plural forms
 PLURALS = ("_zero", "_one", "_two", "_few", "_many", "_other")
 
 
-@op("join_anti_missing_keys", "part", suffixes=PLURALS)
-def join_anti_missing_keys(d, rel, suffixes):
+@op("join_anti_missing_keys", lambda d: "SELECT concat('k', CAST(p_partkey % 400 AS STRING)) AS k FROM part", have=lambda d: "SELECT concat('k', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '_other' ELSE '' END) AS k FROM part WHERE p_partkey % 3 <> 0", key="k", suffixes=PLURALS)
+def join_anti_missing_keys(d, rel, have, key, suffixes):
     """Used keys that the locale lacks, also in every plural form."""
-    used = f"SELECT DISTINCT concat('k', CAST(p_partkey % 400 AS VARCHAR(20))) AS k FROM {rel} t"
-    have = f"SELECT concat('k', CAST(p_partkey AS VARCHAR(20)), CASE WHEN p_partkey % 2 = 0 THEN '_other' ELSE '' END) AS k FROM {rel} t WHERE p_partkey % 3 <> 0"
-    forms = " UNION ALL ".join(f"SELECT k, concat(k, '{s}') AS f FROM u" for s in ("", *suffixes))
-    return f"WITH u AS ({used}), h AS ({have}), f AS ({forms}) SELECT k FROM u EXCEPT SELECT f.k FROM f JOIN h ON f.f = h.k"
+    forms = " UNION ALL ".join(f"SELECT {key}, concat({key}, '{s}') AS f FROM u" for s in ("", *suffixes))
+    return f"WITH u AS (SELECT DISTINCT {key} FROM {rel} t), f AS ({forms}) SELECT {key} FROM u EXCEPT SELECT f.{key} FROM f JOIN {have} h ON f.f = h.{key}"
 
 
 @op("join_semi_fk", fx.tasks)
@@ -144,13 +143,12 @@ def join_import_resolution(d, rel):
       SELECT k, wanted, target FROM (SELECT s.k, s.wanted, m.module AS target, row_number() OVER (PARTITION BY s.k, s.wanted ORDER BY s.cut) AS rn FROM s JOIN {rel} m ON s.suffix = m.module AND s.k <> m.k) x WHERE rn = 1"""
 
 
-@op("join_pairs_fill", "nation")
-def join_pairs_fill(d, rel):
-    """Pairs plus extra ones not there yet; a missing category comes from the other side."""
-    return f"""WITH p AS (SELECT n_nationkey AS zh, n_nationkey + 1 AS en FROM {rel} t WHERE n_nationkey % 2 = 0 AND n_nationkey < 20), x AS (SELECT n_nationkey AS zh, n_nationkey + 1 AS en FROM {rel} t WHERE n_nationkey % 4 = 0),
-      a AS (SELECT * FROM p UNION ALL SELECT x.zh, x.en FROM x LEFT JOIN (SELECT zh AS z2 FROM p) q ON x.zh = q.z2 WHERE q.z2 IS NULL),
-      c AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS cat FROM {rel} t)
-      SELECT a.zh, a.en, coalesce(z.cat, e.cat) AS zh_category, coalesce(e.cat, z.cat) AS en_category, (z.k IS NULL OR e.k IS NULL) AS missing FROM a LEFT JOIN c z ON a.zh = z.k LEFT JOIN c e ON a.en = e.k"""
+@op("join_pairs_fill", lambda d: "SELECT n_nationkey AS zh, n_nationkey + 1 AS en FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 20", extra=lambda d: "SELECT n_nationkey AS zh, n_nationkey + 1 AS en FROM nation WHERE n_nationkey % 4 = 0",
+    catalog=lambda d: "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS category FROM nation")
+def join_pairs_fill(d, rel, extra, catalog):
+    """Pairs (zh, en) plus extra ones not there yet; a missing category of the catalog (k, category) comes from the other side."""
+    return f"""WITH a AS (SELECT zh, en FROM {rel} p UNION ALL SELECT x.zh, x.en FROM {extra} x LEFT JOIN (SELECT zh AS z2 FROM {rel} r) q ON x.zh = q.z2 WHERE q.z2 IS NULL)
+      SELECT a.zh, a.en, coalesce(z.category, e.category) AS zh_category, coalesce(e.category, z.category) AS en_category, (z.k IS NULL OR e.k IS NULL) AS missing FROM a LEFT JOIN {catalog} z ON a.zh = z.k LEFT JOIN {catalog} e ON a.en = e.k"""
 
 
 @op("join_cross_pairs", "lineitem", columns=("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
@@ -175,11 +173,10 @@ def agg_top_n(d, rel, key, n):
     return f"SELECT {key}, count(*) AS n FROM {rel} t GROUP BY {key} ORDER BY n DESC, {key} LIMIT {n}"
 
 
-@op("agg_sum_add_del", "part")
-def agg_sum_add_del(d, rel):
+@op("agg_sum_add_del", lambda d: "SELECT p_brand AS file, CASE WHEN p_partkey % 7 = 0 THEN '-' ELSE CAST(p_size AS STRING) END AS added, CASE WHEN p_partkey % 7 = 0 THEN '-' ELSE CAST(p_partkey % 10 AS STRING) END AS deleted FROM part", file="file", added="added", deleted="deleted")
+def agg_sum_add_del(d, rel, file, added, deleted):
     """Sums of added and deleted lines per file; '-' of binary files is no number."""
-    return f"""SELECT p_brand AS file, {C('sum(try_cast(added AS INT))')} AS added, {C('sum(try_cast(deleted AS INT))')} AS deleted FROM (
-      SELECT p_brand, CASE WHEN p_partkey % 7 = 0 THEN '-' ELSE CAST(p_size AS VARCHAR(20)) END AS added, CASE WHEN p_partkey % 7 = 0 THEN '-' ELSE CAST(p_partkey % 10 AS VARCHAR(20)) END AS deleted FROM {rel} t) x GROUP BY 1"""
+    return f"SELECT {file} AS file, {C(f'sum(try_cast({added} AS BIGINT))')} AS added, {C(f'sum(try_cast({deleted} AS BIGINT))')} AS deleted FROM {rel} t GROUP BY {file}"
 
 
 @op("agg_share_pct", "orders", key="o_orderpriority")
@@ -277,11 +274,11 @@ def agg_level_distribution(d, rel):
     return f"SELECT coalesce(level, 'UNKNOWN') AS level, count(*) AS n FROM {rel} t GROUP BY 1"
 
 
-@op("agg_profile_rollup", "lineitem", n=20)
-def agg_profile_rollup(d, rel, n):
-    """Calls, own and cumulative time per function, with its part of the total."""
+@op("agg_profile_rollup", "lineitem", fn="l_suppkey", own="l_quantity", cumulative="l_quantity + l_tax", sort="tottime", n=20)
+def agg_profile_rollup(d, rel, fn, own, cumulative, sort, n):
+    """Calls, own and cumulative time per function, with its part of the total; ``sort`` is calls, tottime or cumtime."""
     return f"""SELECT fn, calls, tottime, cumtime, round(tottime * 100 / sum(tottime) OVER (), 2) AS pct FROM (
-      SELECT l_suppkey AS fn, count(*) AS calls, round(sum(l_quantity), 4) AS tottime, round(sum(l_quantity + l_tax), 4) AS cumtime FROM {rel} t GROUP BY l_suppkey) x ORDER BY tottime DESC, fn LIMIT {n}"""
+      SELECT {fn} AS fn, count(*) AS calls, round(sum({own}), 4) AS tottime, round(sum({cumulative}), 4) AS cumtime FROM {rel} t GROUP BY {fn}) x ORDER BY {sort} DESC, fn LIMIT {n}"""
 
 
 @op("agg_event_summary", lambda d: "SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE round(l_discount - 0.05, 4) END AS pnl_pct FROM lineitem")
@@ -292,19 +289,21 @@ def agg_event_summary(d, rel):
 # --- sets, sorts, limits ---
 
 
-@op("set_except", "orders")
-def set_except(d, rel):
-    return f"SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM {rel} t WHERE o_orderstatus = 'P' ORDER BY k"
+@op("set_except", lambda d: "SELECT c_custkey AS k FROM customer", other=lambda d: "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'", key="k")
+def set_except(d, rel, other, key):
+    return f"SELECT {key} FROM {rel} t EXCEPT SELECT {key} FROM {other} o ORDER BY {key}"
 
 
-@op("set_union_then_except", "nation")
-def set_union_then_except(d, rel):
-    return f"(SELECT n_name FROM {rel} t WHERE n_regionkey = 0 UNION SELECT n_name FROM {rel} t WHERE n_regionkey = 1) EXCEPT SELECT n_name FROM {rel} t WHERE n_nationkey % 2 = 0"
+@op("set_union_then_except", lambda d: "SELECT CASE n_regionkey WHEN 0 THEN 'en' WHEN 1 THEN 'zh' ELSE 'de' END AS locale, concat('k', CAST(n_nationkey % 10 AS STRING)) AS k FROM nation", locale="en", locale_column="locale", key="k")
+def set_union_then_except(d, rel, locale, locale_column, key):
+    """Keys of all other locales that one locale lacks."""
+    return f"SELECT {key} FROM {rel} t WHERE {locale_column} <> {d.lit(locale)} EXCEPT SELECT {key} FROM {rel} u WHERE {locale_column} = {d.lit(locale)} ORDER BY {key}"
 
 
 @op("set_dedup_key", "lineitem", keys=("l_partkey", "l_returnflag"), order=("l_shipdate", "l_orderkey", "l_linenumber"))
 def set_dedup_key(d, rel, keys, order):
-    return f"SELECT l_partkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}) AS rn FROM {rel} t) x WHERE rn = 1"
+    """The first row of each key, all columns."""
+    return f"SELECT {d.but('rn')} FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}) AS rn FROM {rel} t) x WHERE rn = 1"
 
 
 URL = r"https?://[^\s\"'<>)]+"

@@ -404,6 +404,7 @@ def win_cum_event_curve(d, rel):
     return f"SELECT date, 100 + sum(p) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT date, sum(p) AS p FROM (SELECT exit_date AS date, pct AS p FROM {rel} t UNION ALL SELECT entry_date, 0e0 FROM {rel} u) x GROUP BY date) y"
 
 
-@op("win_rank_final", "customer")
-def win_rank_final(d, rel):
-    return f"SELECT c_nationkey, total, CAST(row_number() OVER (ORDER BY total DESC, c_nationkey) AS BIGINT) AS place FROM (SELECT c_nationkey, round(sum(c_acctbal), 2) AS total FROM {rel} t GROUP BY c_nationkey) x"
+@op("win_rank_final", lambda d: "SELECT c_nationkey AS opt, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey", option="opt", total="total", order="opt")
+def win_rank_final(d, rel, option, total, order):
+    """Places by total, and by the order of the input where totals are equal; one row an option, so the window is small."""
+    return f"SELECT {option}, {total}, CAST(row_number() OVER (ORDER BY {total} DESC, {order}) AS BIGINT) AS place FROM {rel} t"

@@ -387,28 +387,41 @@ def time_parse_ampm(d, rel):
     return f"SELECT id, CASE WHEN {h} = '' THEN NULL ELSE concat(lpad(CAST((CAST({h} AS INT) % 12) + CASE WHEN lower({a}) = 'pm' THEN 12 ELSE 0 END AS VARCHAR(20)), 2, '0'), ':', CASE WHEN {m} = '' THEN '00' ELSE {m} END) END AS clock FROM (SELECT * FROM {rel} t WHERE {d.like('s', p)}) x"
 
 
-@op("dur_format", "part")
-def dur_format(d, rel):
-    """Minutes as XhYm."""
-    return f"SELECT p_partkey, CASE WHEN p_partkey >= 60 THEN concat(CAST(CAST(floor(p_partkey / 60e0) AS BIGINT) AS VARCHAR(20)), 'h', CAST(p_partkey % 60 AS VARCHAR(20)), 'm') ELSE concat(CAST(p_partkey AS VARCHAR(20)), 'm') END AS text FROM {rel} t"
+def duration(s: str) -> str:
+    """Text of seconds."""
+    h, m = f"CAST(floor({s} / 36e2) AS BIGINT)", f"CAST(floor(({s} % 3600) / 6e1) AS BIGINT)"
+    return f"CASE WHEN {s} < 0 THEN 'N/A' WHEN {s} >= 3600 THEN concat(CAST({h} AS STRING), 'h', CAST({m} AS STRING), 'm') WHEN {s} >= 0 THEN concat(CAST({m} AS STRING), 'm') END"
 
 
-@op("dur_hhmm", "part")
-def dur_hhmm(d, rel):
-    """Minutes from one clock time to another, over midnight where needed."""
-    return f"SELECT p_partkey, {C('(p_size * 30 - p_partkey % 1440 + 2880) % 1440')} AS minutes FROM {rel} t"
+@op("dur_format", lambda d: "SELECT p_partkey AS id, CAST(p_partkey * 37 - 500 AS BIGINT) AS seconds FROM part", key="id", seconds="seconds")
+def dur_format(d, rel, key, seconds):
+    """Seconds as XhYm or Ym; below zero there is no duration."""
+    return f"SELECT {key}, {duration(seconds)} AS text FROM {rel} t"
 
 
-@op("fmt_number_compact", "part")
-def fmt_number_compact(d, rel):
-    n = "(p_retailprice * p_partkey)"
-    return f"SELECT p_partkey, CASE WHEN {n} >= 1e6 THEN concat(CAST(round({n} / 1e6, 1) AS VARCHAR(40)), 'M') WHEN {n} >= 1e3 THEN concat(CAST(round({n} / 1e3, 1) AS VARCHAR(40)), 'K') ELSE CAST(round({n}, 1) AS VARCHAR(40)) END AS text FROM {rel} t"
+@op("dur_hhmm", lambda d: "SELECT p_partkey AS id, concat(CAST(p_size % 24 AS STRING), ':', lpad(CAST(p_partkey % 60 AS STRING), 2, '0')) AS a, CASE WHEN p_partkey % 13 = 0 THEN 'noon' ELSE concat(lpad(CAST(p_partkey % 24 AS STRING), 2, '0'), ':30') END AS b FROM part", key="id", start="a", end="b")
+def dur_hhmm(d, rel, key, start, end):
+    """Time from one HH:MM to another, over midnight where needed; null where either is no clock time."""
+    whole = r"^\s*([0-9]+)\s*:\s*([0-9]+)\s*$"
+    minutes = lambda c: f"(try_cast({d.extract(c, whole, 1)} AS BIGINT) * 60 + try_cast({d.extract(c, whole, 2)} AS BIGINT))"
+    gap = f"SELECT {key}, {minutes(end)} - {minutes(start)} AS m FROM {rel} t"
+    return f"SELECT {key}, {duration('s')} AS text FROM (SELECT {key}, (CASE WHEN m < 0 THEN m + 1440 ELSE m END) * 60 AS s FROM ({gap}) g) h"
 
 
-@op("fmt_bytes", "part")
-def fmt_bytes(d, rel):
-    n = "(CAST(p_partkey AS DOUBLE) * p_partkey * p_partkey)"
-    return f"SELECT p_partkey, " + "CASE " + " ".join(f"WHEN {n} < {1024 ** (k + 1)}e0 THEN concat(CAST(round({n} / {1024**k}e0, 1) AS VARCHAR(40)), ' {u}')" for k, u in enumerate(("B", "KB", "MB", "GB"))) + f" ELSE concat(CAST(round({n} / {1024**4}e0, 1) AS VARCHAR(40)), ' TB') END AS text FROM {rel} t"  # noqa: F541
+@op("fmt_number_compact", lambda d: "SELECT p_partkey AS id, p_retailprice * p_partkey AS n FROM part", key="id", number="n", whole=False)
+def fmt_number_compact(d, rel, key, number, whole):
+    """Millions as M with one decimal; thousands as K, or of whole numbers with their commas."""
+    one = lambda k: f"CAST(round({number} / {k}, 1) AS STRING)"
+    rest = f"WHEN {number} >= 1000 THEN {d.commas(number)} ELSE CAST({number} AS STRING)" if whole else f"WHEN {number} >= 1e3 THEN concat({one('1e3')}, 'K') ELSE {one('1e0')}"
+    return f"SELECT {key}, CASE WHEN {number} >= 1e6 THEN concat({one('1e6')}, 'M') {rest} END AS text FROM {rel} t"
+
+
+@op("fmt_bytes", lambda d: "SELECT p_partkey AS id, CAST(p_partkey AS DOUBLE) * p_partkey * p_size AS kb FROM part", key="id", kb="kb")
+def fmt_bytes(d, rel, key, kb):
+    """Kilobytes as B, KB, MB, GB or TB; the first two without decimals."""
+    n = f"({kb} * 1024e0)"
+    step = [f"WHEN {n} < {1024 ** (k + 1)}e0 THEN concat(" + (f"CAST(CAST(floor({n} / {1024**k}e0) AS BIGINT) AS STRING)" if k < 2 else f"CAST(round({n} / {1024**k}e0, 1) AS STRING)") + f", ' {u}')" for k, u in enumerate(("B", "KB", "MB", "GB"))]
+    return f"SELECT {key}, CASE {' '.join(step)} ELSE concat(CAST(round({n} / {1024**4}e0, 1) AS STRING), ' TB') END AS text FROM {rel} t"
 
 
 @R.query("json_flatten_keys")
@@ -504,11 +517,11 @@ def lang_resolve(d, rel):
     return f"SELECT doc_id, CASE WHEN {d.like('text', CJK)} THEN 'zh' WHEN {d.like('text', '[A-Za-z]')} THEN 'en' ELSE 'unknown' END AS lang FROM {rel} t"
 
 
-@op("sci_humidity_ratio", "part", pressure=101325.0)
-def sci_humidity_ratio(d, rel, pressure):
-    """Magnus formula; temperature in degrees, relative humidity in percent."""
-    e = "(p_partkey % 100) / 1e2 * 6.112e2 * exp(1762e-2 * p_size / (24312e-2 + p_size))"
-    return f"SELECT p_partkey, round(622e-3 * {e} / ({pressure:e} - {e}), 8) AS w FROM {rel} t"
+@op("sci_humidity_ratio", lambda d: "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS celsius, CAST(p_partkey % 101 AS DOUBLE) AS humidity FROM part", key="id", temperature="celsius", humidity="humidity", pressure=101325.0)
+def sci_humidity_ratio(d, rel, key, temperature, humidity, pressure):
+    """Magnus formula in hPa; temperature in degrees, relative humidity in percent, pressure in Pa."""
+    e = f"(61094e-4 * exp(17625e-3 * {temperature} / ({temperature} + 24304e-2)) * {humidity} / 1e2)"
+    return f"SELECT {key}, round(622e-3 * {e} / ({pressure / 100:e} - {e}), 8) AS w FROM {rel} t"
 
 
 @op("graph_import_edges", lambda d: f"SELECT p_partkey AS id, concat('import os', {d.lit(chr(10))}, 'from pkg.m', CAST(p_size AS VARCHAR(20)), ' import x', {d.lit(chr(10))}, 'import a.b') AS source FROM part")

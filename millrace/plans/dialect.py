@@ -96,6 +96,17 @@ class Dialect:
     def codepoint(self, x: str) -> str:
         return f"ascii({x})" if self.spark else f"ord({x})"
 
+    def array(self, *items: str) -> str:
+        return f"array({', '.join(items)})" if self.spark else f"list_value({', '.join(items)})"
+
+    def but(self, column: str) -> str:
+        """All columns but one."""
+        return f"* EXCEPT ({column})" if self.spark else f"* EXCLUDE ({column})"
+
+    def commas(self, x: str) -> str:
+        """A whole number with its thousands set apart."""
+        return f"format_number({x}, 0)" if self.spark else f"format('{{:,}}', {x})"
+
     def struct_text(self, x: str) -> str:
         return f"CAST({x} AS STRING)" if self.spark else f"CAST({x} AS VARCHAR)"
 
@@ -111,6 +122,10 @@ def on_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def _nested(rel: str) -> str:
+    return rel if re.fullmatch(r"\w+", rel) else f"({rel})"
+
+
 class Registry:
     """Operators of a module, their queries and the oracle's SQL."""
 
@@ -123,24 +138,32 @@ class Registry:
         """Register ``build(d, rel, **params)`` under ``name``, with a query over ``source``.
 
         The decorated function gets ``apply(df, **params)`` to run on a DataFrame.
+        A parameter that is a relation is a function of the dialect here, and a
+        DataFrame or the name of a view for ``apply``.
         """
 
         def keep(build):
             def text(d: Dialect) -> str:
                 rel = source(d) if callable(source) else source
-                rel = rel if re.fullmatch(r"\w+", rel) else f"({rel})"
-                return build(d, rel, **params)
+                return build(d, _nested(rel), **{k: _nested(v(d)) if callable(v) else v for k, v in params.items()})
 
             self.queries[name] = lambda spark, sf_dir: on_tables(spark, sf_dir, text(SPARK))
             self.sql[name] = text(DUCK)
 
             def apply(df: DataFrame, **given) -> DataFrame:
-                name = f"src_{uuid.uuid4().hex}"
-                df.createOrReplaceTempView(name)
+                views = []
+
+                def view(x: DataFrame) -> str:
+                    views.append(f"src_{uuid.uuid4().hex}")
+                    x.createOrReplaceTempView(views[-1])
+                    return views[-1]
+
                 try:
-                    return df.sparkSession.sql(build(SPARK, name, **(params | given)))
+                    told = {k: view(v) if isinstance(v, DataFrame) else _nested(v(SPARK)) if callable(v) else v for k, v in (params | given).items()}
+                    return df.sparkSession.sql(build(SPARK, view(df), **told))
                 finally:
-                    df.sparkSession.catalog.dropTempView(name)
+                    for v in views:
+                        df.sparkSession.catalog.dropTempView(v)
 
             build.apply = apply
             self.ops[name] = apply
@@ -148,11 +171,13 @@ class Registry:
 
         return keep
 
-    def query(self, name: str, sql: str | None = None):
-        """Register a function of (spark, sf_dir), with the oracle's SQL if any."""
+    def query(self, name: str, sql: str | None = None, on: Callable | None = None):
+        """Register a function of (spark, sf_dir), with the oracle's SQL if any; ``on`` is its form for DataFrames."""
 
         def keep(run):
             self.queries[name] = run
+            if on is not None:
+                self.ops[name] = on
             if sql is not None:
                 self.sql[name] = sql
             return run
