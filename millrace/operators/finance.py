@@ -69,7 +69,7 @@ def bt_window_summary(d, rel, factor):
 def lots(d) -> str:
     """Buys and sells per part, in order; returned lines are sells."""
     order = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice"
-    return f"SELECT l_partkey AS symbol, CAST(row_number() OVER (PARTITION BY l_partkey {order}) AS BIGINT) AS seq, {d.day('l_shipdate')} AS date, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) AS size, CAST(round(l_extendedprice * 100) AS BIGINT) / (1e2 * l_quantity) AS price FROM lineitem WHERE l_partkey <= 200"
+    return f"SELECT l_partkey AS symbol, CAST(row_number() OVER (PARTITION BY l_partkey {order}) AS BIGINT) AS seq, {d.day('l_shipdate')} AS date, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) AS size, CAST(round(l_extendedprice * 100) AS BIGINT) / (1e2 * l_quantity) AS price FROM lineitem"
 
 
 def fifo_sql(rel):

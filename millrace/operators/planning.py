@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from ..plans import fixtures as fx
-from ..plans.dialect import Registry
+from ..plans.dialect import DUCK, SPARK, Registry, on_tables
+from ..session import cut
 
 R = Registry()
 op = R.op
@@ -73,34 +77,82 @@ def est_fpa(d, rel):
     return f"SELECT kind, CAST(sum(w * n) AS BIGINT) AS points FROM {rel} t JOIN ({dim}) s ON kind = k AND complexity = c GROUP BY kind"
 
 
-def _levels(d, rel):
-    return f"WITH RECURSIVE lv AS (SELECT id, 0 AS level, duration AS ef FROM {rel} t WHERE dep IS NULL UNION ALL SELECT t.id, lv.level + 1, lv.ef + t.duration FROM lv JOIN {rel} t ON t.dep = lv.id)"
-
-
-@op("graph_toposort", fx.tasks)
-def graph_toposort(d, rel):
-    """Level and order of each task; tasks in a cycle have no level and are not listed."""
-    return f"{_levels(d, rel)} SELECT id, CAST(max(level) AS BIGINT) AS level, CAST(row_number() OVER (ORDER BY max(level), id) AS BIGINT) AS place FROM lv GROUP BY id"
-
-
-@op("graph_critical_path", fx.tasks)
-def graph_critical_path(d, rel):
-    """Earliest and latest times; no slack is critical."""
-    ids = f"SELECT id, dep, duration FROM {rel} t"
-    return f"""WITH RECURSIVE fwd AS (SELECT id, 0e0 AS es, duration AS ef FROM ({ids}) a WHERE dep IS NULL UNION ALL SELECT b.id, fwd.ef, fwd.ef + b.duration FROM fwd JOIN ({ids}) b ON b.dep = fwd.id),
-      up AS (SELECT id AS start, id, dep, duration, duration AS tail FROM ({ids}) c UNION ALL SELECT up.start, e.id, e.dep, e.duration, up.tail + e.duration FROM up JOIN ({ids}) e ON up.dep = e.id),
-      longest AS (SELECT id, max(tail) AS tail FROM up GROUP BY id), total AS (SELECT max(ef) AS t FROM fwd)
-      SELECT f.id, f.es, f.ef, t - l.tail AS ls, t - l.tail + (f.ef - f.es) AS lf, t - l.tail - f.es AS slack, t - l.tail - f.es < 1e-9 AS critical FROM fwd f JOIN longest l ON f.id = l.id CROSS JOIN total"""
+def longest_paths(tasks: DataFrame) -> DataFrame:
+    """(id, dep, duration) rows, one for each dependency, to (id, duration, level, start): one row a task.
+
+    Rounds over the frontier: a task is told once all it depends on are, from the
+    latest end among them.  Each round joins and aggregates rows by task, so paths
+    are never listed.  Tasks in a cycle or behind one are never told.  A task without
+    dependencies has one row with a null dep; unknown ones are ignored.
+    """
+    every = cut(tasks.groupBy("id").agg(F.max("duration").alias("duration")))
+    links = cut(tasks.where("dep IS NOT NULL").select("id", "dep").distinct().join(every.select(F.col("id").alias("dep")), "dep"))
+    state = every.join(links.groupBy("id").agg(F.count("*").alias("open")), "id", "left").fillna(0, ["open"])
+    state = cut(state.select("id", "duration", "open", F.lit(0).alias("level"), F.lit(0.0).alias("start"), F.when(F.col("open") == 0, 0).alias("round")))
+    k = 0
+    while state.where(f"round = {k}").limit(1).count():
+        ends = state.where(f"round = {k}").select(F.col("id").alias("dep"), (F.col("start") + F.col("duration")).alias("finish"))
+        news = links.join(ends, "dep").groupBy("id").agg(F.count("*").alias("n"), F.max("finish").alias("finish"))
+        left = F.col("open") - F.coalesce("n", F.lit(0))
+        k += 1
+        state = state.join(news, "id", "left").select(
+            "id", "duration", left.alias("open"), F.when(F.col("n") > 0, k).otherwise(F.col("level")).alias("level"),
+            F.greatest("start", F.coalesce("finish", F.lit(0.0))).alias("start"), F.when(F.col("n").isNotNull() & (left == 0), k).otherwise(F.col("round")).alias("round"),
+        )
+        state = cut(state)
+    return state.where("round IS NOT NULL").select("id", "duration", "level", "start")
+
+
+def toposort(tasks: DataFrame, strict: bool = False) -> DataFrame:
+    """Level and place of each task; tasks in a cycle are not listed, or an error where ``strict``."""
+    told = longest_paths(tasks)
+    if strict and told.count() != tasks.select("id").distinct().count():
+        raise ValueError("the tasks depend on each other in a cycle")
+    # places from the sizes of the levels before, so that no window holds all tasks
+    sizes = told.groupBy("level").agg(F.count("*").alias("n"))
+    before = sizes.select("level", (F.sum("n").over(Window.orderBy("level")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("level").orderBy("id"))
+    return told.join(F.broadcast(before), "level").select("id", F.col("level").cast("long").alias("level"), place.cast("long").alias("place"))
+
+
+def critical_path(tasks: DataFrame) -> DataFrame:
+    """Earliest and latest start and end, slack, and whether there is none, of each task outside cycles."""
+    there = longest_paths(tasks)
+    known = tasks.select("id").distinct()
+    back = tasks.where("dep IS NOT NULL").join(known.toDF("dep"), "dep").select(F.col("dep").alias("id"), F.col("id").alias("dep"))
+    lengths = tasks.groupBy("id").agg(F.max("duration").alias("duration"))
+    tail = longest_paths(lengths.join(back, "id", "left").select("id", "dep", "duration")).select("id", F.col("start").alias("tail"))
+    whole = there.agg(F.max(F.col("start") + F.col("duration")).alias("whole"))
+    rows = there.join(tail, "id").crossJoin(F.broadcast(whole))
+    rows = rows.select("id", F.col("start").alias("es"), (F.col("start") + F.col("duration")).alias("ef"), (F.col("whole") - F.col("tail") - F.col("duration")).alias("ls"), (F.col("whole") - F.col("tail")).alias("lf"))
+    return rows.withColumn("slack", F.col("ls") - F.col("es")).withColumn("critical", F.abs("slack") < 1e-9)
+
+
+def _walked(body: str) -> str:
+    """The oracle's recursive walk over the task tree."""
+    rel = f"({fx.tasks(DUCK)})"
+    return f"""WITH RECURSIVE lv AS (SELECT id, 0 AS level, duration, 0e0 AS es FROM {rel} t WHERE dep IS NULL UNION ALL SELECT t.id, lv.level + 1, t.duration, lv.es + lv.duration FROM lv JOIN {rel} t ON t.dep = lv.id),
+      up AS (SELECT id AS start, dep, 0e0 AS tail, duration FROM {rel} a UNION ALL SELECT e.id, e.dep, up.tail + up.duration, e.duration FROM up JOIN {rel} e ON up.dep = e.id), longest AS (SELECT start AS id, max(tail) AS tail FROM up GROUP BY start), total AS (SELECT max(es + duration) AS w FROM lv) {body}"""
+
+
+R.query("graph_toposort", _walked("SELECT id, CAST(level AS BIGINT) AS level, CAST(row_number() OVER (ORDER BY level, id) AS BIGINT) AS place FROM lv"), toposort)(lambda spark, sf_dir: toposort(on_tables(spark, sf_dir, fx.tasks(SPARK))))
+R.query(
+    "graph_critical_path",
+    _walked("SELECT l.id, es, es + duration AS ef, w - tail - duration AS ls, w - tail AS lf, w - tail - duration - es AS slack, abs(w - tail - duration - es) < 1e-9 AS critical FROM lv l JOIN longest g ON l.id = g.id CROSS JOIN total"),
+    critical_path,
+)(lambda spark, sf_dir: critical_path(on_tables(spark, sf_dir, fx.tasks(SPARK))))
 
 
 def _grid(d) -> str:
-    return "SELECT CAST(floor((p_partkey - 1) / 20e0) AS INT) AS r, CAST((p_partkey - 1) % 20 AS INT) AS c, CAST(p_size AS DOUBLE) AS z FROM part WHERE p_partkey <= 400"
+    return "SELECT CAST(floor((p_partkey - 1) / 100e0) AS INT) AS r, CAST((p_partkey - 1) % 100 AS INT) AS c, CAST(p_size AS DOUBLE) AS z FROM part"
 
 
 @op("geo_shadow_grid", _grid, dr=-1, dc=1, rise=4.0)
 def geo_shadow_grid(d, rel, dr, dc, rise):
-    """Cells shaded by a higher one along the ray to the sun."""
-    ray = f"SELECT a.r, a.c, a.z, k FROM {rel} a CROSS JOIN (SELECT {d.unnest(d.seq('1', '40'))} AS k) s"
-    return f"SELECT p.r, p.c, max(CASE WHEN b.z > p.z + p.k * {rise:e} THEN 1 ELSE 0 END) = 1 AS shaded FROM ({ray}) p LEFT JOIN (SELECT r AS r2, c AS c2, z FROM {rel} g) b ON b.r2 = p.r + {dr} * p.k AND b.c2 = p.c + {dc} * p.k GROUP BY p.r, p.c"
-
-
+    """Cells (r, c, z) shaded by a higher one along the ray to the sun, which goes on to the edge of the grid; cells without a height are shaded and shade none."""
+    room = [f"floor(({'mr - r' if dr > 0 else 'r'}) / {abs(dr)}e0)"] if dr else []
+    room += [f"floor(({'mc - c' if dc > 0 else 'c'}) / {abs(dc)}e0)"] if dc else []
+    steps = f"least({', '.join(room)}, 2 * greatest(mr, mc) + 1)"
+    ray = f"SELECT r, c, z, {d.unnest(d.seq('1', 'CAST(steps AS INT)'))} AS k FROM (SELECT r, c, z, {steps} AS steps FROM {rel} a CROSS JOIN (SELECT max(r) AS mr, max(c) AS mc FROM {rel} e) m) w WHERE steps >= 1 AND z IS NOT NULL"
+    hit = f"SELECT DISTINCT p.r, p.c FROM ({ray}) p JOIN (SELECT r AS r2, c AS c2, z AS z2 FROM {rel} g) b ON b.r2 = p.r + {dr} * p.k AND b.c2 = p.c + {dc} * p.k WHERE b.z2 > p.z + p.k * {rise:e}"
+    return f"SELECT t.r, t.c, (h.r IS NOT NULL OR t.z IS NULL) AS shaded FROM {rel} t LEFT JOIN ({hit}) h ON t.r = h.r AND t.c = h.c"

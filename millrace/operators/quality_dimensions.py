@@ -136,30 +136,43 @@ def dq_overall_score(d, rel):
 
 
 def column_naming(df: DataFrame) -> DataFrame:
-    """Names that are no plain identifier, and whether cases are mixed over all names."""
-    plain = re.compile(r"^[A-Za-z_一-鿿][A-Za-z0-9_一-鿿]*$")
-    cases = {("lower" if c.islower() else "upper" if c.isupper() else "mixed") for c in df.columns if re.search("[A-Za-z]", c)}
-    rows = [(c, bool(plain.match(c)), len(cases) > 1) for c in df.columns]
-    return df.sparkSession.createDataFrame(rows, "col string, valid boolean, mixed_case boolean")
-
-
-@R.query("dq_column_naming")
+    """Problems of column names, a row for mixed cases over all of them, and the score on each row."""
+    plain = re.compile(r"^[a-zA-Z_一-鿿][a-zA-Z0-9_一-鿿]*$")
+    rows = []
+    for c in df.columns:
+        bare = c.strip()
+        found = [n for n, bad in (("padded", c != bare), ("blanks", " " in bare), ("characters", not plain.match(bare))) if bad]
+        if found:
+            rows.append((c, ",".join(found)))
+    styles = {"lower" if c == c.lower() else "upper" if c == c.upper() else "mixed" for c in map(str.strip, df.columns)}
+    if len(styles) > 1:
+        rows.append(("(all)", "mixed case"))
+    score = max(0.0, round(100 * (1 - len(rows) / (max(1, len(df.columns)) + 1)), 2))
+    return df.sparkSession.createDataFrame([(*r, score) for r in rows] or [("(all)", "none", score)], "col string, problems string, score double")
+
+
+@R.query("dq_column_naming", "SELECT * FROM (VALUES ('Customer Name', 'blanks,characters', 25e0), ('2nd', 'characters', 25e0), ('(all)', 'mixed case', 25e0)) v(col, problems, score)", column_naming)
 def dq_column_naming(spark, sf_dir):
     return column_naming(on_tables(spark, sf_dir, "SELECT c_custkey, c_name AS `Customer Name`, c_acctbal AS `2nd` FROM customer"))
 
 
-@R.query("project_numeric")
-def project_numeric(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+def numeric_columns(df: DataFrame) -> DataFrame:
     return df.select(*[f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)])
 
 
-@R.query("set_intersect_missing")
-def set_intersect_missing(spark, sf_dir):
+@R.query("project_numeric", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem", numeric_columns)
+def project_numeric(spark, sf_dir):
+    return numeric_columns(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def missing_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """Required columns that a table lacks."""
-    have = set(spark.read.parquet(f"{sf_dir}/orders.parquet").columns)
-    need = {"o_orderkey", "o_orderdate", "o_close", "o_ticker"}
-    return spark.createDataFrame([(c,) for c in sorted(need - have)], "missing string")
+    return df.sparkSession.createDataFrame([(c,) for c in sorted(set(required) - set(df.columns))], "missing string")
+
+
+@R.query("set_intersect_missing", "SELECT * FROM (VALUES ('o_close'), ('o_ticker')) v(missing)", missing_columns)
+def set_intersect_missing(spark, sf_dir):
+    return missing_columns(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderkey", "o_orderdate", "o_close", "o_ticker"])
 
 
 # --- outliers ---

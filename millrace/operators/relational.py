@@ -131,7 +131,7 @@ def join_anti_missing_keys(d, rel, have, key, suffixes):
 @op("join_semi_fk", fx.tasks)
 def join_semi_fk(d, rel):
     """Dependencies without a task; one more is planted."""
-    return f"WITH t AS (SELECT id, dep FROM {rel} r UNION ALL SELECT 900, 901) SELECT t.id, t.dep FROM t LEFT JOIN (SELECT id AS known FROM t) k ON t.dep = k.known WHERE t.dep IS NOT NULL AND k.known IS NULL"
+    return f"WITH t AS (SELECT id, dep FROM {rel} r UNION ALL SELECT -1, -2) SELECT t.id, t.dep FROM t LEFT JOIN (SELECT id AS known FROM t) k ON t.dep = k.known WHERE t.dep IS NOT NULL AND k.known IS NULL"
 
 
 @op("join_import_resolution", lambda d: "SELECT n_name AS file, concat('pkg.', lower(replace(n_name, ' ', '_'))) AS module, n_nationkey AS k FROM nation")

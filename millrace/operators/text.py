@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import fixtures as fx
@@ -82,15 +85,16 @@ def log_parse_nginx(d, rel):
     return f"SELECT event_id, {g(1)} AS client, {g(4)} AS path, CAST({g(5)} AS INT) AS status, CASE WHEN {g(5)} >= '500' THEN 'ERROR' WHEN {g(5)} >= '400' THEN 'WARN' ELSE 'INFO' END AS level FROM (SELECT * FROM {rel} t WHERE {d.like('line', p)}) n"
 
 
-@R.query("log_detect_format")
-def log_detect_format(spark, sf_dir):
-    """The first format that one of the first 20 lines has; JSON without any."""
-    from ..plans.dialect import SPARK
+FORMATS = (("json", r"^\s*\{.*\}\s*$"), ("syslog", r"^[A-Z][a-z]{2} +[0-9]+ "), ("nginx", r'^[^ ]+ [^ ]+ [^ ]+ \[.*\] "'))
+
 
-    lines = [r["line"] for r in on_tables(spark, sf_dir, log_lines(SPARK)).orderBy("event_id").limit(20).collect()]
-    tests = [("json", r"^\s*\{.*\}\s*$"), ("syslog", r"^[A-Z][a-z]{2} +\d+ "), ("nginx", r'^\S+ \S+ \S+ \[.*\] "')]
-    name = next((n for x in lines for n, p in tests if re.match(p, x)), "json")
-    return spark.createDataFrame([(name,)], "format string")
+@op("log_detect_format", log_lines, line="line", order="event_id")
+def log_detect_format(d, rel, line, order):
+    """The first format that one of the first 20 lines has; JSON without any."""
+    valid = f"try_parse_json({line}) IS NOT NULL" if d.spark else f"json_valid({line})"
+    tests = " ".join(f"WHEN {d.like(line, p)}{' AND ' + valid if n == 'json' else ''} THEN '{n}'" for n, p in FORMATS)
+    first = f"SELECT CASE {tests} END AS format, {order} AS place FROM {rel} t ORDER BY {order} LIMIT 20"
+    return f"SELECT coalesce(min_by(format, place), 'json') AS format FROM ({first}) f WHERE format IS NOT NULL"
 
 
 @op("str_shannon_entropy", lambda d: "SELECT p_partkey AS id, p_name AS s FROM part")
@@ -260,14 +264,34 @@ def text_chunk_overlap(d, rel, tokens, overlap, chars_per_token):
     return f"SELECT doc_id, i AS chunk, i * {step} AS start, {C(f'length(substr(text, CAST(i * {step} + 1 AS INT), {size}))')} AS size, {d.sha256(f'substr(text, CAST(i * {step} + 1 AS INT), {size})')} AS digest FROM (SELECT doc_id, text, {start} AS i FROM {rel} t WHERE length(text) > 0) c"
 
 
-@R.query("text_srt_clean")
+def srt_text(srt: Column) -> Column:
+    """Paragraphs of subtitles: no counters, times, tags and neighbouring repeats; a paragraph ends with a sentence or past 200 characters."""
+    lines = F.filter(F.transform(F.split(srt, "\n"), F.trim), lambda x: ~x.rlike(r"^[0-9]+$|^[0-9]{2}:[0-9]{2}:[0-9]{2}") & (x != ""))
+    clean = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), "align:.*$|position:.*$", ""))), lambda x: x != "")
+
+    def fold(lines: Column) -> Column:
+        once = F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
+        start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+
+        def step(s, x):
+            now = F.when(s["now"] == "", x).otherwise(F.concat(s["now"], F.lit(" "), x))
+            full = (F.length(now) > 200) | x.rlike("[。！？.!?]$")
+            return F.struct(F.when(full, "").otherwise(now).alias("now"), F.when(full, F.concat(s["done"], F.array(now))).otherwise(s["done"]).alias("done"))
+
+        return F.aggregate(once, start, step, lambda s: F.array_join(F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))), "\n\n"))
+
+    return F.element_at(F.transform(F.array(clean), fold), 1)
+
+
+def srt_clean(df: DataFrame, key: str, column: str) -> DataFrame:
+    return df.select(key, srt_text(F.col(column)).alias("text"))
+
+
+@R.query("text_srt_clean", on=srt_clean)
 def text_srt_clean(spark, sf_dir):
-    """Subtitle lines without counters, times, tags and repeats, as one text per conversation."""
-    df = on_tables(spark, sf_dir, r"SELECT conv_id, turn, concat(turn, '\n00:00:01,000 --> 00:00:02,000\n<i>', text, '</i>\n', text) AS srt FROM conversations")
-    lines = df.select("conv_id", "turn", F.posexplode(F.split("srt", "\n")).alias("i", "line")).where(~F.col("line").rlike(r"^\s*\d+\s*$|-->|^\s*$"))
-    clean = lines.withColumn("line", F.trim(F.regexp_replace("line", "<[^>]+>", "")))
-    rows = F.array_sort(F.collect_list(F.struct("turn", "i", "line")))
-    return clean.groupBy("conv_id").agg(rows.alias("r")).select("conv_id", F.array_join(F.filter(F.transform("r", lambda x, k: F.when((k == 0) | (F.col("r")[k - 1]["line"] != x["line"]), x["line"])), lambda x: x.isNotNull()), " ").alias("text"))
+    """Turns of conversations as subtitles with a repeated line."""
+    df = on_tables(spark, sf_dir, r"SELECT concat(conv_id, '-', turn) AS id, concat(turn, '\n00:00:01,000 --> 00:00:02,000\n<i>', text, '</i>\n', text) AS srt FROM conversations")
+    return srt_clean(df, "id", "srt")
 
 
 @op("text_structure_check", "documents")
@@ -290,55 +314,84 @@ def html_strip_elements(d, rel):
     return f"SELECT page_id, {C("length(" + bare_html(d, "html") + ")")} AS size, {d.sha256(bare_html(d, 'html'))} AS digest FROM {rel} t"
 
 
-@R.query("html_structure")
-def html_structure(spark, sf_dir):
-    """Title, headings, navigation links, sections and words of each page."""
-
+PAGE = "title string, headings array<struct<level: int, text: string>>, nav_links array<struct<text: string, href: string>>, sections array<struct<tag: string, id: string, `class`: string, role: string>>, main_words long, description string, keywords string, canonical string, og_title string"
+EMPTY_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+def page_structure(html: str | None) -> tuple:
+    """Title, headings, navigation links, sections, words of the main part and metadata of a page."""
+    from html.parser import HTMLParser
+
+    class Page(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.title, self.heads, self.links, self.sections, self.main, self.meta = [], "", [], [], [], None, {}
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "meta":
+                self.meta.setdefault(a.get("name") or a.get("property"), a.get("content"))
+            if tag == "link" and a.get("rel") == "canonical":
+                self.meta.setdefault("canonical", a.get("href"))
+            main = self.main is None and (tag == "main" or a.get("role") == "main" or a.get("id") in ("main", "content") or "main-content" in (a.get("class") or "").split())
+            if main:
+                self.main = ""
+            if tag in EMPTY_TAGS:
+                return
+            self.path.append((tag, main, tag in ("nav", "header") or a.get("role") == "navigation"))
+            if tag in ("main", "article", "section", "aside", "footer"):
+                self.sections.append((tag, a.get("id") or None, (a.get("class") or "")[:100] or None, a.get("role")))
+            if re.fullmatch("h[1-6]", tag):
+                self.heads.append([int(tag[1]), ""])
+            if tag == "a" and any(nav for _, _, nav in self.path):
+                self.links.append(["", a.get("href") or ""])
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _, _ in self.path):
+                while self.path.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            tags = [t for t, _, _ in self.path]
+            if tags[-1:] == ["title"]:
+                self.title += data
+            if {"script", "style", "noscript", "title"} & set(tags):
+                return
+            if self.heads and any(re.fullmatch("h[1-6]", t) for t in tags):
+                self.heads[-1][1] += data
+            if "a" in tags and self.links and any(nav for _, _, nav in self.path):
+                self.links[-1][0] += data
+            if any(main for _, main, _ in self.path):
+                self.main += data
+
+    p = Page()
+    p.feed(html or "")
+    p.close()
+    links = {}
+    for text, href in p.links:
+        if href and text.strip() and len(links) < 30:
+            links.setdefault(href, (text.strip()[:100], href))
+    words = None if p.main is None else len(re.split(r"\s+", p.main))
+    return p.title.strip(), [(n, t.strip()[:200]) for n, t in p.heads[:50]], list(links.values()), p.sections[:20], words, *(p.meta.get(k) for k in ("description", "keywords", "canonical", "og:title"))
+
+
+def structure(df: DataFrame, key: str, column: str) -> DataFrame:
     def parse(batches):
-        from html.parser import HTMLParser
-
-        import pandas as pd
-
-        class Page(HTMLParser):
-            def __init__(self):
-                super().__init__()
-                self.path, self.title, self.heads, self.links, self.sections, self.words, self.meta = [], "", [], [], 0, 0, 0
-
-            def handle_starttag(self, tag, attrs):
-                if tag == "meta":
-                    self.meta += 1
-                if tag in ("meta", "br", "img", "link", "hr", "input"):
-                    return
-                self.path.append(tag)
-                self.sections += tag in ("section", "article", "main")
-                if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    self.heads.append("")
-                if tag == "a" and "nav" in self.path:
-                    self.links.append(dict(attrs).get("href") or "")
-
-            def handle_endtag(self, tag):
-                if tag in self.path:
-                    while self.path.pop() != tag:
-                        pass
-
-            def handle_data(self, data):
-                tag = self.path[-1] if self.path else ""
-                if tag == "title":
-                    self.title += data
-                elif self.heads and any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in self.path):
-                    self.heads[-1] += data
-                if tag not in ("script", "style", "noscript"):
-                    self.words += len(data.split())
-
-        for pdf in batches:
-            rows = []
-            for page_id, html in zip(pdf["page_id"], pdf["html"]):
-                p = Page()
-                p.feed(html or "")
-                rows.append((page_id, p.title.strip(), [h.strip()[:200] for h in p.heads[:50]], list(dict.fromkeys(p.links))[:30], min(p.sections, 20), p.words, p.meta))
-            yield pd.DataFrame(rows, columns=["page_id", "title", "headings", "nav_links", "sections", "words", "meta"])
-
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").mapInPandas(parse, "page_id long, title string, headings array<string>, nav_links array<string>, sections long, words long, meta long")
+        for batch in batches:
+            rows = [page_structure(x.as_py()) for x in batch.column(1)]
+            cols = [pa.array(list(c), f) for c, f in zip(zip(*rows), kinds)] if rows else [pa.array([], f) for f in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
+
+    three, text = pa.struct([("level", pa.int32()), ("text", pa.string())]), pa.string()
+    kinds = [text, pa.list_(three), pa.list_(pa.struct([("text", text), ("href", text)])), pa.list_(pa.struct([(c, text) for c in ("tag", "id", "class", "role")])), pa.int64(), *[text] * 4]
+    names = ["_key", "title", "headings", "nav_links", "sections", "main_words", "description", "keywords", "canonical", "og_title"]
+    rows = df.select(F.col(key).alias("_key"), column)
+    return rows.mapInArrow(parse, f"_key {rows.schema[0].dataType.simpleString()}, {PAGE}").withColumnRenamed("_key", key)
+
+
+@R.query("html_structure", on=structure)
+def html_structure(spark, sf_dir):
+    return structure(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
 
 
 @op("html_paginate", "pages", page=1, size=1000)
@@ -424,25 +477,32 @@ def fmt_bytes(d, rel, key, kb):
     return f"SELECT {key}, CASE {' '.join(step)} ELSE concat(CAST(round({n} / {1024**4}e0, 1) AS STRING), ' TB') END AS text FROM {rel} t"
 
 
-@R.query("json_flatten_keys")
-def json_flatten_keys(spark, sf_dir):
-    """Dotted paths of leaves in each JSON value; a list is a leaf."""
+def flatten_keys(df: DataFrame, key: str, column: str) -> DataFrame:
+    """Dotted paths of leaves in each JSON value; a list is a leaf, what is no JSON has none."""
+
+    def leaves(x, path):
+        if isinstance(x, dict) and x:
+            for k, v in x.items():
+                yield from leaves(v, f"{path}.{k}" if path else k)
+        elif path:
+            yield path
 
-    def flat(batches):
-        import pandas as pd
+    def flat(text):
+        try:
+            return list(leaves(json.loads(text), "")) if text else []
+        except ValueError:
+            return []
 
-        def walk(x, path):
-            if isinstance(x, dict) and x:
-                for k, v in x.items():
-                    yield from walk(v, f"{path}.{k}" if path else k)
-            else:
-                yield path
+    @F.pandas_udf("array<string>")
+    def paths(texts: pd.Series) -> pd.Series:
+        return texts.map(flat)
 
-        for pdf in batches:
-            rows = [(i, p) for i, s in zip(pdf["event_id"], pdf["props"]) if s for p in walk(json.loads(s), "")]
-            yield pd.DataFrame(rows, columns=["event_id", "path"])
+    return df.select(key, F.explode(paths(F.col(column).cast("string"))).alias("path"))
 
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props").mapInPandas(flat, "event_id long, path string")
+
+@R.query("json_flatten_keys", "SELECT event_id, unnest(json_keys(props)) AS path FROM events WHERE props IS NOT NULL", flatten_keys)
+def json_flatten_keys(spark, sf_dir):
+    return flatten_keys(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "props")
 
 
 @op("json_get_path", "events")
@@ -450,13 +510,42 @@ def json_get_path(d, rel):
     return f"SELECT event_id, coalesce({d.json('props', 'k')}, 'none') AS v FROM {rel} t"
 
 
-@R.query("frontmatter_parse")
+def header_of(text: str | None) -> dict[str, str | list[str]]:
+    """Keys of a header between two rows of dashes: ``key: value``, or a list of ``- item`` lines."""
+    head = re.match(r"---\r?\n(.*?)\r?\n---(?:\r?\n|$)", text or "", re.S)
+    out: dict[str, str | list[str]] = {}
+    key = None
+    bare = lambda v: v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v
+    for line in re.split(r"\r?\n", head[1]) if head else ():
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
+        if line.startswith("- ") and key:
+            out[key] = [*(out[key] if isinstance(out[key], list) else ()), bare(line[2:].strip())]
+        elif ":" in line:
+            key, value = (x.strip() for x in line.split(":", 1))
+            out[key] = bare(value) if value else []
+    return out
+
+
+def frontmatter(df: DataFrame, key: str, column: str) -> DataFrame:
+    """One row for each key of each header: k, and v or the list items."""
+
+    @F.pandas_udf("array<struct<k: string, v: string, items: array<string>>>")
+    def pairs(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"k": k, "v": None if isinstance(v, list) else v, "items": v if isinstance(v, list) else None} for k, v in header_of(t).items()])
+
+    return df.select(key, F.explode(pairs(column)).alias("p")).select(key, "p.k", "p.v", "p.items")
+
+
+@R.query(
+    "frontmatter_parse",
+    "SELECT doc_id, 'lang' AS k, lang AS v, NULL AS items FROM documents UNION ALL SELECT doc_id, 'source', source, NULL FROM documents UNION ALL SELECT doc_id, 'tags', NULL, 'a|b' FROM documents",
+    frontmatter,
+)
 def frontmatter_parse(spark, sf_dir):
-    """Header lines ``key: value`` and lists between two rows of dashes."""
-    df = on_tables(spark, sf_dir, r"SELECT doc_id, concat('---\nlang: ', lang, '\nsource: ', source, '\ntags: [a, b]\n---\n', text) AS text FROM documents")
-    head = F.regexp_extract("text", r"(?s)^---\n(.*?)\n---", 1)
-    pairs = F.transform(F.split(head, "\n"), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-    return df.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.k", "p.v")
+    df = on_tables(spark, sf_dir, r"SELECT doc_id, concat('---\nlang: ', lang, '\n# note\nsource: \"', source, '\"\ntags:\n  - a\n  - b\n---\n', text) AS text FROM documents")
+    return frontmatter(df, "doc_id", "text").withColumn("items", F.array_join("items", "|"))
 
 
 @op("unit_to_ms", lambda d: "SELECT p_partkey AS id, concat(CAST(p_size AS VARCHAR(20)), CASE p_partkey % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'ms' ELSE 's' END) AS s FROM part")
@@ -465,24 +554,47 @@ def unit_to_ms(d, rel):
     return f"SELECT id, CAST({n} AS DOUBLE) * CASE {u} WHEN 'us' THEN 1e-3 WHEN 's' THEN 1e3 ELSE 1e0 END AS ms FROM {rel} t"
 
 
-_WRK = "concat('Requests/sec: ', CAST(p_size AS STRING), '.5\\n  90%   ', CAST(p_size AS STRING), '.1ms\\n  99%   1.2s\\nLatency 3.5ms')"
+def _number(d, pattern: str, column: str) -> str:
+    return f"coalesce(try_cast({d.extract(column, pattern)} AS DOUBLE), 0)"
+
+
+def _milliseconds(d, pattern: str, column: str) -> str:
+    unit = f"CASE {d.extract(column, pattern, 2)} WHEN 'us' THEN 1e-3 WHEN 's' THEN 1e3 ELSE 1e0 END"
+    return f"round({_number(d, pattern, column)} * {unit}, 6)"
+
+
+def wrk_output(d) -> str:
+    lines = ["concat('  Latency   ', CAST(p_size AS STRING), '.5us   1.2ms  9.0ms')", "'     50%    1.25ms'", "concat('     90%   ', CAST(p_size AS STRING), '.1ms')", "'     99%    1.2s'", "concat('  ', CAST(p_partkey * 3 AS STRING), ' requests in 10.0s, 2MB read')"]
+    lines += ["CASE WHEN p_partkey % 2 = 0 THEN '  Socket errors: connect 1, read 2, write 0, timeout 4' ELSE '' END", "CASE WHEN p_partkey % 3 = 0 THEN concat('  Non-2xx or 3xx responses: ', CAST(p_size AS STRING)) ELSE '' END", "concat('Requests/sec:   ', CAST(p_size AS STRING), '.5')"]
+    return f"SELECT p_partkey AS id, concat({', chr(10), '.join(lines)}) AS output FROM part"
+
+
+@op("perf_parse_wrk", wrk_output, key="id", column="output")
+def perf_parse_wrk(d, rel, key, column):
+    """Rates, latencies in ms, requests and errors; zero for what the output lacks."""
+    at = lambda p: _milliseconds(d, rf"(?m)^\s*{p}%\s+([0-9.]+)(us|ms|s)", column)
+    socket = r"Socket errors:\s*connect\s+([0-9]+),\s*read\s+([0-9]+),\s*write\s+([0-9]+),\s*timeout\s+([0-9]+)"
+    errors = " + ".join([*(f"coalesce(try_cast({d.extract(column, socket, i)} AS BIGINT), 0)" for i in range(1, 5)), f"coalesce(try_cast({d.extract(column, 'Non-2xx or 3xx responses:[ ]+([0-9]+)')} AS BIGINT), 0)"])
+    return f"""SELECT {key}, {_number(d, 'Requests/sec:[ ]+([0-9.]+)', column)} AS rps, {_milliseconds(d, r'(?m)^[ ]*Latency[ ]+([0-9.]+)(us|ms|s)[ ]', column)} AS avg_latency_ms, {at(50)} AS p50_ms, {at(90)} AS p90_ms, {at(99)} AS p99_ms,
+      coalesce(try_cast({d.extract(column, '([0-9]+)[ ]+requests in')} AS BIGINT), 0) AS total_requests, {errors} AS errors FROM {rel} t"""
 
 
-@R.query("perf_parse_wrk")
-def perf_parse_wrk(spark, sf_dir):
-    df = on_tables(spark, sf_dir, f"SELECT p_partkey, {_WRK} AS out FROM part")
-    get = lambda p: F.regexp_extract("out", p, 1).cast("double")
-    unit = F.regexp_extract("out", r"99% +[0-9.]+(us|ms|s)", 1)
-    return df.select("p_partkey", get(r"Requests/sec: +([0-9.]+)").alias("rps"), get(r"90% +([0-9.]+)").alias("p90_ms"), (get(r"99% +([0-9.]+)") * F.when(unit == "s", 1000).when(unit == "us", 0.001).otherwise(1)).alias("p99_ms"))
+def ab_output(d) -> str:
+    lines = ["concat('Complete requests:      ', CAST(p_partkey AS STRING))", "concat('Failed requests:        ', CAST(p_size AS STRING))", "concat('Requests per second:    ', CAST(p_size AS STRING), '.25 [#/sec] (mean)')", "'Time per request:       12.5 [ms] (mean)'", "'  50%      4'", "'  90%      8'", "concat('  99%     ', CAST(p_size AS STRING))"]
+    table = "CASE WHEN p_partkey % 2 = 0 THEN concat('Percentage served,Time in ms', chr(10), '50,3.5', chr(10), '92,', CAST(p_size AS STRING), '.5', chr(10), '100,20.25') END"
+    return f"SELECT p_partkey AS id, concat({', chr(10), '.join(lines)}) AS output, {table} AS percentiles FROM part"
 
 
-@R.query("perf_parse_ab")
-def perf_parse_ab(spark, sf_dir):
-    """The first tabulated percentile of 90 or more, and of 99 or more."""
-    df = on_tables(spark, sf_dir, "SELECT p_partkey, concat('Requests per second:    ', CAST(p_size AS STRING), '.25 [#/sec]\\n  50%  4\\n  95%  9\\n 100%  20') AS out FROM part")
-    pairs = F.transform(F.regexp_extract_all("out", F.lit(r"(\d+%\s+\d+)"), F.lit(1)), lambda x: F.struct(F.split(x, r"%\s+")[0].cast("int").alias("p"), F.split(x, r"%\s+")[1].cast("int").alias("ms")))
-    first = lambda n: F.element_at(F.filter("pairs", lambda x: x["p"] >= n), 1)["ms"]
-    return df.withColumn("pairs", pairs).select("p_partkey", F.regexp_extract("out", r"Requests per second: +([0-9.]+)", 1).cast("double").alias("rps"), first(90).alias("p90_ms"), first(99).alias("p99_ms"))
+@op("perf_parse_ab", ab_output, key="id", column="output", table="percentiles")
+def perf_parse_ab(d, rel, key, column, table):
+    """As for wrk; where there is a table of percentiles its 50th and the first from 90 and from 99 count."""
+    text = lambda p: _number(d, rf"(?m)^\s+{p}%\s+([0-9]+)", column)
+    rows = f"SELECT {key}, {d.unnest(d.extract_all(table, '(?m)^[0-9.]+,[0-9.]+'))} AS x FROM {rel} u WHERE {table} IS NOT NULL"
+    pairs = f"SELECT {key}, CAST({d.extract('x', '^([0-9.]+),')} AS DOUBLE) AS p, CAST({d.extract('x', ',([0-9.]+)$')} AS DOUBLE) AS ms FROM ({rows}) x"
+    told = f"SELECT {key}, max(CASE WHEN p = 50 THEN ms END) AS t50, min_by(ms, CASE WHEN p >= 90 THEN p END) AS t90, min_by(ms, CASE WHEN p >= 99 THEN p END) AS t99 FROM ({pairs}) q GROUP BY {key}"
+    count = lambda p: f"coalesce(try_cast({d.extract(column, p)} AS BIGINT), 0)"
+    return f"""SELECT t.{key}, {_number(d, 'Requests per second:[ ]+([0-9.]+)', column)} AS rps, {_number(d, r'(?m)Time per request:[ ]+([0-9.]+)[ ]+[\[]ms[\]][ ]+[(]mean[)]$', column)} AS avg_latency_ms, coalesce(t50, {text(50)}) AS p50_ms, coalesce(t90, {text(90)}) AS p90_ms, coalesce(t99, {text(99)}) AS p99_ms,
+      {count('Complete requests:[ ]+([0-9]+)')} AS total_requests, {count('Failed requests:[ ]+([0-9]+)')} AS errors FROM {rel} t LEFT JOIN ({told}) s ON t.{key} = s.{key}"""
 
 
 PATHS = lambda d: "SELECT p_partkey AS id, p_brand AS change_set, concat(CASE p_size % 6 WHEN 0 THEN 'docs/' WHEN 1 THEN 'tests/' WHEN 2 THEN '.github/workflows/' WHEN 3 THEN 'src/core/' ELSE 'src/api/' END, 'f', CAST(p_partkey AS VARCHAR(20)), CASE p_partkey % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.yml' ELSE '.py' END) AS path FROM part"

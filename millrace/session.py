@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "millrace", **conf: str) -> SparkSession:
@@ -15,9 +16,26 @@ def session(name: str = "millrace", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; only in local mode may it be a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        where = spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="millrace-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, or a temporary one in local mode."""
-    import uuid
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
