@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.dialect import TABLES, Registry, on_tables
-from ..session import scratch
+from ..plans import fixtures as fx
+from ..plans.dialect import DUCK, SPARK, TABLES, Registry, on_tables
+from ..session import cut, scratch
 
 R = Registry()
 
@@ -41,12 +42,15 @@ def numeric_cells(df: DataFrame) -> DataFrame:
 
 
 def walk(spark: SparkSession, root: str, most: int = 1 << 20, skip=(".git", "node_modules", "__pycache__", "dist", "build"), binary=("png", "jpg", "gif", "zip", "gz", "jar", "so", "pdf")) -> DataFrame:
-    """Files below ``root`` but empty, oversize and binary ones and those in skipped folders."""
+    """Files below ``root`` but empty, oversize and binary ones and those in skipped folders below it; with their paths from there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    where = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toString().rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    below = F.substring("path", len(where) + 2, 1 << 20)
     ok = (F.col("length") > 0) & (F.col("length") <= most) & ~F.lower(F.substring_index("path", ".", -1)).isin(*binary)
     for s in skip:
-        ok = ok & ~F.col("path").contains(f"/{s}/")
-    return df.where(ok).select("path", "length", "content")
+        ok = ok & ~F.concat(F.lit("/"), below).contains(f"/{s}/")
+    return df.where(ok).select("path", below.alias("relative_path"), "length", "content")
 
 
 def write(df: DataFrame, path: str, kind: str) -> bool:
@@ -64,13 +68,6 @@ def report(spark: SparkSession, path: str, content: dict) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def with_manifest(df: DataFrame, path: str, name: str) -> DataFrame:
-    """Write CSV and list its files with their SHA-256 digests."""
-    write(df, f"{path}/{name}", "csv")
-    files = df.sparkSession.read.format("binaryFile").load(f"{path}/{name}/*.csv")
-    return files.select(F.lit(name).alias("name"), F.col("length"), F.sha2("content", 256).alias("sha256"))
-
-
 NATION = "n_nationkey INT, n_name STRING, n_regionkey INT"
 
 
@@ -93,7 +90,7 @@ R.query("scan_tsv", _SAME)(_through("csv", "tsv", "\t"))
 R.query("scan_json", _SAME)(_through("json", "json"))
 
 
-@R.query("scan_csv_bom")
+@R.query("scan_csv_bom", "SELECT * FROM (VALUES ('1', 'a'), ('2', 'b')) v(id, name)")
 def scan_csv_bom(spark, sf_dir):
     path = f"{scratch(spark, 'bom')}.csv"
     spark.createDataFrame([("﻿id,name",), ("1,a",), ("2,b",)], "value string").coalesce(1).write.text(path)
@@ -108,19 +105,24 @@ def scan_csv_quoted_autotype(spark, sf_dir):
     return numeric_cells(scan(spark, path))
 
 
-@R.query("scan_log_text")
+def scan_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of log files; bytes that are no UTF-8 become U+FFFD."""
+    return spark.read.text(path)
+
+
+@R.query("scan_log_text", "SELECT concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' INFO ', event_type) AS value FROM events")
 def scan_log_text(spark, sf_dir):
     path = scratch(spark, "log")
-    on_tables(spark, sf_dir, "SELECT concat(CAST(ts AS STRING), ' INFO ', event_type) AS value FROM events").write.text(path)
-    return spark.read.text(path)
+    on_tables(spark, sf_dir, "SELECT concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' INFO ', event_type) AS value FROM events").write.text(path)
+    return scan_log(spark, path)
 
 
-@R.query("scan_files_walk")
+@R.query("scan_files_walk", "SELECT * FROM (VALUES ('src', 6), ('docs', 6)) v(folder, length)")
 def scan_files_walk(spark, sf_dir):
-    path = scratch(spark, "tree")
+    path = f"{scratch(spark, 'tree')}/build/work"
     for sub in ("src", "node_modules/x", "docs"):
         spark.range(3).selectExpr("CAST(id AS STRING) AS value").coalesce(1).write.text(f"{path}/{sub}")
-    return walk(spark, path).select(F.regexp_extract("path", "/(src|docs|node_modules)/", 1).alias("folder"), "length")
+    return walk(spark, path).select(F.substring_index("relative_path", "/", 1).alias("folder"), F.col("length").cast("int").alias("length"))
 
 
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,39 +137,98 @@ def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.query("catalog_list_tables", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))(catalog_tables)
 
 
-@R.query("catalog_describe")
+#: Declared keys, as files have none: table to its primary key and foreign keys (column to table).
+KEYS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
+    "region": (("r_regionkey",), {}), "nation": (("n_nationkey",), {"n_regionkey": "region"}), "customer": (("c_custkey",), {"c_nationkey": "nation"}), "supplier": (("s_suppkey",), {"s_nationkey": "nation"}),
+    "part": (("p_partkey",), {}), "orders": (("o_orderkey",), {"o_custkey": "customer"}), "lineitem": (("l_orderkey", "l_linenumber"), {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
+    "events": (("event_id",), {}), "documents": (("doc_id",), {}), "embeddings": (("vec_id",), {}), "pages": (("page_id",), {}), "benchmark": (("item_id",), {}), "labels": (("doc_id",), {"doc_id": "documents"}), "conversations": (("conv_id", "turn"), {}),
+}
+
+
+def describe(tables: dict[str, DataFrame], keys: dict = KEYS, defaults: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """A row for each column of each table: place, type, nullability, default, declared keys and the table's row count.
+
+    Tables in files have no indexes and no defaults but those that are handed in.
+    """
+    rows, counts = [], None
+    for t, df in tables.items():
+        pk, fks = keys.get(t, ((), {}))
+        for i, f in enumerate(df.schema.fields):
+            rows.append((t, i, f.name, f.dataType.simpleString(), f.nullable, (defaults or {}).get(t, {}).get(f.name), f.name in pk, fks.get(f.name)))
+        one = df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+        counts = one if counts is None else counts.union(one)
+    spark = next(iter(tables.values())).sparkSession
+    columns = spark.createDataFrame(rows, "table_name string, place int, column_name string, data_type string, nullable boolean, default_value string, primary_key boolean, references_table string")
+    return columns.join(F.broadcast(counts), "table_name")
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+
+
+_PK = ", ".join(f"('{t}', '{c}')" for t, (pk, _) in KEYS.items() for c in pk)
+_FK = ", ".join(f"('{t}', '{c}', '{r}')" for t, (_, fks) in KEYS.items() for c, r in fks.items())
+_COLUMNS = f"SELECT table_name, CAST(ordinal_position - 1 AS INT) AS place, column_name FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in TABLES)})"
+_TYPES = "CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END"
+
+
+@R.query(
+    "catalog_describe",
+    f"""SELECT c.table_name, c.place, c.column_name, p.k IS NOT NULL AS primary_key, f.r AS references_table, n.row_count FROM ({_COLUMNS}) c LEFT JOIN (VALUES {_PK}) p(t, k) ON c.table_name = p.t AND c.column_name = p.k
+    LEFT JOIN (VALUES {_FK}) f(t, k, r) ON c.table_name = f.t AND c.column_name = f.k JOIN ({' UNION ALL '.join(f"SELECT '{t}' AS t, count(*) AS row_count FROM {t}" for t in TABLES)}) n ON c.table_name = n.t""",
+    describe,
+)
 def catalog_describe(spark, sf_dir):
-    """Columns with type and nullability; keys are declared, as files have none."""
-    keys = {"nation": ("n_nationkey", {"n_regionkey": "region"}), "orders": ("o_orderkey", {"o_custkey": "customer"})}
+    return describe(_tables(spark, sf_dir)).select("table_name", "place", "column_name", "primary_key", "references_table", "row_count")
+
+
+def with_primary_keys(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """Columns (table_name, column_name) and whether they are of their table's primary key; keys has the same two columns."""
+    return columns.join(keys.select("table_name", "column_name").distinct().withColumn("is_pk", F.lit(True)), ["table_name", "column_name"], "left").fillna(False, ["is_pk"])
+
+
+@R.query("join_catalog_pk", f"SELECT c.table_name, c.place, c.column_name, p.k IS NOT NULL AS is_pk FROM ({_COLUMNS}) c LEFT JOIN (VALUES {_PK}) p(t, k) ON c.table_name = p.t AND c.column_name = p.k", with_primary_keys)
+def join_catalog_pk(spark, sf_dir):
+    rows = [(t, i, c) for t, df in _tables(spark, sf_dir).items() for i, c in enumerate(df.columns)]
+    keys = [(t, c) for t, (pk, _) in KEYS.items() for c in pk]
+    return with_primary_keys(spark.createDataFrame(rows, "table_name string, place int, column_name string"), spark.createDataFrame(keys, "table_name string, column_name string"))
+
+
+def schema_extract(tables: dict[str, DataFrame], samples: int = 3) -> DataFrame:
+    """Compact schema text and the first rows, by the first columns, of each table."""
     rows = []
-    for t, (pk, fks) in keys.items():
-        for i, f in enumerate(spark.read.parquet(f"{sf_dir}/{t}.parquet").schema.fields):
-            rows.append((t, i, f.name, f.dataType.simpleString(), f.nullable, f.name == pk, fks.get(f.name)))
-    return spark.createDataFrame(rows, "table_name string, place int, column_name string, data_type string, nullable boolean, primary_key boolean, references_table string")
+    for t, df in tables.items():
+        first = df.orderBy(*[f.name for f in df.schema.fields if f.dataType.simpleString() in ("int", "bigint", "string")][:3]).limit(samples)
+        rows.append((t, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields), [json.dumps(r.asDict(), default=str) for r in first.collect()]))
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, columns string, samples array<string>")
+
 
+_LISTED = f"SELECT table_name, string_agg(column_name || ' ' || {_TYPES}, ', ' ORDER BY ordinal_position) AS columns FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in TABLES)}) GROUP BY table_name"
 
-@R.query("catalog_schema_extract")
+
+@R.query("catalog_schema_extract", f"SELECT c.table_name, c.columns, least(3, n.n) AS n_samples FROM ({_LISTED}) c JOIN ({' UNION ALL '.join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in TABLES)}) n ON c.table_name = n.t", schema_extract)
 def catalog_schema_extract(spark, sf_dir):
-    """Compact schema text and three sample rows of each table."""
-    rows = []
-    for t in ("region", "nation", "supplier"):
-        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        rows.append((t, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields), [json.dumps(r.asDict(), default=str) for r in df.orderBy(df.columns[0]).limit(3).collect()]))
-    return spark.createDataFrame(rows, "table_name string, columns string, samples array<string>")
+    return schema_extract(_tables(spark, sf_dir)).select("table_name", "columns", F.size("samples").cast("long").alias("n_samples"))
+
 
+def er_diagram(keys: dict = KEYS) -> str:
+    """Mermaid text of the declared foreign keys."""
+    return "erDiagram\n" + "\n".join(f"  {r.upper()} ||--o{{ {t.upper()} : {c}" for t, (_, fks) in keys.items() for c, r in fks.items())
 
-@R.query("catalog_er_diagram")
+
+@R.query("catalog_er_diagram", f"SELECT 'erDiagram' || chr(10) || string_agg('  ' || upper(r) || ' ||--o{{ ' || upper(t) || ' : ' || k, chr(10) ORDER BY i) AS diagram FROM (SELECT row_number() OVER () AS i, * FROM (VALUES {_FK}) f(t, k, r)) g")
 def catalog_er_diagram(spark, sf_dir):
-    links = [("nation", "region", "n_regionkey"), ("customer", "nation", "c_nationkey"), ("supplier", "nation", "s_nationkey"), ("orders", "customer", "o_custkey"), ("lineitem", "orders", "l_orderkey")]
-    text = "erDiagram\n" + "\n".join(f"  {b.upper()} ||--o{{ {a.upper()} : {k}" for a, b, k in links)
-    return spark.createDataFrame([(text,)], "diagram string")
+    return spark.createDataFrame([(er_diagram(),)], "diagram string")
+
 
+def sample(df: DataFrame, keys: tuple[str, ...], n: int = 100, seed: int = 42) -> DataFrame:
+    """The same n rows each time: the least by a digest of key and seed."""
+    return df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))).orderBy("_h", *keys).limit(n).drop("_h")
 
-@R.query("sample_rows")
-def sample_rows(spark, sf_dir, n: int = 100, seed: int = 42):
-    """The same n rows each time: the least by a hash of key and seed."""
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return df.withColumn("h", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", F.lit(seed))).orderBy("h", *df.columns).limit(n).drop("h")
+
+@R.query("sample_rows", "SELECT * FROM lineitem ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), '42')), l_orderkey, l_linenumber, l_partkey LIMIT 100", sample)
+def sample_rows(spark, sf_dir):
+    return sample(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ("l_orderkey", "l_linenumber", "l_partkey"))
 
 
 def _sink(kind):
@@ -184,28 +245,111 @@ R.query("sink_csv", "SELECT r_regionkey, r_name FROM region")(_sink("csv"))
 R.query("sink_json", "SELECT r_regionkey, r_name FROM region")(_sink("json"))
 
 
-@R.query("sink_report_json")
+_REPORT = {"score": 97.5, "issues": [{"column": "c_acctbal"}]}
+
+
+@R.query("sink_report_json", f"SELECT '{json.dumps(_REPORT, indent=2)}' || chr(10) AS value")
 def sink_report_json(spark, sf_dir):
     path = scratch(spark, "report")
-    report(spark, path, {"score": 97.5, "issues": [{"column": "c_acctbal"}]})
+    report(spark, path, _REPORT)
     return spark.read.text(path, wholetext=True)
 
 
-@R.query("sink_backtest")
-def sink_backtest(spark, sf_dir):
-    from ..operators.finance import fifo_sql, lots
-    from ..plans.dialect import SPARK
+# fixed values: columns of a trades file
+TRADE_COLUMNS = """entry_date exit_date side size entry_price exit_price pnl pnl_pct entry_notional exit_notional entry_fee exit_fee fees gross_pnl pnl_pct_basis borrow_fee margin_required
+return_on_margin_pct holding_bars symbol symbol_name display_symbol lot_id trade_group_id""".split()
 
-    path = scratch(spark, "backtest")
-    trades = on_tables(spark, sf_dir, f"SELECT symbol, lot, sale, size, round((exit_price - entry_price) * size, 2) AS pnl FROM ({fifo_sql('(' + lots(SPARK) + ')')}) f")
-    return with_manifest(trades.coalesce(1), path, "trades")
 
+def _csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+
+
+def digests(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(name, file, sha256) of the files that were written below ``path``."""
+    out = None
+    for name in names:
+        files = spark.read.format("binaryFile").load(f"{path}/{name}").where("length > 0")
+        one = files.select(F.lit(name).alias("name"), F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+        out = one if out is None else out.union(one)
+    return out
 
-@R.query("sink_event_study")
-def sink_event_study(spark, sf_dir):
-    from ..plans import fixtures as fx
-    from ..plans.dialect import SPARK
 
-    return with_manifest(on_tables(spark, sf_dir, fx.prices(SPARK)).orderBy("date", "ticker").coalesce(1), scratch(spark, "event"), "prices")
+def export_backtest(equity: DataFrame, trades: DataFrame, meta: dict, path: str) -> dict:
+    """equity.csv (date, value), trades.csv (fixed columns, empty where the trades lack them) and summary.json; returns the summary."""
+    have = set(trades.columns)
+    _csv(equity.select("date", F.col("value").cast("double").alias("value")).orderBy("date"), f"{path}/equity.csv")
+    _csv(trades.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in TRADE_COLUMNS]), f"{path}/trades.csv")
+    ends = equity.agg(F.min_by("value", "date").alias("first"), F.max_by("value", "date").alias("last"), F.count("*").alias("bars")).first()
+    got = trades.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("pnl") > 0).cast("long")), F.lit(0)).alias("wins")).first()
+    total = None if not ends["first"] else round((ends["last"] / ends["first"] - 1) * 100, 4)
+    summary = {"bars": ends["bars"], "total_return_pct": total, "trades": got["n"], "win_rate_pct": round(got["wins"] * 100 / got["n"], 4) if got["n"] else None}
+    report(trades.sparkSession, f"{path}/summary.json", {"meta": meta, "summary": summary})
+    return summary
 
 
+def _read_back(spark: SparkSession, path: str, tables: list[str]) -> DataFrame:
+    out = None
+    for t in tables:
+        one = spark.read.csv(f"{path}/{t}", header=True).agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _backtest(d) -> tuple[str, str]:
+    from ..operators.finance import fifo_sql, lots
+
+    trades = f"SELECT CAST(symbol AS STRING) AS symbol, 'long' AS side, CAST(lot AS STRING) AS lot_id, size, entry_price, exit_price, round((exit_price - entry_price) * size, 2) AS pnl FROM ({fifo_sql('(' + lots(d) + ')')}) f"
+    return fx.daily(d), trades
+
+
+@R.query("sink_backtest", f"SELECT 'equity.csv' AS name, count(*) AS rows FROM ({_backtest(DUCK)[0]}) e UNION ALL SELECT 'trades.csv', count(*) FROM ({_backtest(DUCK)[1]}) t", export_backtest)
+def sink_backtest(spark, sf_dir):
+    path = scratch(spark, "backtest")
+    equity, trades = (on_tables(spark, sf_dir, q) for q in _backtest(SPARK))
+    export_backtest(equity, trades, {"strategy": "fifo"}, path)
+    return _read_back(spark, path, ["equity.csv", "trades.csv"])
+
+
+def export_event_study(prices: DataFrame, names: dict[str, tuple[str, str]], pre: str, path: str, meta: dict | None = None) -> DataFrame:
+    """prices.csv, portfolio.csv, summary.json and a manifest with digests; returns the manifest's rows.
+
+    ``prices`` has date, ticker, close and shares; ``names`` gives a ticker's name
+    and tier.  Weights are of capitals on ``pre``, where both indexes are 100;
+    missing closes are filled forward.
+    """
+    spark = prices.sparkSession
+    told = spark.createDataFrame([(k, *v) for k, v in names.items()], "ticker string, name string, tier string")
+    caps = prices.select("date", "ticker", "close", (F.col("close") * F.col("shares")).alias("market_cap"))
+    _csv(caps.join(F.broadcast(told), "ticker", "left").select("date", "ticker", "name", "close", "market_cap", "tier").orderBy("date", "ticker"), f"{path}/prices.csv")
+    # growth of each ticker against the day before, over all dates
+    every = caps.select("date").distinct().crossJoin(F.broadcast(caps.select("ticker").distinct())).join(caps, ["date", "ticker"], "left")
+    by = Window.partitionBy("ticker").orderBy("date")
+    filled = every.withColumns({c: F.last(c, ignorenulls=True).over(by) for c in ("close", "market_cap")})
+    filled = filled.withColumn("r", F.col("close") / F.lag("close").over(by) - 1)
+    weights = caps.where(F.col("date") == pre).select("ticker", F.col("market_cap").alias("base"))
+    daily = filled.join(F.broadcast(weights), "ticker").groupBy("date").agg((F.sum(F.col("base") * F.coalesce("r", F.lit(0.0))) / F.sum("base")).alias("weighted"), F.avg(F.coalesce("r", F.lit(0.0))).alias("equal"), F.sum("market_cap").alias("total_market_cap"))
+    order = Window.orderBy("date")  # one row a date
+    grown = daily.select("date", "total_market_cap", *[F.exp(F.sum(F.log1p(c)).over(order)).alias(c) for c in ("weighted", "equal")])
+    anchor = grown.where(F.col("date") == pre).select(F.col("weighted").alias("w0"), F.col("equal").alias("e0"))
+    portfolio = grown.crossJoin(F.broadcast(anchor)).select("date", (F.col("weighted") / F.col("w0") * 100).alias("mcap_weighted_nav"), (F.col("equal") / F.col("e0") * 100).alias("equal_weighted_nav"), "total_market_cap")
+    portfolio = cut(portfolio)
+    _csv(portfolio.orderBy("date"), f"{path}/portfolio.csv")
+    w = weights.agg(F.sum("base").alias("cap"), (F.sum(F.col("base") * F.col("base")) / F.pow(F.sum("base"), 2)).alias("hhi"), F.max_by("ticker", "base").alias("top"), (F.max("base") / F.sum("base") * 100).alias("share")).first()
+    p = portfolio.where(F.col("date") >= pre).agg(F.max("total_market_cap").alias("peak"), F.max_by("total_market_cap", "date").alias("last"), F.max_by("mcap_weighted_nav", "date").alias("nav"), F.max_by("equal_weighted_nav", "date").alias("equal")).first()
+    summary = {"pre_event_mcap": w["cap"], "peak_mcap": p["peak"], "latest_mcap": p["last"], "mcap_change_to_peak_pct": (p["peak"] / w["cap"] - 1) * 100, "mcap_change_to_latest_pct": (p["last"] / w["cap"] - 1) * 100}
+    summary |= {"etf_return_total_pct": p["nav"] - 100, "equal_weighted_return_total_pct": p["equal"] - 100, "hhi": w["hhi"], "top_weight_ticker": w["top"], "top_weight_pct": w["share"], "single_stock_weight_gt_30pct": w["share"] > 30}
+    report(spark, f"{path}/summary.json", {"meta": {"pre_event_date": pre, **(meta or {})}, "summary": {k: round(v, 6) if isinstance(v, float) else v for k, v in summary.items()}})
+    made = cut(digests(spark, path, ["prices.csv", "portfolio.csv", "summary.json"]))
+    _csv(made, f"{path}/manifest.csv")
+    return made
+
+
+@R.query("sink_event_study", f"SELECT 'prices.csv' AS name, count(*) AS rows FROM ({fx.prices(DUCK)}) p UNION ALL SELECT 'portfolio.csv', count(DISTINCT date) FROM ({fx.prices(DUCK)}) q", export_event_study)
+def sink_event_study(spark, sf_dir):
+    from ..operators.finance import PRE
+
+    path = scratch(spark, "event")
+    prices = cut(on_tables(spark, sf_dir, fx.prices(SPARK)))
+    tickers = [r[0] for r in prices.select("ticker").distinct().collect()]
+    export_event_study(prices, {t: (t.title(), "core") for t in tickers}, PRE, path)
+    return _read_back(spark, path, ["prices.csv", "portfolio.csv"])
