@@ -76,6 +76,15 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
+def t_critical(df: float, level: float = 0.95) -> float:
+    """The t that ``level`` of the distribution lies within, by bisection."""
+    low, high = 0.0, 1e8
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_two_sided(mid, df) > 1 - level else (low, mid)
+    return (low + high) / 2
+
+
 def f_upper(f: float, d1: float, d2: float) -> float:
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
 

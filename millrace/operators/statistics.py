@@ -84,7 +84,7 @@ def spurious(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFram
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double, p double, partial double, partial_p double, spurious boolean")
 
 
-@R.query("corr_spurious")
+@R.query("corr_spurious", on=spurious)
 def corr_spurious(spark, sf_dir):
     return spurious(on_tables(spark, sf_dir, LINES(None)), ["x", "y", "z", "w"])
 
@@ -138,41 +138,134 @@ def reg_durbin_watson(d, rel, y, x, order):
     return f"SELECT round(sum(de * de) / sum(e * e), 6) AS dw FROM (SELECT e, e - lag(e) OVER (ORDER BY {order}) AS de FROM ({e}) r) q"
 
 
-def ols_report(df: DataFrame, target: str, features: list[str]) -> list[dict]:
-    """Any number of regressors: normal equations from one aggregate, solved on the driver."""
-    names = ["const", *features]
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
-    y = F.col(target).cast("double")
-    rows = df.dropna(subset=[target, *features])
-    got = rows.agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))], *[F.sum(c * y).alias(f"v{i}") for i, c in enumerate(cols)], F.sum(y * y).alias("yy"), F.sum(y).alias("sy"), F.count("*").alias("n")).first()
-    k, n = len(cols), got["n"]
+def _gram(df: DataFrame, features: list[str], target: str | None = None, const: bool = True) -> tuple[np.ndarray, np.ndarray, float, float, int]:
+    """X'X, X'y, y'y, sum of y and rows, of complete rows, from one aggregate; its size follows from the number of columns alone."""
+    cols = [*([F.lit(1.0)] if const else []), *[F.col(c).cast("double") for c in features]]
+    y = F.col(target).cast("double") if target else F.lit(0.0)
+    k = len(cols)
+    rows = df.dropna(subset=[*features, *([target] if target else [])])
+    got = rows.agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(c * y).alias(f"v{i}") for i, c in enumerate(cols)], F.sum(y * y).alias("yy"), F.sum(y).alias("sy"), F.count("*").alias("n")).first()
     g = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-    v = np.array([got[f"v{i}"] for i in range(k)], float)
+    return g, np.array([got[f"v{i}"] for i in range(k)], float), float(got["yy"] or 0), float(got["sy"] or 0), got["n"]
+
+
+def vif(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Variance inflation of each column in a design without a constant (uncentred); None for a single column."""
+    if len(columns) < 2:
+        return dict.fromkeys(columns)
+    g = _gram(df, columns, const=False)[0]
+    inv = np.linalg.pinv(g)
+    return {c: float(g[i, i] * inv[i, i]) for i, c in enumerate(columns)}
+
+
+def vif_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(c, None if v is None else round(v, 4)) for c, v in vif(df, columns).items()], "name string, vif double")
+
+
+def ols(df: DataFrame, target: str, features: list[str], level: float = 0.95) -> tuple[list[dict], dict]:
+    """Any number of regressors: normal equations from one aggregate, solved on the driver.
+
+    Gives coefficients with errors, t, p and intervals, and of the model R2,
+    adjusted R2, F with its p, AIC and BIC.
+    """
+    g, v, yy, sy, n = _gram(df, features, target)
+    k = len(v)
+    if n <= k:
+        raise ValueError(f"{n} complete rows are too few for {k} coefficients")
     inv = np.linalg.pinv(g)
     b = inv @ v
-    rss = max(0.0, got["yy"] - b @ v)
+    rss, tss = max(0.0, yy - float(b @ v)), max(0.0, yy - sy * sy / n)
     se = np.sqrt(np.maximum(0, np.diag(inv)) * rss / (n - k))
-    out = []
-    for i, name in enumerate(names):
-        t = b[i] / se[i] if se[i] > 0 else float("inf")
-        out.append({"name": name, "coef": float(b[i]), "se": float(se[i]), "t": float(t), "p": sm.t_two_sided(t, n - k) if np.isfinite(t) else 0.0})
-    return out
+    wide = sm.t_critical(n - k, level)
+    rows = []
+    for i, name in enumerate(["const", *features]):
+        t = float(b[i] / se[i]) if se[i] > 0 else float("inf")
+        rows.append({"name": name, "coef": float(b[i]), "se": float(se[i]), "t": t, "p": sm.t_two_sided(t, n - k) if np.isfinite(t) else 0.0, "low": float(b[i] - wide * se[i]), "high": float(b[i] + wide * se[i])})
+    r2 = 1 - rss / tss if tss > 0 else 0.0
+    f = r2 / (k - 1) / ((1 - r2) / (n - k)) if k > 1 and r2 < 1 else float("inf")
+    loglik = -n / 2 * (np.log(2 * np.pi) + np.log(max(rss, 1e-300) / n) + 1)
+    fit = {"n": n, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / (n - k), "f": f, "f_p": sm.f_upper(f, k - 1, n - k) if np.isfinite(f) else 0.0, "aic": float(2 * k - 2 * loglik), "bic": float(k * np.log(n) - 2 * loglik)}
+    return rows, fit
 
 
-@R.query("reg_logit")
-def reg_logit(spark, sf_dir):
-    """Coefficients, errors, z, p, odds ratios and McFadden's R2 of a binary target."""
+def ols_table(df: DataFrame, target: str, features: list[str], level: float = 0.95) -> DataFrame:
+    """One row a coefficient, with the model's figures and the regressor's VIF on each."""
+    rows, fit = ols(df, target, features, level)
+    inflation = vif(df, features)
+    out = [(r["name"], *(round(r[c], 6) for c in ("coef", "se", "t", "p", "low", "high")), inflation.get(r["name"]), fit["n"], *(round(float(fit[c]), 6) for c in ("r2", "adj_r2", "f", "f_p", "aic", "bic"))) for r in rows]
+    return df.sparkSession.createDataFrame(out, "name string, coef double, se double, t double, p double, low double, high double, vif double, n long, r2 double, adj_r2 double, f double, f_p double, aic double, bic double")
+
+
+@R.query("reg_ols_many", on=ols_table)
+def reg_ols_many(spark, sf_dir):
+    return ols_table(on_tables(spark, sf_dir, LINES(None)), "y", ["x", "z", "w"])
+
+
+def _det3(m) -> str:
+    return " + ".join(f"({sign}{m(0, i)} * ({m(1, j)} * {m(2, k)} - {m(1, k)} * {m(2, j)}))" for i, j, k, sign in ((0, 1, 2, ""), (1, 0, 2, "-"), (2, 0, 1, "")))
+
+
+def _vif3() -> str:
+    """Closed form for three columns: g_ii times its cofactor over the determinant."""
+    c = ("x", "z", "w")
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    sums = ", ".join(f"sum({c[i]} * {c[j]}) AS g{i}{j}" for i in range(3) for j in range(i, 3))
+    one = lambda i: [j for j in range(3) if j != i]
+    rows = " UNION ALL ".join(f"SELECT '{c[i]}' AS name, round({g(i, i)} * ({g(one(i)[0], one(i)[0])} * {g(one(i)[1], one(i)[1])} - {g(*one(i))} * {g(*one(i))}) / ({_det3(g)}), 4) AS vif FROM m" for i in range(3))
+    return f"WITH m AS (SELECT {sums} FROM ({LINES(None)}) t) {rows}"
+
+
+@R.query("reg_vif_many", _vif3(), vif_table)
+def reg_vif_many(spark, sf_dir):
+    return vif_table(on_tables(spark, sf_dir, LINES(None)), ["x", "z", "w"])
+
+
+def partial_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Partial correlation of each pair given all other columns, with its t and p."""
+    m, n = partial_matrix(df, columns), df.dropna(subset=columns).count()
+    rows = []
+    for i, a in enumerate(columns):
+        for j in range(i + 1, len(columns)):
+            r, free = float(m[i, j]), n - len(columns)
+            t = r * np.sqrt(free) / np.sqrt(max(1e-300, 1 - r * r))
+            rows.append((a, columns[j], round(r, 6), round(float(t), 4), round(sm.t_two_sided(float(t), free), 6)))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double, t double, p double")
+
+
+_XZW = "SELECT corr(x, z) AS ab, corr(x, w) AS ac, corr(z, w) AS bc, count(*) AS n FROM ({}) t".format(LINES(None))
+
+
+@R.query(
+    "corr_partial_many",
+    "WITH m AS ({}), p AS ({}) SELECT a, b, round(r, 6) AS r, round(r * sqrt(n - 3) / sqrt(1 - r * r), 4) AS t FROM p".format(
+        _XZW, " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ({x} - {y} * {z}) / sqrt((1 - {y} * {y}) * (1 - {z} * {z})) AS r, n FROM m" for a, b, x, y, z in (("x", "z", "ab", "ac", "bc"), ("x", "w", "ac", "ab", "bc"), ("z", "w", "bc", "ab", "ac")))
+    ),
+    partial_table,
+)
+def corr_partial_many(spark, sf_dir):
+    return partial_table(on_tables(spark, sf_dir, LINES(None)), ["x", "z", "w"]).drop("p")
+
+
+def logit(df: DataFrame, target: str, features: list[str], level_z: float = 1.959963984540054) -> DataFrame:
+    """Coefficients, errors, z, p, odds ratios and intervals of a binary target; log likelihood, McFadden's R2, the likelihood ratio's p, AIC and BIC on each row."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    df = on_tables(spark, sf_dir, "SELECT CAST(toxic AS DOUBLE) AS label, CAST(quality AS DOUBLE) AS quality, ln(1 + n_chars) AS size FROM labels JOIN documents ON labels.doc_id = documents.doc_id")
-    names = ["quality", "size"]
-    fit = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100).fit(VectorAssembler(inputCols=names, outputCol="features").transform(df))
-    s = fit.summary
+    rows = df.dropna(subset=[target, *features]).select(F.col(target).cast("double").alias("label"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+    rows = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(rows)
+    fit = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100).fit(rows)
+    s, n, k = fit.summary, rows.count(), len(features) + 1
+    loglik = -s.deviance / 2
+    whole = (round(loglik, 4), round(1 - s.deviance / s.nullDeviance, 6), round(sm.chi2_upper(max(0.0, s.nullDeviance - s.deviance), k - 1), 6), round(2 * k - 2 * loglik, 4), round(float(k * np.log(n) - 2 * loglik), 4))
     coef = [*fit.coefficients.toArray().tolist(), fit.intercept]
-    r2 = 1 - s.deviance / s.nullDeviance
-    rows = [(n, round(c, 6), round(e, 6), round(t, 6), round(p, 6), round(float(np.exp(c)), 6), round(r2, 6), round(s.aic, 4)) for n, c, e, t, p in zip([*names, "const"], coef, s.coefficientStandardErrors, s.tValues, s.pValues)]
-    return spark.createDataFrame(rows, "name string, coef double, se double, z double, p double, odds_ratio double, pseudo_r2 double, aic double")
+    out = [(name, *(round(float(x), 6) for x in (c, e, t, p, np.exp(c), c - level_z * e, c + level_z * e)), n, *whole) for name, c, e, t, p in zip([*features, "const"], coef, s.coefficientStandardErrors, s.tValues, s.pValues)]
+    return df.sparkSession.createDataFrame(out, "name string, coef double, se double, z double, p double, odds_ratio double, low double, high double, n long, log_likelihood double, pseudo_r2 double, llr_p double, aic double, bic double")
+
+
+@R.query("reg_logit", on=logit)
+def reg_logit(spark, sf_dir):
+    df = on_tables(spark, sf_dir, "SELECT toxic, quality, ln(1 + n_chars) AS size FROM labels JOIN documents ON labels.doc_id = documents.doc_id")
+    return logit(df, "toxic", ["quality", "size"])
 
 
 @op("reg_fit_label", lambda d: "SELECT p_partkey AS id, p_partkey % 101 / 1e2 AS r2, CAST(p_size AS DOUBLE) / 4 AS vif FROM part")
@@ -289,28 +382,70 @@ def test_shapiro(spark, sf_dir):
     return spark.createDataFrame([(round(w, 6), round(p, 6), n, p > 0.05)], "w double, p double, n long, normal boolean")
 
 
-def auto_select(df: DataFrame, group: str, value: str, paired: bool = False, alpha: float = 0.05) -> DataFrame:
-    """Choose a test by the number of groups, normality and equal variances, and run it."""
+FORCED = {"t-test": "ttest", "welch": "welch", "mann-whitney": "mann_whitney", "anova": "anova", "kruskal-wallis": "kruskal", "chi-square": "chi_square", "paired-ttest": "paired_t", "wilcoxon": "wilcoxon"}
+CHOSEN = "test string, statistic double, effect double, normal boolean, equal_variance boolean"
+
+
+def categorical(df: DataFrame, column: str) -> bool:
+    """Text, or at most 20 different values that are less than a twentieth of the rows."""
+    if dict(df.dtypes)[column] == "string":
+        return True
+    got = df.agg(F.count_distinct(column).alias("k"), F.count(column).alias("n")).first()
+    return got["k"] <= 20 and got["k"] < 0.05 * max(1, got["n"])
+
+
+def _paired(df: DataFrame, a: str, b: str, force: str | None, alpha: float) -> tuple:
+    rows = df.dropna(subset=[a, b]).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    if rows.limit(3).count() < 3:
+        raise ValueError("3 complete pairs are needed")
+    normal = normality(rows.select((F.col("a") - F.col("b")).alias("v"), "a", "b"), "v")[1] > alpha
+    name = FORCED[force] if force in ("paired-ttest", "wilcoxon") else "paired_t" if normal else "wilcoxon"
+    got = test_paired_t.apply(rows, a="a", b="b").first() if name == "paired_t" else test_wilcoxon.apply(rows).first()
+    return name, float(got[0]), float(got[1]), normal, None
+
+
+def auto_select(df: DataFrame, group: str | None = None, value: str | None = None, pair: tuple[str, str] | None = None, force: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """Choose a test by the kinds of columns, the number of groups, normality and equal variances, and run it.
+
+    ``pair`` names two columns of paired values.  ``force`` is a name of FORCED.
+    Two categorical columns are tested for independence.  Of two groups of unequal
+    variances that are normal, Welch's test is taken.
+    """
+    if force is not None and force not in FORCED:
+        raise ValueError(f"unknown test {force}")
+    if pair is not None:
+        return df.sparkSession.createDataFrame([_paired(df, *pair, force, alpha)], CHOSEN)
+    if group is None or value is None:
+        raise ValueError("name group and value, or a pair")
+    if force == "chi-square" or (force is None and categorical(df, group) and categorical(df, value)):
+        got = test_chi_square.apply(df.dropna(subset=[group, value]), a=group, b=value).first()
+        return df.sparkSession.createDataFrame([("chi_square", float(got["chi2"]), float(got["cramers_v"]), None, None)], CHOSEN)
+    df = df.where(F.col(value).isNotNull())
     groups = sorted(r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(51).collect())
     if len(groups) < 2 or len(groups) > 50:
         raise ValueError("2 to 50 groups are needed")
     normal = all(normality(df.where(F.col(group) == g), value)[1] > alpha for g in groups)
-    row = test_levene.apply(df, g=group, v=value).first()
-    n = df.where(F.col(value).isNotNull()).count()
-    equal = sm.f_upper(row["f"], len(groups) - 1, n - len(groups)) > alpha
-    if len(groups) == 2:
+    equal = sm.f_upper(test_levene.apply(df, g=group, v=value).first()["f"], len(groups) - 1, df.count() - len(groups)) > alpha
+    if force is not None:
+        name = FORCED[force]
+        name = "welch" if name == "ttest" and not equal else name
+    elif len(groups) == 2:
         name = ("ttest" if equal else "welch") if normal else "mann_whitney"
-        run = {"ttest": test_ttest, "welch": test_welch, "mann_whitney": test_mann_whitney}[name]
     else:
-        name = "anova" if normal and equal else "kruskal"
-        run = {"anova": test_anova, "kruskal": test_kruskal}[name]
-    got = run.apply(df, g=group, v=value).first()
-    return df.sparkSession.createDataFrame([(name, float(got[0]), float(got[1]), normal, equal)], "test string, statistic double, effect double, normal boolean, equal_variance boolean")
+        name = "anova" if normal else "kruskal"
+    runs = {"ttest": test_ttest, "welch": test_welch, "mann_whitney": test_mann_whitney, "anova": test_anova, "kruskal": test_kruskal}
+    if name not in runs:
+        raise ValueError(f"{force} needs a pair")
+    got = runs[name].apply(df, g=group, v=value).first()
+    return df.sparkSession.createDataFrame([(name, float(got[0]), float(got[1]), normal, equal)], CHOSEN)
 
 
-@R.query("test_auto_select")
+@R.query("test_auto_select", on=auto_select)
 def test_auto_select(spark, sf_dir):
-    return auto_select(on_tables(spark, sf_dir, LINES(None)).select("g3", "y", "id"), "g3", "y")
+    """Each branch that the data reach: groups, pairs, counts and a forced test."""
+    df = on_tables(spark, sf_dir, LINES(None))
+    got = auto_select(df, "g3", "y").union(auto_select(df, "g2", "y")).union(auto_select(df, pair=("z", "w"))).union(auto_select(df, "g2", "g3"))
+    return got.union(auto_select(df, "g3", "y", force="anova")).union(auto_select(df, pair=("z", "w"), force="paired-ttest"))
 
 
 # --- A/B tests ---

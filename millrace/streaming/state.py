@@ -76,16 +76,42 @@ def stream_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("k").applyInPandasWithState(fold, "k long, created_at timestamp, event_id long, summary string", "created timestamp, last long, summary string", "update", "NoTimeout")
 
 
-@R.query("stream_daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_daily_query(spark, sf_dir):
-    """All events run through the stream to its end, kept by a file sink."""
-    import uuid
+def run_to_end(stream: DataFrame, path: str) -> DataFrame:
+    """Run an updating stream over what is there; each batch's rows go to files below ``path`` with the batch's number."""
 
-    src = scratch(spark, "stream-in")
-    df = on_tables(spark, sf_dir, "SELECT * FROM events")
-    df.write.parquet(src)
-    name = f"daily_{uuid.uuid4().hex}"
-    counts = spark.readStream.schema(df.schema).parquet(src).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, _batch long").parquet(f"{path}/rows")
+
+
+def last_update(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row of the last batch that updated it."""
+    rest = [c for c in rows.columns if c not in (*keys, "_batch", "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(*keys, "x.*")
+
+
+def _event_stream(spark, sf_dir: str, sql: str, files: int = 4) -> DataFrame:
+    """A query over the events as files in order of time, one a batch."""
+    src = scratch(spark, "stream-in")
+    df = on_tables(spark, sf_dir, sql)
+    df.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(src)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+@R.query("stream_daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", stream_daily)
+def stream_daily_query(spark, sf_dir):
+    """All events in several batches; the watermark is as long as the data, so that no order of files drops rows."""
+    stream = stream_daily(_event_stream(spark, sf_dir, "SELECT CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM events"), "3650 days")
+    rows = run_to_end(stream.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), scratch(spark, "stream-daily"))
+    return last_update(rows, ["day", "event_type"]).withColumn("total", F.round("total", 4))
+
+
+@R.query("stream_state", "SELECT user_id AS k, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at, max(event_id) AS event_id, max_by(event_type, event_id) AS summary FROM events GROUP BY user_id", stream_state)
+def stream_state_query(spark, sf_dir):
+    """Upserts of all events in several batches."""
+    stream = stream_state(_event_stream(spark, sf_dir, "SELECT user_id AS k, event_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS summary FROM events"))
+    rows = run_to_end(stream, scratch(spark, "stream-state"))
+    return last_update(rows, ["k"]).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
