@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..plans import fixtures as fx
 from ..plans.dialect import Registry, on_tables
+from ..plans.ranks import quantiles
 from .relational import C, ones
 
 R = Registry()
@@ -188,7 +189,8 @@ def out_numeric_columns(d, rel, columns):
 
 
 def stats_sql(d, rel):
-    return f"SELECT count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lo, max(v) AS hi, {d.pct('v', 0.25)} AS q1, median(v) AS med, {d.pct('v', 0.75)} AS q3 FROM {rel} t"
+    a = f"SELECT count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lo, max(v) AS hi FROM {rel} t"
+    return f"SELECT a.*, q0 AS q1, m.q1 AS med, q2 AS q3 FROM ({a}) a CROSS JOIN ({quantiles(d, rel, 'v', (0.25, 0.5, 0.75))}) m"
 
 
 @op("out_column_stats", VALUES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..plans import fixtures as fx
 from ..plans.dialect import Registry
+from ..plans.ranks import quantiles
 
 R = Registry()
 op = R.op
@@ -191,7 +192,8 @@ def agg_last_active(d, rel, key, ts):
 
 @op("agg_group_stats", "lineitem", group="l_returnflag", value="l_extendedprice")
 def agg_group_stats(d, rel, group, value):
-    return f"SELECT {group}, count({value}) AS n, round(avg({value}), 4) AS mean, round(stddev_samp({value}), 4) AS std, round(median({value}), 4) AS median FROM {rel} t GROUP BY {group}"
+    a = f"SELECT {group}, count({value}) AS n, round(avg({value}), 4) AS mean, round(stddev_samp({value}), 4) AS std FROM {rel} t GROUP BY {group}"
+    return f"SELECT a.*, round(q0, 4) AS median FROM ({a}) a JOIN ({quantiles(d, rel, value, (0.5,), group)}) m ON a.{group} IS NOT DISTINCT FROM m.g"
 
 
 @op("agg_weighted_avg", "part", value="p_retailprice", weight="p_size")
@@ -211,14 +213,12 @@ def agg_mode(d, rel, column):
 
 @op("agg_quantile", "lineitem", column="l_extendedprice", qs=(0.25, 0.5, 0.75, 0.9, 0.99))
 def agg_quantile(d, rel, column, qs):
-    # one exact percentile aggregate serves all of them
-    at = lambda i, q: f"element_at(percentile({column}, array({', '.join(map(str, qs))})), {i + 1})" if d.spark else d.pct(column, q)
-    return "SELECT " + ", ".join(f"round({at(i, q)}, 4) AS q{int(q * 100)}" for i, q in enumerate(qs)) + f" FROM {rel} t"
+    return "SELECT " + ", ".join(f"round(q{i}, 4) AS q{q * 100:g}" for i, q in enumerate(qs)) + f" FROM ({quantiles(d, rel, column, qs)}) t"
 
 
 @op("agg_median_even", "lineitem", group="l_linestatus", column="l_extendedprice")
 def agg_median_even(d, rel, group, column):
-    return f"SELECT {group}, round(median({column}), 4) AS median FROM {rel} t GROUP BY {group}"
+    return f"SELECT g AS {group}, round(q0, 4) AS median FROM ({quantiles(d, rel, column, (0.5,), group)}) t"
 
 
 @op("agg_hhi", fx.prices)

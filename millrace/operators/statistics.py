@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stats_math as sm
 from ..plans import fixtures as fx
 from ..plans.dialect import Registry, on_tables
+from ..plans.ranks import quantiles, tie_ranks
 from .relational import C, ones
 
 R = Registry()
@@ -21,13 +22,6 @@ op = R.op
 LINES = lambda d: "SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS x, l_extendedprice AS y, l_discount AS z, l_tax AS w, l_linestatus AS g2, l_returnflag AS g3 FROM lineitem"
 
 
-def avg_rank(value: str, part: str = "") -> str:
-    """Average rank of ties: the first rank of a tie plus half of those that follow."""
-    by = f"PARTITION BY {part} " if part else ""
-    both = f"PARTITION BY {part}, {value}" if part else f"PARTITION BY {value}"
-    return f"(rank() OVER ({by}ORDER BY {value}) + (count(*) OVER ({both}) - 1) / 2e0)"
-
-
 # --- correlation ---
 
 
@@ -39,15 +33,15 @@ def corr_pearson(d, rel, columns):
     return f"WITH m AS (SELECT {m} FROM {rel} t) SELECT a, b, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM ({rows}) q"
 
 
-def _ranked(rel, a, b):
-    """Ranks from counts of distinct values, so no window sees all rows."""
-    one = lambda c: f"SELECT {c} AS v, sum(k) OVER (ORDER BY {c}) - k + (k + 1) / 2e0 AS r FROM (SELECT {c}, count(*) AS k FROM {rel} t WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {c}) q"
-    return f"SELECT p.r AS ra, q.r AS rb FROM {rel} t JOIN ({one(a)}) p ON t.{a} = p.v JOIN ({one(b)}) q ON t.{b} = q.v"
+def _ranked(d, rel, a, b):
+    """Average ranks of complete pairs."""
+    whole = f"(SELECT {a}, {b} FROM {rel} t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"SELECT p.r AS ra, q.r AS rb FROM {whole} t JOIN ({tie_ranks(d, whole, a)}) p ON t.{a} = p.v JOIN ({tie_ranks(d, whole, b)}) q ON t.{b} = q.v"
 
 
 @op("corr_spearman", LINES, a="x", b="y")
 def corr_spearman(d, rel, a, b):
-    return f"SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM ({_ranked(rel, a, b)}) k"
+    return f"SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM ({_ranked(d, rel, a, b)}) k"
 
 
 @op("corr_partial", LINES, a="x", b="y", given="z")
@@ -291,7 +285,7 @@ def anova_sql(rel, g, v):
 @op("test_levene", LINES, g="g3", v="y")
 def test_levene(d, rel, g, v):
     """Distances from each group's median."""
-    z = f"(SELECT t.{g}, abs(t.{v} - m.med) AS z FROM {rel} t JOIN (SELECT {g} AS k, median({v}) AS med FROM {rel} u GROUP BY {g}) m ON t.{g} = m.k)"
+    z = f"(SELECT t.{g}, abs(t.{v} - m.med) AS z FROM {rel} t JOIN (SELECT g AS k, q0 AS med FROM ({quantiles(d, rel, v, (0.5,), g)}) u) m ON t.{g} = m.k)"
     return f"SELECT round(f, 4) AS f FROM ({anova_sql(z, g, 'z')}) a"
 
 
@@ -313,15 +307,14 @@ def test_welch(d, rel, g, v):
     return f"SELECT round((m1 - m2) / sqrt(s1 / n1 + s2 / n2), 6) AS t, round((m1 - m2) / sqrt({POOLED}), 6) AS cohens_d, CAST(n1 + n2 - 2 AS BIGINT) AS df FROM ({two_groups(rel, g, v)}) q"
 
 
-def ranks_sql(rel, g, v):
+def ranks_sql(d, rel, g, v):
     """Average ranks by way of counts per value."""
-    c = f"SELECT {v} AS v, sum(k) OVER (ORDER BY {v}) - k + (k + 1) / 2e0 AS r, CAST(k AS DOUBLE) AS ties FROM (SELECT {v}, count(*) AS k FROM {rel} t WHERE {v} IS NOT NULL GROUP BY {v}) q"
-    return f"SELECT t.{g} AS g, c.r, c.ties FROM {rel} t JOIN ({c}) c ON t.{v} = c.v"
+    return f"SELECT t.{g} AS g, c.r, c.ties FROM {rel} t JOIN ({tie_ranks(d, rel, v)}) c ON t.{v} = c.v"
 
 
 @op("test_mann_whitney", LINES, g="g2", v="x")
 def test_mann_whitney(d, rel, g, v):
-    q = f"SELECT g, CAST(count(*) AS DOUBLE) AS n, sum(r) AS s, row_number() OVER (ORDER BY g) AS rn FROM ({ranks_sql(rel, g, v)}) r GROUP BY g"
+    q = f"SELECT g, CAST(count(*) AS DOUBLE) AS n, sum(r) AS s, row_number() OVER (ORDER BY g) AS rn FROM ({ranks_sql(d, rel, g, v)}) r GROUP BY g"
     return f"SELECT u, round(1 - 2 * u / (n1 * n2), 6) AS rank_biserial FROM (SELECT a.s - a.n * (a.n + 1) / 2 AS u, a.n AS n1, b.n AS n2 FROM ({q}) a JOIN ({q}) b ON a.rn = 1 AND b.rn = 2) x"
 
 
@@ -333,7 +326,7 @@ def test_anova(d, rel, g, v):
 @op("test_kruskal", LINES, g="g3", v="x")
 def test_kruskal(d, rel, g, v):
     """Corrected for ties."""
-    r = ranks_sql(rel, g, v)
+    r = ranks_sql(d, rel, g, v)
     h = f"SELECT count(*) AS k, sum(n) AS n, sum(s * s / n) AS q FROM (SELECT g, CAST(count(*) AS DOUBLE) AS n, sum(r) AS s FROM ({r}) r GROUP BY g) x"
     t = f"SELECT sum(ties * ties - 1) AS c FROM ({r}) z"
     return f"SELECT round(h, 4) AS h, round(greatest((h - k + 1) / (n - k), 0), 6) AS epsilon_squared FROM (SELECT k, n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - c / (n * n * n - n)) AS h FROM ({h}) h CROSS JOIN ({t}) t) y"
@@ -359,7 +352,7 @@ def test_paired_t(d, rel, a, b):
 def test_wilcoxon(d, rel):
     """Zeros go before ranking, while the effect size uses all pairs."""
     x = f"(SELECT CASE WHEN a > b THEN 1 ELSE -1 END AS g, abs(a - b) AS v FROM {rel} z WHERE a <> b)"
-    w = f"SELECT least(sum(CASE WHEN g > 0 THEN r ELSE 0 END), sum(CASE WHEN g < 0 THEN r ELSE 0 END)) AS w FROM ({ranks_sql(x, 'g', 'v')}) r"
+    w = f"SELECT least(sum(CASE WHEN g > 0 THEN r ELSE 0 END), sum(CASE WHEN g < 0 THEN r ELSE 0 END)) AS w FROM ({ranks_sql(d, x, 'g', 'v')}) r"
     return f"SELECT w, round(1 - 2 * w / (n * (n + 1) / 2e0), 6) AS r FROM ({w}) w CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM {rel} t) c"
 
 

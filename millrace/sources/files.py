@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans import fixtures as fx
 from ..plans.dialect import DUCK, SPARK, TABLES, Registry, on_tables
@@ -17,8 +19,10 @@ R = Registry()
 def scan(spark: SparkSession, path: str, schema=None, encoding: str = "UTF-8") -> DataFrame:
     """A table by its extension: tsv, json, parquet or orc; anything else is CSV with a header."""
     kind = path.rsplit(".", 1)[-1].lower()
-    if kind in ("xls", "xlsx"):
-        raise ValueError("spreadsheets need a reader that is not installed; export them as CSV")
+    if kind == "xlsx":
+        if schema is None:
+            raise ValueError("a sheet is read with a schema")
+        return scan_sheet(spark, path, schema)
     if kind in ("parquet", "orc"):
         return getattr(spark.read, kind)(path)
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -353,3 +357,195 @@ def sink_event_study(spark, sf_dir):
     tickers = [r[0] for r in prices.select("ticker").distinct().collect()]
     export_event_study(prices, {t: (t.title(), "core") for t in tickers}, PRE, path)
     return _read_back(spark, path, ["prices.csv", "portfolio.csv"])
+
+
+# --- sheets, local databases and encrypted exports ---
+
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+MOST_ROWS = 1_048_576  # of a sheet, by its format
+
+
+def _sheet_rows(raw: bytes):
+    """Rows of texts of the first sheet of a workbook."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        name = min(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in x.iter(f"{{{_SHEET}}}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        with z.open(name) as f:
+            for _, row in ElementTree.iterparse(f):
+                if row.tag != f"{{{_SHEET}}}row":
+                    continue
+                out: dict[int, str | None] = {}
+                for c in row:
+                    letters = "".join(x for x in c.get("r") or "" if x.isalpha())
+                    at = len(out)
+                    if letters:
+                        at = 0
+                        for x in letters:
+                            at = at * 26 + ord(x) - 64
+                        at -= 1
+                    text = "".join(t.text or "" for t in c.iter() if t.tag in (f"{{{_SHEET}}}v", f"{{{_SHEET}}}t"))
+                    out[at] = shared[int(text)] if c.get("t") == "s" else text or None
+                row.clear()
+                yield [out.get(i) for i in range(max(out, default=-1) + 1)]
+
+
+def scan_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The first sheet of each workbook below ``path``; its first row names the columns, which are cast to those of ``schema``.
+
+    A sheet holds a million rows at most, so a workbook is one task.
+    """
+    import pandas as pd
+
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+
+    def rows(batches):
+        for pdf in batches:
+            for raw in pdf["content"]:
+                it = _sheet_rows(bytes(raw))
+                head = {c: i for i, c in enumerate(next(it, []))}
+                lost = [c for c in names if c not in head]
+                if lost:
+                    raise ValueError(f"the sheet has no column {', '.join(lost)}")
+                part = [[r[head[c]] if head[c] < len(r) else None for c in names] for r in it]
+                yield pd.DataFrame(part, columns=names, dtype=object)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    text = files.mapInPandas(rows, ", ".join(f"`{c}` string" for c in names))
+    return text.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in T._parse_datatype_string(schema).fields])
+
+
+def write_sheet(df: DataFrame, path: str) -> None:
+    """One workbook below ``path``, of a sheet's rows at most; more is an error, as another format is needed then."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pandas as pd
+
+    if df.limit(MOST_ROWS).count() >= MOST_ROWS:
+        raise ValueError("a sheet holds fewer rows than this table")
+    names = df.columns
+
+    def cell(v) -> str:
+        if v is None or v is pd.NaT or v != v:
+            return "<c/>"
+        number = isinstance(v, (int, float)) and not isinstance(v, bool)
+        return f"<c><v>{v!r}</v></c>" if number else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    def book(batches):
+        body = io.StringIO()
+        body.write(f'<worksheet xmlns="{_SHEET}"><sheetData><row>' + "".join(map(cell, names)) + "</row>")
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                body.write("<row>" + "".join(map(cell, r)) + "</row>")
+        body.write("</sheetData></worksheet>")
+        base, out = "http://schemas.openxmlformats.org", io.BytesIO()
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", f'<Types xmlns="{base}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+            z.writestr("_rels/.rels", f'<Relationships xmlns="{base}/package/2006/relationships"><Relationship Id="r1" Type="{base}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{_SHEET}" xmlns:r="{base}/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{base}/package/2006/relationships"><Relationship Id="r1" Type="{base}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/worksheets/sheet1.xml", body.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()])], ["content"])
+
+    made = cut(df.coalesce(1).mapInArrow(book, "content binary"))
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/sheet.xlsx")
+    stream = where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).create(where, True)
+    stream.write(bytearray(made.first()["content"]))
+    stream.close()
+
+
+def _sheet_there_and_back(spark, sf_dir):
+    path = scratch(spark, "sheet")
+    write_sheet(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return scan_sheet(spark, path, NATION)
+
+
+R.query("scan_excel", _SAME, scan_sheet)(_sheet_there_and_back)
+R.query("sink_excel", _SAME, write_sheet)(_sheet_there_and_back)
+
+
+def scan_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of a database file that all executors can open, by ranges of rowids, through read-only connections."""
+    import sqlite3
+
+    import pandas as pd
+
+    name = '"' + table.replace('"', '""') + '"'
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    uri = f"file:{path}?mode=ro"
+    with sqlite3.connect(uri, uri=True) as c:
+        low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()
+    columns = ", ".join('"' + c.replace('"', '""') + '"' for c in names)
+
+    def read(batches):
+        for pdf in batches:
+            with sqlite3.connect(uri, uri=True) as c:
+                for a, b in zip(pdf["low"], pdf["high"]):
+                    got = c.execute(f"SELECT {columns} FROM {name} WHERE rowid BETWEEN ? AND ?", (int(a), int(b)))
+                    while rows := got.fetchmany(10_000):
+                        yield pd.DataFrame(rows, columns=names)
+
+    if low is None:
+        return spark.createDataFrame([], schema)
+    step = -(-(high - low + 1) // parts)
+    ranges = [(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
+    return spark.createDataFrame(ranges, "low long, high long").repartition(len(ranges), "low").mapInPandas(read, schema)
+
+
+@R.query("scan_sqlite", _SAME, scan_sqlite)
+def scan_sqlite_query(spark, sf_dir):
+    import sqlite3
+
+    path = scratch(spark, "database").removeprefix("file:") + ".db"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
+        c.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
+    return scan_sqlite(spark, path, "nation", NATION)
+
+
+# fixed value: iterations of the key derivation
+ITERATIONS = 210_000
+
+
+def _derived(password: str, salt: bytes) -> bytes:
+    import hashlib
+
+    return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, ITERATIONS, 32)
+
+
+def write_encrypted(df: DataFrame, path: str, password: str) -> None:
+    """Rows as JSON under AES-256-GCM, each with its own start value; the salt and iterations lie beside them.
+
+    The key is derived on the driver and stands in the plan: keep event logs and
+    the UI from those who may not read the rows.
+    """
+    import secrets
+
+    salt = secrets.token_bytes(16)
+    key = F.lit(bytearray(_derived(password, salt)))
+    sealed = df.select(F.hex(F.aes_encrypt(F.to_json(F.struct(*df.columns)).cast("binary"), key, F.lit("GCM"))).alias("value"))
+    sealed.write.mode("overwrite").text(f"{path}/data")
+    report(df.sparkSession, f"{path}/header", {"v": 1, "iter": ITERATIONS, "salt": salt.hex()})
+
+
+def read_encrypted(spark: SparkSession, path: str, password: str, schema: str) -> DataFrame:
+    header = json.loads(spark.read.text(f"{path}/header", wholetext=True).first()["value"])
+    key = F.lit(bytearray(_derived(password, bytes.fromhex(header["salt"]))))
+    text = F.aes_decrypt(F.unhex("value"), key, F.lit("GCM")).cast("string")
+    return spark.read.text(f"{path}/data").select(F.from_json(text, schema).alias("x")).select("x.*")
+
+
+@R.query("sink_encrypted_catalog", _SAME, write_encrypted)
+def sink_encrypted_catalog(spark, sf_dir):
+    path = scratch(spark, "sealed")
+    write_encrypted(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey"), path, "a password")
+    return read_encrypted(spark, path, "a password", NATION)
