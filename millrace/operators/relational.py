@@ -213,7 +213,7 @@ def agg_mode(d, rel, column):
 
 @op("agg_quantile", "lineitem", column="l_extendedprice", qs=(0.25, 0.5, 0.75, 0.9, 0.99))
 def agg_quantile(d, rel, column, qs):
-    return "SELECT " + ", ".join(f"round(q{i}, 4) AS q{q * 100:g}" for i, q in enumerate(qs)) + f" FROM ({quantiles(d, rel, column, qs)}) t"
+    return "SELECT " + ", ".join(f"round(q{i}, 4) AS q{f'{q * 100:g}'.replace('.', '_')}" for i, q in enumerate(qs)) + f" FROM ({quantiles(d, rel, column, qs)}) t"
 
 
 @op("agg_median_even", "lineitem", group="l_linestatus", column="l_extendedprice")

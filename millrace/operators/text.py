@@ -315,6 +315,7 @@ def html_strip_elements(d, rel):
 
 
 PAGE = "title string, headings array<struct<level: int, text: string>>, nav_links array<struct<text: string, href: string>>, sections array<struct<tag: string, id: string, `class`: string, role: string>>, main_words long, description string, keywords string, canonical string, og_title string"
+INLINE = {"a", "abbr", "b", "code", "em", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u"}
 EMPTY_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -338,6 +339,7 @@ def page_structure(html: str | None) -> tuple:
                 self.main = ""
             if tag in EMPTY_TAGS:
                 return
+            self.apart(tag)
             self.path.append((tag, main, tag in ("nav", "header") or a.get("role") == "navigation"))
             if tag in ("main", "article", "section", "aside", "footer"):
                 self.sections.append((tag, a.get("id") or None, (a.get("class") or "")[:100] or None, a.get("role")))
@@ -346,7 +348,12 @@ def page_structure(html: str | None) -> tuple:
             if tag == "a" and any(nav for _, _, nav in self.path):
                 self.links.append(["", a.get("href") or ""])
 
+        def apart(self, tag):
+            if self.main is not None and tag not in INLINE:
+                self.main += " "
+
         def handle_endtag(self, tag):
+            self.apart(tag)
             if any(t == tag for t, _, _ in self.path):
                 while self.path.pop()[0] != tag:
                     pass
@@ -371,7 +378,7 @@ def page_structure(html: str | None) -> tuple:
     for text, href in p.links:
         if href and text.strip() and len(links) < 30:
             links.setdefault(href, (text.strip()[:100], href))
-    words = None if p.main is None else len(re.split(r"\s+", p.main))
+    words = None if p.main is None else max(1, len(p.main.split()))
     return p.title.strip(), [(n, t.strip()[:200]) for n, t in p.heads[:50]], list(links.values()), p.sections[:20], words, *(p.meta.get(k) for k in ("description", "keywords", "canonical", "og:title"))
 
 
