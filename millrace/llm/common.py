@@ -28,7 +28,7 @@ _P5 = np.uint64(2870177450012600261)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share; only in local mode may it be a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if where:
@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return where.rstrip("/")
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

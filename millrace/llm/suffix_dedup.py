@@ -362,7 +362,8 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(kid, kh, spans): per text key its stretches with repeated starts.
 
     The key is the doc_id (the least long for null) and a hash of the text; a
-    span has the place of a stretch and runs of starts relative to it.
+    span has the place of a stretch and runs of starts relative to it.  Rows that
+    repeat others have the same spans, which partial aggregation makes one.
     """
     rows = rows.where(F.octet_length("text") >= length).select("kid", "kh", "text")
     every = stage_table(rows.mapInArrow(_stretch_batches(length), STRETCHES), "stretches")
@@ -388,7 +389,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = kinds.where("n > 1").select("anchor", "d", F.array(F.lit(0)).alias("a"), F.array(F.col("rep.hi") - F.col("rep.lo")).alias("b"))
     runs = whole.union(inside).union(across)
     placed = mine.select("anchor", "d", "kid", "kh", "lo").join(runs, ["anchor", "d"])
-    return placed.groupBy("kid", "kh").agg(F.collect_list(F.struct("lo", "a", "b")).alias("spans"))
+    return placed.groupBy("kid", "kh").agg(F.collect_set(F.struct("lo", "a", "b")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -83,6 +83,27 @@ def candidates(texts: list[str], least: int) -> np.ndarray:
     return g[n >= least]
 
 
+def _sig(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the estimate: of positives as such, and of negatives (below zero where it overfits), with the logistic loss."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Direction of descent by the scores of positives and of unlabelled texts.
+
+    Where the negatives' part is zero or more, it is the slope of the whole
+    estimate; below zero that part alone is stepped back up.
+    """
+    up_p, up_u = -prior * _sig(zp) / len(zp), _sig(zu) / len(zu)
+    if risk(zp, zu, prior)[1] >= 0:
+        return up_p - prior * _sig(-zp) / len(zp), up_u
+    return -up_p, -up_u
+
+
 def fit(positive: list[str], unlabelled: list[str], prior: float, features: int = FEATURES, rounds: int = 400) -> dict:
     """Choose grams by their lift among positives and minimise the non-negative risk."""
     empty = {"features": np.zeros(0, np.uint64), "w": np.zeros(0), "b": float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))}
@@ -108,20 +129,10 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, features: int
     x_p, x_u = 1 / np.sqrt(4.0 + size_p), 1 / np.sqrt(4.0 + size_u)
     w, b = np.zeros(len(known)), empty["b"]
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, rounds + 1):
         zp = np.bincount(pd, weights=w[pf], minlength=np_) * x_p + b
         zu = np.bincount(ud, weights=w[uf], minlength=nu) * x_u + b
-        # logistic loss: l(z) = log(1 + exp(-z)) for label 1, log(1 + exp(z)) for label 0
-        r_neg_p, r_neg_u = np.logaddexp(0, zp).mean(), np.logaddexp(0, zu).mean()
-        gp = -prior * sig(-zp) / np_
-        gu = np.zeros(nu)
-        if r_neg_u - prior * r_neg_p >= 0:
-            gp = gp - prior * sig(zp) / np_
-            gu = sig(zu) / nu
-        else:  # the estimate went below zero: step back up on that part
-            gp = prior * sig(zp) / np_
-            gu = -sig(zu) / nu
+        gp, gu = slopes(zp, zu, prior)
         grad = np.bincount(pf, weights=(gp * x_p)[pd], minlength=len(known)) + np.bincount(uf, weights=(gu * x_u)[ud], minlength=len(known)) + 1e-5 * w
         full = np.append(grad, gp.sum() + gu.sum())
         m = 0.9 * m + 0.1 * full

@@ -54,6 +54,23 @@ def test_one_row_for_each_row(odd, name):
     assert PER_ROW[name](odd.limit(0)).count() == 0
 
 
+CLASH = ("score", "rule", "start", "path", "item_id", "distance", "shard", "key", "prefix", "c0", "_new", "_found", "_row", "label")
+
+
+def test_stages_and_findings_with_clashing_columns_and_empty_tables(spark, odd):
+    wide = odd.withColumns({c: F.lit(7) for c in CLASH}).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    items = spark.createDataFrame([(2, "short text", 1)], "item_id long, text string, doc_id long")
+    stages = {
+        "known": lambda d: langid.keep_known(d, 0.0), "one": simhash.keep_one, "clean": lambda d: decontaminate.drop_contaminated(d, items), "private": pii.pseudonymise_rows,
+    }
+    for name, stage in stages.items():
+        got = stage(wide)
+        assert got.columns == wide.columns and got.schema.simpleString() == wide.schema.simpleString(), name
+        assert 0 < got.count() <= len(ODD) and stage(wide.limit(0)).count() == 0, name
+    assert secret_forest.scan(wide).count() == 0 and decontaminate.contamination(wide, items).count() == 3  # a repeated row twice
+    assert bpe.bpe(wide, lexicon_size=10, full=True).count() == len(ODD)
+
+
 def test_findings_on_odd_rows(spark, odd):
     assert secret_forest.scan(odd).count() == 0
     assert secret_forest.scan(odd.limit(0)).count() == 0
@@ -348,6 +365,18 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    made = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) for _ in range(12)]
+    items = spark.createDataFrame(list(enumerate(made)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t[:-3]}zzz after") for i, t in enumerate(made)] + [(99, "nothing")], "doc_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contamination(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    assert len(list(decontaminate.blocks(items))) > 3
+    assert sorted(map(tuple, decontaminate.contamination(docs, items).collect())) == whole and {w[0] for w in whole} == set(range(12))
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [99]
+
+
 def test_unknown_language(odd):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.language_id(odd).collect()}
     assert got[3] == got[4] == got[5] == got[6] == ("und", 0.0)
@@ -362,6 +391,80 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit / sum(r["toxic"] for r in rows) > 0.8 and hit / sum(r["predicted"] for r in rows) > 0.8
 
 
+def test_risk_is_stepped_back_where_it_falls_below_zero():
+    rng = np.random.default_rng(8)
+    for shift, prior in ((1.0, 0.2), (-6.0, 0.6)):
+        zp, zu = rng.normal(size=7), rng.normal(size=11) + shift
+        below = toxicity.risk(zp, zu, prior)[1] < 0
+        assert below == (shift < 0)
+        value = lambda p, u: -toxicity.risk(p, u, prior)[1] if below else sum(toxicity.risk(p, u, prior))
+        gp, gu = toxicity.slopes(zp, zu, prior)
+        step = lambda z, i: np.where(np.arange(len(z)) == i, 1e-6, 0)
+        assert gp == pytest.approx([(value(zp + step(zp, i), zu) - value(zp - step(zp, i), zu)) / 2e-6 for i in range(7)], abs=1e-6)
+        assert gu == pytest.approx([(value(zp, zu + step(zu, i)) - value(zp, zu - step(zu, i))) / 2e-6 for i in range(11)], abs=1e-6)
+
+
+def test_ngram_counts_equal_brute_force(monkeypatch):
+    from millrace.llm.common import utf8
+    import pyarrow as pa
+
+    texts = ["Ab, ab!  C1", "", "É日本 x", "aaaa " * 30]
+    table = langid.fold_table()
+
+    def plain(text):
+        sym = [table[ord(c)] for c in text]
+        sym = [int(x) for i, x in enumerate(sym) if i == 0 or x or sym[i - 1]]
+        n, mask = collections.Counter(), (1 << 64) - 1
+        for order in langid.ORDERS:
+            for i in range(len(sym) - order + 1):
+                if order == 1 and not sym[i]:
+                    continue
+                h = sym[i] + 1
+                for k in range(1, order):
+                    h = (h * 0x9E3779B97F4A7C15 + sym[i + k]) & mask
+                h = ((h ^ order) * 0xD6E8FEB86659FD93) & mask
+                h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & mask
+                n[(h >> 40) % langid.DIMS] += 1
+        return n
+
+    for chunk in (langid.CHUNK, 5):  # pieces of long texts give the same
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        row, slot, count, letters = langid.ngram_counts(*utf8(pa.array(texts)), table)
+        got = [collections.Counter() for _ in texts]
+        for r, x, n in zip(row.tolist(), slot.tolist(), count.tolist()):
+            got[r][x] += n
+        assert got == [plain(t) for t in texts] and letters.tolist() == [5, 0, 4, 120]
+
+
+def test_ftrl_step_and_temperature():
+    f = langid.FTRL(3, 2, alpha=0.5, beta=1.0, l1=0.01, l2=0.1)
+    f.z[:] = [[0.5, -0.5], [0.005, 0], [0, 0], [0, 0]]
+    f.n[:] = 1
+    w = [[-(abs(z) - 0.01) * (1 if z > 0 else -1) / ((1 + 1) / 0.5 + 0.1) if abs(z) > 0.01 else 0.0 for z in row] for row in f.z.tolist()]
+    assert f.weights() == pytest.approx(np.array(w))
+    at, x = np.array([0, 1]), np.array([1.0, 2.0])
+    logits = [sum(x[i] * w[i][k] for i in range(2)) for k in range(2)]
+    p = [np.exp(v) / sum(np.exp(u) for u in logits) for v in logits]
+    z, n = f.z.copy(), f.n.copy()
+    f.learn(at, x, 1)
+    for i in range(2):
+        for k in range(2):
+            g = x[i] * (p[k] - (k == 1))
+            assert f.z[i, k] == pytest.approx(z[i, k] + g - (np.sqrt(n[i, k] + g * g) - np.sqrt(n[i, k])) / 0.5 * w[i][k]) and f.n[i, k] == pytest.approx(n[i, k] + g * g)
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(4000, 3)) * 2
+    drawn = (np.cumsum(langid.softmax(z), axis=1) < rng.random(4000)[:, None]).sum(axis=1)
+    assert langid.temperature(z, drawn) == pytest.approx(1, rel=0.1) and langid.temperature(z * 3, drawn) == pytest.approx(3, rel=0.1)
+
+
+def test_every_language_is_learnt(spark):
+    alphabet = lambda k: chr(0x4E00 + k)
+    rows = [(i, " ".join(alphabet(i % 320) * 3 for _ in range(4)), f"l{i % 320}") for i in range(320 * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    model = langid.train(docs, rows_per_lang=4)
+    assert len(model["names"]) == 320
+
+
 def test_secret_forest_accuracy():
     forest = secret_forest.train()
     rows = secret_forest.labelled_findings(600, seed=99)
@@ -694,6 +797,62 @@ def test_quality_counts_equal_brute_force(spark, docs, odd):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(repeat) > 50 * len(w)) and (not r["kept"] or not r["base_failed"])
 
 
+def test_quality_verdicts_equal_brute_force(spark, docs):
+    import math
+
+    def hist(counter, keys):
+        total = sum(counter.values())
+        share = {k: counter[k] / total for k in keys if counter[k]} if total else {}
+        rest = 1 - sum(share.values()) if total else 0
+        return share | ({None: rest} if rest > 1e-15 else {})
+
+    def distance(p, q):
+        part = lambda a, b: sum(v * math.log2(2 * v / (v + b.get(k, 0))) for k, v in a.items() if v)
+        return math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+    def kinds(text):
+        return collections.Counter(6 if ord(c) > 127 else int(quality._CLASS[ord(c)]) for c in text)
+
+    def lexical(text):
+        out = []
+        for w in words(text):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+            out.append(w[:-1] if len(w.encode()) > 1 and w[-1] in ".," else w)
+        return collections.Counter(out)
+
+    rows = docs.collect()
+    by = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None:
+            c, w = by.setdefault(r["lang"], (collections.Counter(), collections.Counter()))
+            c.update(kinds(r["text"]))
+            w.update(lexical(r["text"]))
+    tops = {}
+    for lang, (_, w) in by.items():
+        total = sum(w.values())
+        tops[lang] = [k for k, n in w.most_common(quality.TOP_WORDS) if n >= total * 0.0005]
+    keys = sorted(set().union(*tops.values()))
+    refs = {k: ({x: n / sum(c.values()) for x, n in c.items()}, hist(w, keys)) for k, (c, w) in by.items()}
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    near = 0
+    for r in rows:
+        mine, n = got[r["doc_id"]], len(words(r["text"]))
+        if mine["base_failed"]:
+            assert not mine["kept"]
+            continue
+        c = kinds(r["text"])
+        dc = min(distance({x: v / sum(c.values()) for x, v in c.items()}, q) for q, _ in refs.values())
+        dw = min(distance(hist(lexical(r["text"]), keys), q) for _, q in refs.values())
+        assert mine["class_distance"] == pytest.approx(dc, abs=1e-6)
+        # words with equal counts at the end of the list may be told apart by their hashes
+        assert mine["word_distance"] == pytest.approx(dw, abs=0.02)
+        limit = quality.WORD_LIMIT + quality.WORD_SLACK / math.sqrt(n)
+        near += abs(dw - limit) < 0.02
+        if abs(dw - limit) >= 0.02:
+            assert mine["kept"] == (dc <= quality.CLASS_LIMIT and dw <= limit)
+    assert near < 0.1 * len(rows)
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.quality(d).join(labels, "doc_id").where("NOT base_failed").collect()
