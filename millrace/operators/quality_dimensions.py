@@ -25,16 +25,16 @@ STRIP = r"[ \t\n\r\x0b\x0c]"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}$"
 
 
-def unfolded(rel: str, columns, measures: dict[str, str], extra: str = "") -> str:
+def unfolded(d, rel: str, columns, measures: dict[str, str], extra: str = "") -> str:
     """One aggregate of all measures ({c} is the column), then a row for each column."""
     agg = ", ".join(f"{e.format(c=c)} AS m{i}_{j}" for i, c in enumerate(columns) for j, e in enumerate(measures.values()))
-    rows = " UNION ALL ".join(f"SELECT '{c}' AS col, " + ", ".join(f"m{i}_{j} AS {n}" for j, n in enumerate(measures)) + ", n FROM m" for i, c in enumerate(columns))
+    rows = d.long("", "m", [{"col": f"'{c}'"} | {n: f"m{i}_{j}" for j, n in enumerate(measures)} | {"n": "n"} for i, c in enumerate(columns)])
     return f"WITH m AS (SELECT {agg}, count(*) AS n{extra} FROM {rel} t) {rows}"
 
 
 @op("dq_missing_values", fx.dirty, columns=ALL)
 def dq_missing_values(d, rel, columns):
-    q = unfolded(rel, columns, {"missing": ones("{c} IS NULL")})
+    q = unfolded(d, rel, columns, {"missing": ones("{c} IS NULL")})
     return f"SELECT col, missing, round(missing * 1e2 / n, 2) AS pct, round(100 * (1 - sum(missing) OVER () / (1e0 * sum(n) OVER ())), 2) AS score FROM ({q}) q"
 
 
@@ -46,7 +46,7 @@ def dq_duplicates(d, rel, columns):
 @op("dq_type_consistency", lambda d: "SELECT CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR(20)) END AS a, p_brand AS b, CAST(p_partkey AS VARCHAR(20)) AS c FROM part", columns=("a", "b", "c"))
 def dq_type_consistency(d, rel, columns):
     """Text columns of which more than half, but not all, values are numbers."""
-    q = unfolded(rel, columns, {"numeric_n": "count(try_cast({c} AS DOUBLE))", "filled": "count({c})"})
+    q = unfolded(d, rel, columns, {"numeric_n": "count(try_cast({c} AS DOUBLE))", "filled": "count({c})"})
     return f"SELECT col, numeric_n, filled, numeric_n > filled * 5e-1 AND numeric_n < filled AS mixed FROM ({q}) q"
 
 
@@ -56,7 +56,7 @@ def dq_value_range(d, rel, columns):
     b = "WITH b AS (SELECT " + ", ".join(f"{d.pct(c, 0.25)} AS {c}_1, {d.pct(c, 0.75)} AS {c}_3" for c in columns) + f" FROM {rel} t), m AS (SELECT "
     out = lambda c: ones(f"{c} < {c}_1 - 15e-1 * ({c}_3 - {c}_1) OR {c} > {c}_3 + 15e-1 * ({c}_3 - {c}_1)")
     agg = ", ".join(f"{out(c)} AS o{i}, count({c}) AS k{i}" for i, c in enumerate(columns))
-    rows = " UNION ALL ".join(f"SELECT '{c}' AS col, o{i} AS outliers, k{i} AS filled FROM m" for i, c in enumerate(columns))
+    rows = d.long("", "m", [{"col": f"'{c}'", "outliers": f"o{i}", "filled": f"k{i}"} for i, c in enumerate(columns)])
     return f"{b}{agg} FROM {rel} t CROSS JOIN b) SELECT col, outliers, filled, filled >= 4 AND outliers * 1e2 / nullif(filled, 0) > 1 AS problem FROM ({rows}) r"
 
 
@@ -87,24 +87,24 @@ def dq_whitespace(d, rel, columns):
     edge = lambda c: d.like(c, f"(^{STRIP}|{STRIP}$)").replace("{", "{{").replace("}", "}}")
     blank = lambda c: d.like(c, f"^{STRIP}+$").replace("{", "{{").replace("}", "}}")
     bare = lambda f: f("@@").replace("@@", "{c}")
-    return f"SELECT col, untrimmed, empty, blank FROM ({unfolded(rel, columns, {'untrimmed': ones(bare(edge)), 'empty': ones(bare(blank) + ' OR {c} = ' + chr(39) * 2), 'blank': ones(bare(blank))})}) q"
+    return f"SELECT col, untrimmed, empty, blank FROM ({unfolded(d, rel, columns, {'untrimmed': ones(bare(edge)), 'empty': ones(bare(blank) + ' OR {c} = ' + chr(39) * 2), 'blank': ones(bare(blank))})}) q"
 
 
 @op("dq_constant_columns", fx.dirty, columns=ALL)
 def dq_constant_columns(d, rel, columns):
-    return f"SELECT col, k, k <= 1 AS is_constant FROM ({unfolded(rel, columns, {'k': 'count(DISTINCT {c})'})}) q"
+    return f"SELECT col, k, k <= 1 AS is_constant FROM ({unfolded(d, rel, columns, {'k': 'count(DISTINCT {c})'})}) q"
 
 
 @op("dq_distribution_skew", "lineitem", columns=("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 def dq_distribution_skew(d, rel, columns):
     """Sample-adjusted skewness of columns with eight values or more."""
     skew = "skewness({c}) * sqrt(1e0 * count({c}) * (count({c}) - 1)) / (count({c}) - 2)" if d.spark else "skewness({c})"
-    return f"SELECT col, round(skew, 4) + 0e0 AS skew, abs(skew) > 3 AS problem, abs(skew) > 1 AS note FROM ({unfolded(rel, columns, {'skew': skew, 'k': 'count({c})'})}) q WHERE k >= 8"
+    return f"SELECT col, round(skew, 4) + 0e0 AS skew, abs(skew) > 3 AS problem, abs(skew) > 1 AS note FROM ({unfolded(d, rel, columns, {'skew': skew, 'k': 'count({c})'})}) q WHERE k >= 8"
 
 
 @op("dq_cardinality", fx.dirty, numeric=NUM, text=TEXT)
 def dq_cardinality(d, rel, numeric, text):
-    q = unfolded(rel, (*numeric, *text), {"k": "count(DISTINCT {c})", "filled": "count({c})"})
+    q = unfolded(d, rel, (*numeric, *text), {"k": "count(DISTINCT {c})", "filled": "count({c})"})
     names = ", ".join(f"'{c}'" for c in numeric)
     return f"SELECT col, k, filled, CASE WHEN col IN ({names}) THEN k <= 2 AND filled > 20 ELSE k * 1e0 / nullif(filled, 0) > 95e-2 AND filled > 50 END AS problem FROM ({q}) q"
 
@@ -113,7 +113,7 @@ def dq_cardinality(d, rel, numeric, text):
 def dq_cross_column(d, rel, pairs):
     """Rows that break an order of two columns."""
     agg = ", ".join(f"{ones(f'{a} > {b}')} AS v{i}, {ones(f'{a} IS NOT NULL AND {b} IS NOT NULL')} AS k{i}" for i, (a, b) in enumerate(pairs))
-    rows = " UNION ALL ".join(f"SELECT '{a}' AS low, '{b}' AS high, v{i} AS violations, k{i} AS valid, round(v{i} * 1e2 / nullif(k{i}, 0), 2) AS pct FROM m" for i, (a, b) in enumerate(pairs))
+    rows = d.long("", "m", [{"low": f"'{a}'", "high": f"'{b}'", "violations": f"v{i}", "valid": f"k{i}", "pct": f"round(v{i} * 1e2 / nullif(k{i}, 0), 2)"} for i, (a, b) in enumerate(pairs)])
     return f"WITH m AS (SELECT {agg} FROM {rel} t) {rows}"
 
 
@@ -184,7 +184,7 @@ VALUES = lambda d: "SELECT event_id AS id, value AS v FROM events"
 @op("out_numeric_columns", lambda d: "SELECT CASE WHEN p_partkey % 9 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR(20)) END AS a, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '1.5' END AS b, '' AS c FROM part", columns=("a", "b", "c"))
 def out_numeric_columns(d, rel, columns):
     """Columns of which four in five filled cells are numbers."""
-    q = unfolded(rel, columns, {"numbers": "count(try_cast({c} AS DOUBLE))", "filled": ones("trim({c}) <> ''")})
+    q = unfolded(d, rel, columns, {"numbers": "count(try_cast({c} AS DOUBLE))", "filled": ones("trim({c}) <> ''")})
     return f"SELECT col, filled > 0 AND numbers >= 8e-1 * filled AS is_numeric FROM ({q}) q"
 
 

@@ -157,7 +157,7 @@ def join_cross_pairs(d, rel, columns):
     """All pairs of columns in one aggregate, then one row a pair."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = ", ".join(f"corr({a}, {b}) AS r{i}" for i, (a, b) in enumerate(pairs))
-    rows = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(r{i}, 6) AS r FROM m" for i, (a, b) in enumerate(pairs))
+    rows = d.long("", "m", [{"a": f"'{a}'", "b": f"'{b}'", "r": f"round(r{i}, 6)"} for i, (a, b) in enumerate(pairs)])
     return f"WITH m AS (SELECT {one} FROM {rel} t) {rows}"
 
 
@@ -342,7 +342,7 @@ def catalog_preview(d, rel, n, order):
 def scan_nav_wide(d, rel, funds):
     """Wide values with blanks, read back to typed long rows."""
     wide = "SELECT date, " + ", ".join(f"max(CASE WHEN fund = '{f}' THEN CAST(nav AS VARCHAR(40)) END) AS f{i}" for i, f in enumerate(funds)) + f" FROM {rel} t GROUP BY date"
-    long = " UNION ALL ".join(f"SELECT date, '{f}' AS fund, try_cast(f{i} AS DOUBLE) AS nav FROM w" for i, f in enumerate(funds))
+    long = d.long("date", "w", [{"fund": f"'{f}'", "nav": f"try_cast(f{i} AS DOUBLE)"} for i, f in enumerate(funds)])
     return f"WITH w AS ({wide}) {long}"
 
 

@@ -281,7 +281,7 @@ def _signal_rows(d, bars: str, macd_rel: str, kdj_rel: str, trix_rel: str) -> st
     joins = " ".join(f"JOIN ({q}) {n} ON l.symbol = {n}.symbol AND l.date = {n}.date" for n, q in parts.items())
     joins += "".join(f" JOIN {rel} {n} ON l.symbol = {n}.symbol AND l.date = {n}.date" for n, rel in (("x1", macd_rel), ("x2", kdj_rel), ("x3", trix_rel)))
     rows = f"SELECT {cols} FROM ({last}) l {joins}"
-    votes = " UNION ALL ".join(f"SELECT symbol, '{n}' AS indicator, {e} AS signal FROM p" for n, e in VOTES.items())
+    votes = d.long("symbol", "p", [{"indicator": f"'{n}'", "signal": e} for n, e in VOTES.items()])
     return f"p AS ({rows}), votes AS (SELECT * FROM ({votes}) u WHERE signal IS NOT NULL)"
 
 

@@ -29,7 +29,7 @@ LINES = lambda d: "SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS x,
 def corr_pearson(d, rel, columns):
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     m = ", ".join(f"corr({a}, {b}) AS r{i}, {ones(f'{a} IS NOT NULL AND {b} IS NOT NULL')} AS n{i}" for i, (a, b) in enumerate(pairs))
-    rows = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, r{i} AS r, n{i} AS n FROM m" for i, (a, b) in enumerate(pairs))
+    rows = d.long("", "m", [{"a": f"'{a}'", "b": f"'{b}'", "r": f"r{i}", "n": f"n{i}"} for i, (a, b) in enumerate(pairs)])
     return f"WITH m AS (SELECT {m} FROM {rel} t) SELECT a, b, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM ({rows}) q"
 
 
@@ -274,7 +274,8 @@ def reg_fit_label(d, rel):
 @op("test_is_categorical", "lineitem", columns=("l_linenumber", "l_partkey", "l_returnflag"), text=("l_returnflag",))
 def test_is_categorical(d, rel, columns, text):
     m = ", ".join(f"count(DISTINCT {c}) AS k{i}" for i, c in enumerate(columns))
-    return f"WITH m AS (SELECT {m}, count(*) AS n FROM {rel} t) " + " UNION ALL ".join(f"SELECT '{c}' AS col, {'true' if c in text else f'k{i} <= 20 AND k{i} * 1e0 / n < 5e-2'} AS categorical FROM m" for i, c in enumerate(columns))
+    rows = d.long("", "m", [{"col": f"'{c}'", "categorical": "true" if c in text else f"k{i} <= 20 AND k{i} * 1e0 / n < 5e-2"} for i, c in enumerate(columns)])
+    return f"WITH m AS (SELECT {m}, count(*) AS n FROM {rel} t) {rows}"
 
 
 def anova_sql(rel, g, v):
@@ -505,7 +506,15 @@ def power(p1: float, p2: float, n1: float, n2: float, alpha: float = 0.05) -> fl
     return sm.normal_cdf(z - k) + sm.normal_cdf(-z - k)
 
 
-@R.query("ab_power")
+def _phi(x: str) -> str:
+    """The oracle's normal distribution: Simpson's rule from zero."""
+    return f"(5e-1 + {x} / 6e3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow({x} * i / 2e3, 2) / 2))))"
+
+
+_POWER = f"SELECT round(CASE WHEN p1 = p2 THEN 5e-2 WHEN z IS NULL THEN 1e0 ELSE {_phi(f'(z - {Z975:.15e})')} + {_phi(f'(-z - {Z975:.15e})')} END, 6) AS power FROM (SELECT p1, p2, abs(p2 - p1) / nullif(sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2), 0) AS z FROM ({{}}) a) b"
+
+
+@R.query("ab_power", _POWER.format(ab(f"({ARMS(None)})")))
 def ab_power(spark, sf_dir):
     r = on_tables(spark, sf_dir, ab(f"({ARMS(None)})")).first()
     return spark.createDataFrame([(round(power(r["p1"], r["p2"], r["n1"], r["n2"]), 6),)], "power double")

@@ -148,7 +148,7 @@ def sec_secret_patterns(d, rel):
     keep = f"NOT {d.like('line', '^[ \\t]*(#|//)')} OR {d.like('line', '(?i)(password|secret|token|key)')}"
     rules = ", ".join(f"{ones(d.like('line', p))} AS {n}" for n, p in SECRET_RULES.items())
     high = d.size(d.only(d.extract_all("line", QUOTED, 1), "v", f"{entropy(d, 'v')} > {ENTROPY}e0"))
-    rows = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, {n} AS n FROM m WHERE {n} > 0" for n in [*SECRET_RULES, "high_entropy"])
+    rows = f"SELECT * FROM ({d.long('doc_id', 'm', [{'rule': f"'{n}'", 'n': n} for n in [*SECRET_RULES, 'high_entropy']])}) f WHERE n > 0"
     return f"WITH l AS ({lines_of(d, rel)}), m AS (SELECT doc_id, {rules}, {C(f'sum({high})')} AS high_entropy FROM l WHERE {keep} GROUP BY doc_id) {rows}"
 
 
@@ -190,7 +190,7 @@ def sec_owasp_patterns(d, rel, languages):
     mine = {n: (p, x) for n, (p, langs, x) in OWASP.items() if set(langs.split(",")) & set(languages)}
     one = lambda p, x: " AND ".join([d.like("line", p), *(f"NOT contains(line, {d.lit(e)})" for e in x)])
     rules = ", ".join(f"{ones(one(p, x))} AS {n}" for n, (p, x) in mine.items())
-    rows = " UNION ALL ".join(f"SELECT page_id, '{n}' AS rule, {n} AS n FROM m WHERE {n} > 0" for n in mine)
+    rows = f"SELECT * FROM ({d.long('page_id', 'm', [{'rule': f"'{n}'", 'n': n} for n in mine])}) f WHERE n > 0"
     return f"WITH l AS (SELECT page_id, {d.unnest(d.split('html', chr(10)))} AS line FROM {rel} t), m AS (SELECT page_id, {rules} FROM l GROUP BY page_id) {rows}"
 
 
@@ -243,16 +243,33 @@ LEAKS = {"heading_leak": r"(?m)^\s*#{1,6}\s", "bold_leak": r"\*\*[^*\n]+\*\*", "
 IDEOGRAPH = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
 
 
+def rate_hits(d, pattern: str, no: str) -> str:
+    return d.size(d.only(d.extract_all("text", pattern), "v", f"NOT {d.like('v', no)}")) if no else d.count_of("text", pattern)
+
+
 @op("text_rate_checks", fx.cjk)
 def text_rate_checks(d, rel):
     """Phrases per 1000 ideographs above their caps, phrases above a cap per text, and leaks of markup, none of which may be there."""
-    hits = lambda p, no: d.size(d.only(d.extract_all("text", p), "v", f"NOT {d.like('v', no)}")) if no else d.count_of("text", p)
-    base = f"SELECT doc_id, text, greatest({d.count_of('text', IDEOGRAPH)}, 1) AS n FROM {rel} t"
-    rows = [f"SELECT doc_id, '{k}' AS rule, {hits(p, no)} AS hits, n, {cap} AS cap FROM b" for k, (p, no, cap) in RATES.items()]
-    rated = f"SELECT doc_id, rule, hits, round(hits * 1e3 / n, 4) AS rate, hits * 1e3 / n > cap AS over_cap FROM ({' UNION ALL '.join(rows)}) r"
     caps = WORK_CAPS | {k: (p, 0) for k, p in LEAKS.items()}
-    whole = [f"SELECT doc_id, rule, hits, CAST(NULL AS DOUBLE) AS rate, hits > {cap} AS over_cap FROM (SELECT doc_id, '{k}' AS rule, {d.count_of('text', p)} AS hits FROM b) w" for k, (p, cap) in caps.items()]
-    return f"WITH b AS ({base}) " + " UNION ALL ".join([rated, *whole])
+    rows = [{"rule": f"'{k}'", "hits": rate_hits(d, p, no), "n": d.count_of("text", IDEOGRAPH), "cap": cap} for k, (p, no, cap) in RATES.items()]
+    rows += [{"rule": f"'{k}'", "hits": d.count_of("text", p), "n": "CAST(NULL AS BIGINT)", "cap": f"{cap}e0"} for k, (p, cap) in caps.items()]
+    return f"SELECT doc_id, rule, hits, CASE WHEN n IS NOT NULL THEN round(hits * 1e3 / greatest(n, 1), 4) END AS rate, CASE WHEN n IS NULL THEN hits ELSE hits * 1e3 / greatest(n, 1) END > cap AS over_cap FROM ({d.long('doc_id', rel, rows)}) r"
+
+
+@op("text_rate_reference", fx.cjk, reference=fx.cjk)
+def text_rate_reference(d, rel, reference):
+    """Rates and kind of quotes against those of a reference text.
+
+    A rate passes within half and one and a half times the reference's, or
+    without a hit; curly or straight quotes lead in both, or there are none.
+    """
+    rows = [{"rule": f"'{k}'", "a": rate_hits(d, p, no), "b": d.count_of("text", IDEOGRAPH)} for k, (p, no, _) in RATES.items()]
+    rows.append({"rule": "'quotes'", "a": d.count_of("text", "[\u201c\u201d]"), "b": d.count_of("text", '"')})
+    ref = f"SELECT rule, sum(a) AS ra, sum(b) AS rb, sum(a) * 1e3 / greatest(sum(b), 1) AS rr FROM ({d.long('', reference, rows)}) s GROUP BY rule"
+    near = "a = 0 OR a * 1e3 / greatest(b, 1) BETWEEN rr * 5e-1 AND greatest(rr * 15e-1, 5e-1)"
+    passed = f"CASE WHEN q.rule = 'quotes' THEN a + b = 0 OR (a >= b) = (ra >= rb) ELSE {near} END"
+    rate = lambda x: f"CASE WHEN q.rule <> 'quotes' THEN round({x}, 4) END"
+    return f"SELECT doc_id, q.rule, a AS hits, {rate('a * 1e3 / greatest(b, 1)')} AS rate, {rate('rr')} AS reference_rate, {passed} AS passed FROM ({d.long('doc_id', rel, rows)}) q JOIN ({ref}) r ON q.rule = r.rule"
 
 
 @op("text_chunk_overlap", "documents", tokens=250, overlap=0.1, chars_per_token=4)
@@ -287,7 +304,15 @@ def srt_clean(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, srt_text(F.col(column)).alias("text"))
 
 
-@R.query("text_srt_clean", on=srt_clean)
+_SRT = r"""WITH RECURSIVE l AS (SELECT concat(conv_id, '-', turn) AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$|^[0-9]{2}:[0-9]{2}:[0-9]{2}')) AS a FROM conversations),
+  o AS (SELECT id, list_filter(list_concat(a, a), lambda x, i: i = 1 OR x <> list_concat(a, a)[i - 1]) AS a FROM l),
+  f AS (SELECT id, a, 1 AS i, '' AS now, '' AS done FROM o
+    UNION ALL SELECT id, a, i + 1, CASE WHEN full_now THEN '' ELSE more END, CASE WHEN full_now THEN concat(done, CASE WHEN done = '' THEN '' ELSE chr(10) || chr(10) END, more) ELSE done END
+      FROM (SELECT *, length(more) > 200 OR regexp_matches(a[i], '[。！？.!?]$') AS full_now FROM (SELECT *, CASE WHEN now = '' THEN a[i] ELSE concat(now, ' ', a[i]) END AS more FROM f WHERE i <= len(a)) m) n)
+  SELECT id, concat(done, CASE WHEN now <> '' AND done <> '' THEN chr(10) || chr(10) ELSE '' END, now) AS text FROM f WHERE i > len(a)"""
+
+
+@R.query("text_srt_clean", _SRT, on=srt_clean)
 def text_srt_clean(spark, sf_dir):
     """Turns of conversations as subtitles with a repeated line."""
     df = on_tables(spark, sf_dir, r"SELECT concat(conv_id, '-', turn) AS id, concat(turn, '\n00:00:01,000 --> 00:00:02,000\n<i>', text, '</i>\n', text) AS srt FROM conversations")
@@ -429,7 +454,7 @@ def cite_extract_doi(d, rel):
 @op("cite_check", citations)
 def cite_check(d, rel):
     checks = [("no year", f"NOT {d.like('text', '[12][0-9]{3}')}"), ("no author", f"NOT {d.like('text', '[A-Z][a-z]+, [A-Z]|[A-Z][.] [A-Z][a-z]+')}"), ("no pages", f"NOT {d.like('text', '[0-9]+-[0-9]+')}")]
-    return " UNION ALL ".join(f"SELECT id, '{n}' AS issue FROM {rel} t WHERE {c}" for n, c in checks)
+    return f"SELECT id, issue FROM ({d.long('id', rel, [{'issue': f"'{n}'", 'found': c} for n, c in checks])}) f WHERE found"
 
 
 @op("date_parse_multi", lambda d: "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '2024-03-0' || CAST(1 + p_size % 9 AS VARCHAR(20)) WHEN 1 THEN '03/1' || CAST(p_size % 9 AS VARCHAR(20)) || '/2024' WHEN 2 THEN 'March 1' || CAST(p_size % 9 AS VARCHAR(20)) || ', 2024' WHEN 3 THEN '2024/03/0' || CAST(1 + p_size % 9 AS VARCHAR(20)) WHEN 4 THEN 'on 2024-03-99 at noon' ELSE 'soon' END AS s FROM part")

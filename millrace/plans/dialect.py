@@ -99,6 +99,14 @@ class Dialect:
     def array(self, *items: str) -> str:
         return f"array({', '.join(items)})" if self.spark else f"list_value({', '.join(items)})"
 
+    def long(self, key: str, rel: str, rows: list[dict[str, str]]) -> str:
+        """Several rows for each row of ``rel``: in Spark exploded, so that ``rel`` is read once, as a CTE is copied to each use."""
+        key = f"{key}, " if key else ""
+        if not self.spark:
+            return " UNION ALL ".join(f"SELECT {key}{', '.join(f'{v} AS {k}' for k, v in row.items())} FROM {rel} t" for row in rows)
+        made = self.array(*[f"named_struct({', '.join(f"'{k}', {v}" for k, v in row.items())})" for row in rows])
+        return f"SELECT {key}{', '.join(f'r.{k} AS {k}' for k in rows[0])} FROM (SELECT {key}explode({made}) AS r FROM {rel} t) wide"
+
     def but(self, column: str) -> str:
         """All columns but one."""
         return f"* EXCEPT ({column})" if self.spark else f"* EXCLUDE ({column})"
