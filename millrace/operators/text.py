@@ -128,6 +128,8 @@ SECRET_RULES = {
 # quoted values whose entropy counts
 QUOTED = r"""(?i)(?:key|secret|token|password|passwd|pwd|credential|auth|api)\s*[=:]\s*["']([^"']{20,})["']"""
 ENTROPY = 4.5
+#: Every match of a rule or of QUOTED holds one of these.
+SECRET_HINTS = "= : AKIA ghp_ gho_ github_pat_ xox _live_ eyJ SG. -----BEGIN"
 
 
 def entropy(d, v: str) -> str:
@@ -145,7 +147,7 @@ def lines_of(d, rel: str) -> str:
 @op("sec_secret_patterns", "documents")
 def sec_secret_patterns(d, rel):
     """Lines that match a rule, and quoted values of high entropy; comment lines count only with a keyword."""
-    keep = f"NOT {d.like('line', '^[ \\t]*(#|//)')} OR {d.like('line', '(?i)(password|secret|token|key)')}"
+    keep = f"{d.may_hold('line', SECRET_HINTS)} AND (NOT {d.like('line', '^[ \\t]*(#|//)')} OR {d.like('line', '(?i)(password|secret|token|key)')})"
     rules = ", ".join(f"{ones(d.like('line', p))} AS {n}" for n, p in SECRET_RULES.items())
     high = d.size(d.only(d.extract_all("line", QUOTED, 1), "v", f"{entropy(d, 'v')} > {ENTROPY}e0"))
     rows = f"SELECT * FROM ({d.long('doc_id', 'm', [{'rule': f"'{n}'", 'n': n} for n in [*SECRET_RULES, 'high_entropy']])}) f WHERE n > 0"
@@ -251,9 +253,11 @@ def rate_hits(d, pattern: str, no: str) -> str:
 def text_rate_checks(d, rel):
     """Phrases per 1000 ideographs above their caps, phrases above a cap per text, and leaks of markup, none of which may be there."""
     caps = WORK_CAPS | {k: (p, 0) for k, p in LEAKS.items()}
-    rows = [{"rule": f"'{k}'", "hits": rate_hits(d, p, no), "n": d.count_of("text", IDEOGRAPH), "cap": cap} for k, (p, no, cap) in RATES.items()]
-    rows += [{"rule": f"'{k}'", "hits": d.count_of("text", p), "n": "CAST(NULL AS BIGINT)", "cap": f"{cap}e0"} for k, (p, cap) in caps.items()]
-    return f"SELECT doc_id, rule, hits, CASE WHEN n IS NOT NULL THEN round(hits * 1e3 / greatest(n, 1), 4) END AS rate, CASE WHEN n IS NULL THEN hits ELSE hits * 1e3 / greatest(n, 1) END > cap AS over_cap FROM ({d.long('doc_id', rel, rows)}) r"
+    hits = {k: rate_hits(d, p, no) for k, (p, no, _) in RATES.items()} | {k: d.count_of("text", p) for k, (p, _) in caps.items()}
+    counts = f"SELECT doc_id, {d.count_of('text', IDEOGRAPH)} AS ideographs, {', '.join(f'{x} AS {k}' for k, x in hits.items())} FROM {rel} t"
+    rows = [{"rule": f"'{k}'", "hits": k, "n": "ideographs", "cap": cap} for k, (_, _, cap) in RATES.items()]
+    rows += [{"rule": f"'{k}'", "hits": k, "n": "CAST(NULL AS BIGINT)", "cap": f"{cap}e0"} for k, (_, cap) in caps.items()]
+    return f"SELECT doc_id, rule, hits, CASE WHEN n IS NOT NULL THEN round(hits * 1e3 / greatest(n, 1), 4) END AS rate, CASE WHEN n IS NULL THEN hits ELSE hits * 1e3 / greatest(n, 1) END > cap AS over_cap FROM ({d.long('doc_id', f'({counts})', rows)}) r"
 
 
 @op("text_rate_reference", fx.cjk, reference=fx.cjk)
@@ -263,13 +267,14 @@ def text_rate_reference(d, rel, reference):
     A rate passes within half and one and a half times the reference's, or
     without a hit; curly or straight quotes lead in both, or there are none.
     """
-    rows = [{"rule": f"'{k}'", "a": rate_hits(d, p, no), "b": d.count_of("text", IDEOGRAPH)} for k, (p, no, _) in RATES.items()]
-    rows.append({"rule": "'quotes'", "a": d.count_of("text", "[\u201c\u201d]"), "b": d.count_of("text", '"')})
-    ref = f"SELECT rule, sum(a) AS ra, sum(b) AS rb, sum(a) * 1e3 / greatest(sum(b), 1) AS rr FROM ({d.long('', reference, rows)}) s GROUP BY rule"
+    hits = ", ".join(f"{rate_hits(d, p, no)} AS {k}" for k, (p, no, _) in RATES.items())
+    counts = lambda key, rel: f"(SELECT {key}{d.count_of('text', IDEOGRAPH)} AS n, {hits}, {d.count_of('text', '[\u201c\u201d]')} AS curly, {d.count_of('text', chr(34))} AS straight FROM {rel} t)"
+    rows = [{"rule": f"'{k}'", "a": k, "b": "n"} for k in RATES] + [{"rule": "'quotes'", "a": "curly", "b": "straight"}]
+    ref = f"SELECT rule, sum(a) AS ra, sum(b) AS rb, sum(a) * 1e3 / greatest(sum(b), 1) AS rr FROM ({d.long('', counts('', reference), rows)}) s GROUP BY rule"
     near = "a = 0 OR a * 1e3 / greatest(b, 1) BETWEEN rr * 5e-1 AND greatest(rr * 15e-1, 5e-1)"
     passed = f"CASE WHEN q.rule = 'quotes' THEN a + b = 0 OR (a >= b) = (ra >= rb) ELSE {near} END"
     rate = lambda x: f"CASE WHEN q.rule <> 'quotes' THEN round({x}, 4) END"
-    return f"SELECT doc_id, q.rule, a AS hits, {rate('a * 1e3 / greatest(b, 1)')} AS rate, {rate('rr')} AS reference_rate, {passed} AS passed FROM ({d.long('doc_id', rel, rows)}) q JOIN ({ref}) r ON q.rule = r.rule"
+    return f"SELECT doc_id, q.rule, a AS hits, {rate('a * 1e3 / greatest(b, 1)')} AS rate, {rate('rr')} AS reference_rate, {passed} AS passed FROM ({d.long('doc_id', counts('doc_id, ', rel), rows)}) q JOIN ({ref}) r ON q.rule = r.rule"
 
 
 @op("text_chunk_overlap", "documents", tokens=250, overlap=0.1, chars_per_token=4)

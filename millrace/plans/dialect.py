@@ -99,6 +99,10 @@ class Dialect:
     def array(self, *items: str) -> str:
         return f"array({', '.join(items)})" if self.spark else f"list_value({', '.join(items)})"
 
+    def may_hold(self, x: str, literals: str) -> str:
+        """Whether any of the literals is in ``x``: a cheap test before patterns that all need one; the oracle does without it."""
+        return "(" + " OR ".join(f"contains({x}, {self.lit(w)})" for w in literals.split()) + ")" if self.spark else "true"
+
     def long(self, key: str, rel: str, rows: list[dict[str, str]]) -> str:
         """Several rows for each row of ``rel``: in Spark exploded, so that ``rel`` is read once, as a CTE is copied to each use."""
         key = f"{key}, " if key else ""
