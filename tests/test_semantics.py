@@ -398,3 +398,12 @@ def test_rate_checks_count_as_with_look_around(spark):
     assert got[3, "dash"]["rate"] == 2000.0 and got[3, "dash"]["over_cap"] and not got[6, "dash"]["over_cap"]
     assert all(got[4, k]["over_cap"] for k in text.LEAKS) and not any(got[6, k]["over_cap"] for k in text.LEAKS)
     assert got[5, "hedging"]["hits"] == 3 and got[5, "hedging"]["over_cap"]
+
+
+def test_rates_against_a_reference(spark):
+    reference = spark.createDataFrame([("缓缓" + "字" * 98 + "“”",)], "text string")
+    rows = ["缓缓" + "字" * 98 + "“", "缓缓" * 10 + '"', "plain", "——字字"]
+    got = found(text.text_rate_reference.apply(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), reference=reference), "doc_id")
+    assert got[0, "tic"]["rate"] == got[0, "tic"]["reference_rate"] == 10.0 and got[0, "tic"]["passed"] and got[0, "quotes"]["passed"]
+    assert got[1, "tic"]["rate"] == 500.0 and not got[1, "tic"]["passed"] and not got[1, "quotes"]["passed"]
+    assert all(got[2, k]["passed"] for k in (*text.RATES, "quotes")) and not got[3, "dash"]["passed"]
