@@ -119,6 +119,26 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, e, np.searchsorted(off, s, side="right") - 1
 
 
+def pieces(raw: memoryview, limit: int = CHUNK_BYTES, cut: bytes | None = None) -> Iterator[bytes]:
+    """A text in pieces that end where a word does, so that long texts need not be split as a whole; bytes are replaced by those of ``cut`` if given.
+
+    Only a word longer than ``limit`` makes a longer piece.
+    """
+    at, n = 0, len(raw)
+    while at < n:
+        end = min(n, at + limit)
+        while end < n:
+            ahead = bytes(raw[end : end + limit])
+            blank = np.flatnonzero(SPACE[np.frombuffer(ahead.translate(cut) if cut else ahead, np.uint8)])
+            if len(blank):
+                end += int(blank[0])
+                break
+            end = min(n, end + limit)
+        piece = bytes(raw[at:end])
+        yield piece.translate(cut) if cut else piece
+        at = end
+
+
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, SPACE, stage_table, utf8
+from .common import CHUNK_BYTES, pieces, stage_table, utf8
 
 FILTERS = "ABCDE"
 SETS = 1 << len(FILTERS)
@@ -38,21 +38,6 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def pieces(raw: memoryview, limit: int = CHUNK_BYTES) -> Iterator[bytes]:
-    """A text in pieces that end where a word does; only a word longer than ``limit`` makes one longer."""
-    at, n = 0, len(raw)
-    while at < n:
-        end = min(n, at + limit)
-        while end < n:
-            blank = np.flatnonzero(SPACE[np.frombuffer(raw[end : end + limit], np.uint8)])
-            if len(blank):
-                end += int(blank[0])
-                break
-            end = min(n, end + limit)
-        yield bytes(raw[at:end])
-        at = end
-
-
 def text_flags(text: bytes | memoryview, limit: int = CHUNK_BYTES) -> int:
     """Which of the filters A to D a whole text fails, as bits."""
     n_words, points, capitals, symbol, seen = 0, 0, 0, False, set()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import filter_audit as fa
+from millrace.llm.common import pieces
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -79,4 +80,4 @@ def test_flags_do_not_depend_on_pieces(limit):
     for text in ("", " ", "one two  three\n four", "x" * 100, "Ab\tcd " * 60 + "é日 #", "word " * 250, " ".join(f"W{i}" for i in range(220))):
         bits = sum(1 << k for k, f in enumerate("ABCD") if f in fails(text))
         assert fa.text_flags(text.encode(), limit) == bits
-        assert b"".join(fa.pieces(memoryview(text.encode()), limit)) == text.encode()
+        assert b"".join(pieces(memoryview(text.encode()), limit)) == text.encode()
