@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..plans import fixtures as fx
-from ..plans.dialect import Registry, on_tables
+from ..plans.blocks import meet, positions, scan
+from ..plans.dialect import DUCK, Registry, on_tables
 from .relational import C, ones
 
 R = Registry()
@@ -72,36 +75,105 @@ def lots(d) -> str:
     return f"SELECT l_partkey AS symbol, CAST(row_number() OVER (PARTITION BY l_partkey {order}) AS BIGINT) AS seq, {d.day('l_shipdate')} AS date, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) AS size, CAST(round(l_extendedprice * 100) AS BIGINT) / (1e2 * l_quantity) AS price FROM lineitem"
 
 
-def fifo_sql(rel):
-    """Matches of buys and sells as overlaps of cumulated sizes."""
-    c = f"SELECT symbol, seq, date, side, size, price, sum(size) OVER (PARTITION BY symbol, side ORDER BY seq ROWS UNBOUNDED PRECEDING) AS upto FROM {rel} t"
-    return f"SELECT b.symbol, b.seq AS lot, s.seq AS sale, b.price AS entry_price, s.price AS exit_price, {C('least(b.upto, s.upto) - greatest(b.upto - b.size, s.upto - s.size)')} AS size FROM ({c}) b JOIN ({c}) s ON b.symbol = s.symbol AND b.side = 'buy' AND s.side = 'sell' AND b.upto > s.upto - s.size AND s.upto > b.upto - b.size"
+def last_known(d, x: str, over: str) -> str:
+    """The last value that is not null of the rows up to this one."""
+    return f"last_value({x}, true) OVER ({over} ROWS UNBOUNDED PRECEDING)" if d.spark else f"last_value({x} IGNORE NULLS) OVER ({over} ROWS UNBOUNDED PRECEDING)"
 
 
-@op("bt_close_fifo", lots)
-def bt_close_fifo(d, rel):
-    """First in, first out; what sells exceed the buys stays unfilled."""
-    return f"SELECT symbol, lot, sale, size, round((exit_price - entry_price) * size, 7) AS pnl FROM ({fifo_sql(rel)}) f"
+def filled_sql(rel, t_plus_1=False, opens="buy"):
+    """Trades in the order they act in, with the size that holdings allow: ``opens`` is the side that opens lots.
 
+    Holdings are the running sum of sizes, reflected at zero: what the sum's
+    running minimum falls by is the size that could not be closed.  With T+1 the
+    closing trades of a bar act before its opening ones, as those lots are closed
+    to them.
+    """
+    opening = f"CASE WHEN side = '{opens}' THEN 1 ELSE 0 END"
+    order = f"date, {opening}, seq" if t_plus_1 else "seq"
+    run = f"SELECT symbol, seq, date, {opening} AS opening, size, price, row_number() OVER (PARTITION BY symbol ORDER BY {order}) AS at, {C(f"sum(CASE WHEN side = '{opens}' THEN size ELSE -size END) OVER (PARTITION BY symbol ORDER BY {order} ROWS UNBOUNDED PRECEDING)")} AS net FROM {rel} t WHERE size > 0 AND side IN ('buy', 'sell')"
+    low = f"SELECT r.*, least(0, min(net) OVER (PARTITION BY symbol ORDER BY at ROWS UNBOUNDED PRECEDING)) AS low FROM ({run}) r"
+    return f"SELECT l.*, {C('size - (coalesce(lag(low) OVER (PARTITION BY symbol ORDER BY at), 0) - low)')} AS filled FROM ({low}) l"
 
-@op("bt_cover_fifo", lots)
-def bt_cover_fifo(d, rel):
+
+def segments_sql(d, rel, t_plus_1=False, opens="buy"):
+    """Opened and closed sizes laid end to end and cut at all their ends: each piece is of one lot, and of one sale or still open."""
+    ends = f"SELECT f.*, {C('sum(filled) OVER (PARTITION BY symbol, opening ORDER BY at ROWS UNBOUNDED PRECEDING)')} AS upto FROM ({filled_sql(rel, t_plus_1, opens)}) f WHERE filled > 0"
+    picked = ", ".join(f"max(CASE WHEN opening = {side} THEN {x} END) AS {name}" for side, x, name in ((1, "seq", "lot"), (1, "price", "entry_price"), (1, "date", "entry_date"), (0, "seq", "sale"), (0, "price", "exit_price"), (0, "date", "exit_date")))
+    bounds = f"SELECT symbol, upto, {picked} FROM ({ends}) e GROUP BY symbol, upto"
+    back = "PARTITION BY symbol ORDER BY upto DESC"
+    known = ", ".join(f"{last_known(d, x, back)} AS {x}" for x in ("lot", "entry_price", "entry_date", "sale", "exit_price", "exit_date"))
+    return f"SELECT symbol, upto, {C('upto - coalesce(lag(upto) OVER (PARTITION BY symbol ORDER BY upto), 0)')} AS size, {known} FROM ({bounds}) b"
+
+
+def fifo_sql(d, rel, t_plus_1=False, opens="buy"):
+    """Closed pieces of lots, first in, first out."""
+    return f"SELECT * FROM ({segments_sql(d, rel, t_plus_1, opens)}) g WHERE sale IS NOT NULL"
+
+
+def unfilled_sql(rel, t_plus_1=False, opens="buy"):
+    """What closing trades asked for beyond what was held when they acted."""
+    return f"SELECT symbol, seq AS sale, size - filled AS size FROM ({filled_sql(rel, t_plus_1, opens)}) f WHERE filled < size"
+
+
+def walk_sql(rel, opens="buy"):
+    """The oracle's form: each symbol's trades one after the other, with the list of open lots. (symbol, seq, side, size, price, took), ``took`` the pieces closed."""
+    taken = "greatest(0, least(x.size, t.size - CAST(coalesce(list_sum(list_transform(r.held[1:i - 1], lambda y: y.size)), 0) AS BIGINT)))"
+    pieces = "list_transform(r.held, lambda x, i: {'lot': x.lot, 'price': x.price, 'size': " + taken + "})"
+    rest = "list_filter(list_transform(r.held, lambda x, i: {'lot': x.lot, 'price': x.price, 'size': x.size - " + taken + "}), lambda z: z.size > 0)"
+    kind = "STRUCT(lot BIGINT, price DOUBLE, size BIGINT)[]"
+    return f"""WITH RECURSIVE t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS nth FROM {rel} q), r AS (
+      SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS seq, '' AS side, CAST(0 AS BIGINT) AS size, 0e0 AS price, CAST([] AS {kind}) AS held, CAST([] AS {kind}) AS took FROM t UNION ALL
+      SELECT t.symbol, t.nth, t.seq, t.side, t.size, t.price, CAST(CASE WHEN t.side = '{opens}' THEN list_append(r.held, {{'lot': t.seq, 'price': t.price, 'size': t.size}}) ELSE {rest} END AS {kind}),
+      CAST(CASE WHEN t.side = '{opens}' THEN [] ELSE list_filter({pieces}, lambda z: z.size > 0) END AS {kind}) FROM r JOIN t ON t.symbol = r.symbol AND t.nth = r.nth + 1)"""
+
+
+def _walk_pieces(opens: str) -> str:
+    """Pieces (symbol, lot, sale, entry_price, exit_price, size) as the oracle walks them."""
+    return f"{walk_sql('(' + lots(DUCK) + ')', opens)}, p AS (SELECT symbol, k.lot AS lot, seq AS sale, k.price AS entry_price, price AS exit_price, k.size AS size FROM (SELECT symbol, seq, price, unnest(took) AS k FROM r WHERE side <> '{opens}') z), u AS (SELECT symbol, seq AS sale, size - CAST(coalesce(list_sum(list_transform(took, lambda y: y.size)), 0) AS BIGINT) AS size FROM r WHERE nth > 0 AND side <> '{opens}')"
+
+
+@op("bt_close_fifo", lots, t_plus_1=False)
+def bt_close_fifo(d, rel, t_plus_1):
+    """First in, first out, of the lots bought before a sale (with T+1: on an earlier bar); what exceeds them is a row without lot."""
+    return f"SELECT symbol, lot, sale, size, round((exit_price - entry_price) * size, 7) AS pnl FROM ({fifo_sql(d, rel, t_plus_1)}) f UNION ALL SELECT symbol, CAST(NULL AS BIGINT), sale, size, CAST(NULL AS DOUBLE) FROM ({unfilled_sql(rel, t_plus_1)}) u"
+
+
+@op("bt_cover_fifo", lots, t_plus_1=False)
+def bt_cover_fifo(d, rel, t_plus_1):
     """The same with sides swapped: sells open, buys cover."""
-    swapped = f"(SELECT symbol, seq, date, CASE WHEN side = 'buy' THEN 'sell' ELSE 'buy' END AS side, size, price FROM {rel} z)"
-    return f"SELECT symbol, lot, sale, size, round((entry_price - exit_price) * size, 7) AS pnl FROM ({fifo_sql(swapped)}) f"
+    return f"SELECT symbol, lot, sale, size, round((entry_price - exit_price) * size, 7) AS pnl FROM ({fifo_sql(d, rel, t_plus_1, 'sell')}) f UNION ALL SELECT symbol, CAST(NULL AS BIGINT), sale, size, CAST(NULL AS DOUBLE) FROM ({unfilled_sql(rel, t_plus_1, 'sell')}) u"
+
+
+@op("bt_open_lots", lots, t_plus_1=False)
+def bt_open_lots(d, rel, t_plus_1):
+    """What is left of each lot in the end."""
+    return f"SELECT symbol, lot, entry_price, {C('sum(size)')} AS size FROM ({segments_sql(d, rel, t_plus_1)}) g WHERE sale IS NULL GROUP BY symbol, lot, entry_price"
+
+
+def close_lot_sql(pieces, fee):
+    return f"SELECT symbol, lot, sale, (cost + got) * {fee:e} AS fees, got - cost - (cost + got) * {fee:e} AS pnl, (got - cost - (cost + got) * {fee:e}) / (cost * (1 + {fee:e})) * 100 AS pnl_pct FROM ({pieces}) q"
+
 
+def cover_short_sql(pieces, fee):
+    return f"SELECT symbol, lot, sale, (cost + got) * {fee:e} AS fees, got - cost - (cost + got) * {fee:e} AS pnl FROM ({pieces}) q"
 
-@op("bt_close_lot", lots, fee=0.001)
-def bt_close_lot(d, rel, fee):
+
+@op("bt_close_lot", lots, fee=0.001, t_plus_1=False)
+def bt_close_lot(d, rel, fee, t_plus_1):
     """Fees by size; profit in percent of the cost with its entry fee."""
-    q = f"SELECT symbol, lot, sale, size, entry_price * size AS cost, exit_price * size AS got FROM ({fifo_sql(rel)}) f"
-    return f"SELECT symbol, lot, sale, (cost + got) * {fee:e} AS fees, got - cost - (cost + got) * {fee:e} AS pnl, (got - cost - (cost + got) * {fee:e}) / (cost * (1 + {fee:e})) * 100 AS pnl_pct FROM ({q}) q"
+    return close_lot_sql(f"SELECT symbol, lot, sale, size, entry_price * size AS cost, exit_price * size AS got FROM ({fifo_sql(d, rel, t_plus_1)}) f", fee)
+
+
+@op("bt_cover_short", lots, fee=0.001, t_plus_1=False)
+def bt_cover_short(d, rel, fee, t_plus_1):
+    return cover_short_sql(f"SELECT symbol, lot, sale, size, entry_price * size AS got, exit_price * size AS cost FROM ({fifo_sql(d, rel, t_plus_1, 'sell')}) f", fee)
 
 
-@op("bt_cover_short", lots, fee=0.001)
-def bt_cover_short(d, rel, fee):
-    q = f"SELECT symbol, lot, sale, size, entry_price * size AS got, exit_price * size AS cost FROM ({fifo_sql(rel)}) f"
-    return f"SELECT symbol, lot, sale, (cost + got) * {fee:e} AS fees, got - cost - (cost + got) * {fee:e} AS pnl FROM ({q}) q"
+R.sql["bt_close_fifo"] = f"{_walk_pieces('buy')} SELECT symbol, lot, sale, size, round((exit_price - entry_price) * size, 7) AS pnl FROM p UNION ALL SELECT symbol, NULL, sale, size, NULL FROM u WHERE size > 0"
+R.sql["bt_cover_fifo"] = f"{_walk_pieces('sell')} SELECT symbol, lot, sale, size, round((entry_price - exit_price) * size, 7) AS pnl FROM p UNION ALL SELECT symbol, NULL, sale, size, NULL FROM u WHERE size > 0"
+R.sql["bt_open_lots"] = f"{_walk_pieces('buy')} SELECT symbol, k.lot AS lot, k.price AS entry_price, k.size AS size FROM (SELECT symbol, unnest(max_by(held, nth)) AS k FROM r GROUP BY symbol) z"
+R.sql["bt_close_lot"] = f"{_walk_pieces('buy')} {close_lot_sql('SELECT symbol, lot, sale, size, entry_price * size AS cost, exit_price * size AS got FROM p', 0.001)}"
+R.sql["bt_cover_short"] = f"{_walk_pieces('sell')} {cover_short_sql('SELECT symbol, lot, sale, size, entry_price * size AS got, exit_price * size AS cost FROM p', 0.001)}"
 
 
 @op("bt_buy_lot", lots, fee=0.001)
@@ -145,31 +217,49 @@ def bt_validate(d, rel):
 
 
 def average_cost(trades: DataFrame) -> DataFrame:
-    """Average-cost position per symbol; a position of zero starts anew."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        size = cost = pnl = 0.0
-        for t in p.sort_values("seq").itertuples():
-            if t.side == "buy":
-                size, cost = size + t.size, cost + t.price * t.size
-            else:
-                sold = min(size, t.size)
-                if sold > 0:
-                    pnl += (t.price - cost / size) * sold
-                    cost, size = cost - cost / size * sold, size - sold
-            if size == 0:
-                cost = 0.0
-        return pd.DataFrame({"symbol": [p["symbol"].iloc[0]], "held": [size], "cost": [cost], "pnl": [pnl]})
-
-    return trades.select("symbol", "seq", "side", "size", "price").groupBy("symbol").applyInPandas(lambda p: run(p.rename(columns={"size": "size_"}).rename(columns={"size_": "size"})), "symbol long, held double, cost double, pnl double")
+    """Average-cost position per symbol; a position of zero starts anew.
+
+    Sizes held follow from sums and running minima over blocks of a symbol's
+    trades; given them, cost and profit are a recurrence, scanned block by block.
+    """
+    t = positions(trades.select("symbol", "seq", "side", "size", "price").where("size > 0 AND side IN ('buy', 'sell')"), ["seq"], ["symbol"])
+    t = t.withColumn("_x", F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")))
+    inside = Window.partitionBy("symbol", "_block").orderBy("_pos")
+    t = t.withColumn("_net", F.sum("_x").over(inside))
+    ends = t.groupBy("symbol", "_block").agg(F.sum("_x").alias("sum"), F.min("_net").alias("low"))
+    earlier = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("base", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+    ends = ends.select("symbol", "_block", "base", F.least(F.lit(0), F.min(F.col("base") + F.col("low")).over(earlier)).alias("low"))
+    t = meet(t, ends, ["symbol", "_block"])
+    lowest = F.least("low", F.col("base") + F.min("_net").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    t = t.withColumn("_held", (F.col("base") + F.col("_net") - F.col("_x") - lowest).cast("double"))
+
+    def maps(p: pd.DataFrame) -> np.ndarray:
+        held, size, price, buy = p["_held"].to_numpy(float), p["size"].to_numpy(float), p["price"].to_numpy(float), (p["side"] == "buy").to_numpy(bool)
+        sold = np.where(buy, 0.0, np.minimum(held, size))
+        share = sold / np.where(held > 0, held, 1.0)
+        m = np.zeros((len(p), 3, 3))
+        m[:, 0, 0], m[:, 0, 2] = 1 - share, np.where(buy, price * size, 0.0)
+        m[:, 1, 0], m[:, 1, 1], m[:, 1, 2] = -share, 1.0, price * sold
+        m[:, 2, 2] = 1.0
+        return m
+
+    def out(p: pd.DataFrame, after: np.ndarray, before: np.ndarray) -> pd.DataFrame:
+        held, size = p["_held"].to_numpy(float), p["size"].to_numpy(float)
+        return pd.DataFrame({"symbol": p["symbol"], "pos": p["_pos"], "held": np.where(p["side"] == "buy", held + size, np.maximum(0.0, held - size)), "cost": after[:, 0], "pnl": after[:, 1]})
+
+    kind = t.schema["symbol"].dataType.simpleString()
+    told = scan(t, ["symbol"], 2, maps, out, f"symbol {kind}, pos long, held double, cost double, pnl double")
+    return told.groupBy("symbol").agg(*[F.max_by(c, "pos").alias(c) for c in ("held", "cost", "pnl")])
 
 
 @R.query(
     "bt_avg_cost",
-    "WITH RECURSIVE t AS MATERIALIZED (" + lots(__import__("millrace.plans.dialect", fromlist=["DUCK"]).DUCK) + """), r AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 0e0 AS held, 0e0 AS cost, 0e0 AS pnl FROM (SELECT DISTINCT symbol FROM t) s UNION ALL
+    "WITH RECURSIVE t AS MATERIALIZED (" + lots(DUCK) + """), r AS (SELECT symbol, CAST(0 AS BIGINT) AS seq, 0e0 AS held, 0e0 AS cost, 0e0 AS pnl FROM (SELECT DISTINCT symbol FROM t) s UNION ALL
     SELECT t.symbol, t.seq, CASE WHEN side = 'buy' THEN held + size ELSE held - least(held, size) END, CASE WHEN side = 'buy' THEN cost + price * size WHEN held - least(held, size) = 0 THEN 0 ELSE cost - cost / held * least(held, size) END,
     CASE WHEN side = 'sell' AND held > 0 THEN pnl + (price - cost / held) * least(held, size) ELSE pnl END FROM r JOIN t ON t.symbol = r.symbol AND t.seq = r.seq + 1)
     SELECT symbol, max_by(held, seq) AS held, round(max_by(cost, seq), 2) AS cost, round(max_by(pnl, seq), 2) AS pnl FROM r GROUP BY symbol""",
+    on=average_cost,
 )
 def bt_avg_cost(spark, sf_dir):
     from ..plans.dialect import SPARK

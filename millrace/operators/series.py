@@ -2,16 +2,19 @@
 
 Rolling operators give NULL until a full window, unless said otherwise.  Every
 operator takes its order explicitly and is partitioned by a symbol, so symbols
-are independent of each other.  Exponential means are the one sequential fold
-that SQL windows lack; they run per symbol in pandas.
+are independent of each other.  Exponential means are recurrences that SQL windows
+lack; they are scans over blocks of a symbol's history (`plans/blocks.py`).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..plans import fixtures as fx
+from ..plans.blocks import halo, positions, scan, since_valid
 from ..plans.dialect import DUCK, SPARK, Registry, on_tables
 
 R = Registry()
@@ -154,57 +157,123 @@ def ind_mfi(d, rel, n):
 
 # --- exponential means ---
 
+BY = ["symbol"]
+
 
 def ewm(x: pd.Series, span: float | None = None, alpha: float | None = None) -> pd.Series:
-    """Exponential mean seeded by the first value; decays over inner missing values."""
+    """Exponential mean of a whole series, seeded by the first value; decays over inner missing values."""
     return x.ewm(span=span, alpha=alpha, adjust=False).mean()
 
 
-def _fold(df: DataFrame, compute, columns: list[str]) -> DataFrame:
-    """``compute`` adds columns to each symbol's ordered rows."""
+def ewm_terms(p: pd.DataFrame, column: str, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keep, gain) of an exponential mean e' = keep e + gain at each row.
+
+    The first value seeds it; a missing value leaves it, and lets the next one
+    weigh more, as the weights of the rows before go on to decay.
+    """
+    x, pos = p[column].to_numpy(float), p["_pos"].to_numpy(float)
+    valid, first = ~np.isnan(x), pos == p["_start"].to_numpy(float)
+    old = (1 - alpha) ** (pos - np.nan_to_num(p["_last"].to_numpy(float), nan=-1.0))
+    keep = np.where(first, 0.0, np.where(valid, old / (old + alpha), 1.0))
+    return keep, np.where(valid, np.where(first, 1.0, alpha / (old + alpha)) * np.nan_to_num(x), 0.0)
+
+
+def _live(p: pd.DataFrame, later: int = 0) -> np.ndarray:
+    return (p["_pos"] - later >= p["_start"]).to_numpy(bool)
+
+
+def _carried(p: pd.DataFrame, alpha: float) -> np.ndarray:
+    """Weight of the old value in a mean of a mean: seeded where that begins, and without gaps after."""
+    return np.where(p["_pos"] == p["_start"], 0.0, np.where(_live(p), 1 - alpha, 1.0))
+
+
+def _maps(n: int, states: int) -> np.ndarray:
+    m = np.zeros((n, states + 1, states + 1))
+    m[:, states, states] = 1.0
+    return m
+
+
+def _then(m: np.ndarray, row: int, old: np.ndarray, of: np.ndarray) -> None:
+    """State ``row`` becomes the mean of itself and of ``of``, a row of coefficients for what it averages."""
+    m[:, row] = (1 - old)[:, None] * of
+    m[:, row, row] += old
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable").reset_index(drop=True)
-        out = compute(pdf)
-        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], **{c: out[c] for c in columns}})
+def _recurrence(df: DataFrame, column: str, states: int, maps, out, columns: list[str]) -> DataFrame:
+    """``out`` gives columns from rows, their states and those before; rows need not be placed yet."""
+    placed = df if "_pos" in df.columns else positions(df, ["date"], BY)
+    placed = since_valid(placed.select("symbol", "date", column, "_pos", "_block"), BY, column)
 
-    return df.groupBy("symbol").applyInPandas(run, "symbol string, date string, " + ", ".join(f"{c} double" for c in columns))
+    def told(p: pd.DataFrame, after: np.ndarray, before: np.ndarray) -> pd.DataFrame:
+        live = _live(p)
+        return pd.DataFrame({"symbol": p["symbol"], "date": p["date"], **{c: np.where(live, x, np.nan) for c, x in zip(columns, out(p, after, before))}})
+
+    return scan(placed, BY, states, maps, told, "symbol string, date string, " + ", ".join(f"{c} double" for c in columns))
 
 
 def _round(df: DataFrame, digits: int) -> DataFrame:
     return df.selectExpr("symbol", "date", *[f"round({c}, {digits}) + 0D AS {c}" for c in df.columns[2:]])
 
 
-def macd(df: DataFrame) -> DataFrame:
-    def compute(p):
-        line = ewm(p["close"], 12) - ewm(p["close"], 26)
-        signal = ewm(line, 9)
-        return {"macd": line, "signal": signal, "histogram": line - signal}
+def ema(df: DataFrame, span: int = 12) -> DataFrame:
+    """Exponential mean of close per symbol, by blocks of its history."""
 
-    return _fold(df, compute, ["macd", "signal", "histogram"])
+    def maps(p: pd.DataFrame) -> np.ndarray:
+        m = _maps(len(p), 1)
+        m[:, 0, 0], m[:, 0, 1] = ewm_terms(p, "close", 2 / (span + 1))
+        return m
 
+    return _recurrence(df, "close", 1, maps, lambda p, after, before: [after[:, 0]], ["ema"])
 
-def ema(df: DataFrame, span: int = 12) -> DataFrame:
-    return _fold(df, lambda p: {"ema": ewm(p["close"], span)}, ["ema"])
+
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """States: the two means of close, and the signal, the mean of their difference."""
+
+    def maps(p: pd.DataFrame) -> np.ndarray:
+        m = _maps(len(p), 3)
+        for k, span in enumerate((fast, slow)):
+            m[:, k, k], m[:, k, 3] = ewm_terms(p, "close", 2 / (span + 1))
+        _then(m, 2, _carried(p, 2 / (signal + 1)), m[:, 0] - m[:, 1])
+        return m
+
+    def out(p: pd.DataFrame, after: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+        line = after[:, 0] - after[:, 1]
+        return [line, after[:, 2], line - after[:, 2]]
+
+    return _recurrence(df, "close", 3, maps, out, ["macd", "signal", "histogram"])
 
 
 def kdj(df: DataFrame, n: int = 9) -> DataFrame:
-    def compute(p):
-        low, high = p["low"].rolling(n, min_periods=n).min(), p["high"].rolling(n, min_periods=n).max()
-        rsv = (p["close"] - low) / (high - low).replace(0, float("nan")) * 100
-        k = ewm(rsv, alpha=1 / 3)
-        q = ewm(k, alpha=1 / 3)
-        return {"k": k, "d": q, "j": 3 * k - 2 * q}
+    """The place of close within the range of n bars, which a block's halo completes, and two means on it."""
+    placed = positions(df.select("symbol", "date", "high", "low", "close"), ["date"], BY)
+    frame = Window.partitionBy("symbol", "_in").orderBy("_pos").rowsBetween(1 - n, 0)
+    low, high = (F.when(F.count(c).over(frame) >= n, f(c).over(frame)) for c, f in (("low", F.min), ("high", F.max)))
+    ranged = halo(placed, n - 1).withColumns({"ll": low, "hh": high}).where("_own").selectExpr("symbol", "date", "_pos", "_block", "(close - ll) / nullif(hh - ll, 0) * 100 AS rsv")
+
+    def maps(p: pd.DataFrame) -> np.ndarray:
+        m = _maps(len(p), 2)
+        m[:, 0, 0], m[:, 0, 2] = ewm_terms(p, "rsv", 1 / 3)
+        _then(m, 1, _carried(p, 1 / 3), m[:, 0])
+        return m
 
-    return _fold(df, compute, ["k", "d", "j"])
+    return _recurrence(ranged, "rsv", 2, maps, lambda p, after, before: [after[:, 0], after[:, 1], 3 * after[:, 0] - 2 * after[:, 1]], ["k", "d", "j"])
 
 
 def trix(df: DataFrame, span: int = 12) -> DataFrame:
-    def compute(p):
-        e = ewm(ewm(ewm(p["close"], span), span), span)
-        return {"trix": (e - e.shift(1)) / e.shift(1).replace(0, float("nan")) * 100}
+    """Change of a mean of a mean of a mean, in percent of the one before."""
+
+    def maps(p: pd.DataFrame) -> np.ndarray:
+        m = _maps(len(p), 3)
+        m[:, 0, 0], m[:, 0, 3] = ewm_terms(p, "close", 2 / (span + 1))
+        for k in (1, 2):
+            _then(m, k, _carried(p, 2 / (span + 1)), m[:, k - 1])
+        return m
+
+    def out(p: pd.DataFrame, after: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+        was = np.where(_live(p, 1) & (before[:, 2] != 0), before[:, 2], np.nan)
+        return [(after[:, 2] - was) / was * 100]
 
-    return _fold(df, compute, ["trix"])
+    return _recurrence(df, "close", 3, maps, out, ["trix"])
 
 
 BARS = fx.ohlcv(SPARK)
@@ -216,7 +285,7 @@ def _ema_cte(name: str, source: str, column: str, alpha: str) -> str:
     return f"{name} AS (SELECT symbol, date, rn, {column} AS e FROM {source} WHERE rn = 1 UNION ALL SELECT s.symbol, s.date, s.rn, p.e + {alpha} * (s.{column} - p.e) FROM {name} p JOIN {source} s ON s.symbol = p.symbol AND s.rn = p.rn + 1)"
 
 
-@R.query("ind_ema", f"WITH RECURSIVE {_NUMBERED}, e AS MATERIALIZED (SELECT * FROM n), {_ema_cte('x', 'e', 'close', '2e0 / 13')} SELECT symbol, date, round(e, 4) AS ema FROM x")
+@R.query("ind_ema", f"WITH RECURSIVE {_NUMBERED}, e AS MATERIALIZED (SELECT * FROM n), {_ema_cte('x', 'e', 'close', '2e0 / 13')} SELECT symbol, date, round(e, 4) AS ema FROM x", on=ema)
 def ind_ema(spark, sf_dir):
     return _round(ema(on_tables(spark, sf_dir, BARS)), 4)
 
@@ -226,6 +295,7 @@ def ind_ema(spark, sf_dir):
     f"""WITH RECURSIVE {_NUMBERED}, m AS MATERIALIZED (SELECT * FROM n), {_ema_cte('a', 'm', 'close', '2e0 / 13')}, {_ema_cte('b', 'm', 'close', '2e0 / 27')},
     l AS MATERIALIZED (SELECT a.symbol, a.date, a.rn, a.e - b.e AS line FROM a JOIN b ON a.symbol = b.symbol AND a.rn = b.rn), {_ema_cte('s', 'l', 'line', '2e-1')}
     SELECT l.symbol, l.date, round(line, 4) AS macd, round(s.e, 4) AS signal, round(line - s.e, 4) AS histogram FROM l JOIN s ON l.symbol = s.symbol AND l.rn = s.rn""",
+    on=macd,
 )
 def ind_macd(spark, sf_dir):
     return _round(macd(on_tables(spark, sf_dir, BARS)), 4)
@@ -235,6 +305,7 @@ def ind_macd(spark, sf_dir):
     "ind_trix",
     f"""WITH RECURSIVE {_NUMBERED}, m AS MATERIALIZED (SELECT * FROM n), {_ema_cte('a', 'm', 'close', '2e0 / 13')}, a1 AS MATERIALIZED (SELECT * FROM a), {_ema_cte('b', 'a1', 'e', '2e0 / 13')}, b1 AS MATERIALIZED (SELECT * FROM b),
     {_ema_cte('c', 'b1', 'e', '2e0 / 13')} SELECT symbol, date, round((e - lag(e) OVER ({W})) / nullif(lag(e) OVER ({W}), 0) * 100, 4) + 0e0 AS trix FROM c""",
+    on=trix,
 )
 def ind_trix(spark, sf_dir):
     return _round(trix(on_tables(spark, sf_dir, BARS)), 4)
@@ -249,7 +320,7 @@ def _kdj_sql() -> str:
     return f"WITH RECURSIVE m AS MATERIALIZED ({rsv}), {k}, k1 AS MATERIALIZED (SELECT * FROM k), {q} SELECT a.symbol, a.date, round(k1.e, 4) AS k, round(q.e, 4) AS d, round(3 * k1.e - 2 * q.e, 4) AS j FROM ({every}) a LEFT JOIN k1 ON a.symbol = k1.symbol AND a.date = k1.date LEFT JOIN q ON a.symbol = q.symbol AND a.date = q.date"
 
 
-@R.query("ind_kdj", _kdj_sql())
+@R.query("ind_kdj", _kdj_sql(), on=kdj)
 def ind_kdj(spark, sf_dir):
     return _round(kdj(on_tables(spark, sf_dir, BARS)), 4)
 
@@ -312,31 +383,31 @@ def ind_verdict(spark, sf_dir):
 
 # --- returns, drawdowns, curves ---
 
-F = "PARTITION BY fund ORDER BY date"
+BY_FUND = "PARTITION BY fund ORDER BY date"
 FUND = lambda d: fx.nav(d)
 
 
 @op("win_daily_return", FUND)
 def win_daily_return(d, rel):
-    return f"SELECT fund, date, round(nav / nullif(lag(nav) OVER ({F}), 0) - 1, 8) AS ret FROM {rel} t"
+    return f"SELECT fund, date, round(nav / nullif(lag(nav) OVER ({BY_FUND}), 0) - 1, 8) AS ret FROM {rel} t"
 
 
 @op("win_ffill", lambda d: f"SELECT a.fund, a.date, b.nav FROM (SELECT fund, date FROM (SELECT DISTINCT fund FROM ({fx.nav(d)}) x) f CROSS JOIN (SELECT DISTINCT date FROM ({fx.nav(d)}) y) g) a LEFT JOIN ({fx.nav(d)}) b ON a.fund = b.fund AND a.date = b.date")
 def win_ffill(d, rel):
     """The last known value, then the change against the row before."""
-    last = f"last_value(nav, true) OVER ({F} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" if d.spark else f"last_value(nav IGNORE NULLS) OVER ({F} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"SELECT fund, date, filled, round(filled / lag(filled) OVER ({F}) - 1, 8) AS change FROM (SELECT fund, date, {last} AS filled FROM {rel} t) x"
+    last = f"last_value(nav, true) OVER ({BY_FUND} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" if d.spark else f"last_value(nav IGNORE NULLS) OVER ({BY_FUND} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"SELECT fund, date, filled, round(filled / lag(filled) OVER ({BY_FUND}) - 1, 8) AS change FROM (SELECT fund, date, {last} AS filled FROM {rel} t) x"
 
 
 @op("win_running_max_drawdown", FUND)
 def win_running_max_drawdown(d, rel):
-    return f"SELECT fund, round(max((peak - nav) / peak), 8) AS max_drawdown FROM (SELECT fund, nav, max(nav) OVER ({F} ROWS UNBOUNDED PRECEDING) AS peak FROM {rel} t WHERE nav > 0) x GROUP BY fund"
+    return f"SELECT fund, round(max((peak - nav) / peak), 8) AS max_drawdown FROM (SELECT fund, nav, max(nav) OVER ({BY_FUND} ROWS UNBOUNDED PRECEDING) AS peak FROM {rel} t WHERE nav > 0) x GROUP BY fund"
 
 
 @op("win_drawdown_curve", FUND)
 def win_drawdown_curve(d, rel):
     """Percent below the peak so far; a peak of zero or less gives 0 or -100."""
-    return f"SELECT fund, date, round(CASE WHEN peak > 0 THEN (nav / peak - 1) * 100 WHEN nav < peak THEN -100 ELSE 0 END, 6) AS drawdown FROM (SELECT fund, date, nav, max(nav) OVER ({F} ROWS UNBOUNDED PRECEDING) AS peak FROM {rel} t) x"
+    return f"SELECT fund, date, round(CASE WHEN peak > 0 THEN (nav / peak - 1) * 100 WHEN nav < peak THEN -100 ELSE 0 END, 6) AS drawdown FROM (SELECT fund, date, nav, max(nav) OVER ({BY_FUND} ROWS UNBOUNDED PRECEDING) AS peak FROM {rel} t) x"
 
 
 @op("win_moving_avg_partial", fx.daily, n=5)

@@ -302,7 +302,7 @@ def _read_back(spark: SparkSession, path: str, tables: list[str]) -> DataFrame:
 def _backtest(d) -> tuple[str, str]:
     from ..operators.finance import fifo_sql, lots
 
-    trades = f"SELECT CAST(symbol AS STRING) AS symbol, 'long' AS side, CAST(lot AS STRING) AS lot_id, size, entry_price, exit_price, round((exit_price - entry_price) * size, 2) AS pnl FROM ({fifo_sql('(' + lots(d) + ')')}) f"
+    trades = f"SELECT CAST(symbol AS STRING) AS symbol, 'long' AS side, CAST(lot AS STRING) AS lot_id, size, entry_price, exit_price, round((exit_price - entry_price) * size, 2) AS pnl FROM ({fifo_sql(d, '(' + lots(d) + ')')}) f"
     return fx.daily(d), trades
 
 
