@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import fixtures as fx
 from ..plans.dialect import DUCK, SPARK, Registry, on_tables
-from ..session import cut
+from ..session import staged
 
 R = Registry()
 op = R.op
@@ -77,30 +77,51 @@ def est_fpa(d, rel):
     return f"SELECT kind, CAST(sum(w * n) AS BIGINT) AS points FROM {rel} t JOIN ({dim}) s ON kind = k AND complexity = c GROUP BY kind"
 
 
+#: How much the edges may grow by while paths are doubled.
+GROWTH = 4
+
+
 def longest_paths(tasks: DataFrame) -> DataFrame:
     """(id, dep, duration) rows, one for each dependency, to (id, duration, level, start): one row a task.
 
-    Rounds over the frontier: a task is told once all it depends on are, from the
-    latest end among them.  Each round joins and aggregates rows by task, so paths
-    are never listed.  Tasks in a cycle or behind one are never told.  A task without
-    dependencies has one row with a null dep; unknown ones are ignored.
+    Max-plus path doubling.  An edge (u, d, w) says that u starts w after d at the
+    earliest, and ``a`` holds what is known of a task's start already.  A round
+    puts, in place of each edge to a task of few open edges, the edges of that
+    task, so that edges come to span twice as many steps; edges to told tasks
+    become part of ``a``.  Chains and trees need as many rounds as the logarithm of
+    their depth; a task of many open edges is passed over while the edges would
+    grow beyond GROWTH times their number.  Told tasks are appended and not
+    written again.
+
+    Tasks in a cycle or behind one are never told: once none is, all that are left
+    are such.  A task without dependencies has one row with a null dep; unknown
+    ones are ignored.
     """
-    every = cut(tasks.groupBy("id").agg(F.max("duration").alias("duration")))
-    links = cut(tasks.where("dep IS NOT NULL").select("id", "dep").distinct().join(every.select(F.col("id").alias("dep")), "dep"))
-    state = every.join(links.groupBy("id").agg(F.count("*").alias("open")), "id", "left").fillna(0, ["open"])
-    state = cut(state.select("id", "duration", "open", F.lit(0).alias("level"), F.lit(0.0).alias("start"), F.when(F.col("open") == 0, 0).alias("round")))
-    k = 0
-    while state.where(f"round = {k}").limit(1).count():
-        ends = state.where(f"round = {k}").select(F.col("id").alias("dep"), (F.col("start") + F.col("duration")).alias("finish"))
-        news = links.join(ends, "dep").groupBy("id").agg(F.count("*").alias("n"), F.max("finish").alias("finish"))
-        left = F.col("open") - F.coalesce("n", F.lit(0))
-        k += 1
-        state = state.join(news, "id", "left").select(
-            "id", "duration", left.alias("open"), F.when(F.col("n") > 0, k).otherwise(F.col("level")).alias("level"),
-            F.greatest("start", F.coalesce("finish", F.lit(0.0))).alias("start"), F.when(F.col("n").isNotNull() & (left == 0), k).otherwise(F.col("round")).alias("round"),
-        )
-        state = cut(state)
-    return state.where("round IS NOT NULL").select("id", "duration", "level", "start")
+    every = staged(tasks.groupBy("id").agg(F.max("duration").alias("duration")))
+    known = every.select(F.col("id").alias("d"), F.col("duration").cast("double").alias("w"))
+    edges = staged(tasks.where("dep IS NOT NULL").select(F.col("id").alias("u"), F.col("dep").alias("d")).distinct().join(known, "d").select("u", "d", "w", F.lit(1).cast("long").alias("steps")))
+    n, nodes, told = every.count(), every.select("id", F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("level")), []
+    room, widths = GROWTH * (n + edges.count()), (1, 2, 4, 16, 256)
+    while True:
+        degree = edges.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
+        nodes = staged(nodes.join(degree, "id", "left").fillna(0, ["degree"]))
+        told.append(nodes.where("degree = 0").select("id", "a", "level"))
+        met = edges.join(nodes.withColumnRenamed("id", "d"), "d")
+        # edges after this round, for each number of open edges up to which tasks are spanned
+        after = met.agg(*[F.sum(F.when(F.col("degree") <= m, F.col("degree")).otherwise(1)).alias(f"m{m}") for m in widths], F.count(F.when(F.col("degree") == 0, 1)).alias("now")).first()
+        if after["m1"] is None or not (after["now"] or told[-1].limit(1).count()):
+            break
+        most = max((m for m in widths if after[f"m{m}"] <= room), default=1)
+        second = met.select(F.col("u").alias("d"), F.col("d").alias("e"), F.col("w").alias("w2"), F.col("steps").alias("steps2"), F.col("a").alias("a_e"), F.col("level").alias("level_e"), F.col("degree").alias("degree_e"))
+        longer = met.where((F.col("degree") >= 1) & (F.col("degree") <= most)).join(second, "d").select("u", F.col("e").alias("d"), (F.col("w") + F.col("w2")).alias("w"), F.least(F.col("steps") + F.col("steps2"), F.lit(n)).alias("steps"), F.col("a_e").alias("a"), F.col("level_e").alias("level"), F.col("degree_e").alias("degree"))
+        every_way = staged(met.select("u", "d", "w", "steps", "a", "level", "degree", (F.col("degree") > most).alias("on")).union(longer.withColumn("on", F.col("degree") > 0)))
+        more = every_way.groupBy(F.col("u").alias("id")).agg(F.max(F.col("a") + F.col("w")).alias("a2"), F.max(F.col("level") + F.col("steps")).alias("level2"))
+        edges = staged(every_way.where("on").groupBy("u", "d").agg(F.max("w").alias("w"), F.max("steps").alias("steps")))
+        nodes = nodes.where("degree > 0").join(more, "id", "left").select("id", F.greatest("a", "a2").alias("a"), F.greatest("level", "level2").alias("level"))
+    out = told[0]
+    for t in told[1:]:
+        out = out.union(t)
+    return every.join(out, "id").select("id", "duration", F.col("level").cast("int").alias("level"), F.col("a").alias("start"))
 
 
 def toposort(tasks: DataFrame, strict: bool = False) -> DataFrame:
@@ -116,12 +137,20 @@ def toposort(tasks: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def critical_path(tasks: DataFrame) -> DataFrame:
-    """Earliest and latest start and end, slack, and whether there is none, of each task outside cycles."""
-    there = longest_paths(tasks)
-    known = tasks.select("id").distinct()
-    back = tasks.where("dep IS NOT NULL").join(known.toDF("dep"), "dep").select(F.col("dep").alias("id"), F.col("id").alias("dep"))
+    """Earliest and latest start and end, slack, and whether there is none, of each task outside cycles.
+
+    Starts from the front and from the back are one set of paths, told apart by a side.
+    """
     lengths = tasks.groupBy("id").agg(F.max("duration").alias("duration"))
-    tail = longest_paths(lengths.join(back, "id", "left").select("id", "dep", "duration")).select("id", F.col("start").alias("tail"))
+    back = tasks.where("dep IS NOT NULL").select(F.col("dep").alias("id"), F.col("id").alias("dep"))
+    sides = [tasks.select("id", "dep", "duration"), lengths.join(back, "id", "left").select("id", "dep", "duration")]
+
+    def marked(k: int, rows: DataFrame) -> DataFrame:
+        return rows.select(F.struct(F.lit(k).alias("side"), "id").alias("id"), F.when(F.col("dep").isNotNull(), F.struct(F.lit(k).alias("side"), F.col("dep").alias("id"))).alias("dep"), "duration")
+
+    paths = longest_paths(marked(0, sides[0]).union(marked(1, sides[1])))
+    there = paths.where("id.side = 0").select("id.id", "duration", "start")
+    tail = paths.where("id.side = 1").select("id.id", F.col("start").alias("tail"))
     whole = there.agg(F.max(F.col("start") + F.col("duration")).alias("whole"))
     rows = there.join(tail, "id").crossJoin(F.broadcast(whole))
     rows = rows.select("id", F.col("start").alias("es"), (F.col("start") + F.col("duration")).alias("ef"), (F.col("whole") - F.col("tail") - F.col("duration")).alias("ls"), (F.col("whole") - F.col("tail")).alias("lf"))
@@ -149,7 +178,18 @@ def _grid(d) -> str:
 
 @op("geo_shadow_grid", _grid, dr=-1, dc=1, rise=4.0)
 def geo_shadow_grid(d, rel, dr, dc, rise):
-    """Cells (r, c, z) shaded by a higher one along the ray to the sun, which goes on to the edge of the grid; cells without a height are shaded and shade none."""
+    """Cells (r, c, z) shaded by a higher one along the ray to the sun, which goes on to the edge of the grid; cells without a height are shaded and shade none.
+
+    Cells of one ray line share the cross product with its direction and a rest;
+    along it each cell needs only the highest of z - t rise of the cells further
+    on, t the steps: one running maximum a line.
+    """
+    if d.spark:
+        x, step = ("r", dr) if dr else ("c", dc)
+        t = f"CAST(({x} - pmod({x}, {abs(step)})) / ({step}) AS BIGINT)"
+        line = f"SELECT r, c, z, r * {dc} - c * {dr} AS across, pmod({x}, {abs(step)}) AS rest, {t} AS t FROM {rel} g"
+        high = f"SELECT r, c, z, z - t * {rise:e} AS h, max(z - t * {rise:e}) OVER (PARTITION BY across, rest ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS beyond FROM ({line}) l"
+        return f"SELECT r, c, coalesce(beyond > h, z IS NULL) AS shaded FROM ({high}) h"
     room = [f"floor(({'mr - r' if dr > 0 else 'r'}) / {abs(dr)}e0)"] if dr else []
     room += [f"floor(({'mc - c' if dc > 0 else 'c'}) / {abs(dc)}e0)"] if dc else []
     steps = f"least({', '.join(room)}, 2 * greatest(mr, mc) + 1)"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..plans import fixtures as fx
+from ..plans.blocks import halo, positions
 from ..plans.dialect import Registry, on_tables
 from ..plans.ranks import quantiles
 from .relational import C, ones
@@ -207,9 +208,22 @@ def iqr_sql(d, rel, k=1.5):
     return f"SELECT id, v, 'iqr' AS method, v AS measure, CASE WHEN v < q1 - 3 * {iqr} OR v > q3 + 3 * {iqr} THEN 'extreme' ELSE 'moderate' END AS severity FROM {rel} t CROSS JOIN (SELECT * FROM ({stats_sql(d, rel)}) s WHERE n >= 4 AND q3 > q1) s WHERE v < q1 - {k:e} * {iqr} OR v > q3 + {k:e} * {iqr}"
 
 
+def placed(df, window=5, **_):
+    """Values in the order of their ids, each block with the rows that its first windows reach back to."""
+    return halo(positions(df.select("id", "v"), ["id"]), window - 1)
+
+
+def own(d, rel):
+    """The rows themselves, without halos."""
+    return f"(SELECT id, v FROM {rel} h WHERE _own)" if d.spark else rel
+
+
 def moving_sql(d, rel, window=5, threshold=2.0):
     """Distance from the trailing mean in units of the deviation of positive distances."""
-    dev = f"SELECT id, v, abs(v - avg(v) OVER (ORDER BY id ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)) AS dist FROM {rel} t"
+    order = "PARTITION BY _in ORDER BY _pos" if d.spark else "ORDER BY id"
+    dev = f"SELECT {'_own, ' if d.spark else ''}id, v, abs(v - avg(v) OVER ({order} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)) AS dist FROM {rel} t"
+    if d.spark:
+        dev = f"SELECT id, v, dist FROM ({dev}) h WHERE _own"
     unit = f"SELECT coalesce(stddev_samp(CASE WHEN dist > 0 THEN dist END), avg(CASE WHEN dist > 0 THEN dist END)) AS unit, count(*) AS k FROM ({dev}) d1"
     return f"SELECT id, v, 'moving-avg' AS method, dist / unit AS measure, CASE WHEN dist / unit >= {2 * threshold:e} THEN 'extreme' ELSE 'moderate' END AS severity FROM ({dev}) d2 CROSS JOIN (SELECT * FROM ({unit}) u WHERE unit > 0 AND k >= {window + 2}) u WHERE dist / unit >= {threshold:e}"
 
@@ -224,21 +238,21 @@ def out_iqr(d, rel, k):
     return f"SELECT id, v, severity FROM ({iqr_sql(d, rel, k)}) i"
 
 
-@op("out_moving_avg", VALUES, window=5, threshold=2.0)
+@op("out_moving_avg", VALUES, placed, window=5, threshold=2.0)
 def out_moving_avg(d, rel, window, threshold):
     return f"SELECT id, v, round(measure, 4) AS ratio, severity FROM ({moving_sql(d, rel, window, threshold)}) m"
 
 
 def classify_sql(d, rel):
-    every = " UNION ALL ".join(f"SELECT id, v, method, severity FROM ({q(d, rel)}) {n}" for n, q in (("a", zscore_sql), ("b", iqr_sql), ("c", moving_sql)))
+    every = " UNION ALL ".join(f"SELECT id, v, method, severity FROM ({q}) {n}" for n, q in (("a", zscore_sql(d, own(d, rel))), ("b", iqr_sql(d, own(d, rel))), ("c", moving_sql(d, rel))))
     return f"SELECT id, max(v) AS v, count(*) AS methods, CASE WHEN count(*) >= 2 OR max(CASE WHEN severity = 'extreme' THEN 1 ELSE 0 END) = 1 THEN 'needs_attention' ELSE 'explainable' END AS class FROM ({every}) e GROUP BY id"
 
 
-@op("out_classify", VALUES)
+@op("out_classify", VALUES, placed)
 def out_classify(d, rel):
     return classify_sql(d, rel)
 
 
-@op("out_summary", VALUES)
+@op("out_summary", VALUES, placed)
 def out_summary(d, rel):
     return f"SELECT class, count(*) AS n, {C('sum(methods)')} AS detections FROM ({classify_sql(d, rel)}) c GROUP BY class"

@@ -129,19 +129,42 @@ def join_anti_missing_keys(d, rel, have, key, suffixes):
     return f"WITH u AS (SELECT DISTINCT {key} FROM {rel} t), f AS ({forms}) SELECT {key} FROM u EXCEPT SELECT f.{key} FROM f JOIN {have} h ON f.f = h.{key}"
 
 
-@op("join_semi_fk", fx.tasks)
+@op("join_semi_fk", lambda d: f"SELECT id, dep FROM ({fx.tasks(d)}) r UNION ALL SELECT 1 + max(p_partkey), -max(p_partkey) FROM part")
 def join_semi_fk(d, rel):
-    """Dependencies without a task; one more is planted."""
-    return f"WITH t AS (SELECT id, dep FROM {rel} r UNION ALL SELECT -1, -2) SELECT t.id, t.dep FROM t LEFT JOIN (SELECT id AS known FROM t) k ON t.dep = k.known WHERE t.dep IS NOT NULL AND k.known IS NULL"
-
-
-@op("join_import_resolution", lambda d: "SELECT n_name AS file, concat('pkg.', lower(replace(n_name, ' ', '_'))) AS module, n_nationkey AS k FROM nation")
-def join_import_resolution(d, rel):
-    """Exact module, else the longest dotted suffix that is a module; never itself."""
-    imports = f"SELECT k, concat('src.app.', b.module) AS wanted FROM {rel} a JOIN (SELECT k AS k2, module FROM {rel} t) b ON b.k2 = (a.k + 3) % 25"
-    cut = " UNION ALL ".join(f"SELECT k, wanted, {n} AS cut, {('array_join(slice(parts, ' + str(n + 1) + ', 9), ' + d.lit('.') + ')') if d.spark else ('array_to_string(parts[' + str(n + 1) + ':9], ' + d.lit('.') + ')')} AS suffix FROM p" for n in range(4))
-    return f"""WITH i AS ({imports}), p AS (SELECT k, wanted, {d.split('wanted', '.')} AS parts FROM i), s AS ({cut})
-      SELECT k, wanted, target FROM (SELECT s.k, s.wanted, m.module AS target, row_number() OVER (PARTITION BY s.k, s.wanted ORDER BY s.cut) AS rn FROM s JOIN {rel} m ON s.suffix = m.module AND s.k <> m.k) x WHERE rn = 1"""
+    """Dependencies without a task."""
+    return f"SELECT t.id, t.dep FROM {rel} t LEFT JOIN (SELECT DISTINCT id AS known FROM {rel} s) k ON t.dep = k.known WHERE t.dep IS NOT NULL AND k.known IS NULL"
+
+
+def _modules(d) -> str:
+    """A file for each supplier, with a module of a depth of its own."""
+    deep = " || ".join(f"CASE WHEN s_suppkey % 13 > {k} THEN 'p{k}.' ELSE '' END" for k in range(12))
+    return f"SELECT concat('src/', CAST(s_suppkey AS VARCHAR(20)), '.py') AS file, {deep} || concat('m', CAST(s_suppkey AS VARCHAR(20))) AS module FROM supplier"
+
+
+def _imports(d) -> str:
+    """Each file imports the module of another, of itself, or none, behind parts that belong to no module."""
+    last = "concat('m', CAST(s_suppkey + s_suppkey % 3 AS VARCHAR(20)))"
+    front = " || ".join(f"CASE WHEN s_suppkey % 17 > {k} THEN 'x{k}.' ELSE '' END" for k in range(16))
+    deep = " || ".join(f"CASE WHEN (s_suppkey + s_suppkey % 3) % 13 > {k} THEN 'p{k}.' ELSE '' END" for k in range(12))
+    return f"SELECT concat('src/', CAST(s_suppkey AS VARCHAR(20)), '.py') AS file, {front} || {deep} || {last} AS wanted FROM supplier"
+
+
+@op("join_import_resolution", _modules, imports=_imports)
+def join_import_resolution(d, rel, imports):
+    """Imports (file, wanted) of modules (file, module): the module itself, else its longest dotted suffix that is one; a file that imports itself has no edge.
+
+    Slashes count as dots.  Each import is told by all of its suffixes, whatever its
+    depth, and the longest that meets a module is kept.
+    """
+    dotted = f"SELECT DISTINCT file, {d.replace('wanted', '[/\\\\]', '.')} AS wanted FROM {imports} i WHERE wanted IS NOT NULL"
+    parts = f"SELECT file, wanted, {d.split('wanted', '.')} AS parts FROM ({dotted}) w"
+    if d.spark:
+        cut = f"SELECT file, wanted, k, array_join(slice(parts, k + 1, size(parts) - k), '.') AS suffix FROM (SELECT file, wanted, parts, explode(sequence(0, size(parts) - 1)) AS k FROM ({parts}) p) c"
+        known = f"SELECT module, max_by(file, file) AS target FROM {rel} m GROUP BY module"
+        hit = f"SELECT file, wanted, min_by(target, k) AS target FROM ({cut}) s JOIN ({known}) m ON suffix = module GROUP BY file, wanted"
+        return f"SELECT file, wanted, target FROM ({hit}) h WHERE target <> file"
+    hit = f"SELECT w.file, w.wanted, m.target, row_number() OVER (PARTITION BY w.file, w.wanted ORDER BY length(m.module) DESC) AS rn FROM ({dotted}) w JOIN (SELECT module, max(file) AS target FROM {rel} x GROUP BY module) m ON w.wanted = m.module OR ends_with(w.wanted, concat('.', m.module))"
+    return f"SELECT file, wanted, target FROM ({hit}) h WHERE rn = 1 AND target <> file"
 
 
 @op("join_pairs_fill", lambda d: "SELECT n_nationkey AS zh, n_nationkey + 1 AS en FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 20", extra=lambda d: "SELECT n_nationkey AS zh, n_nationkey + 1 AS en FROM nation WHERE n_nationkey % 4 = 0",

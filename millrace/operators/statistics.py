@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats_math as sm
 from ..plans import fixtures as fx
+from ..plans.blocks import halo, positions
 from ..plans.dialect import Registry, on_tables
 from ..plans.ranks import quantiles, tie_ranks
 from .relational import C, ones
@@ -125,11 +126,18 @@ def reg_ols(d, rel, y, x):
       round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2, round(r2 / ((1 - r2) / (n - 2)), 2) AS f, round(-2 * {ll} + 4, 2) AS aic, round(-2 * {ll} + 2 * ln(n), 2) AS bic FROM ({e}) e"""
 
 
-@op("reg_durbin_watson", lambda d: f"SELECT date AS id, value AS y, CAST(row_number() OVER (ORDER BY date) AS DOUBLE) AS x FROM ({fx.daily(d)}) s", y="y", x="x", order="id")
+def _residual_order(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
+    return halo(positions(df.select(order, y, x), [order]), 1)
+
+
+@op("reg_durbin_watson", lambda d: f"SELECT date AS id, value AS y, CAST(row_number() OVER (ORDER BY date) AS DOUBLE) AS x FROM ({fx.daily(d)}) s", _residual_order, y="y", x="x", order="id")
 def reg_durbin_watson(d, rel, y, x, order):
-    """Residuals in the order of a key."""
-    e = f"SELECT {order}, {y} - (a + b * {x}) AS e FROM {rel} t CROSS JOIN ({ols_sql(rel, y, x)}) o"
-    return f"SELECT round(sum(de * de) / sum(e * e), 6) AS dw FROM (SELECT e, e - lag(e) OVER (ORDER BY {order}) AS de FROM ({e}) r) q"
+    """Residuals in the order of a key; a block's first one is compared with the last of the block before."""
+    if not d.spark:
+        e = f"SELECT {order}, {y} - (a + b * {x}) AS e FROM {rel} t CROSS JOIN ({ols_sql(rel, y, x)}) o"
+        return f"SELECT round(sum(de * de) / sum(e * e), 6) AS dw FROM (SELECT e, e - lag(e) OVER (ORDER BY {order}) AS de FROM ({e}) r) q"
+    e = f"SELECT _in, _pos, _own, {y} - (a + b * {x}) AS e FROM {rel} t CROSS JOIN ({ols_sql(f'(SELECT * FROM {rel} h WHERE _own)', y, x)}) o"
+    return f"SELECT round(sum(de * de) / sum(e * e), 6) AS dw FROM (SELECT _own, e, e - lag(e) OVER (PARTITION BY _in ORDER BY _pos) AS de FROM ({e}) r) q WHERE _own"
 
 
 def _gram(df: DataFrame, features: list[str], target: str | None = None, const: bool = True) -> tuple[np.ndarray, np.ndarray, float, float, int]:

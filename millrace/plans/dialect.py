@@ -146,9 +146,12 @@ class Registry:
         self.sql: dict[str, str] = {}
         self.ops: dict[str, Callable] = {}
 
-    def op(self, name: str, source: Callable[[Dialect], str] | str, **params):
+    def op(self, name: str, source: Callable[[Dialect], str] | str, prepare: Callable[..., DataFrame] | None = None, **params):
         """Register ``build(d, rel, **params)`` under ``name``, with a query over ``source``.
 
+        ``prepare(df, **params)`` gives the DataFrame that takes the place of ``rel``
+        on Spark, for operators that need rows placed in an order first.
+
         The decorated function gets ``apply(df, **params)`` to run on a DataFrame.
         A parameter that is a relation is a function of the dialect here, and a
         DataFrame or the name of a view for ``apply``.
@@ -159,7 +162,10 @@ class Registry:
                 rel = source(d) if callable(source) else source
                 return build(d, _nested(rel), **{k: _nested(v(d)) if callable(v) else v for k, v in params.items()})
 
-            self.queries[name] = lambda spark, sf_dir: on_tables(spark, sf_dir, text(SPARK))
+            if prepare is None:
+                self.queries[name] = lambda spark, sf_dir: on_tables(spark, sf_dir, text(SPARK))
+            else:
+                self.queries[name] = lambda spark, sf_dir: apply(on_tables(spark, sf_dir, f"SELECT * FROM {_nested(source(SPARK) if callable(source) else source)} t"))
             self.sql[name] = text(DUCK)
 
             def apply(df: DataFrame, **given) -> DataFrame:
@@ -172,7 +178,8 @@ class Registry:
 
                 try:
                     told = {k: view(v) if isinstance(v, DataFrame) else _nested(v(SPARK)) if callable(v) else v for k, v in (params | given).items()}
-                    return df.sparkSession.sql(build(SPARK, view(df), **told))
+                    rel = df if prepare is None else prepare(df, **(params | given))
+                    return df.sparkSession.sql(build(SPARK, view(rel), **told))
                 finally:
                     for v in views:
                         df.sparkSession.catalog.dropTempView(v)

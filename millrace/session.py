@@ -39,3 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared checkpoint folder and read it back."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: as ``cut``, but nothing the optimizer knew of ``df`` goes on, as it would grow from round to round."""
+    path = scratch(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
