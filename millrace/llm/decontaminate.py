@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_rows
+from .common import drop_staged, filter_rows, stage_table
 
 #: One edit is allowed for so many code points of an item.
 CHARS_PER_EDIT = 20
@@ -173,8 +173,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no item of the benchmark."""
-    for items in blocks(benchmark):
+    """Rows of ``docs``, all columns, that hold no item of the benchmark.
+
+    Each block of items is a pass of its own over what the one before kept, so that
+    a task holds one block's automaton; the table between two passes is written and
+    goes with the next one.
+    """
+    staged = None
+    for k, items in enumerate(blocks(benchmark)):
+        if k:
+            docs, before = stage_table(docs, "kept"), staged
+            staged = docs
+            if before is not None:
+                drop_staged(before)
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(sent=sent):

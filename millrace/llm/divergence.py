@@ -30,7 +30,7 @@ MIN_DOCS, TOP = 3, 200
 #: Groups of a block, about how many counts a cell holds, and rounds whose visitors travel in one job.
 BLOCK_GROUPS, CELL_COUNTS, ROUNDS = 8, 1 << 14, 4
 #: Different terms that a task counts before it hands them on.
-HELD = 1 << 19
+HELD = 1 << 17
 SALTS = 64
 
 # letters and bytes beyond ASCII are kept, A-Z lower-cased, others part terms

@@ -34,7 +34,7 @@ PROJECTIONS, HASHES = 64, 8
 SAME_HASH = 0.46
 SEED = 20260731
 #: Members of a block, and rounds of block pairs that one job compares.
-BLOCK, ROUNDS = 2048, 2
+BLOCK, ROUNDS = 512, 2
 STEP = 256
 
 

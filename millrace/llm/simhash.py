@@ -321,10 +321,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, wide: int = 5,
     found = keyed.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).join(kept, ["_id", "_row"], "left_semi")
     # rows alike in every column and in their fingerprint: one of them
     alike = fps.groupBy("doc_id", "_row").count().where("count > 1").limit(1).count()
-    found = found.drop("_id", "_row")
     if alike:
-        found = found.withColumns({f"_{n}": p for n, p in zip(names, plain)}).dropDuplicates([f"_{n}" for n in names]).select(names)
-    return found.toDF(*docs.columns)
+        # the keys of the join come first, so that rows stay where it has put them
+        found = found.withColumns({f"_{n}": p for n, p in zip(names, plain)}).dropDuplicates(["_id", "_row", *[f"_{n}" for n in names]])
+    return found.select(names).toDF(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
