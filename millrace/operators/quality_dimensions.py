@@ -33,6 +33,12 @@ def unfolded(d, rel: str, columns, measures: dict[str, str], extra: str = "") ->
     return f"WITH m AS (SELECT {agg}, count(*) AS n{extra} FROM {rel} t) {rows}"
 
 
+def kinds(d, rel, columns) -> str:
+    """(col, k, filled): different and all values of each column, from one table of counts."""
+    cells = d.long("", rel, [{"col": f"'{c}'", "v": f"CAST({c} AS {'STRING' if d.spark else 'VARCHAR'})"} for c in columns])
+    return f"SELECT col, count(v) AS k, {C('coalesce(sum(CASE WHEN v IS NOT NULL THEN n END), 0)')} AS filled FROM (SELECT col, v, count(*) AS n FROM ({cells}) c GROUP BY col, v) g GROUP BY col"
+
+
 @op("dq_missing_values", fx.dirty, columns=ALL)
 def dq_missing_values(d, rel, columns):
     q = unfolded(d, rel, columns, {"missing": ones("{c} IS NULL")})
@@ -53,12 +59,11 @@ def dq_type_consistency(d, rel, columns):
 
 @op("dq_value_range", fx.dirty, columns=NUM)
 def dq_value_range(d, rel, columns):
-    """Share outside 1.5 IQR per numeric column with four values or more."""
-    b = "WITH b AS (SELECT " + ", ".join(f"{d.pct(c, 0.25)} AS {c}_1, {d.pct(c, 0.75)} AS {c}_3" for c in columns) + f" FROM {rel} t), m AS (SELECT "
-    out = lambda c: ones(f"{c} < {c}_1 - 15e-1 * ({c}_3 - {c}_1) OR {c} > {c}_3 + 15e-1 * ({c}_3 - {c}_1)")
-    agg = ", ".join(f"{out(c)} AS o{i}, count({c}) AS k{i}" for i, c in enumerate(columns))
-    rows = d.long("", "m", [{"col": f"'{c}'", "outliers": f"o{i}", "filled": f"k{i}"} for i, c in enumerate(columns)])
-    return f"{b}{agg} FROM {rel} t CROSS JOIN b) SELECT col, outliers, filled, filled >= 4 AND outliers * 1e2 / nullif(filled, 0) > 1 AS problem FROM ({rows}) r"
+    """Share outside 1.5 IQR per numeric column with four values or more; quantiles come from counts of values."""
+    cells = f"({d.long('', rel, [{'col': f"'{c}'", 'x': f'CAST({c} AS DOUBLE)'} for c in columns])})"
+    out = ones("x < q0 - 15e-1 * (q1 - q0) OR x > q1 + 15e-1 * (q1 - q0)")
+    rows = f"SELECT col, {out} AS outliers, count(x) AS filled FROM {cells} c JOIN ({quantiles(d, cells, 'x', (0.25, 0.75), 'col')}) q ON col = g GROUP BY col"
+    return f"SELECT col, outliers, filled, filled >= 4 AND outliers * 1e2 / nullif(filled, 0) > 1 AS problem FROM ({rows}) r"
 
 
 @op("dq_format_detect", fx.dirty, column="c_mail", order="c_custkey")
@@ -93,7 +98,7 @@ def dq_whitespace(d, rel, columns):
 
 @op("dq_constant_columns", fx.dirty, columns=ALL)
 def dq_constant_columns(d, rel, columns):
-    return f"SELECT col, k, k <= 1 AS is_constant FROM ({unfolded(d, rel, columns, {'k': 'count(DISTINCT {c})'})}) q"
+    return f"SELECT col, k, k <= 1 AS is_constant FROM ({kinds(d, rel, columns)}) q"
 
 
 @op("dq_distribution_skew", "lineitem", columns=("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
@@ -105,7 +110,7 @@ def dq_distribution_skew(d, rel, columns):
 
 @op("dq_cardinality", fx.dirty, numeric=NUM, text=TEXT)
 def dq_cardinality(d, rel, numeric, text):
-    q = unfolded(d, rel, (*numeric, *text), {"k": "count(DISTINCT {c})", "filled": "count({c})"})
+    q = kinds(d, rel, (*numeric, *text))
     names = ", ".join(f"'{c}'" for c in numeric)
     return f"SELECT col, k, filled, CASE WHEN col IN ({names}) THEN k <= 2 AND filled > 20 ELSE k * 1e0 / nullif(filled, 0) > 95e-2 AND filled > 50 END AS problem FROM ({q}) q"
 
@@ -122,6 +127,14 @@ def dq_cross_column(d, rel, pairs):
 WEIGHTS = {"missing_values": 15, "duplicates": 10, "type_consistency": 10, "value_range": 10, "format_compliance": 10, "uniqueness": 8, "whitespace": 7, "constant_columns": 5, "distribution_skew": 5, "column_naming": 5, "cardinality": 5, "cross_column": 10}
 
 
+# fixed values: the least score of each grade
+GRADES = {"A+": 95, "A": 90, "B": 80, "C": 60, "D": 40}
+
+
+def graded(score: float) -> str:
+    return next((g for g, least in GRADES.items() if score >= least), "F")
+
+
 def dimension_scores(d) -> str:
     """Two measured dimensions of the customers with gaps: missing cells, and rows that repeat others."""
     missing = " + ".join(ones(f"{c} IS NULL") for c in ALL)

@@ -306,7 +306,8 @@ def agg_profile_rollup(d, rel, fn, own, cumulative, sort, n):
 
 @op("agg_event_summary", lambda d: "SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE round(l_discount - 0.05, 4) END AS pnl_pct FROM lineitem")
 def agg_event_summary(d, rel):
-    return f"SELECT count(*) AS total, round(avg(pnl_pct), 6) AS average, round(median(pnl_pct), 6) AS median, max(pnl_pct) AS best, min(pnl_pct) AS worst, round({ones('pnl_pct > 0')} * 1e2 / nullif(count(pnl_pct), 0), 4) AS win_rate FROM {rel} t"
+    a = f"SELECT count(*) AS total, round(avg(pnl_pct), 6) AS average, max(pnl_pct) AS best, min(pnl_pct) AS worst, round({ones('pnl_pct > 0')} * 1e2 / nullif(count(pnl_pct), 0), 4) AS win_rate FROM {rel} t"
+    return f"SELECT total, average, round(q0, 6) AS median, best, worst, win_rate FROM ({a}) a CROSS JOIN ({quantiles(d, rel, 'pnl_pct', (0.5,))}) q"
 
 
 # --- sets, sorts, limits ---

@@ -12,10 +12,10 @@ from .dialect import Dialect
 CUTS = 200
 
 
-def placed(d: Dialect, rel: str, value: str, group: str | None = None) -> str:
-    """(g, v, k, below): each distinct value of a group, how often it is there, and how many rows are smaller; nulls are left out."""
+def placed(d: Dialect, rel: str, value: str, group: str | None = None, weight: str | None = None) -> str:
+    """(g, v, k, below): each distinct value of a group, how often it is there, and how many rows are smaller; nulls are left out. Rows of counted values say by ``weight`` for how many they stand."""
     by = f"{group}, {value}" if group else value
-    counted = f"SELECT {group or '0'} AS g, {value} AS v, count(*) AS k FROM {rel} t WHERE {value} IS NOT NULL GROUP BY {by}"
+    counted = f"SELECT {group or '0'} AS g, {value} AS v, {f'sum({weight})' if weight else 'count(*)'} AS k FROM {rel} t WHERE {value} IS NOT NULL GROUP BY {by}"
     if not d.spark:
         return f"SELECT g, v, k, CAST(sum(k) OVER (PARTITION BY g ORDER BY v) AS BIGINT) - k AS below FROM ({counted}) q"
     shares = ", ".join(f"{i / CUTS:g}" for i in range(1, CUTS))
@@ -30,7 +30,7 @@ def tie_ranks(d: Dialect, rel: str, value: str) -> str:
     return f"SELECT v, below + (k + 1) / 2e0 AS r, CAST(k AS DOUBLE) AS ties FROM ({placed(d, rel, value)}) p"
 
 
-def quantiles(d: Dialect, rel: str, value: str, qs: tuple[float, ...], group: str | None = None) -> str:
+def quantiles(d: Dialect, rel: str, value: str, qs: tuple[float, ...], group: str | None = None, weight: str | None = None) -> str:
     """(g, q0, q1, ...): exact quantiles of each group, interpolated linearly at (n - 1) q."""
     x = f"CAST({value} AS DOUBLE)"
     if not d.spark:
@@ -38,6 +38,6 @@ def quantiles(d: Dialect, rel: str, value: str, qs: tuple[float, ...], group: st
     at = [f"((n - 1) * {q}D)" for q in qs]
     pick = lambda f, a: f"max(CASE WHEN below <= {f}({a}) AND {f}({a}) < below + k THEN v END)"
     ends = ", ".join(f"{pick('floor', a)} AS a{i}, {pick('ceil', a)} AS b{i}" for i, a in enumerate(at))
-    size = f"SELECT {group or '0'} AS h, count({value}) AS n FROM {rel} t" + (f" GROUP BY {group}" if group else "")
-    told = f"SELECT h AS g, n, {ends} FROM ({size}) z LEFT JOIN ({placed(d, rel, x, group)}) p ON p.g <=> z.h GROUP BY h, n"
+    size = f"SELECT {group or '0'} AS h, {f'sum(CASE WHEN {value} IS NOT NULL THEN {weight} END)' if weight else f'count({value})'} AS n FROM {rel} t" + (f" GROUP BY {group}" if group else "")
+    told = f"SELECT h AS g, n, {ends} FROM ({size}) z LEFT JOIN ({placed(d, rel, x, group, weight)}) p ON p.g <=> z.h GROUP BY h, n"
     return f"SELECT g, {', '.join(f'a{i} + (b{i} - a{i}) * ({a} - floor({a})) AS q{i}' for i, a in enumerate(at))} FROM ({told}) w"

@@ -9,6 +9,7 @@ MODULES = [
     "operators.relational",
     "operators.series",
     "operators.quality_dimensions",
+    "operators.quality_audit",
     "operators.statistics",
     "operators.finance",
     "operators.strategies",
