@@ -17,6 +17,7 @@ MODULES = [
     "operators.text",
     "plans.sqltools",
     "streaming.state",
+    "streaming.timers",
 ]
 
 QUERIES: dict = {}
