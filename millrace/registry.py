@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "sources.files",
+    "sources.gateway",
     "operators.relational",
     "operators.series",
     "operators.quality_dimensions",
