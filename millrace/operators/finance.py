@@ -90,14 +90,14 @@ def filled_sql(rel, t_plus_1=False, opens="buy"):
     """
     opening = f"CASE WHEN side = '{opens}' THEN 1 ELSE 0 END"
     order = f"date, {opening}, seq" if t_plus_1 else "seq"
-    run = f"SELECT symbol, seq, date, {opening} AS opening, size, price, row_number() OVER (PARTITION BY symbol ORDER BY {order}) AS at, {C(f"sum(CASE WHEN side = '{opens}' THEN size ELSE -size END) OVER (PARTITION BY symbol ORDER BY {order} ROWS UNBOUNDED PRECEDING)")} AS net FROM {rel} t WHERE size > 0 AND side IN ('buy', 'sell')"
-    low = f"SELECT r.*, least(0, min(net) OVER (PARTITION BY symbol ORDER BY at ROWS UNBOUNDED PRECEDING)) AS low FROM ({run}) r"
-    return f"SELECT l.*, {C('size - (coalesce(lag(low) OVER (PARTITION BY symbol ORDER BY at), 0) - low)')} AS filled FROM ({low}) l"
+    run = f"SELECT symbol, seq, date, {opening} AS opening, size, price, row_number() OVER (PARTITION BY symbol ORDER BY {order}) AS nth, {C(f"sum(CASE WHEN side = '{opens}' THEN size ELSE -size END) OVER (PARTITION BY symbol ORDER BY {order} ROWS UNBOUNDED PRECEDING)")} AS net FROM {rel} t WHERE size > 0 AND side IN ('buy', 'sell')"
+    low = f"SELECT r.*, least(0, min(net) OVER (PARTITION BY symbol ORDER BY nth ROWS UNBOUNDED PRECEDING)) AS low FROM ({run}) r"
+    return f"SELECT l.*, {C('size - (coalesce(lag(low) OVER (PARTITION BY symbol ORDER BY nth), 0) - low)')} AS filled FROM ({low}) l"
 
 
 def segments_sql(d, rel, t_plus_1=False, opens="buy"):
     """Opened and closed sizes laid end to end and cut at all their ends: each piece is of one lot, and of one sale or still open."""
-    ends = f"SELECT f.*, {C('sum(filled) OVER (PARTITION BY symbol, opening ORDER BY at ROWS UNBOUNDED PRECEDING)')} AS upto FROM ({filled_sql(rel, t_plus_1, opens)}) f WHERE filled > 0"
+    ends = f"SELECT f.*, {C('sum(filled) OVER (PARTITION BY symbol, opening ORDER BY nth ROWS UNBOUNDED PRECEDING)')} AS upto FROM ({filled_sql(rel, t_plus_1, opens)}) f WHERE filled > 0"
     picked = ", ".join(f"max(CASE WHEN opening = {side} THEN {x} END) AS {name}" for side, x, name in ((1, "seq", "lot"), (1, "price", "entry_price"), (1, "date", "entry_date"), (0, "seq", "sale"), (0, "price", "exit_price"), (0, "date", "exit_date")))
     bounds = f"SELECT symbol, upto, {picked} FROM ({ends}) e GROUP BY symbol, upto"
     back = "PARTITION BY symbol ORDER BY upto DESC"
@@ -216,6 +216,46 @@ def bt_validate(d, rel):
     return f"SELECT 'not flat at end' AS rule, count(*) AS n FROM (SELECT symbol FROM {rel} t GROUP BY symbol HAVING sum({n}) <> 0) a UNION ALL SELECT 'long only', count(*) FROM ({run}) r WHERE held < 0 UNION ALL SELECT 'size', count(*) FROM {rel} u WHERE size <= 0"
 
 
+def trade_records(d) -> str:
+    """Closed pieces as trade records; some are planted with faults that the rules are there for."""
+    q = f"SELECT symbol, lot, sale, entry_date, exit_date, size, entry_price, exit_price, entry_price * size AS entry_notional, (exit_price - entry_price) * size AS pnl FROM ({fifo_sql(d, '(' + lots(d) + ')')}) f"
+    return f"""SELECT symbol, CASE WHEN lot % 37 = 0 THEN ' ' ELSE CAST(lot AS VARCHAR(20)) END AS lot_id, CASE WHEN sale % 43 = 0 THEN 'Short' ELSE 'long' END AS side, entry_date, CASE WHEN sale % 29 = 0 THEN NULL ELSE exit_date END AS exit_date,
+      size, entry_price, pnl, pnl / entry_notional * 100 + CASE WHEN sale % 31 = 0 THEN 1 ELSE 0 END AS pnl_pct, CASE WHEN lot % 2 = 0 THEN entry_notional END AS entry_notional, CAST(NULL AS DOUBLE) AS entry_fee, CAST(NULL AS DOUBLE) AS pnl_pct_basis FROM ({q}) q"""
+
+
+@op("bt_validate_trades", trade_records, equity=fx.daily, base=1_000_000, market="china_a", accounting="lot_level", flat=True, tolerance=0.05)
+def bt_validate_trades(d, rel, equity, base, market, accounting, flat, tolerance):
+    """How many records break each rule of an export: (rule, n).
+
+    Flat at the end (said by the caller), closed trades alone, no shorts where the
+    market has none, lot ids where lots are accounted for and none where costs are
+    averaged, a profit in percent of the cost with its fee, and no equity that
+    moves without trades.
+    """
+    long_only = market.lower() in ("china_a", "cn", "cn-stock")
+    named = "trim(coalesce(lot_id, '')) <> ''"
+    basis = "coalesce(pnl_pct_basis, coalesce(entry_notional, abs(size * entry_price)) + coalesce(entry_fee, 0))"
+    rules = {
+        "flat at end": "0" if flat else "1",
+        "closed trades": ones("trim(coalesce(exit_date, '')) = ''"),
+        "long only": ones("lower(coalesce(side, 'long')) = 'short'") if long_only else "CAST(0 AS BIGINT)",
+        "lot ids": ones(f"NOT ({named})") if accounting == "lot_level" else ones(named),
+        "pnl_pct": ones(f"{basis} > 0 AND abs(pnl / ({basis}) * 100 - pnl_pct) > {tolerance:e}"),
+        "equity without trades": "",
+    }
+    moved = f"SELECT CASE WHEN count(CASE WHEN abs(value - {base:e}) > 1e-9 THEN 1 END) > 0 THEN 1 ELSE 0 END AS moved FROM {equity} e"
+    one = ", ".join(f"{C(x)} AS r{i}" for i, x in enumerate(rules.values()) if i < len(rules) - 1)
+    a = f"SELECT {one}, count(*) AS n FROM {rel} t"
+    rows = d.long("", "m", [{"rule": f"'{k}'", "n": f"r{i}" if i < len(rules) - 1 else C("CASE WHEN n = 0 THEN moved ELSE 0 END")} for i, k in enumerate(rules)])
+    return f"WITH m AS (SELECT a.*, e.moved FROM ({a}) a CROSS JOIN ({moved}) e) {rows}"
+
+
+@op("bt_win_rate", trade_records)
+def bt_win_rate(d, rel):
+    """Trades of a window and the share of those with a profit, in percent; 0 without trades."""
+    return f"SELECT count(*) AS total_trades, round(coalesce({ones('pnl > 0')} * 1e2 / nullif(count(*), 0), 0e0), 4) AS win_rate_pct FROM {rel} t"
+
+
 def average_cost(trades: DataFrame) -> DataFrame:
     """Average-cost position per symbol; a position of zero starts anew.
 

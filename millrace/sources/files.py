@@ -348,6 +348,43 @@ def export_event_study(prices: DataFrame, names: dict[str, tuple[str, str]], pre
     return made
 
 
+# fixed values: columns of an event study's files
+STUDY_COLUMNS = {"prices.csv": "date ticker name close market_cap tier".split(), "portfolio.csv": "date mcap_weighted_nav equal_weighted_nav total_market_cap".split()}
+
+
+def validate_event_study(spark: SparkSession, path: str) -> DataFrame:
+    """(rule, n) of the files that an export wrote below ``path``, held against its manifest and each other.
+
+    Files that were changed, are missing or are not listed; columns other than the
+    exporter's; values that are no finite number above zero; indexes that are not
+    100 on the day of the weights; dates that are there twice; and totals that are
+    not the sum of the prices' capitals.
+    """
+    manifest = spark.read.csv(f"{path}/manifest.csv", header=True).select("name", "file", F.col("sha256").alias("listed"))
+    both = digests(spark, path, [*STUDY_COLUMNS, "summary.json"]).join(manifest, ["name", "file"], "full")
+    found = {"changed files": both.where("sha256 <> listed"), "missing files": both.where("sha256 IS NULL"), "files that are not listed": both.where("listed IS NULL")}
+    there = {r["name"] for r in both.where("sha256 IS NOT NULL").select("name").distinct().collect()}
+    prices, portfolio = (spark.read.csv(f"{path}/{n}", header=True) if n in there else spark.createDataFrame([], ", ".join(f"{c} string" for c in cols)) for n, cols in STUDY_COLUMNS.items())
+    odd = [f"{n}: {c}" for n, df in zip(STUDY_COLUMNS, (prices, portfolio)) for c in set(df.columns) ^ set(STUDY_COLUMNS[n])]
+    found["columns"] = spark.createDataFrame([(x,) for x in odd], "x string")
+    told = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/summary.json").collect()))
+    navs = STUDY_COLUMNS["portfolio.csv"][1:3]
+    numbers = portfolio.select("date", *[F.col(c).try_cast("double").alias(c) for c in STUDY_COLUMNS["portfolio.csv"][1:]])
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) <= 0) | (F.col(c) == float("inf"))
+    found["no number above zero"] = numbers.where(bad(navs[0]) | bad(navs[1]))
+    found["not 100 at the start"] = numbers.where((F.col("date") == told["meta"]["pre_event_date"]) & ((F.abs(F.col(navs[0]) - 100) > 1e-6) | (F.abs(F.col(navs[1]) - 100) > 1e-6)))
+    found["dates there twice"] = numbers.groupBy("date").count().where("count > 1")
+    capital = prices.groupBy("date").agg(F.sum(F.col("market_cap").try_cast("double")).alias("cap"), F.count("market_cap").alias("k"))
+    full = capital.agg(F.max("k").alias("k")).first()["k"]
+    # a day on which a price is missing carries the one before, so that only full days can be summed
+    found["totals"] = numbers.join(capital.where(F.col("k") == full), "date").where(F.abs(F.col("total_market_cap") / F.col("cap") - 1) > 1e-6)
+    out = None
+    for rule, rows in found.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @R.query("sink_event_study", f"SELECT 'prices.csv' AS name, count(*) AS rows FROM ({fx.prices(DUCK)}) p UNION ALL SELECT 'portfolio.csv', count(DISTINCT date) FROM ({fx.prices(DUCK)}) q", export_event_study)
 def sink_event_study(spark, sf_dir):
     from ..operators.finance import PRE
@@ -359,6 +396,20 @@ def sink_event_study(spark, sf_dir):
     return _read_back(spark, path, ["prices.csv", "portfolio.csv"])
 
 
+@R.query("ev_validate_files", f"SELECT rule, CASE rule WHEN 'files that are not listed' THEN 1 WHEN 'no number above zero' THEN n WHEN 'dates there twice' THEN n ELSE 0 END AS n FROM (VALUES ('changed files'), ('missing files'), ('files that are not listed'), ('columns'), ('no number above zero'), ('not 100 at the start'), ('dates there twice'), ('totals')) r(rule) CROSS JOIN (SELECT count(DISTINCT date) AS n FROM ({fx.prices(DUCK)}) p WHERE substr(date, 6, 2) = '03') k")
+def ev_validate_files(spark, sf_dir):
+    """An export to which someone added the dates of March once more, with a value of zero."""
+    from ..operators.finance import PRE
+
+    path = scratch(spark, "event")
+    prices = cut(on_tables(spark, sf_dir, fx.prices(SPARK)))
+    tickers = [r[0] for r in prices.select("ticker").distinct().collect()]
+    export_event_study(prices, {t: (t.title(), "core") for t in tickers}, PRE, path)
+    march = spark.read.csv(f"{path}/portfolio.csv", header=True).where("substr(date, 6, 2) = '03'").withColumn("mcap_weighted_nav", F.lit(0)).coalesce(1)
+    march.write.mode("append").csv(f"{path}/portfolio.csv", header=True, quote='"', escape='"')
+    return validate_event_study(spark, path)
+
+
 # --- sheets, local databases and encrypted exports ---
 
 _SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
