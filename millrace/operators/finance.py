@@ -134,14 +134,20 @@ def _walk_pieces(opens: str) -> str:
 
 @op("bt_close_fifo", lots, t_plus_1=False)
 def bt_close_fifo(d, rel, t_plus_1):
-    """First in, first out, of the lots bought before a sale (with T+1: on an earlier bar); what exceeds them is a row without lot."""
-    return f"SELECT symbol, lot, sale, size, round((exit_price - entry_price) * size, 7) AS pnl FROM ({fifo_sql(d, rel, t_plus_1)}) f UNION ALL SELECT symbol, CAST(NULL AS BIGINT), sale, size, CAST(NULL AS DOUBLE) FROM ({unfilled_sql(rel, t_plus_1)}) u"
+    """First in, first out, of the lots bought before a sale (with T+1: on an earlier bar); ``bt_unfilled`` has what exceeds them."""
+    return f"SELECT symbol, lot, sale, size, round((exit_price - entry_price) * size, 7) AS pnl FROM ({fifo_sql(d, rel, t_plus_1)}) f"
 
 
 @op("bt_cover_fifo", lots, t_plus_1=False)
 def bt_cover_fifo(d, rel, t_plus_1):
     """The same with sides swapped: sells open, buys cover."""
-    return f"SELECT symbol, lot, sale, size, round((entry_price - exit_price) * size, 7) AS pnl FROM ({fifo_sql(d, rel, t_plus_1, 'sell')}) f UNION ALL SELECT symbol, CAST(NULL AS BIGINT), sale, size, CAST(NULL AS DOUBLE) FROM ({unfilled_sql(rel, t_plus_1, 'sell')}) u"
+    return f"SELECT symbol, lot, sale, size, round((entry_price - exit_price) * size, 7) AS pnl FROM ({fifo_sql(d, rel, t_plus_1, 'sell')}) f"
+
+
+@op("bt_unfilled", lots, t_plus_1=False, opens="buy")
+def bt_unfilled(d, rel, t_plus_1, opens):
+    """Sales, or with ``opens`` 'sell' covers, and the size for which there was no lot."""
+    return f"SELECT symbol, sale, size FROM ({unfilled_sql(rel, t_plus_1, opens)}) u"
 
 
 @op("bt_open_lots", lots, t_plus_1=False)
@@ -169,8 +175,9 @@ def bt_cover_short(d, rel, fee, t_plus_1):
     return cover_short_sql(f"SELECT symbol, lot, sale, size, entry_price * size AS got, exit_price * size AS cost FROM ({fifo_sql(d, rel, t_plus_1, 'sell')}) f", fee)
 
 
-R.sql["bt_close_fifo"] = f"{_walk_pieces('buy')} SELECT symbol, lot, sale, size, round((exit_price - entry_price) * size, 7) AS pnl FROM p UNION ALL SELECT symbol, NULL, sale, size, NULL FROM u WHERE size > 0"
-R.sql["bt_cover_fifo"] = f"{_walk_pieces('sell')} SELECT symbol, lot, sale, size, round((entry_price - exit_price) * size, 7) AS pnl FROM p UNION ALL SELECT symbol, NULL, sale, size, NULL FROM u WHERE size > 0"
+R.sql["bt_close_fifo"] = f"{_walk_pieces('buy')} SELECT symbol, lot, sale, size, round((exit_price - entry_price) * size, 7) AS pnl FROM p"
+R.sql["bt_cover_fifo"] = f"{_walk_pieces('sell')} SELECT symbol, lot, sale, size, round((entry_price - exit_price) * size, 7) AS pnl FROM p"
+R.sql["bt_unfilled"] = f"{_walk_pieces('buy')} SELECT symbol, sale, size FROM u WHERE size > 0"
 R.sql["bt_open_lots"] = f"{_walk_pieces('buy')} SELECT symbol, k.lot AS lot, k.price AS entry_price, k.size AS size FROM (SELECT symbol, unnest(max_by(held, nth)) AS k FROM r GROUP BY symbol) z"
 R.sql["bt_close_lot"] = f"{_walk_pieces('buy')} {close_lot_sql('SELECT symbol, lot, sale, size, entry_price * size AS cost, exit_price * size AS got FROM p', 0.001)}"
 R.sql["bt_cover_short"] = f"{_walk_pieces('sell')} {cover_short_sql('SELECT symbol, lot, sale, size, entry_price * size AS got, exit_price * size AS cost FROM p', 0.001)}"

@@ -24,7 +24,7 @@ def loop(trades, t_plus_1=False, opens="buy"):
                 lot[1] -= take
                 size -= take
         if size:
-            unfilled.append((symbol, None, seq, size, None))
+            unfilled.append((symbol, seq, size))
     return closed, unfilled, [(s, x[0], x[2], x[1]) for s, lots in held.items() for x in lots if x[1]]
 
 
@@ -51,21 +51,24 @@ def test_fifo_equals_a_loop(spark, t_plus_1, opens):
     closed, unfilled, left = loop(trades, t_plus_1, opens)
     assert unfilled and left
     op = finance.bt_close_fifo if opens == "buy" else finance.bt_cover_fifo
-    assert told(op.apply(df, t_plus_1=t_plus_1)) == sorted(closed + unfilled, key=repr)
+    assert told(op.apply(df, t_plus_1=t_plus_1)) == sorted(closed, key=repr)
+    assert told(finance.bt_unfilled.apply(df, t_plus_1=t_plus_1, opens=opens)) == sorted(unfilled, key=repr)
     if opens == "buy":
         assert told(finance.bt_open_lots.apply(df, t_plus_1=t_plus_1)) == sorted(left, key=repr)
 
 
 def test_a_sale_before_its_buy_stays_unfilled(spark):
     df = spark.createDataFrame([(1, 1, "a", "sell", 100, 10.0), (1, 2, "b", "buy", 100, 8.0)], TRADES)
-    assert told(finance.bt_close_fifo.apply(df)) == [(1, None, 1, 100, None)]
+    assert told(finance.bt_unfilled.apply(df)) == [(1, 1, 100)]
+    assert finance.bt_close_fifo.apply(df).count() == 0
     assert finance.bt_close_lot.apply(df).count() == 0
     assert told(finance.bt_cover_fifo.apply(df)) == [(1, 1, 2, 100, 200.0)]
 
 
 def test_lots_of_the_bar_are_kept_with_t_plus_1(spark):
     df = spark.createDataFrame([(1, 1, "a", "buy", 10, 1.0), (1, 2, "b", "buy", 10, 2.0), (1, 3, "b", "sell", 15, 3.0), (1, 4, "c", "sell", 15, 4.0), (1, 5, "c", None, 3, 1.0), (1, 6, "c", "buy", 0, 1.0)], TRADES)
-    assert told(finance.bt_close_fifo.apply(df, t_plus_1=True)) == [(1, 1, 3, 10, 20.0), (1, 2, 4, 10, 20.0), (1, None, 3, 5, None), (1, None, 4, 5, None)]
+    assert told(finance.bt_close_fifo.apply(df, t_plus_1=True)) == [(1, 1, 3, 10, 20.0), (1, 2, 4, 10, 20.0)]
+    assert told(finance.bt_unfilled.apply(df, t_plus_1=True)) == [(1, 3, 5), (1, 4, 5)]
 
 
 def test_no_pairs_are_joined(spark):
