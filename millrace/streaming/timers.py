@@ -12,8 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -39,7 +38,10 @@ def due(since: int, n: int, undone: int, every: int, most: int, undo: int, upto:
 
 
 class Pending(StatefulProcessor):
-    """State of a key: the waiting change (event_id, its time, reminders and undo said, the timer set), or none."""
+    """State of a key: the waiting change (event_id, its time, reminders and undo said, the timer set), or none.
+
+    The store is another process: a key's state is read once a call and written once, whatever the number of its rows.
+    """
 
     def __init__(self, every: int, most: int, undo: int, tombstone: str):
         self.every, self.most, self.undo, self.tombstone = every, most, undo, tombstone
@@ -51,50 +53,54 @@ class Pending(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _say(self, key, upto: int) -> list[tuple]:
-        """Says what is due and keeps the change, unless it is dismissed and has no undo left to say."""
-        if not self.waiting.exists():
-            return []
-        event_id, since, n, undone, timer = self.waiting.get()
+    def _say(self, key: int, held: tuple | None, upto: int) -> tuple[list[Row], tuple | None]:
+        """What is due of the change, and the change; none if it is dismissed and has no undo left to say."""
+        if held is None:
+            return [], None
+        event_id, since, n, undone = held
         said, n, undone = due(since, n, undone, self.every, self.most, self.undo, upto)
-        if said:
-            self._keep(event_id, since, n, undone, timer)
-        return [(key, kind, event_id, k, at) for kind, k, at in said]
-
-    def _keep(self, event_id: int, since: int, n: int, undone: int, timer: int) -> None:
-        if timer:
-            self.handle.deleteTimer(timer)
-        if n >= self.most and undone:
+        return [Row(k=key, kind=kind, event_id=event_id, n=k, moment=at) for kind, k, at in said], None if n >= self.most and undone else (event_id, since, n, undone)
+
+    def _keep(self, before: tuple | None, held: tuple | None) -> None:
+        """Put the change in the place of what the store has, with the timer of what is due of it first."""
+        if held is None and before is None or before is not None and held == tuple(before[:4]):
+            return
+        timer = None
+        if held is not None:
+            _, since, n, undone = held
+            ahead = ([] if undone else [since + self.undo]) + ([] if n >= self.most else [since + (n + 1) * self.every])
+            timer = -(-min(ahead) // 1000)
+        if before is not None and before[4] != timer:
+            self.handle.deleteTimer(before[4])
+        if timer is None:
             self.waiting.clear()
             return
-        ahead = ([] if undone else [since + self.undo]) + ([] if n >= self.most else [since + (n + 1) * self.every])
-        timer = -(-min(ahead) // 1000)
+        # set anew even if it is the same one: it may be the one that has just expired
         self.handle.registerTimer(timer)
-        self.waiting.update((event_id, since, n, undone, timer))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        for event_id, at, summary in sorted((r for p in rows for r in zip(p["event_id"].tolist(), p["moment"].tolist(), p["summary"].tolist())), key=lambda r: (r[1], r[0])):
-            out += self._say(key[0], at)
-            held = self.waiting.get() if self.waiting.exists() else None
+        self.waiting.update((*held, timer))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        before = self.waiting.get()
+        held, out = None if before is None else tuple(before[:4]), []
+        for at, event_id, summary in sorted(((r["moment"], r["event_id"], r["summary"]) for r in rows), key=lambda r: r[:2]):
+            said, held = self._say(key[0], held, at)
+            out += said
             if held is not None and (at, event_id) < (held[1], held[0]):
                 continue  # behind what is known already
             if summary == self.tombstone:
-                out.append((key[0], "deleted" if held is not None and held[2] < self.most else "absent", event_id, 0, at))
-                if held is not None:
-                    self.handle.deleteTimer(held[4])
-                    self.waiting.clear()
+                out.append(Row(k=key[0], kind="deleted" if held is not None and held[2] < self.most else "absent", event_id=event_id, n=0, moment=at))
+                held = None
             else:
-                self._keep(event_id, at, 0, 0, held[4] if held is not None else 0)
-        yield self._frame(out)
+                held = (event_id, at, 0, 0)
+        self._keep(before, held)
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         # up to the watermark, as a timer that is set here and already due waits for the next batch
-        yield self._frame(self._say(key[0], 1000 * max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())))
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["k", "kind", "event_id", "n", "moment"]).astype({"k": "int64", "event_id": "int64", "n": "int32", "moment": "int64"})
+        before = self.waiting.get()
+        said, held = self._say(key[0], None if before is None else tuple(before[:4]), 1000 * max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+        self._keep(before, held)
+        yield from said
 
 
 @contextmanager
@@ -118,7 +124,7 @@ def stream_pending(stream: DataFrame, every: int = DAY, most: int = 3, undo: int
     that waits.
     """
     rows = stream.withWatermark("ts", late).select("k", "event_id", "ts", "summary", F.unix_micros(F.col("ts").cast("timestamp")).alias("moment"))
-    return rows.groupBy("k").transformWithStateInPandas(statefulProcessor=Pending(every, most, undo, tombstone), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("k").transformWithState(statefulProcessor=Pending(every, most, undo, tombstone), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 def append_to_end(stream: DataFrame, path: str) -> DataFrame:

@@ -73,3 +73,51 @@ def test_late_rows_change_nothing_that_was_said(spark, tmp_path):
 
 def test_stream_of_events_equals_the_batch_form(spark):
     assert told(registry.QUERIES["stream_pending"](spark, SF)) == told(registry.QUERIES["state_pending"](spark, SF))
+
+
+class Store:
+    """A handle and a value state that count how often they are called."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, [], set()
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls.append("delete")
+        self.timers.discard(at)
+
+
+def test_the_store_is_called_once_a_key_and_not_for_each_row():
+    """A call goes to another process; there is one timer at most, that of the change that waits."""
+    store, p = Store(), timers.Pending(5 * H, 3, 2 * H, "error")
+    p.init(store)
+    change = lambda i, summary="view": {"event_id": i, "moment": i * 3 * H, "summary": summary}
+    for first in (1, 51):
+        store.calls.clear()
+        assert len(list(p.handleInputRows((7,), iter([change(i) for i in range(first, first + 50)]), None))) >= 49
+        assert max(store.calls.count(c) for c in store.calls) == 1 and len(store.calls) <= 4
+        assert store.value[0] == first + 49 and store.timers == {store.value[4]}
+    list(p.handleInputRows((7,), iter([change(101, "error")]), None))
+    assert store.value is None and not store.timers
