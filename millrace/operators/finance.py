@@ -72,7 +72,7 @@ def bt_window_summary(d, rel, factor):
 def lots(d) -> str:
     """Buys and sells per part, in order; returned lines are sells."""
     order = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice"
-    return f"SELECT l_partkey AS symbol, CAST(row_number() OVER (PARTITION BY l_partkey {order}) AS BIGINT) AS seq, {d.day('l_shipdate')} AS date, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) AS size, CAST(round(l_extendedprice * 100) AS BIGINT) / (1e2 * l_quantity) AS price FROM lineitem"
+    return f"SELECT l_partkey AS symbol, CAST(row_number() OVER (PARTITION BY l_partkey {order}) AS BIGINT) AS seq, {d.day('l_shipdate')} AS date, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, CAST(l_quantity AS BIGINT) AS size, CAST(round(l_extendedprice * 100) AS BIGINT) / (1e2 * l_quantity) AS price FROM {d.dealt('lineitem', 'l_partkey')}"
 
 
 def last_known(d, x: str, over: str) -> str:
@@ -97,7 +97,7 @@ def filled_sql(rel, t_plus_1=False, opens="buy"):
 
 def segments_sql(d, rel, t_plus_1=False, opens="buy"):
     """Opened and closed sizes laid end to end and cut at all their ends: each piece is of one lot, and of one sale or still open."""
-    ends = f"SELECT f.*, {C('sum(filled) OVER (PARTITION BY symbol, opening ORDER BY nth ROWS UNBOUNDED PRECEDING)')} AS upto FROM ({filled_sql(rel, t_plus_1, opens)}) f WHERE filled > 0"
+    ends = f"SELECT f.*, {C('sum(filled) OVER (PARTITION BY symbol, opening ORDER BY nth ROWS UNBOUNDED PRECEDING)')} AS upto FROM ({filled_sql(d.dealt(rel, 'symbol'), t_plus_1, opens)}) f WHERE filled > 0"
     picked = ", ".join(f"max(CASE WHEN opening = {side} THEN {x} END) AS {name}" for side, x, name in ((1, "seq", "lot"), (1, "price", "entry_price"), (1, "date", "entry_date"), (0, "seq", "sale"), (0, "price", "exit_price"), (0, "date", "exit_date")))
     bounds = f"SELECT symbol, upto, {picked} FROM ({ends}) e GROUP BY symbol, upto"
     back = "PARTITION BY symbol ORDER BY upto DESC"
@@ -147,7 +147,7 @@ def bt_cover_fifo(d, rel, t_plus_1):
 @op("bt_unfilled", lots, t_plus_1=False, opens="buy")
 def bt_unfilled(d, rel, t_plus_1, opens):
     """Sales, or with ``opens`` 'sell' covers, and the size for which there was no lot."""
-    return f"SELECT symbol, sale, size FROM ({unfilled_sql(rel, t_plus_1, opens)}) u"
+    return f"SELECT symbol, sale, size FROM ({unfilled_sql(d.dealt(rel, 'symbol'), t_plus_1, opens)}) u"
 
 
 @op("bt_open_lots", lots, t_plus_1=False)

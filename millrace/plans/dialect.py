@@ -13,14 +13,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a relation that one task sorts.
+TASK_ROWS = 250_000
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 class Dialect:
     """Spelling of what the two dialects say differently."""
 
-    def __init__(self, spark: bool):
-        self.spark = spark
+    def __init__(self, spark: bool, session: SparkSession | None = None):
+        self.spark, self.session = spark, session
 
     def lit(self, text: str) -> str:
         if self.spark:
@@ -103,6 +105,16 @@ class Dialect:
         """Whether any of the literals is in ``x``: a cheap test before patterns that all need one; the oracle does without it."""
         return "(" + " OR ".join(f"contains({x}, {self.lit(w)})" for w in literals.split()) + ")" if self.spark else "true"
 
+    def dealt(self, rel: str, key: str, rows: int | None = None) -> str:
+        """A table or view dealt by ``key`` to tasks of some ``rows`` (``TASK_ROWS``) rows, so that what a task sorts does not grow with it.
+
+        Where the session's number of partitions is enough, or without a session that can count, it stays as it is.
+        """
+        if self.session is None or not re.fullmatch(r"\w+", rel):
+            return rel
+        n = -(-self.session.table(rel).count() // (rows or TASK_ROWS))
+        return f"(SELECT /*+ REPARTITION({n}, {key}) */ * FROM {rel})" if n > int(self.session.conf.get("spark.sql.shuffle.partitions")) else rel
+
     def long(self, key: str, rel: str, rows: list[dict[str, str]]) -> str:
         """Several rows for each row of ``rel``: in Spark exploded, so that ``rel`` is read once, as a CTE is copied to each use."""
         key = f"{key}, " if key else ""
@@ -126,12 +138,13 @@ class Dialect:
 SPARK, DUCK = Dialect(True), Dialect(False)
 
 
-def on_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL over the test tables below ``sf_dir``."""
+def on_tables(spark: SparkSession, sf_dir: str, sql: str | Callable[[Dialect], str]) -> DataFrame:
+    """Run SQL, or what gives it for a dialect, over the test tables below ``sf_dir``."""
+    named = sql(SPARK) if callable(sql) else sql
     for t in TABLES:
-        if re.search(rf"\b{t}\b", sql):
+        if re.search(rf"\b{t}\b", named):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+    return spark.sql(sql(Dialect(True, spark)) if callable(sql) else sql)
 
 
 def _nested(rel: str) -> str:
@@ -163,9 +176,9 @@ class Registry:
                 return build(d, _nested(rel), **{k: _nested(v(d)) if callable(v) else v for k, v in params.items()})
 
             if prepare is None:
-                self.queries[name] = lambda spark, sf_dir: on_tables(spark, sf_dir, text(SPARK))
+                self.queries[name] = lambda spark, sf_dir: on_tables(spark, sf_dir, text)
             else:
-                self.queries[name] = lambda spark, sf_dir: apply(on_tables(spark, sf_dir, f"SELECT * FROM {_nested(source(SPARK) if callable(source) else source)} t"))
+                self.queries[name] = lambda spark, sf_dir: apply(on_tables(spark, sf_dir, lambda d: f"SELECT * FROM {_nested(source(d) if callable(source) else source)} t"))
             self.sql[name] = text(DUCK)
 
             def apply(df: DataFrame, **given) -> DataFrame:
@@ -179,7 +192,7 @@ class Registry:
                 try:
                     told = {k: view(v) if isinstance(v, DataFrame) else _nested(v(SPARK)) if callable(v) else v for k, v in (params | given).items()}
                     rel = df if prepare is None else prepare(df, **(params | given))
-                    return df.sparkSession.sql(build(SPARK, view(rel), **told))
+                    return df.sparkSession.sql(build(Dialect(True, df.sparkSession), view(rel), **told))
                 finally:
                     for v in views:
                         df.sparkSession.catalog.dropTempView(v)

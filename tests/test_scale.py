@@ -1,11 +1,19 @@
 """Work of a task does not grow with the tables."""
 
 import datetime
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from millrace import registry
+from millrace.operators import finance
+from millrace.plans import dialect
 from millrace.streaming import state
 
+SF = "/root/testdata/sf0.001"
+LOTS = "bt_close_fifo".split()
+
 
 def test_upserts_of_a_stream_call_no_python(spark, tmp_path):
     """A change of a smaller id that comes later moves the first time only."""
@@ -17,3 +25,26 @@ def test_upserts_of_a_stream_call_no_python(spark, tmp_path):
     assert "Pandas" not in stream._jdf.queryExecution().analyzed().toString()
     got = state.last_update(state.run_to_end(stream, str(tmp_path / "out")), ["k"]).select("k", F.hour("created_at"), "event_id", "summary").collect()
     assert sorted(tuple(r) for r in got) == [(1, 3, 5, "five"), (2, 9, 8, None)]
+
+
+def shuffles(df):
+    """Key and number of partitions of each shuffle by hash."""
+    return re.findall(r"hashpartitioning\((.*?)#\d+.*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("name", LOTS)
+def test_lots_take_more_tasks_of_more_trades(spark, name, monkeypatch):
+    """One shuffle of the trades, to tasks of TASK_ROWS rows, and the same rows."""
+    want = sorted(map(repr, registry.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(dialect, "TASK_ROWS", 500)
+    df = registry.QUERIES[name](spark, SF)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions")) and set(shuffles(df)) <= {("l_partkey", str(n))}
+    assert sorted(map(repr, df.collect())) == want
+
+
+def test_trades_of_a_frame_are_dealt_too(spark, monkeypatch):
+    monkeypatch.setattr(dialect, "TASK_ROWS", 100)
+    df = spark.createDataFrame([(i % 50, i, "a", "buy" if i % 3 else "sell", 1, 1.0) for i in range(600)], "symbol long, seq long, date string, side string, size long, price double")
+    for op in (finance.bt_close_fifo, finance.bt_unfilled, finance.bt_open_lots):
+        assert set(shuffles(op.apply(df))) == {("symbol", "6")}
