@@ -97,9 +97,14 @@ def log_detect_format(d, rel, line, order):
     return f"SELECT coalesce(min_by(format, place), 'json') AS format FROM ({first}) f WHERE format IS NOT NULL"
 
 
-@op("str_shannon_entropy", lambda d: "SELECT p_partkey AS id, p_name AS s FROM part")
+#: Strings of a task, of whose characters it sorts the counts.
+STRINGS = 50_000
+
+
+@op("str_shannon_entropy", lambda d: f"SELECT p_partkey AS id, p_name AS s FROM {d.dealt('part', 'p_partkey', STRINGS)}")
 def str_shannon_entropy(d, rel):
     """Bits per character."""
+    rel = d.dealt(rel, "id", STRINGS)
     chars = d.unnest("split(s, '')" if d.spark else "string_split(s, '')")
     c = f"SELECT id, ch, CAST(count(*) AS DOUBLE) AS k FROM (SELECT id, {chars} AS ch FROM {rel} t) x WHERE ch <> '' GROUP BY id, ch"
     return f"SELECT id, round(-sum(p * log2(p)), 6) + 0e0 AS entropy FROM (SELECT id, k / sum(k) OVER (PARTITION BY id) AS p FROM ({c}) c) q GROUP BY id"
