@@ -469,10 +469,13 @@ def win_nav_compound(d, rel, anchor):
     return f"WITH l AS ({logs}) SELECT l.date, round(100 * exp(l.s - a.s), 4) AS nav FROM l CROSS JOIN (SELECT s FROM l WHERE date = '{anchor}') a"
 
 
-@op("win_cum_event_curve", lambda d: f"SELECT l_orderkey, {d.day('l_shipdate')} AS exit_date, {d.day('o_orderdate')} AS entry_date, CAST(round((l_discount - 0.05) * 100) AS DOUBLE) AS pct FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@op("win_cum_event_curve", lambda d: f"SELECT l_orderkey, {d.day('l_shipdate')} AS exit_date, {d.day('o_orderdate')} AS entry_date, CAST(round((l_discount - 0.05) * 100) AS DOUBLE) AS pct FROM {d.dealt('lineitem', 'l_orderkey')} JOIN orders ON l_orderkey = o_orderkey")
 def win_cum_event_curve(d, rel):
     """100 plus the running sum of realised percent; entry dates are zero points."""
-    return f"SELECT date, 100 + sum(p) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT date, sum(p) AS p FROM (SELECT exit_date AS date, pct AS p FROM {rel} t UNION ALL SELECT entry_date, 0e0 FROM {rel} u) x GROUP BY date) y"
+    rows = f"SELECT exit_date AS date, pct AS p FROM {rel} t UNION ALL SELECT entry_date, 0e0 FROM {rel} u"
+    if d.spark:  # one pass: the rows may be a join
+        rows = d.long("", rel, [{"date": "exit_date", "p": "pct"}, {"date": "entry_date", "p": "0e0"}])
+    return f"SELECT date, 100 + sum(p) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT date, sum(p) AS p FROM ({rows}) x GROUP BY date) y"
 
 
 @op("win_rank_final", lambda d: "SELECT c_nationkey AS opt, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey", option="opt", total="total", order="opt")
