@@ -293,8 +293,8 @@ def anova_sql(rel, g, v):
 
 @op("test_levene", LINES, g="g3", v="y")
 def test_levene(d, rel, g, v):
-    """Distances from each group's median."""
-    z = f"(SELECT t.{g}, abs(t.{v} - m.med) AS z FROM {rel} t JOIN (SELECT g AS k, q0 AS med FROM ({quantiles(d, rel, v, (0.5,), g)}) u) m ON t.{g} = m.k)"
+    """Distances from each group's median; the medians go to the rows, as few groups would be few tasks."""
+    z = f"(SELECT {'/*+ BROADCAST(m) */ ' if d.spark else ''}t.{g}, abs(t.{v} - m.med) AS z FROM {rel} t JOIN (SELECT g AS k, q0 AS med FROM ({quantiles(d, rel, v, (0.5,), g)}) u) m ON t.{g} = m.k)"
     return f"SELECT round(f, 4) AS f FROM ({anova_sql(z, g, 'z')}) a"
 
 

@@ -71,3 +71,20 @@ def test_join_and_characters_are_dealt(spark, monkeypatch):
         assert shuffles(df).count((key, str(-(-spark.read.parquet(f"{SF}/{table}.parquet").count() // rows)))) == 1
         assert df._jdf.queryExecution().executedPlan().toString().count("Join") <= 1
         assert sorted(map(repr, df.collect())) == want[name]
+
+
+def test_levene_shuffles_no_rows_by_group(spark):
+    """Rows dealt by a group of three values are three tasks; what is shuffled by group is counts of values or of groups."""
+    df = registry.QUERIES["test_levene"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [line for line in plan if "Join" in line and "g3" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_ranges_by_halves(spark):
+    from millrace.plans.ranks import CUTS, range_of
+
+    for n in (0, 1, 2, 7, CUTS - 1):
+        cuts = ", ".join(f"{i * 2}D" for i in range(n))
+        got = spark.sql(f"SELECT v, {range_of('v')} AS at, size(filter(cuts, x -> x < v)) AS n FROM (SELECT CAST(id AS DOUBLE) - 1 AS v, CAST(array({cuts}) AS ARRAY<DOUBLE>) AS cuts FROM range(420))").collect()
+        assert all(r["at"] == r["n"] for r in got)
