@@ -250,16 +250,28 @@ LEAKS = {"heading_leak": r"(?m)^\s*#{1,6}\s", "bold_leak": r"\*\*[^*\n]+\*\*", "
 IDEOGRAPH = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
 
 
-def rate_hits(d, pattern: str, no: str) -> str:
-    return d.size(d.only(d.extract_all("text", pattern), "v", f"NOT {d.like('v', no)}")) if no else d.count_of("text", pattern)
+# fixed values: what every match of a rate holds one of
+NEEDED = {"simile": "像 仿佛 如同 宛如 宛若 犹如 好似", "dash": "——", "tic": "缓缓 微微 轻轻 淡淡 嘴角", "not_but": "不是 并非 没有"}
+
+
+def wide(d, hits: str, literals: str = "") -> str:
+    """What only texts with characters of more than one byte have, and with one of the literals if any are given: others are not searched in Spark."""
+    may = "octet_length(text) > length(text)" + (f" AND {d.may_hold('text', literals)}" if literals else "")
+    return f"CASE WHEN text IS NULL OR {may} THEN {hits} ELSE 0 END" if d.spark else hits
+
+
+def rate_hits(d, rate: str) -> str:
+    pattern, no, _ = RATES[rate]
+    hits = d.size(d.only(d.extract_all("text", pattern), "v", f"NOT {d.like('v', no)}")) if no else d.count_of("text", pattern)
+    return wide(d, hits, NEEDED[rate])
 
 
 @op("text_rate_checks", fx.cjk)
 def text_rate_checks(d, rel):
     """Phrases per 1000 ideographs above their caps, phrases above a cap per text, and leaks of markup, none of which may be there."""
     caps = WORK_CAPS | {k: (p, 0) for k, p in LEAKS.items()}
-    hits = {k: rate_hits(d, p, no) for k, (p, no, _) in RATES.items()} | {k: d.count_of("text", p) for k, (p, _) in caps.items()}
-    counts = f"SELECT doc_id, {d.count_of('text', IDEOGRAPH)} AS ideographs, {', '.join(f'{x} AS {k}' for k, x in hits.items())} FROM {rel} t"
+    hits = {k: rate_hits(d, k) for k in RATES} | {k: d.count_of("text", p) for k, (p, _) in caps.items()}
+    counts = f"SELECT doc_id, {wide(d, d.count_of('text', IDEOGRAPH))} AS ideographs, {', '.join(f'{x} AS {k}' for k, x in hits.items())} FROM {rel} t"
     rows = [{"rule": f"'{k}'", "hits": k, "n": "ideographs", "cap": cap} for k, (_, _, cap) in RATES.items()]
     rows += [{"rule": f"'{k}'", "hits": k, "n": "CAST(NULL AS BIGINT)", "cap": f"{cap}e0"} for k, (_, cap) in caps.items()]
     return f"SELECT doc_id, rule, hits, CASE WHEN n IS NOT NULL THEN round(hits * 1e3 / greatest(n, 1), 4) END AS rate, CASE WHEN n IS NULL THEN hits ELSE hits * 1e3 / greatest(n, 1) END > cap AS over_cap FROM ({d.long('doc_id', f'({counts})', rows)}) r"
@@ -272,8 +284,8 @@ def text_rate_reference(d, rel, reference):
     A rate passes within half and one and a half times the reference's, or
     without a hit; curly or straight quotes lead in both, or there are none.
     """
-    hits = ", ".join(f"{rate_hits(d, p, no)} AS {k}" for k, (p, no, _) in RATES.items())
-    counts = lambda key, rel: f"(SELECT {key}{d.count_of('text', IDEOGRAPH)} AS n, {hits}, {d.count_of('text', '[\u201c\u201d]')} AS curly, {d.count_of('text', chr(34))} AS straight FROM {rel} t)"
+    hits = ", ".join(f"{rate_hits(d, k)} AS {k}" for k in RATES)
+    counts = lambda key, rel: f"(SELECT {key}{wide(d, d.count_of('text', IDEOGRAPH))} AS n, {hits}, {wide(d, d.count_of('text', '[\u201c\u201d]'))} AS curly, {d.count_of('text', chr(34))} AS straight FROM {rel} t)"
     rows = [{"rule": f"'{k}'", "a": k, "b": "n"} for k in RATES] + [{"rule": "'quotes'", "a": "curly", "b": "straight"}]
     ref = f"SELECT rule, sum(a) AS ra, sum(b) AS rb, sum(a) * 1e3 / greatest(sum(b), 1) AS rr FROM ({d.long('', counts('', reference), rows)}) s GROUP BY rule"
     near = "a = 0 OR a * 1e3 / greatest(b, 1) BETWEEN rr * 5e-1 AND greatest(rr * 15e-1, 5e-1)"

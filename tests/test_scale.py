@@ -88,3 +88,16 @@ def test_ranges_by_halves(spark):
         cuts = ", ".join(f"{i * 2}D" for i in range(n))
         got = spark.sql(f"SELECT v, {range_of('v')} AS at, size(filter(cuts, x -> x < v)) AS n FROM (SELECT CAST(id AS DOUBLE) - 1 AS v, CAST(array({cuts}) AS ARRAY<DOUBLE>) AS cuts FROM range(420))").collect()
         assert all(r["at"] == r["n"] for r in got)
+
+
+def test_rates_search_only_texts_that_can_match(spark):
+    """The same counts as without the tests before the patterns, nulls too."""
+    from millrace.operators import text
+
+    texts = [None, "", "plain words — no", "café “quoted”", "好像在走——缓缓地——走", "想像 轻轻松 图像是", "不是一而是二", "没有\n只有", "轻轻 宛若 映像"]
+    spark.createDataFrame([(t,) for t in texts], "text string").createOrReplaceTempView("rate_texts")
+    for rate, (pattern, no, _) in text.RATES.items():
+        p, n = dialect.SPARK.lit(pattern), dialect.SPARK.lit(no or "^$")
+        told = text.rate_hits(dialect.SPARK, rate)
+        assert "octet_length" in told
+        assert all(a == b for a, b in spark.sql(f"SELECT {told}, size(filter(regexp_extract_all(text, {p}, 0), v -> NOT v RLIKE {n})) FROM rate_texts").collect() if a is not None), rate
