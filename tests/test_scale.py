@@ -73,7 +73,15 @@ def test_join_and_characters_are_dealt(spark, monkeypatch):
         assert sorted(map(repr, df.collect())) == want[name]
 
 
-def test_levene_shuffles_no_rows_by_group(spark):
+@pytest.fixture
+def unasked(spark):
+    """No join is broadcast but by a hint, as with large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_levene_shuffles_no_rows_by_group(spark, unasked):
     """Rows dealt by a group of three values are three tasks; what is shuffled by group is counts of values or of groups."""
     df = registry.QUERIES["test_levene"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
@@ -101,3 +109,13 @@ def test_rates_search_only_texts_that_can_match(spark):
         told = text.rate_hits(dialect.SPARK, rate)
         assert "octet_length" in told
         assert all(a == b for a, b in spark.sql(f"SELECT {told}, size(filter(regexp_extract_all(text, {p}, 0), v -> NOT v RLIKE {n})) FROM rate_texts").collect() if a is not None), rate
+
+
+def test_auto_select_sends_the_medians_to_the_rows(spark, unasked, monkeypatch):
+    """Each equality of variances that is asked for, not the query of its own alone."""
+    from millrace.operators import statistics
+
+    plans, apply = [], statistics.test_levene.apply
+    monkeypatch.setattr(statistics.test_levene, "apply", lambda df, **kw: (plans.append(apply(df, **kw)), plans[-1])[1])
+    assert registry.QUERIES["test_auto_select"](spark, SF).count() == 6
+    assert plans and all("BroadcastHashJoin" in line for p in plans for line in p._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and re.search(r"g[23]#", line))
