@@ -108,12 +108,14 @@ class Dialect:
     def dealt(self, rel: str, key: str, rows: int | None = None) -> str:
         """A table or view dealt by ``key`` to tasks of some ``rows`` (``TASK_ROWS``) rows, so that what a task sorts does not grow with it.
 
-        Where the session's number of partitions is enough, or without a session that can count, it stays as it is.
+        The number is given with the rows, as adaptive execution would join the session's partitions to larger tasks.
+        What one task holds, or without a session that can count, stays as it is.
         """
         if self.session is None or not re.fullmatch(r"\w+", rel):
             return rel
         n = -(-self.session.table(rel).count() // (rows or TASK_ROWS))
-        return f"(SELECT /*+ REPARTITION({n}, {key}) */ * FROM {rel})" if n > int(self.session.conf.get("spark.sql.shuffle.partitions")) else rel
+        cores = min(self.session.sparkContext.defaultParallelism, int(self.session.conf.get("spark.sql.shuffle.partitions")))
+        return f"(SELECT /*+ REPARTITION({max(n, cores)}, {key}) */ * FROM {rel})" if n > 1 else rel
 
     def long(self, key: str, rel: str, rows: list[dict[str, str]]) -> str:
         """Several rows for each row of ``rel``: in Spark exploded, so that ``rel`` is read once, as a CTE is copied to each use."""

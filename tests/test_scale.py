@@ -13,6 +13,7 @@ from millrace.streaming import state
 
 SF = "/root/testdata/sf0.001"
 LOTS = "bt_close_fifo bt_close_lot bt_open_lots bt_win_rate bt_cover_fifo bt_cover_short bt_validate_trades".split()
+KEPT_APART = "bt_close_lot".split()
 
 
 def test_upserts_of_a_stream_call_no_python(spark, tmp_path):
@@ -50,6 +51,21 @@ def test_trades_of_a_frame_are_dealt_too(spark, monkeypatch):
         assert set(shuffles(op.apply(df))) == {("symbol", "6")}
 
 
+@pytest.mark.parametrize("name", KEPT_APART)
+def test_lots_are_not_joined_to_larger_tasks(spark, name, monkeypatch):
+    """As many tasks as the rows ask for also where the session has more partitions, which adaptive execution would join by their bytes."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(dialect, "TASK_ROWS", 500)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert n < 200 and re.search(rf"hashpartitioning\(l_partkey#\d+L?, {n}\), REPARTITION_BY_NUM", plan)
+    assert not re.search(r"hashpartitioning\((l_partkey|symbol)#\d+L?, 200\)", plan)
+
+
 def test_exported_trades_are_dealt(spark, monkeypatch):
     from millrace.sources import files
 
