@@ -13,7 +13,7 @@ from millrace.streaming import state
 
 SF = "/root/testdata/sf0.001"
 LOTS = "bt_close_fifo bt_close_lot bt_open_lots bt_win_rate bt_cover_fifo bt_cover_short bt_validate_trades".split()
-KEPT_APART = "bt_close_lot bt_open_lots bt_win_rate bt_cover_fifo bt_cover_short".split()
+KEPT_APART = "bt_close_lot bt_open_lots bt_win_rate bt_cover_fifo bt_cover_short bt_validate_trades".split()
 
 
 def test_upserts_of_a_stream_call_no_python(spark, tmp_path):
