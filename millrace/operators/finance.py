@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import blocks
 from ..plans import fixtures as fx
 from ..plans.blocks import meet, positions, scan
 from ..plans.dialect import DUCK, Registry, on_tables
+from ..session import cut
 from .relational import C, ones
 
 R = Registry()
@@ -263,13 +265,42 @@ def bt_win_rate(d, rel):
     return f"SELECT count(*) AS total_trades, round(coalesce({ones('pnl > 0')} * 1e2 / nullif(count(*), 0), 0e0), 4) AS win_rate_pct FROM {rel} t"
 
 
-def average_cost(trades: DataFrame) -> DataFrame:
+def average_cost(trades: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Average-cost position per symbol; a position of zero starts anew.
 
+    A symbol of at most a block of trades is walked as one array of them; the
+    trades of the others are scanned block by block.  ``counted`` may be the
+    same trades where they are cheaper to count.
+    """
+    acts, columns = "size > 0 AND side IN ('buy', 'sell')", ["symbol", "seq", "side", "size", "price"]
+    t = trades.where(acts).select(*columns)
+    sizes = (trades if counted is None else counted).where(acts).groupBy("symbol").count()
+    long = sizes.where(F.col("count") > blocks.ROWS).select("symbol")
+    if long.isEmpty():
+        return walked_cost(t)
+    long = F.broadcast(cut(long).withColumnRenamed("symbol", "_long"))
+    same = F.col("symbol").eqNullSafe(F.col("_long"))
+    return walked_cost(t.join(long, same, "left_anti")).unionByName(scanned_cost(t.join(long, same, "left_semi")))
+
+
+def walked_cost(t: DataFrame) -> DataFrame:
+    """Average cost of symbols whose trades fit one array each."""
+    sold = "least(s.held, x.size)"
+    after = f"""CASE WHEN x.side = 'buy' THEN struct(s.held + x.size AS held, s.cost + x.price * x.size AS cost, s.pnl AS pnl)
+      WHEN s.held > 0 THEN struct(s.held - {sold} AS held, CASE WHEN s.held <= x.size THEN 0D ELSE s.cost - s.cost / s.held * {sold} END AS cost, s.pnl + (x.price - s.cost / s.held) * {sold} AS pnl) ELSE s END"""
+    trade = "struct(seq, side, CAST(size AS DOUBLE) AS size, coalesce(CAST(price AS DOUBLE), double('NaN')) AS price)"
+    walk = f"aggregate(sort_array(collect_list({trade})), struct(0D AS held, 0D AS cost, 0D AS pnl), (s, x) -> {after})"
+    told = t.groupBy("symbol").agg(F.expr(walk).alias("s"))
+    return told.selectExpr("symbol", *(f"nullif(s.{c}, double('NaN')) AS {c}" for c in ("held", "cost", "pnl")))
+
+
+def scanned_cost(trades: DataFrame) -> DataFrame:
+    """Average cost of symbols of any number of trades.
+
     Sizes held follow from sums and running minima over blocks of a symbol's
     trades; given them, cost and profit are a recurrence, scanned block by block.
     """
-    t = positions(trades.select("symbol", "seq", "side", "size", "price").where("size > 0 AND side IN ('buy', 'sell')"), ["seq"], ["symbol"])
+    t = positions(trades, ["seq"], ["symbol"])
     t = t.withColumn("_x", F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")))
     inside = Window.partitionBy("symbol", "_block").orderBy("_pos")
     t = t.withColumn("_net", F.sum("_x").over(inside))
@@ -311,7 +342,7 @@ def average_cost(trades: DataFrame) -> DataFrame:
 def bt_avg_cost(spark, sf_dir):
     from ..plans.dialect import SPARK
 
-    return average_cost(on_tables(spark, sf_dir, lots(SPARK))).selectExpr("symbol", "held", "round(cost, 2) AS cost", "round(pnl, 2) AS pnl")
+    return average_cost(on_tables(spark, sf_dir, lots), on_tables(spark, sf_dir, lots(SPARK))).selectExpr("symbol", "held", "round(cost, 2) AS cost", "round(pnl, 2) AS pnl")
 
 
 # --- event study ---

@@ -135,3 +135,21 @@ def test_auto_select_sends_the_medians_to_the_rows(spark, unasked, monkeypatch):
     monkeypatch.setattr(statistics.test_levene, "apply", lambda df, **kw: (plans.append(apply(df, **kw)), plans[-1])[1])
     assert registry.QUERIES["test_auto_select"](spark, SF).count() == 6
     assert plans and all("BroadcastHashJoin" in line for p in plans for line in p._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and re.search(r"g[23]#", line))
+
+
+def test_average_cost_of_short_symbols_calls_no_python(spark, monkeypatch):
+    """Trades dealt once, and arrays walked by Spark; symbols longer than a block go over blocks, with the same positions."""
+    from millrace.plans import blocks
+
+    monkeypatch.setattr(dialect, "TASK_ROWS", 500)
+    df = registry.QUERIES["bt_avg_cost"](spark, SF)
+    assert "Python" not in df._jdf.queryExecution().analyzed().toString() and "Pandas" not in df._jdf.queryExecution().analyzed().toString()
+    assert set(shuffles(df)) == {("l_partkey", str(-(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)))}
+
+    trades = [(s, i, "sell" if (i * 7 + (s or 0)) % 3 == 0 else "buy", 1 + i % 5, 1.0 + i % 11) for s, n in ((1, 20), (2, 21), (3, 90), (None, 70), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame([*trades, (5, 1, "buy", 2, None), (6, 1, "sell", 3, 1.0), (7, 1, "hold", 1, 1.0)], "symbol long, seq long, side string, size long, price double")
+    told = lambda: {r["symbol"]: (r["held"], round(r["cost"], 6) if r["cost"] is not None else None, round(r["pnl"], 6)) for r in finance.average_cost(df).collect()}
+    want = told()
+    assert want.keys() == {1, 2, 3, 4, 5, 6, None} and want[5] == (2.0, None, 0.0) and want[6] == (0.0, 0.0, 0.0)
+    monkeypatch.setattr(blocks, "ROWS", 20)
+    assert told() == want
