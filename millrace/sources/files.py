@@ -309,7 +309,7 @@ def _backtest(d) -> tuple[str, str]:
 @R.query("sink_backtest", f"SELECT 'equity.csv' AS name, count(*) AS rows FROM ({_backtest(DUCK)[0]}) e UNION ALL SELECT 'trades.csv', count(*) FROM ({_backtest(DUCK)[1]}) t", export_backtest)
 def sink_backtest(spark, sf_dir):
     path = scratch(spark, "backtest")
-    equity, trades = (on_tables(spark, sf_dir, lambda d, i=i: _backtest(d)[i]) for i in range(2))
+    equity, trades = on_tables(spark, sf_dir, _backtest(SPARK)[0]), on_tables(spark, sf_dir, lambda d: _backtest(d)[1])
     export_backtest(equity, trades, {"strategy": "fifo"}, path)
     return _read_back(spark, path, ["equity.csv", "trades.csv"])
 

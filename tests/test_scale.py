@@ -76,6 +76,23 @@ def test_exported_trades_are_dealt(spark, monkeypatch):
     assert {s for s in told[0] if s[0] in ("l_partkey", "symbol")} == {("l_partkey", str(-(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)))}
 
 
+def test_exported_trades_are_not_joined_to_larger_tasks(spark, monkeypatch):
+    """As the lots above, also where the session has more partitions than the rows ask for; no query before it has named lineitem."""
+    from millrace.sources import files
+
+    spark.catalog.dropTempView("lineitem")
+    told, export, parts = [], files.export_backtest, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(dialect, "TASK_ROWS", 500)
+    monkeypatch.setattr(files, "export_backtest", lambda equity, trades, *rest: (told.append(shuffles(trades)), export(equity, trades, *rest))[1])
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        assert registry.QUERIES["sink_backtest"](spark, SF).count() == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    assert n < 20 and {s for s in told[0] if s[0] in ("l_partkey", "symbol")} == {("l_partkey", str(n))}
+
+
 def test_join_and_characters_are_dealt(spark, monkeypatch):
     from millrace.operators import text
 
