@@ -82,7 +82,12 @@ def last_known(d, x: str, over: str) -> str:
     return f"last_value({x}, true) OVER ({over} ROWS UNBOUNDED PRECEDING)" if d.spark else f"last_value({x} IGNORE NULLS) OVER ({over} ROWS UNBOUNDED PRECEDING)"
 
 
-def filled_sql(rel, t_plus_1=False, opens="buy"):
+def sorted_by(d, t_plus_1):
+    """What trades are in order by after the first window over them: Spark sorts anew for another name of the same order, so it keeps ``seq`` but for T+1, whose order is longer."""
+    return "seq" if d.spark and not t_plus_1 else "nth"
+
+
+def filled_sql(d, rel, t_plus_1=False, opens="buy"):
     """Trades in the order they act in, with the size that holdings allow: ``opens`` is the side that opens lots.
 
     Holdings are the running sum of sizes, reflected at zero: what the sum's
@@ -90,21 +95,28 @@ def filled_sql(rel, t_plus_1=False, opens="buy"):
     closing trades of a bar act before its opening ones, as those lots are closed
     to them.
     """
-    opening = f"CASE WHEN side = '{opens}' THEN 1 ELSE 0 END"
+    opening, by = f"CASE WHEN side = '{opens}' THEN 1 ELSE 0 END", sorted_by(d, t_plus_1)
     order = f"date, {opening}, seq" if t_plus_1 else "seq"
     run = f"SELECT symbol, seq, date, {opening} AS opening, size, price, row_number() OVER (PARTITION BY symbol ORDER BY {order}) AS nth, {C(f"sum(CASE WHEN side = '{opens}' THEN size ELSE -size END) OVER (PARTITION BY symbol ORDER BY {order} ROWS UNBOUNDED PRECEDING)")} AS net FROM {rel} t WHERE size > 0 AND side IN ('buy', 'sell')"
-    low = f"SELECT r.*, least(0, min(net) OVER (PARTITION BY symbol ORDER BY nth ROWS UNBOUNDED PRECEDING)) AS low FROM ({run}) r"
-    return f"SELECT l.*, {C('size - (coalesce(lag(low) OVER (PARTITION BY symbol ORDER BY nth), 0) - low)')} AS filled FROM ({low}) l"
+    low = f"SELECT r.*, least(0, min(net) OVER (PARTITION BY symbol ORDER BY {by} ROWS UNBOUNDED PRECEDING)) AS low FROM ({run}) r"
+    return f"SELECT l.*, {C(f'size - (coalesce(lag(low) OVER (PARTITION BY symbol ORDER BY {by}), 0) - low)')} AS filled FROM ({low}) l"
 
 
 def segments_sql(d, rel, t_plus_1=False, opens="buy"):
-    """Opened and closed sizes laid end to end and cut at all their ends: each piece is of one lot, and of one sale or still open."""
-    ends = f"SELECT f.*, {C('sum(filled) OVER (PARTITION BY symbol, opening ORDER BY nth ROWS UNBOUNDED PRECEDING)')} AS upto FROM ({filled_sql(d.dealt(rel, 'symbol'), t_plus_1, opens)}) f WHERE filled > 0"
+    """Opened and closed sizes laid end to end and cut at all their ends: each piece is of one lot, and of one sale or still open.
+
+    On Spark each side's running sum goes over the trades of both as they are
+    sorted already, and the size of a piece looks the same way as what it is of.
+    """
+    run = lambda side: f"sum(CASE WHEN opening = {side} THEN filled ELSE 0 END) OVER (PARTITION BY symbol ORDER BY {sorted_by(d, t_plus_1)} ROWS UNBOUNDED PRECEDING)"
+    upto = f"CASE WHEN opening = 1 THEN {run(1)} ELSE {run(0)} END" if d.spark else "sum(filled) OVER (PARTITION BY symbol, opening ORDER BY nth ROWS UNBOUNDED PRECEDING)"
+    ends = f"SELECT f.*, {C(upto)} AS upto FROM ({filled_sql(d, d.dealt(rel, 'symbol'), t_plus_1, opens)}) f WHERE filled > 0"
     picked = ", ".join(f"max(CASE WHEN opening = {side} THEN {x} END) AS {name}" for side, x, name in ((1, "seq", "lot"), (1, "price", "entry_price"), (1, "date", "entry_date"), (0, "seq", "sale"), (0, "price", "exit_price"), (0, "date", "exit_date")))
     bounds = f"SELECT symbol, upto, {picked} FROM ({ends}) e GROUP BY symbol, upto"
     back = "PARTITION BY symbol ORDER BY upto DESC"
     known = ", ".join(f"{last_known(d, x, back)} AS {x}" for x in ("lot", "entry_price", "entry_date", "sale", "exit_price", "exit_date"))
-    return f"SELECT symbol, upto, {C('upto - coalesce(lag(upto) OVER (PARTITION BY symbol ORDER BY upto), 0)')} AS size, {known} FROM ({bounds}) b"
+    before = f"lead(upto) OVER ({back})" if d.spark else "lag(upto) OVER (PARTITION BY symbol ORDER BY upto)"
+    return f"SELECT symbol, upto, {C(f'upto - coalesce({before}, 0)')} AS size, {known} FROM ({bounds}) b"
 
 
 def fifo_sql(d, rel, t_plus_1=False, opens="buy"):
@@ -112,9 +124,9 @@ def fifo_sql(d, rel, t_plus_1=False, opens="buy"):
     return f"SELECT * FROM ({segments_sql(d, rel, t_plus_1, opens)}) g WHERE sale IS NOT NULL"
 
 
-def unfilled_sql(rel, t_plus_1=False, opens="buy"):
+def unfilled_sql(d, rel, t_plus_1=False, opens="buy"):
     """What closing trades asked for beyond what was held when they acted."""
-    return f"SELECT symbol, seq AS sale, size - filled AS size FROM ({filled_sql(rel, t_plus_1, opens)}) f WHERE filled < size"
+    return f"SELECT symbol, seq AS sale, size - filled AS size FROM ({filled_sql(d, rel, t_plus_1, opens)}) f WHERE filled < size"
 
 
 def walk_sql(rel, opens="buy"):
@@ -149,7 +161,7 @@ def bt_cover_fifo(d, rel, t_plus_1):
 @op("bt_unfilled", lots, t_plus_1=False, opens="buy")
 def bt_unfilled(d, rel, t_plus_1, opens):
     """Sales, or with ``opens`` 'sell' covers, and the size for which there was no lot."""
-    return f"SELECT symbol, sale, size FROM ({unfilled_sql(d.dealt(rel, 'symbol'), t_plus_1, opens)}) u"
+    return f"SELECT symbol, sale, size FROM ({unfilled_sql(d, d.dealt(rel, 'symbol'), t_plus_1, opens)}) u"
 
 
 @op("bt_open_lots", lots, t_plus_1=False)
