@@ -66,7 +66,7 @@ def test_lots_are_not_joined_to_larger_tasks(spark, name, monkeypatch):
     assert not re.search(r"hashpartitioning\((l_partkey|symbol)#\d+L?, 200\)", plan)
 
 
-@pytest.mark.parametrize("name", ["bt_open_lots", "bt_win_rate", "bt_cover_fifo", "bt_cover_short"])
+@pytest.mark.parametrize("name", ["bt_open_lots", "bt_win_rate", "bt_cover_fifo", "bt_cover_short", "bt_validate_trades"])
 def test_lots_are_sorted_no_more_than_their_orders_ask_for(spark, name):
     """By what numbers the trades, by their number and by the ends of pieces (bt_validate_trades: its aggregates of text, too), as each sort holds its rows in memory."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
