@@ -406,12 +406,23 @@ def _paired(df: DataFrame, a: str, b: str, force: str | None, alpha: float) -> t
     return name, float(got[0]), float(got[1]), normal, None
 
 
-def auto_select(df: DataFrame, group: str | None = None, value: str | None = None, pair: tuple[str, str] | None = None, force: str | None = None, alpha: float = 0.05) -> DataFrame:
+def conditions(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> tuple[int, bool, bool]:
+    """What a choice goes by: the number of groups, whether all are normal, and whether variances are equal."""
+    df = df.where(F.col(value).isNotNull())
+    groups = sorted(r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(51).collect())
+    if len(groups) < 2 or len(groups) > 50:
+        raise ValueError("2 to 50 groups are needed")
+    normal = all(normality(df.where(F.col(group) == g), value)[1] > alpha for g in groups)
+    return len(groups), normal, sm.f_upper(test_levene.apply(df, g=group, v=value).first()["f"], len(groups) - 1, df.count() - len(groups)) > alpha
+
+
+def auto_select(df: DataFrame, group: str | None = None, value: str | None = None, pair: tuple[str, str] | None = None, force: str | None = None, alpha: float = 0.05, known: tuple[int, bool, bool] | None = None) -> DataFrame:
     """Choose a test by the kinds of columns, the number of groups, normality and equal variances, and run it.
 
     ``pair`` names two columns of paired values.  ``force`` is a name of FORCED.
     Two categorical columns are tested for independence.  Of two groups of unequal
-    variances that are normal, Welch's test is taken.
+    variances that are normal, Welch's test is taken.  ``known`` are ``conditions``
+    of the same columns, for a caller that runs several tests on them.
     """
     if force is not None and force not in FORCED:
         raise ValueError(f"unknown test {force}")
@@ -422,16 +433,12 @@ def auto_select(df: DataFrame, group: str | None = None, value: str | None = Non
     if force == "chi-square" or (force is None and categorical(df, group) and categorical(df, value)):
         got = test_chi_square.apply(df.dropna(subset=[group, value]), a=group, b=value).first()
         return df.sparkSession.createDataFrame([("chi_square", float(got["chi2"]), float(got["cramers_v"]), None, None)], CHOSEN)
+    n_groups, normal, equal = known or conditions(df, group, value, alpha)
     df = df.where(F.col(value).isNotNull())
-    groups = sorted(r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(51).collect())
-    if len(groups) < 2 or len(groups) > 50:
-        raise ValueError("2 to 50 groups are needed")
-    normal = all(normality(df.where(F.col(group) == g), value)[1] > alpha for g in groups)
-    equal = sm.f_upper(test_levene.apply(df, g=group, v=value).first()["f"], len(groups) - 1, df.count() - len(groups)) > alpha
     if force is not None:
         name = FORCED[force]
         name = "welch" if name == "ttest" and not equal else name
-    elif len(groups) == 2:
+    elif n_groups == 2:
         name = ("ttest" if equal else "welch") if normal else "mann_whitney"
     else:
         name = "anova" if normal else "kruskal"
@@ -446,8 +453,9 @@ def auto_select(df: DataFrame, group: str | None = None, value: str | None = Non
 def test_auto_select(spark, sf_dir):
     """Each branch that the data reach: groups, pairs, counts and a forced test."""
     df = on_tables(spark, sf_dir, LINES(None))
-    got = auto_select(df, "g3", "y").union(auto_select(df, "g2", "y")).union(auto_select(df, pair=("z", "w"))).union(auto_select(df, "g2", "g3"))
-    return got.union(auto_select(df, "g3", "y", force="anova")).union(auto_select(df, pair=("z", "w"), force="paired-ttest"))
+    known = conditions(df, "g3", "y")
+    got = auto_select(df, "g3", "y", known=known).union(auto_select(df, "g2", "y")).union(auto_select(df, pair=("z", "w"))).union(auto_select(df, "g2", "g3"))
+    return got.union(auto_select(df, "g3", "y", force="anova", known=known)).union(auto_select(df, pair=("z", "w"), force="paired-ttest"))
 
 
 # --- A/B tests ---

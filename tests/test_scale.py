@@ -161,6 +161,17 @@ def test_auto_select_sends_the_medians_to_the_rows(spark, unasked, monkeypatch):
     assert plans and all("BroadcastHashJoin" in line for p in plans for line in p._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and re.search(r"g[23]#", line))
 
 
+def test_auto_select_looks_at_groups_once(spark, monkeypatch):
+    """Equal variances and normality of the same groups are not told anew for a forced test."""
+    from millrace.operators import statistics
+
+    calls, levene, normality = [], statistics.test_levene.apply, statistics.normality
+    monkeypatch.setattr(statistics.test_levene, "apply", lambda df, **kw: (calls.append(tuple(kw.values())), levene(df, **kw))[1])
+    monkeypatch.setattr(statistics, "normality", lambda df, column, *rest: (calls.append(column), normality(df, column, *rest))[1])
+    assert [r["test"] for r in registry.QUERIES["test_auto_select"](spark, SF).collect()][4] == "anova"
+    assert calls.count(("g3", "y")) == calls.count(("g2", "y")) == 1 and calls.count("y") <= 5
+
+
 def test_average_cost_of_short_symbols_calls_no_python(spark, monkeypatch):
     """Trades dealt once, and arrays walked by Spark; symbols longer than a block go over blocks, with the same positions."""
     from millrace.plans import blocks
