@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a relation that one task sorts.
-TASK_ROWS = 250_000
+#: Rows of a relation that one task sorts, and how many times as many at most where more tasks would make those that read hold what they have read.
+TASK_ROWS, MORE = 250_000, 5
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -109,11 +109,16 @@ class Dialect:
         """A table or view dealt by ``key`` to tasks of some ``rows`` (``TASK_ROWS``) rows, so that what a task sorts does not grow with it.
 
         The number is given with the rows, as adaptive execution would join the session's partitions to larger tasks.
+        A shuffle to more than ``spark.shuffle.sort.bypassMergeThreshold`` partitions holds all rows of a split while it is read,
+        so up to ``MORE`` times that number of tasks there are no more than it.
         What one task holds, or without a session that can count, stays as it is.
         """
         if self.session is None or not re.fullmatch(r"\w+", rel):
             return rel
         n = -(-self.session.table(rel).count() // (rows or TASK_ROWS))
+        unheld = int(self.session.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+        if rows is None and unheld < n <= MORE * unheld:
+            n = unheld
         cores = min(self.session.sparkContext.defaultParallelism, int(self.session.conf.get("spark.sql.shuffle.partitions")))
         return f"(SELECT /*+ REPARTITION({max(n, cores)}, {key}) */ * FROM {rel})" if n > 1 else rel
 

@@ -73,6 +73,20 @@ def test_lots_are_sorted_no_more_than_their_orders_ask_for(spark, name):
     assert len(re.findall(r"\bSort \[", plan)) <= (4 if name == "bt_validate_trades" else 3)
 
 
+@pytest.mark.parametrize("name", ["bt_win_rate"])
+def test_reading_of_lots_holds_no_rows(spark, name, monkeypatch):
+    """Spark's shuffle writer holds a split's rows if it has more than 200 partitions, so there are no more while tasks take up to five times the rows; the rows are the same."""
+    want = sorted(map(repr, registry.QUERIES[name](spark, SF).collect()))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    for rows, n in ((lines // 150, 151), (lines // 300, 200), (lines // 900, 200), (lines // 1500, 1500)):
+        monkeypatch.setattr(dialect, "TASK_ROWS", rows)
+        df = registry.QUERIES[name](spark, SF)
+        dealt = {int(k) for key, k in shuffles(df) if key in ("l_partkey", "symbol")}
+        assert len(dealt) == 1 and abs(dealt.pop() - n) <= (0 if n == 200 else 1)
+        if n == 200 and rows == lines // 300:
+            assert sorted(map(repr, df.collect())) == want
+
+
 def test_exported_trades_are_dealt(spark, monkeypatch):
     from millrace.sources import files
 
