@@ -73,7 +73,7 @@ def test_lots_are_sorted_no_more_than_their_orders_ask_for(spark, name):
     assert len(re.findall(r"\bSort \[", plan)) <= (4 if name == "bt_validate_trades" else 3)
 
 
-@pytest.mark.parametrize("name", ["bt_win_rate", "bt_cover_fifo", "bt_cover_short"])
+@pytest.mark.parametrize("name", ["bt_win_rate", "bt_cover_fifo", "bt_cover_short", "bt_validate_trades"])
 def test_reading_of_lots_holds_no_rows(spark, name, monkeypatch):
     """Spark's shuffle writer holds a split's rows if it has more than 200 partitions, so there are no more while tasks take up to five times the rows; the rows are the same."""
     want = sorted(map(repr, registry.QUERIES[name](spark, SF).collect()))
